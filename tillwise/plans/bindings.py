@@ -200,3 +200,82 @@ FROM (
       WHEN owed2 IS NOT NULL THEN least(owed2, bal) END AS paid2,
     CASE WHEN pays2 AND repayment_type = 'CUSTOM_SCHEDULE' AND active2 > custom_n THEN 'CUSTOM_SCHEDULE_MISSING' ELSE 'OK' END AS status2
   FROM {name} WHERE m < {HORIZON})"""
+
+
+# ---- official observations -----------------------------------------------------------------
+
+# product type -> indicator it stands for, unit, divisor of the price per piece
+SERIES = {
+    "ECONOMY": ("RETAIL_SALES_ECONOMY", "INDEX", 1.0), "STANDARD": ("CARD_SPEND_STANDARD", "INDEX", 1.0),
+    "PROMO": ("USD_KRW", "KRW_PER_USD", 1.0), "SMALL": ("IMPORT_PRICE_INDEX_USD", "INDEX_2020_100", 10.0),
+    "MEDIUM": ("CONSUMER_PRICE_INDEX", "INDEX_2020_100", 10.0), "LARGE": ("BASE_RATE", "PERCENT", 500.0),
+}
+
+
+def series_field(position: int, key: Column) -> Column:
+    return F.create_map(*[F.lit(x) for k, v in SERIES.items() for x in (k, v[position])])[key]
+
+
+def monthly_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Average price per piece by product type and month."""
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_partkey", F.trunc("l_shipdate", "month").alias("month"), cents("l_extendedprice").alias("price"),
+        F.col("l_quantity").cast("bigint").alias("qty"))
+    per_part = li.groupBy("l_partkey", "month").agg(F.sum("price").alias("price"), F.sum("qty").alias("qty"))
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
+    return per_part.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy("p_type", "month").agg(
+        F.sum("price").alias("price"), F.sum("qty").alias("qty"))
+
+
+cte("monthly_prices", """
+SELECT p_type, CAST(date_trunc('month', l_shipdate) AS DATE) AS month,
+  SUM(CAST(floor(l_extendedprice * 100.0::DOUBLE + 0.5::DOUBLE) AS BIGINT))::BIGINT AS price, SUM(CAST(l_quantity AS BIGINT))::BIGINT AS qty
+FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2""")
+cte("series", "SELECT * FROM (VALUES " + ", ".join(
+    f"('{k}', '{i}', '{u}', {f}::DOUBLE)" for k, (i, u, f) in SERIES.items()) + ") t(p_type, indicator_id, unit, divisor)")
+
+
+def monthly_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = monthly_prices(spark, sf_dir)
+    name = series_field(0, F.col("p_type"))
+    late = F.date_add(F.last_day("month"), 10 * (1 + F.length(name) % 3))
+    missing = (F.month("month") == 7) & (F.year("month") % 2 == 1)
+    return m.select(
+        F.concat(F.lit("OBS-"), F.upper(F.substring(F.sha2(F.concat_ws("|", name, F.date_format("month", "yyyy-MM-dd")), 256), 1, 24))).alias("observation_id"),
+        name.alias("indicator_id"),
+        (F.col("price").cast("double") / F.col("qty") / 100.0 / series_field(2, F.col("p_type"))).alias("value"),
+        series_field(1, F.col("p_type")).alias("unit"), F.lit("MONTHLY").alias("frequency"), F.col("month").alias("observed_at"),
+        F.when(~missing, late).alias("released_at"), late.alias("available_at"),
+        F.concat(F.lit("VNT-"), (F.month("month") % 2).cast("string")).alias("vintage_id"), F.lit("VALID").alias("quality_status"))
+
+
+def daily_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(
+        F.sum(cents("value")).alias("v"), F.count("*").alias("n"))
+    name = F.concat(F.lit("DAILY_"), F.upper("event_type"))
+    late = F.date_add("day", 1)
+    return ev.select(
+        F.concat(F.lit("OBS-"), F.upper(F.substring(F.sha2(F.concat_ws("|", name, F.date_format("day", "yyyy-MM-dd")), 256), 1, 24))).alias("observation_id"),
+        name.alias("indicator_id"), (F.col("v").cast("double") / F.col("n") / 100.0).alias("value"), F.lit("INDEX").alias("unit"),
+        F.lit("DAILY").alias("frequency"), F.col("day").alias("observed_at"), late.alias("released_at"), late.alias("available_at"),
+        F.lit("VNT-D").alias("vintage_id"), F.lit("VALID").alias("quality_status"))
+
+
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return monthly_observations(spark, sf_dir).unionByName(daily_observations(spark, sf_dir))
+
+
+cte("obs_monthly", """
+SELECT 'OBS-' || upper(substr(sha256(indicator_id || '|' || strftime(month, '%Y-%m-%d')), 1, 24)) AS observation_id, indicator_id,
+  price::DOUBLE / qty / 100.0::DOUBLE / divisor AS value, unit, 'MONTHLY' AS frequency, month AS observed_at,
+  CASE WHEN NOT (month(month) = 7 AND year(month) % 2 = 1) THEN last_day(month) + CAST(10 * (1 + length(indicator_id) % 3) AS INTEGER) END AS released_at,
+  last_day(month) + CAST(10 * (1 + length(indicator_id) % 3) AS INTEGER) AS available_at,
+  'VNT-' || CAST(month(month) % 2 AS VARCHAR) AS vintage_id, 'VALID' AS quality_status
+FROM monthly_prices JOIN series USING (p_type)""", "monthly_prices", "series")
+cte("obs_daily", """
+SELECT 'OBS-' || upper(substr(sha256('DAILY_' || upper(event_type) || '|' || strftime(day, '%Y-%m-%d')), 1, 24)) AS observation_id,
+  'DAILY_' || upper(event_type) AS indicator_id, v::DOUBLE / n / 100.0::DOUBLE AS value, 'INDEX' AS unit, 'DAILY' AS frequency, day AS observed_at,
+  day + 1 AS released_at, day + 1 AS available_at, 'VNT-D' AS vintage_id, 'VALID' AS quality_status
+FROM (SELECT event_type, CAST(ts AS DATE) AS day, SUM(CAST(floor(value * 100.0::DOUBLE + 0.5::DOUBLE) AS BIGINT))::BIGINT AS v, COUNT(*) AS n
+  FROM events GROUP BY 1, 2)""")
+cte("obs", "SELECT * FROM obs_monthly UNION ALL SELECT * FROM obs_daily", "obs_monthly", "obs_daily")
