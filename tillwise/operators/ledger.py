@@ -110,36 +110,41 @@ def monthly_scenario(stores: DataFrame, history: DataFrame, forecasts: DataFrame
     row is neutral. features(month, …) has one row per forecast month. `loans` may carry the
     extra keys (a policy's modified loans) or only store_id."""
     last = last_ledger_month(history)
-    rows = forecasts.filter(F.col("point").isNotNull()).select("store_id", "month_index", "month", "point") \
-        .join(adjustments, ["store_id", "month"])
     debt = has_variable_debt(stores, loans.select("store_id", "rate_type"))
-    ratio = lambda c: F.when(F.col("l.revenue") > 0, F.try_divide(F.col("l." + c), F.col("l.revenue"))).otherwise(d(0))
-    base = stores.alias("s").join(last.alias("l"), "store_id").join(debt, "store_id").select(
-        "store_id", "variable_debt", F.col("s.current_cash").alias("current_cash"), F.col("s.min_cash").alias("min_cash"),
-        F.col("s.imported_share").alias("imported_share"), ratio("ingredients").alias("ingredient_ratio"),
-        (ratio("platform_fee") + ratio("payment_fee")).alias("other_ratio"),
-        F.col("l.tax").alias("tax"), F.col("l.capex").alias("capex"))
-    rows = rows.join(base, "store_id").join(fixed_by_month(last, forecasts, overrides), ["store_id", "month"])
+    # rate changes come from the adjustments alone, so the loan runs do not wait for forecasts
+    plan = adjustments.join(debt, "store_id")
     if features is not None:
         # one row per forecast month (at most twelve): bounded by the horizon, not by the data
-        rows = rows.join(F.broadcast(features.select(
+        plan = plan.join(F.broadcast(features.select(
             "month", "domestic_multiplier", "imported_multiplier", "interest_rate_delta")), "month", "left")
         mix = F.coalesce((1 - F.col("imported_share")) * F.col("domestic_multiplier")
                          + F.col("imported_share") * F.col("imported_multiplier"), d(1))
         official_delta = F.coalesce("interest_rate_delta", d(0))
     else:
         mix, official_delta = d(1), d(0)
-    rows = rows.withColumn("rate_delta", F.when(F.col("variable_debt"), F.col("rate_delta") + official_delta).otherwise(d(0)))
-    rows = rows.withColumn("revenue", F.col("point") * F.col("revenue_multiplier"))
-    ingredient = F.col("revenue") * F.col("ingredient_ratio") * mix * F.col("variable_cost_multiplier")
-    other = F.col("revenue") * F.col("other_ratio") * F.col("variable_cost_multiplier")
-    rows = rows.withColumn("ingredient_cost", ingredient).withColumn("other_variable_cost", other)
-    rows = rows.withColumn("variable_cost", F.col("ingredient_cost") + F.col("other_variable_cost"))
-    rows = rows.withColumn("fixed_cost", F.col("fixed_base") * F.col("fixed_cost_multiplier"))
+    plan = plan.withColumn("rate_delta", F.when(F.col("variable_debt"), F.col("rate_delta") + official_delta).otherwise(d(0)))
     loan_keys = [k for k in keys if k in loans.columns]
-    service = debt_service(loans, rows.select(*loan_keys, "rate_delta"), loan_keys, F.lit(horizon), forecast_start)
-    rows = rows.join(service, [*loan_keys, "rate_delta", "month_index"], "left")
-    rows = rows.withColumn("interest", F.coalesce("interest", d(0))).withColumn("principal", F.coalesce("principal", d(0)))
+    service = debt_service(loans, plan.select(*loan_keys, "rate_delta"), loan_keys, F.lit(horizon), forecast_start)
+    points = forecasts.filter(F.col("point").isNotNull()).select("store_id", "month_index", "month", "point")
+    ratio = lambda c: F.when(F.col("l.revenue") > 0, F.try_divide(F.col("l." + c), F.col("l.revenue"))).otherwise(d(0))
+    base = stores.alias("s").join(last.alias("l"), "store_id").select(
+        "store_id", F.col("s.current_cash").alias("current_cash"), F.col("s.min_cash").alias("min_cash"),
+        F.col("s.imported_share").alias("imported_share"), ratio("ingredients").alias("ingredient_ratio"),
+        (ratio("platform_fee") + ratio("payment_fee")).alias("other_ratio"), F.col("l.tax").alias("tax"), F.col("l.capex").alias("capex"),
+        (F.col("l.rent") + F.col("l.labor") + F.col("l.utilities") + F.col("l.other")).alias("fixed_base"))
+    rows = points.join(base, "store_id")
+    if overrides is not None:
+        changed = fixed_by_month(last, overrides.select("store_id", "month"), overrides)
+        rows = rows.join(changed.withColumnRenamed("fixed_base", "fixed_changed"), ["store_id", "month"], "left") \
+            .withColumn("fixed_base", F.coalesce("fixed_changed", "fixed_base")).drop("fixed_changed")
+    rows = rows.join(plan, ["store_id", "month"]).join(service, [*loan_keys, "rate_delta", "month_index"], "left")
+    revenue = F.col("point") * F.col("revenue_multiplier")
+    rows = rows.withColumn("revenue", revenue).withColumns({
+        "ingredient_cost": F.col("revenue") * F.col("ingredient_ratio") * mix * F.col("variable_cost_multiplier"),
+        "other_variable_cost": F.col("revenue") * F.col("other_ratio") * F.col("variable_cost_multiplier"),
+        "fixed_cost": F.col("fixed_base") * F.col("fixed_cost_multiplier"),
+        "interest": F.coalesce("interest", d(0)), "principal": F.coalesce("principal", d(0))})
+    rows = rows.withColumn("variable_cost", F.col("ingredient_cost") + F.col("other_variable_cost"))
     return cash_ledger(rows, keys, F.col("current_cash"))
 
 

@@ -1,102 +1,104 @@
-"""Loan repayment tables: one fold over the forecast months per loan and rate change."""
+"""Loan repayment tables in closed form: one row per loan, rate change and forecast month.
+
+Whether a month pays, waits or is in grace depends on the calendar alone, and a rate changes at
+most once (at renewal). So the balance after any number of payments has a formula and no month
+needs the month before it; the whole table is one generated projection."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.functions.core import d, let
+from tillwise.functions.core import d, month_gap
 from tillwise.functions.skew import salted_join
 
+TERMS = ["principal", "annual_rate", "rate_type", "repayment_type", "remaining_months", "next_payment_date", "grace_end_date",
+         "renewal_month", "custom"]
+
+
+def _annuity_share(rate: Column, total: Column, paid: Column) -> Column:
+    """Share of the balance left after `paid` of `total` level payments at a monthly rate."""
+    growth = lambda n: F.expm1(n * F.log1p(rate))
+    level = 1 - F.try_divide(paid.cast("double"), total.cast("double"))
+    return F.when(paid >= total, d(0)).when(rate == 0, level).otherwise(
+        (growth(total) - growth(paid)) / growth(total))
+
 
 def loan_schedule(loans: DataFrame, horizon: Column, forecast_start: Column | None = None,
                   rate_delta: Column | None = None, grace_months: Column | None = None,
-                  money: str = "double", keep: list[str] | None = None) -> DataFrame:
+                  keep: list[str] | None = None) -> DataFrame:
     """Rows (…keep, month_index, opening, interest, principal, closing, rate, status).
 
     loans(loan_id, principal, annual_rate, rate_type, repayment_type, remaining_months,
     next_payment_date, grace_end_date, renewal_month, custom). `status` is
-    CUSTOM_SCHEDULE_MISSING once a custom schedule runs out, UNSUPPORTED_REPAYMENT for an unknown
-    type; such rows carry null payments."""
+    CUSTOM_SCHEDULE_MISSING once a custom schedule runs out and UNSUPPORTED_REPAYMENT for an
+    unknown type; such rows carry null payments and leave the balance alone."""
+    keep = keep or [c for c in loans.columns if c not in TERMS]
     rate_delta = d(0) if rate_delta is None else rate_delta
-    grace_months = F.lit(0) if grace_months is None else grace_months
-    keep = keep or [c for c in loans.columns if c not in (
-        "principal", "annual_rate", "rate_type", "repayment_type", "remaining_months", "next_payment_date",
-        "grace_end_date", "renewal_month", "custom")]
-    m = lambda c: c.cast(money)
-    zero = m(F.lit(0))
-    remaining, kind = F.col("remaining_months"), F.col("repayment_type")
+    grace = F.lit(0) if grace_months is None else F.coalesce(grace_months, F.lit(0))
+    kind, remaining = F.col("repayment_type"), F.col("remaining_months")
     variable = F.col("rate_type") == "VARIABLE"
-    row_type = f"struct<month_index:int,opening:{money},interest:{money},principal:{money},closing:{money},rate:double,status:string>"
-    known = kind.isin("BULLET", "EQUAL_PRINCIPAL", "AMORTIZING", "CUSTOM_SCHEDULE")
+    if forecast_start is None:
+        wait, deferred = F.lit(0), F.lit(0)
+    else:
+        wait = F.greatest(F.lit(0), F.coalesce(month_gap(F.col("next_payment_date"), forecast_start), F.lit(0)))
+        deferred = F.coalesce(month_gap(F.col("grace_end_date"), forecast_start) + 1, F.lit(0))
+    before = F.greatest(d(0), F.col("annual_rate"))
+    after = F.greatest(d(0), F.col("annual_rate") + F.when(variable, rate_delta).otherwise(d(0)))
+    out = loans.withColumns({"_wait": wait, "_r1": before, "_r2": after, "_switch": F.coalesce("renewal_month", F.lit(1))})
+    out = out.withColumn("_grace", F.least(remaining, F.greatest(F.lit(0), grace, deferred - F.col("_wait"))))
+    out = out.withColumn("_periods", remaining - F.col("_grace"))
+    # paying periods that fall before the renewal
+    out = out.withColumn("_k1", F.greatest(F.lit(0), F.least(
+        F.least(F.col("_switch") - F.col("_wait") - 1, remaining) - F.col("_grace"), F.col("_periods"))))
+    out = out.withColumn("_b1", F.col("principal") * _annuity_share(F.col("_r1") / 12, F.col("_periods"), F.col("_k1")))
+    out = out.withColumn("month_index", F.explode(F.sequence(F.lit(1), horizon)))
+    out = out.withColumn("_active", F.col("month_index") - F.col("_wait"))
 
-    def month_name_at(i: Column) -> Column:
-        return F.date_format(F.add_months(forecast_start, i - 1), "yyyy-MM")
+    def balance(active: Column) -> Column:
+        """Balance once active period `active` is over."""
+        period = F.least(active, remaining)
+        paid = F.greatest(F.lit(0), period - F.col("_grace"))
+        late = F.col("_b1") * _annuity_share(F.col("_r2") / 12, F.col("_periods") - F.col("_k1"), paid - F.col("_k1"))
+        early = F.col("principal") * _annuity_share(F.col("_r1") / 12, F.col("_periods"), paid)
+        listed = F.slice("custom", F.col("_grace") + 1, paid)
+        repaid = F.aggregate(F.coalesce(listed, F.array().cast("array<struct<principal:double,interest:double>>")), d(0),
+                             lambda acc, x: acc + x["principal"].cast("double"))
+        through = (period >= remaining) & (F.col("_periods") > 0)
+        return (
+            F.when(kind == "BULLET", F.when(through, d(0)).otherwise(F.col("principal")))
+            .when(kind == "EQUAL_PRINCIPAL", F.greatest(d(0), F.col("principal") - paid * (F.col("principal") / remaining)))
+            .when(kind == "AMORTIZING", F.when(F.col("_periods") <= 0, F.col("principal")).when(paid <= F.col("_k1"), early).otherwise(late))
+            .when(kind == "CUSTOM_SCHEDULE", F.greatest(d(0), F.col("principal") - repaid))
+            .otherwise(F.col("principal")))
 
-    def step(s: Column, i: Column) -> Column:
-        rate = F.greatest(
-            d(0), F.col("annual_rate") + F.when(variable & (i >= F.coalesce("renewal_month", F.lit(1))), rate_delta)
-            .otherwise(d(0)))
-        if forecast_start is None:
-            waiting, deferred = F.lit(False), F.lit(False)
-        else:
-            waiting = F.coalesce(month_name_at(i) < F.date_format("next_payment_date", "yyyy-MM"), F.lit(False))
-            deferred = F.coalesce(month_name_at(i) <= F.date_format("grace_end_date", "yyyy-MM"), F.lit(False))
-        live = (s["bal"] > 0) & ~waiting
-        head = F.struct(rate.alias("rate"), deferred.alias("deferred"), live.alias("live"),
-                        (s["active"] + live.cast("int")).alias("active"))
-
-        def pay(h: Column) -> Column:
-            paying = h["live"] & (h["active"] <= remaining)
-            monthly = h["rate"] / 12
-            left = remaining - h["active"] + 1
-            last = h["active"] == remaining
-            custom = F.get(F.col("custom"), h["active"] - 1)
-            missing = paying & (kind == "CUSTOM_SCHEDULE") & custom.isNull()
-            annuity = F.when(monthly == 0, s["bal"] / left).otherwise(
-                F.least(s["bal"].cast("double"), s["bal"] * monthly / (F.pow(1 + monthly, left) - 1)))
-            owed = (
-                F.when(kind == "BULLET", F.when(last, s["bal"]).otherwise(zero))
-                .when(kind == "EQUAL_PRINCIPAL", m(F.least(s["bal"].cast("double"), F.col("principal") / remaining)))
-                .when(kind == "AMORTIZING", F.when(last, s["bal"]).otherwise(m(annuity)))
-                .otherwise(m(custom["principal"]))
-            )
-            in_grace = (h["active"] <= grace_months) | h["deferred"]
-            interest = F.when(kind == "CUSTOM_SCHEDULE", m(custom["interest"])).otherwise(m(s["bal"] * monthly))
-            return F.struct(
-                h["rate"].alias("rate"), h["active"].alias("active"),
-                F.when(~paying, zero).when(in_grace, m(owed * 0)).otherwise(F.least(owed, s["bal"])).alias("principal"),
-                F.when(~paying, zero).otherwise(interest).alias("interest"),
-                F.when(paying & ~known, "UNSUPPORTED_REPAYMENT").when(missing, "CUSTOM_SCHEDULE_MISSING")
-                .otherwise("OK").alias("status"),
-            )
-
-        def close(p: Column) -> Column:
-            paid = F.coalesce(p["principal"], zero)
-            closing = m(F.greatest(zero, s["bal"] - paid))
-            opening = m(F.greatest(zero, s["bal"]))
-            row = F.struct(i.alias("month_index"), opening.alias("opening"), m(p["interest"]).alias("interest"),
-                           m(p["principal"]).alias("principal"), closing.alias("closing"), p["rate"].alias("rate"),
-                           p["status"].alias("status"))
-            return F.struct(closing.alias("bal"), p["active"].alias("active"),
-                            F.concat(s["rows"], F.array(row)).alias("rows"))
-
-        return let(let(head, pay), close)
-
-    start = F.struct(m(F.col("principal")).alias("bal"), F.lit(0).alias("active"),
-                     F.array().cast(f"array<{row_type}>").alias("rows"))
-    table = F.aggregate(F.sequence(F.lit(1), horizon), start, step, lambda s: s["rows"])
-    return loans.withColumn("_row", F.explode(table)).select(*keep, "_row.*")
+    rate = F.when(F.col("month_index") >= F.col("_switch"), F.col("_r2")).otherwise(F.col("_r1"))
+    out = out.withColumns({"opening": balance(F.greatest(F.lit(0), F.col("_active") - 1)),
+                           "closing": balance(F.greatest(F.lit(0), F.col("_active"))), "rate": rate})
+    paying = (F.col("opening") > 0) & (F.col("_active") >= 1) & (F.col("_active") <= remaining)
+    entry = F.get("custom", F.col("_active") - 1)
+    known = kind.isin("BULLET", "EQUAL_PRINCIPAL", "AMORTIZING", "CUSTOM_SCHEDULE")
+    status = (
+        F.when(paying & ~known, "UNSUPPORTED_REPAYMENT")
+        .when(paying & (kind == "CUSTOM_SCHEDULE") & entry.isNull(), "CUSTOM_SCHEDULE_MISSING").otherwise("OK"))
+    out = out.withColumn("status", status)
+    good = F.col("status") == "OK"
+    # a missing entry pays nothing during grace as well, as the entry is read first
+    interest = F.when(~paying, d(0)).when(kind == "CUSTOM_SCHEDULE", entry["interest"].cast("double")).otherwise(
+        F.col("opening") * (F.col("rate") / 12))
+    return out.select(*keep, "month_index", "opening", F.when(good, interest).alias("interest"),
+                      F.when(good, F.when(paying, F.col("opening") - F.col("closing")).otherwise(d(0))).alias("principal"),
+                      "closing", "rate", "status")
 
 
 def debt_service(loans: DataFrame, deltas: DataFrame, keys: list[str], horizon: Column,
-                 forecast_start: Column | None = None, money: str = "double") -> DataFrame:
+                 forecast_start: Column | None = None) -> DataFrame:
     """Interest and principal per (keys, rate_delta, month_index), summed over a store's loans.
 
-    `deltas` holds the distinct rate changes per key (at most one per forecast month); a store
-    may own any number of loans, so its loans are spread by loan id."""
+    `deltas` holds the distinct rate changes per key (at most one per forecast month and
+    scenario); a store may own any number of loans, so its loans are spread by loan id."""
     runs = salted_join(loans, deltas.select(*keys, "rate_delta").distinct(), keys, F.col("loan_id"))
     grace = F.col("grace_months") if "grace_months" in loans.columns else None
-    rows = loan_schedule(runs, horizon, forecast_start, F.col("rate_delta"), grace, money, keep=[*keys, "rate_delta"])
+    rows = loan_schedule(runs, horizon, forecast_start, F.col("rate_delta"), grace, keep=[*keys, "rate_delta"])
     return rows.groupBy(*keys, "rate_delta", "month_index").agg(
         F.sum("interest").alias("interest"), F.sum("principal").alias("principal"))

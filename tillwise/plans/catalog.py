@@ -42,7 +42,7 @@ def cte(name: str, body: str, *deps: str) -> None:
     CTES[name] = (list(deps), body)
 
 
-def sql(body: str, *names: str, recursive: bool = False) -> str:
+def sql(body: str, *names: str) -> str:
     """Assemble a statement from the named CTEs and what they depend on."""
     order: list[str] = []
 
@@ -58,6 +58,7 @@ def sql(body: str, *names: str, recursive: bool = False) -> str:
     if not order:
         return body
     parts = [k + " AS (" + CTES[k][1] + ")" for k in order]
+    recursive = any(k.endswith("sched") for k in order)
     head = "WITH RECURSIVE " if recursive else "WITH "
     tail = body.strip()
     if tail.upper().startswith("WITH "):

@@ -32,13 +32,12 @@ def as_of_gate(spark, sf):
 
 cte("fresh", """
 SELECT indicator_id, max(observed_at) AS latest_observed_at, datediff('day', max(observed_at), DATE '2001-08-31') AS age_days,
-  CASE indicator_id WHEN 'BASE_RATE' THEN 30 WHEN 'USD_KRW' THEN 90 ELSE 120 END AS max_age_days FROM known GROUP BY indicator_id""", "known")
+  CASE WHEN indicator_id IN ('BASE_RATE', 'USD_KRW') THEN 90 ELSE 120 END AS max_age_days FROM known GROUP BY indicator_id""", "known")
 
 
 @query("freshness", sql("""
 SELECT indicator_id, strftime(latest_observed_at, '%Y-%m-%d') AS latest_observed_at, age_days,
-  CASE indicator_id WHEN 'BASE_RATE' THEN 90 ELSE max_age_days END AS max_age_days,
-  age_days > CASE indicator_id WHEN 'BASE_RATE' THEN 90 ELSE max_age_days END AS is_stale FROM fresh""", "fresh"))
+  max_age_days, age_days > max_age_days AS is_stale FROM fresh""", "fresh"))
 def freshness(spark, sf):
     return of.freshness(known(spark, sf), b.as_of()).withColumn("latest_observed_at", day_name(F.col("latest_observed_at")))
 
@@ -55,7 +54,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY indicator_id ORDER BY observed_a
 SELECT t.indicator_id, n AS observation_count, latest_id AS latest_observation_id, previous_id AS previous_observation_id,
   {r('latest_value', 6)} AS latest_value, {r('previous_value', 6)} AS previous_value, {r('latest_value - previous_value', 6)} AS absolute_change,
   {r('(latest_value - previous_value) / abs(previous_value)', 6)} AS percentage_change, f.age_days,
-  CASE WHEN f.age_days > CASE t.indicator_id WHEN 'BASE_RATE' THEN 90 ELSE f.max_age_days END THEN 'STALE' ELSE 'VALID' END AS freshness_status
+  CASE WHEN f.age_days > f.max_age_days THEN 'STALE' ELSE 'VALID' END AS freshness_status
 FROM latest_two t JOIN fresh f USING (indicator_id)""", "latest_two", "fresh"))
 def indicator_summary(spark, sf):
     out = of.indicator_summary(known(spark, sf), b.as_of()).drop("latest_observed_at")

@@ -1,4 +1,4 @@
 """Imports every query module so that the catalogue is complete."""
 
-from tillwise.plans import q_forecast, q_official  # noqa: F401
+from tillwise.plans import q_finance, q_forecast, q_official  # noqa: F401
 from tillwise.plans.catalog import ORACLES, QUERIES  # noqa: F401
