@@ -7,12 +7,13 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tillwise.functions.core import lookup, stable_id
 from tillwise.sources.registry import ORGANISATIONS, ORGANISATIONS_FOLDED
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def norm_text(text: pd.Series) -> pd.Series:
     """NFKC plus whitespace fold; the one text rule that Spark has no expression for."""
     return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()))

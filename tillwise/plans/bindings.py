@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tillwise.functions.core import d
 from tillwise.functions.stages import staged
 from tillwise.plans.catalog import cte
+from tillwise.sources import registry
 
 HORIZON = 6
 START = "2001-09-01"
@@ -152,10 +153,10 @@ FROM supplier, (VALUES (0), (1)) v(seq)""")
 def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order is a loan of one store."""
     k = F.col("o_orderkey")
-    pay = F.struct((F.col("o_totalprice") / 1013.0).alias("principal"), (F.col("o_totalprice") / 9011.0).alias("interest"))
+    pay = F.struct((F.col("o_totalprice") * 0.000987182818).alias("principal"), (F.col("o_totalprice") * 0.000110971828).alias("interest"))
     return table(spark, sf_dir, "orders").select(
         (k % store_count(spark, sf_dir)).alias("store_id"), k.alias("loan_id"),
-        (F.col("o_totalprice") / 97.0).alias("principal"), (0.03 + (k % 7) / 100.0).alias("annual_rate"),
+        (F.col("o_totalprice") * 0.010314159265).alias("principal"), (0.03 + (k % 7) / 100.0).alias("annual_rate"),
         F.when(F.col("o_orderstatus").isin("P", "O"), "VARIABLE").otherwise("FIXED").alias("rate_type"),
         F.element_at(F.array(*[F.lit(x) for x in ("BULLET", "EQUAL_PRINCIPAL", "AMORTIZING", "CUSTOM_SCHEDULE")]),
                      (k % 4 + 1).cast("int")).alias("repayment_type"),
@@ -167,7 +168,7 @@ def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 cte("loans", """
-SELECT o_orderkey % (SELECT count(*) FROM supplier) AS store_id, o_orderkey AS loan_id, o_totalprice / 97.0::DOUBLE AS principal,
+SELECT o_orderkey % (SELECT count(*) FROM supplier) AS store_id, o_orderkey AS loan_id, o_totalprice * 0.010314159265::DOUBLE AS principal,
   0.03::DOUBLE + (o_orderkey % 7) / 100.0::DOUBLE AS annual_rate,
   CASE WHEN o_orderstatus IN ('P','O') THEN 'VARIABLE' ELSE 'FIXED' END AS rate_type,
   CASE o_orderkey % 4 WHEN 0 THEN 'BULLET' WHEN 1 THEN 'EQUAL_PRINCIPAL' WHEN 2 THEN 'AMORTIZING' ELSE 'CUSTOM_SCHEDULE' END AS repayment_type,
@@ -176,7 +177,7 @@ SELECT o_orderkey % (SELECT count(*) FROM supplier) AS store_id, o_orderkey AS l
   CASE WHEN o_orderkey % 11 = 0 THEN DATE '2001-09-01' + CAST(o_orderkey % 120 AS INTEGER) END AS grace_end_date,
   CASE WHEN o_orderkey % 3 <> 0 THEN CAST(1 + o_orderkey % 4 AS INTEGER) END AS renewal_month,
   CASE WHEN o_orderkey % 4 = 3 THEN CAST(2 + o_orderkey % 8 AS INTEGER) END AS custom_n,
-  o_totalprice / 1013.0::DOUBLE AS custom_principal, o_totalprice / 9011.0::DOUBLE AS custom_interest
+  o_totalprice * 0.000987182818::DOUBLE AS custom_principal, o_totalprice * 0.000110971828::DOUBLE AS custom_interest
 FROM orders""")
 
 
@@ -295,3 +296,65 @@ SELECT 'OBS-' || upper(substr(sha256('DAILY_' || upper(event_type) || '|' || str
 FROM (SELECT event_type, CAST(ts AS DATE) AS day, SUM(CAST(floor(value * 100.0::DOUBLE + 0.5::DOUBLE) AS BIGINT))::BIGINT AS v, COUNT(*) AS n
   FROM events GROUP BY 1, 2)""")
 cte("obs", "SELECT * FROM obs_monthly UNION ALL SELECT * FROM obs_daily", "obs_monthly", "obs_daily")
+
+
+# ---- dated notices -------------------------------------------------------------------------
+
+NOTICE_TYPES = ["BASE_RATE_INCREASE", "FX_VOLATILITY_ALERT", "INPUT_SUPPLY_DISRUPTION", "OFFICIAL_OUTLOOK_DOWNGRADE", "PLATFORM_FEE_INCREASE",
+                "REGULATION_TIGHTEN", "PEDESTRIAN_FULL_CLOSURE", "LOCAL_FESTIVAL", "COMPETITOR_OPENING", "WHOLESALE_PRICE_INCREASE"]
+TIERS = {"1-URGENT": "OFFICIAL_PRIMARY", "2-HIGH": "OFFICIAL_LOCAL_GOV", "3-MEDIUM": "MAJOR_NEWS", "4-NOT SPECIFIED": "OFFICIAL_SECONDARY", "5-LOW": "OTHER"}
+WINDOW_END = "2002-02-28"
+
+
+def window_end() -> Column:
+    return F.lit(WINDOW_END).cast("date")
+
+
+def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order is one dated notice; registry fields come by broadcast of a fixed dimension."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(
+        k.alias("event_id"), F.element_at(F.array(*[F.lit(t) for t in NOTICE_TYPES]), (k % 10 + 1).cast("int")).alias("event_type"),
+        F.to_date("o_orderdate").alias("start_date"),
+        F.when(k % 11 != 0, F.date_add(F.to_date("o_orderdate"), (k % 240).cast("int"))).alias("end_date"),
+        F.create_map(*[F.lit(x) for kv in TIERS.items() for x in kv])[F.col("o_orderpriority")].alias("source_tier"),
+        (37.45 + ((k * 53) % 1000) / 10000.0).alias("lat"), (126.95 + ((k * 71) % 1000) / 10000.0).alias("lon"),
+        F.when(k % 3 == 0, F.array(F.lit("FNB"), F.lit("FNB_CAFE"))).when(k % 3 == 1, F.array(F.lit("FNB"), F.lit("FNB_RESTAURANT")))
+        .otherwise(F.array(F.lit("RETAIL"))).alias("industries"),
+        (8 + k % 6).cast("int").alias("event_from"), (14 + k % 9).cast("int").alias("event_to"), F.col("o_custkey").alias("place_id"))
+    reg = registry.event_types(spark)
+    rows = rows.join(F.broadcast(reg), "event_type")
+    return rows.select(
+        "event_id", "event_type", F.col("reg_domain").alias("domain"), F.col("reg_family").alias("family"), "start_date", "end_date", "source_tier",
+        "lat", "lon", "industries", "event_from", "event_to", "place_id", "severity", "signal_enabled", "temporal_policy", "geo_policy",
+        F.array(F.struct(F.col("reg_axis").alias("axis"), F.col("reg_direction").alias("direction"), F.col("reg_mechanism").alias("mechanism"))).alias("impacts"))
+
+
+cte("registry", registry.event_types_sql())
+cte("notices", f"""
+SELECT n.*, r.reg_domain AS domain, r.reg_family AS family, r.reg_axis AS axis, r.reg_direction AS direction, r.reg_mechanism AS mechanism,
+  r.severity, r.signal_enabled, r.temporal_policy, r.geo_policy
+FROM (SELECT o_orderkey AS event_id, ([{', '.join("'" + t + "'" for t in NOTICE_TYPES)}])[o_orderkey % 10 + 1] AS event_type, CAST(o_orderdate AS DATE) AS start_date,
+    CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 240 AS INTEGER) END AS end_date,
+    CASE o_orderpriority {' '.join(f"WHEN '{a}' THEN '{t}'" for a, t in TIERS.items())} END AS source_tier,
+    37.45::DOUBLE + ((o_orderkey * 53) % 1000) / 10000.0::DOUBLE AS lat, 126.95::DOUBLE + ((o_orderkey * 71) % 1000) / 10000.0::DOUBLE AS lon,
+    o_orderkey % 3 AS ind, 8 + o_orderkey % 6 AS event_from, 14 + o_orderkey % 9 AS event_to, o_custkey AS place_id FROM orders) n
+JOIN registry r USING (event_type)""", "registry")
+
+
+def found_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which notices a store's research found: the store sold an item of that order."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("store_id"), F.col("l_orderkey").alias("event_id")).distinct()
+
+
+cte("found_by", "SELECT DISTINCT l_suppkey AS store_id, l_orderkey AS event_id FROM lineitem")
+
+
+def signal_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tillwise.operators.ledger import has_variable_debt
+
+    s = stores(spark, sf_dir)
+    debt = has_variable_debt(s, loans(spark, sf_dir).select("store_id", "rate_type"))
+    return s.join(debt, "store_id").select(
+        "store_id", "business_type_code", F.col("lat").alias("store_lat"), F.col("lon").alias("store_lon"), "variable_debt",
+        (9 + F.col("store_id") % 3).cast("int").alias("open_from"), (18 + F.col("store_id") % 5).cast("int").alias("open_to"))

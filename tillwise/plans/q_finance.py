@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillwise.functions.core import d, day_name, month_name, month_scaffold, rnd, whole_won
+from tillwise.functions.stages import staged
 from tillwise.operators import forecast as fc
 from tillwise.operators import ledger as lg
 from tillwise.operators.loans import debt_service as service_of
@@ -105,8 +106,11 @@ UNION ALL SELECT CASE scenario WHEN 'BASELINE' THEN 'OFFICIAL' ELSE scenario END
 
 # ---- spark ledgers -------------------------------------------------------------------------
 
-def forecasts(spark, sf, feats=None):
-    return fc.baseline_forecast(b.stores(spark, sf), b.history(spark, sf), b.start(), b.HORIZON, feats)
+def forecasts(spark, sf, official=False):
+    """Baseline forecasts, written once: every ledger of a run reads the same ones."""
+    build = lambda: fc.baseline_forecast(b.stores(spark, sf), b.history(spark, sf), b.start(), b.HORIZON,
+                                         features(spark, sf) if official else None)
+    return staged(spark, f"forecasts:{official}:{sf}", build)
 
 
 def adjustments(stores, scenarios, alternate=False):
@@ -119,7 +123,7 @@ def adjustments(stores, scenarios, alternate=False):
 
 def ledger(spark, sf, scenarios, with_features, with_overrides=False, alternate=False):
     feats = features(spark, sf) if with_features else None
-    points, stores = forecasts(spark, sf, feats), b.stores(spark, sf)
+    points, stores = forecasts(spark, sf, with_features), b.stores(spark, sf)
     return lg.monthly_scenario(
         stores, b.history(spark, sf), points, adjustments(stores, scenarios, alternate), b.loans(spark, sf), b.HORIZON,
         b.start(), ["store_id", "scenario"], feats, b.overrides(spark, sf) if with_overrides else None)
@@ -130,6 +134,10 @@ def base_ledger(spark, sf):
 
 
 def layers(spark, sf):
+    return staged(spark, "layers:" + sf, lambda: derive_layers(spark, sf))
+
+
+def derive_layers(spark, sf):
     trend = base_ledger(spark, sf).withColumn("scenario", F.lit("TREND"))
     official = ledger(spark, sf, SCENARIOS, True).withColumn(
         "scenario", F.when(F.col("scenario") == "BASELINE", "OFFICIAL").otherwise(F.col("scenario")))
@@ -149,7 +157,7 @@ SELECT b.store_id, status, model, strftime(b.month, '%Y-%m') AS month, {r('point
   {r('point * f.revenue_index_multiplier + width * f.revenue_index_multiplier', 2)} AS upper, is_assumption_range
 FROM baseline b LEFT JOIN features f USING (month_index)""", "baseline", "features"))
 def baseline_forecast(spark, sf):
-    out = forecasts(spark, sf, features(spark, sf))
+    out = fc.baseline_forecast(b.stores(spark, sf), b.history(spark, sf), b.start(), b.HORIZON, features(spark, sf))
     return out.select("store_id", "status", "model", month_name(F.col("month")).alias("month"), rnd(F.col("point"), 2).alias("point"),
                       rnd(F.col("lower"), 2).alias("lower"), rnd(F.col("upper"), 2).alias("upper"), "is_assumption_range")
 

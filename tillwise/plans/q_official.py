@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillwise.functions.core import day_name, month_name, rnd
+from tillwise.functions.stages import staged
 from tillwise.operators import events as ev
 from tillwise.operators import official as of
 from tillwise.plans import bindings as b
@@ -161,7 +162,8 @@ def projected(spark, sf):
 
 
 def features(spark, sf):
-    return of.monthly_features(projected(spark, sf))
+    """Monthly features, written once: every forecast and ledger of a run reads the same ones."""
+    return staged(spark, "features:" + sf, lambda: of.monthly_features(projected(spark, sf)))
 
 
 @query("indicator_projection", sql(f"""
@@ -184,7 +186,7 @@ FEATURE_COLUMNS = ["revenue_index_multiplier", "ingredient_multiplier", "domesti
 @query("official_features", sql(f"""
 SELECT strftime(month, '%Y-%m') AS month, indicator_count, {', '.join(r(c, 8) + ' AS ' + c for c in FEATURE_COLUMNS)} FROM features""", "features"))
 def official_features(spark, sf):
-    out = features(spark, sf)
+    out = of.monthly_features(projected(spark, sf))
     return out.select(month_name(F.col("month")).alias("month"), "indicator_count", *[rnd(F.col(c), 8).alias(c) for c in FEATURE_COLUMNS])
 
 
