@@ -39,9 +39,11 @@ def regions_match(store_region: Column, policy_regions: Column, hierarchical: bo
 
 def industry_codes(raw: Column) -> Column:
     """Sorted codes of every industry word contained in the raw labels (array of text)."""
-    per_word = [
-        F.when(F.exists(raw, lambda x, w=word: F.lower(x).contains(w.lower())), F.array(*[F.lit(c) for c in found]))
-        .otherwise(F.array().cast("array<string>")) for word, found in INDUSTRIES.items()]
+    def named(word: str):
+        return lambda x: F.lower(x).contains(word.lower())
+
+    none = F.array().cast("array<string>")
+    per_word = [F.when(F.exists(raw, named(w)), F.array(*[F.lit(c) for c in found])).otherwise(none) for w, found in INDUSTRIES.items()]
     return F.array_sort(F.array_distinct(F.flatten(F.array(*per_word))))
 
 

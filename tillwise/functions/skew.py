@@ -37,3 +37,16 @@ def neighbour(df: DataFrame, keys: list[str], order: list[str], bucket: Column,
     return joined.withColumn(
         name, F.when(F.col("_local").isNotNull(), F.col("_local._value")).otherwise(F.col("_next._edge"))
     ).drop("_bucket", "_value", "_local", "_next")
+
+
+def spread_rank(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], name: str) -> DataFrame:
+    """row_number within `keys` in `order`, without one task per key.
+
+    `bucket` is a non-decreasing function of the order. Ranks inside a bucket are local; the
+    rows of earlier buckets are counted on one row per key and bucket."""
+    base = df.withColumn("_bucket", bucket)
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = base.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
+    offsets = offsets.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    local = base.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order)))
+    return local.join(offsets, [*keys, "_bucket"]).withColumn(name, F.col("_before") + F.col("_local")).drop("_bucket", "_before", "_local")

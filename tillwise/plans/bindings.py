@@ -358,3 +358,53 @@ def signal_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(debt, "store_id").select(
         "store_id", "business_type_code", F.col("lat").alias("store_lat"), F.col("lon").alias("store_lon"), "variable_debt",
         (9 + F.col("store_id") % 3).cast("int").alias("open_from"), (18 + F.col("store_id") % 5).cast("int").alias("open_to"))
+
+
+# ---- policies ------------------------------------------------------------------------------
+
+POLICY_TYPES = ["GRANT", "LOAN_SUPPORT", "INTEREST_SUBSIDY", "REPAYMENT_DEFERRAL"]
+
+
+def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part is one policy notice; some terms are unstated."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    text = lambda x: x.cast("string")
+    pick = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), (i + 1).cast("int"))
+    region = F.concat(F.lit("KR-"), text(10 + k % 25))
+    cond = F.struct(
+        pick(["employee_count", "store.annual_revenue", "business_age_months", "shoe_size"], k % 4).alias("field"), pick(["LE", "LE", "GE", "EQ"], k % 4).alias("op"),
+        F.when(k % 4 == 0, text(8 + k % 12)).when(k % 4 == 1, text(400000 + k % 700000)).when(k % 4 == 2, text(k % 150)).otherwise("1").alias("expected"))
+    second = F.struct(F.lit("business_type_code").alias("field"), F.lit("NOT_IN").alias("op"), F.lit("RETAIL, PUB").alias("expected"))
+    return table(spark, sf_dir, "part").select(
+        k.alias("policy_id"), F.col("p_brand").alias("provider"), F.concat(F.col("p_type"), F.lit(" support program "), text(size)).alias("name"),
+        pick(POLICY_TYPES, k % 4).alias("policy_type"), F.when(k % 3 != 0, F.col("p_retailprice") * 100.123).alias("limit_krw"),
+        F.when(k % 5 != 0, (size % 5) / 2.0).alias("discount_pp"), F.when(k % 6 != 0, 2.0 + size % 4).alias("annual_rate_percent"),
+        F.when(k % 7 != 0, (size % 7).cast("int")).alias("grace_months"), F.when(k % 11 != 0, (12 + size).cast("int")).alias("maturity_months"),
+        pick(["BULLET", "EQUAL_PRINCIPAL", "AMORTIZING"], k % 3).alias("method"), F.when(k % 8 != 0, k % 3 == 0).alias("collateral"),
+        F.when(k % 9 != 0, F.date_sub(as_of(), (k % 60).cast("int"))).alias("app_start"), F.when(k % 10 != 0, F.date_add(as_of(), (k % 90 - 10).cast("int"))).alias("app_end"),
+        pick(["OPEN", "OPEN", "OPEN", "UNKNOWN", "EXHAUSTED"], k % 5).alias("budget_status"), pick(["ORIGINAL", "ORIGINAL", "ORIGINAL", "CORRECTION", "TERMINATION"], (k % 50) % 5 * F.when(k % 50 < 10, 1).otherwise(0)).alias("notice_kind"),
+        F.when(k % 3 == 0, F.array().cast("array<string>")).when(k % 13 == 0, F.array(F.lit("nowhere"))).otherwise(F.array(region, F.concat(F.lit("kr-"), text(10 + (k + 1) % 25)), F.lit("KR-20"))).alias("regions"),
+        F.when(k % 17 == 0, F.array(F.lit("FNB_CAFE"))).otherwise(F.array(F.lit("Small_Business"))).alias("include"),
+        F.when(k % 19 == 0, F.array(F.lit("FNB_BAKERY"))).otherwise(F.array().cast("array<string>")).alias("exclude"), F.array(cond, second).alias("conditions"),
+        (k % 23 == 0).alias("source_missing"), (k % 29 == 0).alias("set_mismatch"), (k % 31 == 0).alias("unavailable"), (k % 37 == 0).alias("security"), (k % 41 == 0).alias("untrusted"),
+        F.when(k % 43 == 0, F.array(F.lit("POLICY_QUOTE_NOT_FOUND"))).otherwise(F.array().cast("array<string>")).alias("evidence_codes"),
+        F.when(k % 47 == 0, F.array(F.lit("POLICY_NUMERIC_UNIT_AMBIGUOUS"))).otherwise(F.array().cast("array<string>")).alias("semantic_codes"),
+        (k % 53 == 0).alias("explicitly_closed"), (k % 59 == 0).alias("fallback"))
+
+
+cte("policies", """
+SELECT k AS policy_id, p_brand AS provider, p_type || ' support program ' || p_size AS name, (['GRANT', 'LOAN_SUPPORT', 'INTEREST_SUBSIDY', 'REPAYMENT_DEFERRAL'])[k % 4 + 1] AS policy_type,
+  CASE WHEN k % 3 <> 0 THEN p_retailprice * 100.123::DOUBLE END AS limit_krw, CASE WHEN k % 5 <> 0 THEN (p_size % 5) / 2.0::DOUBLE END AS discount_pp, CASE WHEN k % 6 <> 0 THEN 2.0::DOUBLE + p_size % 4 END AS annual_rate_percent,
+  CASE WHEN k % 7 <> 0 THEN p_size % 7 END AS grace_months, CASE WHEN k % 11 <> 0 THEN 12 + p_size END AS maturity_months, (['BULLET', 'EQUAL_PRINCIPAL', 'AMORTIZING'])[k % 3 + 1] AS method,
+  CASE WHEN k % 8 <> 0 THEN k % 3 = 0 END AS collateral, CASE WHEN k % 9 <> 0 THEN DATE '2001-08-31' - CAST(k % 60 AS INTEGER) END AS app_start, CASE WHEN k % 10 <> 0 THEN DATE '2001-08-31' + CAST(k % 90 - 10 AS INTEGER) END AS app_end,
+  (['OPEN', 'OPEN', 'OPEN', 'UNKNOWN', 'EXHAUSTED'])[k % 5 + 1] AS budget_status, CASE WHEN k % 50 < 10 THEN (['ORIGINAL', 'ORIGINAL', 'ORIGINAL', 'CORRECTION', 'TERMINATION'])[k % 5 + 1] ELSE 'ORIGINAL' END AS notice_kind,
+  k % 23 = 0 AS source_missing, k % 29 = 0 AS set_mismatch, k % 31 = 0 AS unavailable, k % 37 = 0 AS security, k % 41 = 0 AS untrusted, k % 43 = 0 AS no_quote, k % 47 = 0 AS ambiguous, k % 53 = 0 AS explicitly_closed, k % 59 = 0 AS fallback
+FROM (SELECT *, p_partkey AS k FROM part)""")
+
+
+def policy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which policies a store's research found: the store sold that part."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("store_id"), F.col("l_partkey").alias("policy_id")).distinct()
+
+
+cte("policy_pairs", "SELECT DISTINCT l_suppkey AS store_id, l_partkey AS policy_id FROM lineitem")
