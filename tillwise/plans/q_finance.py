@@ -130,7 +130,8 @@ def ledger(spark, sf, scenarios, with_features, with_overrides=False, alternate=
 
 
 def base_ledger(spark, sf):
-    return ledger(spark, sf, SCENARIOS[:1], False)
+    """Baseline ledger, written once: burn, break-even, funding and benefits read the same one."""
+    return staged(spark, "ledger:" + sf, lambda: ledger(spark, sf, SCENARIOS[:1], False))
 
 
 def layers(spark, sf):
@@ -164,7 +165,7 @@ def baseline_forecast(spark, sf):
 
 @query("cash_ledger", sql(f"SELECT {SHOWN_SQL}, {r('beginning_cash', 2)} AS beginning_cash FROM base_ledger", "base_ledger"))
 def cash_ledger(spark, sf):
-    return shown(base_ledger(spark, sf), rnd(F.col("beginning_cash"), 2).alias("beginning_cash"))
+    return shown(ledger(spark, sf, SCENARIOS[:1], False), rnd(F.col("beginning_cash"), 2).alias("beginning_cash"))
 
 
 @query("monthly_scenario", sql(f"SELECT {SHOWN_SQL}, {r('rate_delta', 8)} AS rate_delta, CAST(round(CAST(ending_cash AS DECIMAL(28,8)), 0) AS BIGINT) AS ending_cash_won FROM scen_ledger", "scen_ledger"))

@@ -196,6 +196,11 @@ FROM gain_burn g JOIN burn b USING (store_id) JOIN (SELECT store_id, policy_id,
 
 
 def benefits(spark, sf):
+    """Benefits of all eligible pairs, written once for the ranking."""
+    return staged(spark, "benefits:" + sf, lambda: derive_benefits(spark, sf))
+
+
+def derive_benefits(spark, sf):
     base = base_ledger(spark, sf)
     eligible = results(spark, sf).filter(F.col("status") == "ELIGIBLE_ON_DECLARED_RULES")
     return po.policy_benefit(eligible, base, b.loans(spark, sf), lg.funding_gap(base, ["store_id"]), b.HORIZON, b.start())
@@ -204,7 +209,7 @@ def benefits(spark, sf):
 @query("policy_benefit", sql(f"""
 SELECT store_id, policy_id, strftime(original_burn, '%Y-%m-%d') AS original_burn, strftime(simulated_burn, '%Y-%m-%d') AS simulated_burn, runway_extension_days, {r('interest_savings', 3)} AS interest_savings FROM benefit""", "benefit"))
 def policy_benefit(spark, sf):
-    out = benefits(spark, sf)
+    out = derive_benefits(spark, sf)
     return out.select("store_id", "policy_id", day_name(F.col("original_burn")).alias("original_burn"), day_name(F.col("simulated_burn")).alias("simulated_burn"),
                       "runway_extension_days", rnd(F.col("interest_savings"), 3).alias("interest_savings"))
 
