@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwise.functions.core import d, first_by, last_by, lookup, rnd
+from tillwise.functions.skew import spread_rank
 
 SAMPLES_KEPT = 1000
 
@@ -97,9 +98,9 @@ def extraction_metrics(expected: DataFrame, predicted: DataFrame) -> DataFrame:
     type meets the n-th expected one, so the pairing is an equi join on (case, type, n).
 
     expected(case_id, event_type, seq, quote, start, end); predicted(same, accepted)."""
-    nth = Window.partitionBy("case_id", "event_type").orderBy("seq")
-    e = expected.withColumn("n", F.row_number().over(nth)).select("case_id", "event_type", "n", F.struct("quote", "start", "end").alias("e"))
-    p = predicted.withColumn("n", F.row_number().over(nth)).select("case_id", "event_type", "n", F.struct("quote", "start", "end").alias("p"), "accepted")
+    nth = lambda df: spread_rank(df, ["case_id", "event_type"], F.floor(F.col("seq") / 1000), [F.col("seq")], "n")
+    e = nth(expected).select("case_id", "event_type", "n", F.struct("quote", "start", "end").alias("e"))
+    p = nth(predicted).select("case_id", "event_type", "n", F.struct("quote", "start", "end").alias("p"), "accepted")
     both = e.join(p, ["case_id", "event_type", "n"], "full")
     tp = F.count_if(F.col("e").isNotNull() & F.col("p").isNotNull())
     out = both.agg(tp.alias("tp"), F.count_if(F.col("e").isNull()).alias("fp"), F.count_if(F.col("p").isNull()).alias("fn"),
@@ -121,14 +122,17 @@ def presence_metrics(documents: DataFrame) -> DataFrame:
 
 
 def candidate_view(candidates: DataFrame, log: DataFrame, evidence: DataFrame, documents: DataFrame) -> DataFrame:
-    """Per candidate: latest state, sorted distinct failure codes, distinct landed sources."""
+    """Per candidate: latest state, sorted distinct failure codes, number of distinct landed
+    sources and the first of them; `candidate_sources` lists them all in long form."""
     states = log.groupBy("candidate_id").agg(
         last_by(F.col("to_state"), F.col("ts"), F.col("event_id")).alias("validation_status"),
         F.array_join(F.array_sort(F.collect_set("failure_code")), ",").alias("failure_codes"))
-    cited = evidence.select("candidate_id", "doc_id").distinct()
-    landed = cited.join(documents.select("doc_id", "source"), "doc_id").groupBy("candidate_id").agg(
-        F.count("*").alias("source_count"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
+    landed = candidate_sources(evidence, documents).groupBy("candidate_id").agg(F.count("*").alias("source_count"), F.min("source").alias("first_source"))
     out = candidates.join(states, "candidate_id", "left").join(landed, "candidate_id", "left")
     return out.select("candidate_id", F.coalesce("validation_status", F.lit("EXTRACTED")).alias("validation_status"),
-                      F.coalesce("failure_codes", F.lit("")).alias("failure_codes"), F.coalesce("source_count", F.lit(0)).alias("source_count"),
-                      F.coalesce("sources", F.lit("")).alias("sources"))
+                      F.coalesce("failure_codes", F.lit("")).alias("failure_codes"), F.coalesce("source_count", F.lit(0)).alias("source_count"), "first_source")
+
+
+def candidate_sources(evidence: DataFrame, documents: DataFrame) -> DataFrame:
+    """(candidate_id, doc_id, source) of the landed documents a candidate cites, each once."""
+    return evidence.select("candidate_id", "doc_id").distinct().join(documents.select("doc_id", "source"), "doc_id")

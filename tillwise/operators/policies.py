@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -152,22 +154,26 @@ def conflict_fields(policies: DataFrame, block: list[str], key: str, fields: lis
 
 
 def _first_fit(fields: list[str]):
-    def assign(batch: pd.DataFrame) -> pd.DataFrame:
-        """Put each signature, in id order, into the first group it does not contradict."""
-        batch = batch.sort_values("first_id")
-        profiles: list[dict] = []
-        chosen = []
-        for row in batch[fields].itertuples(index=False):
-            stated = {f: v for f, v in zip(fields, row) if v is not None and v == v}
-            for number, profile in enumerate(profiles):
-                if all(profile.get(f, v) == v for f, v in stated.items()):
-                    profile.update(stated)
-                    break
-            else:
-                number = len(profiles)
-                profiles.append(dict(stated))
-            chosen.append(number)
-        return pd.DataFrame({"_sub": batch["_sub"], "_sig": batch["_sig"], "_group": chosen})
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows arrive sorted by (_sub, first_id): put each into the first group of its sub-block
+        that it does not contradict. Only the groups' stated values are held, never the rows."""
+        current, profiles = None, []
+        for batch in batches:
+            chosen = []
+            columns = [batch["_sub"], *[batch[f] for f in fields]]
+            for sub, *values in zip(*columns):
+                if sub != current:
+                    current, profiles = sub, []
+                stated = {f: v for f, v in zip(fields, values) if v is not None and v == v}
+                for number, profile in enumerate(profiles):
+                    if all(profile.get(f, v) == v for f, v in stated.items()):
+                        profile.update(stated)
+                        break
+                else:
+                    number = len(profiles)
+                    profiles.append(stated)
+                chosen.append(number)
+            yield pd.DataFrame({"_sub": batch["_sub"], "_sig": batch["_sig"], "first_id": batch["first_id"], "_group": chosen})
 
     return assign
 
@@ -178,8 +184,9 @@ def group_policies(policies: DataFrame, block: list[str], key: str, fields: list
     Greedy in id order: a policy joins the first group none of whose members contradicts it.
     Members never contradict each other, so a group is known by one stated value per field; and
     policies with equal fields always land together, so only distinct field combinations are
-    placed. A field that every policy of a block states splits the block outright. What is left
-    for one task is the distinct, partly unstated combinations of one sub-block."""
+    placed. A field that every policy of a block states splits the block outright. The distinct
+    combinations of a sub-block then stream past in id order; a task holds one small profile per
+    group, not the combinations themselves."""
     text = {f: F.col(f).cast("string") for f in fields}
     rows = policies.select(key, *block, *[v.alias(f) for f, v in text.items()])
     rows = rows.withColumn("_sig", F.sha2(F.to_json(F.struct(*block, *fields)), 256))
@@ -188,8 +195,8 @@ def group_policies(policies: DataFrame, block: list[str], key: str, fields: list
     sigs = salted_join(sigs, gaps, block, F.col("_sig"))
     parts = [F.when(F.col("_gap_" + f), F.lit("*")).otherwise(F.concat(F.lit("="), F.col(f))) for f in fields]
     sigs = sigs.withColumn("_sub", F.sha2(F.concat_ws("\x1f", *block, *parts), 256))
-    placed = sigs.select("_sub", "_sig", "first_id", *fields).groupBy("_sub").applyInPandas(_first_fit(fields), "_sub string, _sig string, _group int")
-    placed = placed.join(sigs.select("_sig", "first_id"), "_sig")
+    ordered = sigs.select("_sub", "_sig", "first_id", *fields).repartition("_sub").sortWithinPartitions("_sub", "first_id")
+    placed = ordered.mapInPandas(_first_fit(fields), "_sub string, _sig string, first_id bigint, _group int")
     heads = placed.groupBy("_sub", "_group").agg(F.min("first_id").alias("group_id"))
     placed = placed.join(heads, ["_sub", "_group"]).select("_sig", "group_id")
     return salted_join(rows.select(key, "_sig"), placed, ["_sig"], F.col(key)).select(key, "group_id")
@@ -221,9 +228,9 @@ def merge_policies(policies: DataFrame, groups: DataFrame, key: str, fields: lis
 def notice_lineage(notices: DataFrame, group: str, key: str, day: str) -> DataFrame:
     """Corrections and terminations point to the notice before them in their group.
 
-    notices(group, key, day, notice_kind). The order is spread by year, so a group of any size
+    notices(group, key, day, notice_kind). The order is spread by day, so a group of any size
     is several small tasks."""
-    out = neighbour(notices, [group], [day, key], F.year(day), F.col(key), "previous", after=False)
+    out = neighbour(notices, [group], [day, key], F.col(day), F.col(key), "previous", after=False)
     revision = F.col("notice_kind").isin("CORRECTION", "TERMINATION")
     return out.withColumn("supersedes", F.when(revision, F.col("previous"))).drop("previous")
 
@@ -373,6 +380,7 @@ def rank_policies(benefits: DataFrame, policies: DataFrame) -> DataFrame:
 
 def stage_counts(policies: DataFrame, results: DataFrame) -> DataFrame:
     """Counts per stage over all policies and all (store, policy) results."""
-    a = policies.agg(F.count("*").alias("extracted"), F.count_if(F.col("validation_status") == "VALIDATED").alias("validated"), F.count_if(F.col("validation_status") == "CLOSED").alias("closed"))
-    e = results.agg(F.count("*").alias("evaluated"), F.count_if(F.col("status") == "ELIGIBLE_ON_DECLARED_RULES").alias("eligible"))
-    return a.join(e, F.lit(True))
+    tagged = policies.select(F.lit("P").alias("k"), F.col("validation_status").alias("s")).unionByName(results.select(F.lit("R").alias("k"), F.col("status").alias("s")))
+    of = lambda k, s=None: F.count_if((F.col("k") == k) if s is None else (F.col("k") == k) & (F.col("s") == s))
+    return tagged.agg(of("P").alias("extracted"), of("P", "VALIDATED").alias("validated"), of("P", "CLOSED").alias("closed"), of("R").alias("evaluated"),
+                      of("R", "ELIGIBLE_ON_DECLARED_RULES").alias("eligible"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.functions.core import month_name
+from tillwise.functions.skew import salted_join
 
 
 def summary_statements(ledger: DataFrame, keys: list[str]) -> DataFrame:
@@ -20,11 +21,13 @@ def summary_statements(ledger: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def trace_manifest(ids: DataFrame, keys: list[str]) -> DataFrame:
-    """ids(keys…, kind, id) to one sorted distinct id list per key and kind.
+    """ids(keys…, kind, id), each once, with the number of ids of its kind.
 
-    The list is the product here; its length is what one result cites."""
-    return ids.select(*keys, "kind", F.col("id").cast("string").alias("id")).distinct().groupBy(*keys, "kind").agg(
-        F.count("*").alias("id_count"), F.array_sort(F.collect_list("id")).alias("ids"))
+    The manifest stays a long table: a result that cites a third of all ids is still many rows
+    on many tasks."""
+    rows = ids.select(*keys, "kind", F.col("id").cast("string").alias("id")).distinct()
+    counts = rows.groupBy(*keys, "kind").agg(F.count("*").alias("id_count"))
+    return salted_join(rows, counts, [*keys, "kind"], F.col("id"))
 
 
 def citation_gaps(statements: DataFrame, trace: DataFrame, keys: list[str]) -> DataFrame:
@@ -70,6 +73,3 @@ def lifecycle_invariants(candidates: DataFrame, outcomes: DataFrame, key: str, r
         F.count_if(F.col("n") > 1).alias("resolved_twice"), F.count_if(F.col("yes") & F.col("no")).alias("accepted_and_rejected"),
         F.count_if(F.col("yes")).alias("accepted"), F.count_if(F.col("asked")).alias("candidates"))
 
-
-def as_text(names: Column) -> Column:
-    return F.array_join(names, ",")
