@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillwise.functions.core import d, last_by
+from tillwise.functions.core import d, last_by, month_gap
 from tillwise.operators.loans import debt_service
 
 COMPONENTS = ["revenue", "variable_cost", "fixed_cost", "interest", "principal", "tax", "capex"]
@@ -124,7 +124,10 @@ def monthly_scenario(stores: DataFrame, history: DataFrame, forecasts: DataFrame
         mix, official_delta = d(1), d(0)
     plan = plan.withColumn("rate_delta", F.when(F.col("variable_debt"), F.col("rate_delta") + official_delta).otherwise(d(0)))
     loan_keys = [k for k in keys if k in loans.columns]
-    service = debt_service(loans, plan.select(*loan_keys, "rate_delta"), loan_keys, F.lit(horizon), forecast_start)
+    plan = plan.withColumn("_month_index", (month_gap(F.col("month"), forecast_start) + 1).cast("int"))
+    needed = plan.filter(F.col("_month_index").between(1, horizon)).select(*loan_keys, "rate_delta", F.col("_month_index").alias("month_index"))
+    service = debt_service(loans, needed, loan_keys, forecast_start)
+    plan = plan.drop("_month_index")
     points = forecasts.filter(F.col("point").isNotNull()).select("store_id", "month_index", "month", "point")
     ratio = lambda c: F.when(F.col("l.revenue") > 0, F.try_divide(F.col("l." + c), F.col("l.revenue"))).otherwise(d(0))
     base = stores.alias("s").join(last.alias("l"), "store_id").select(
@@ -174,7 +177,7 @@ def flat_scenario(stores: DataFrame, history: DataFrame, scenarios: list[tuple],
         .withColumn("fixed_cost", fixed * F.col("fixed_cost_multiplier"))
         .withColumn("revenue", F.col("revenue") * F.col("revenue_multiplier"))
     )
-    service = debt_service(loans, rows.select("store_id", "rate_delta"), ["store_id"], F.lit(horizon))
+    service = debt_service(loans, rows, ["store_id"])
     rows = rows.join(service, ["store_id", "rate_delta", "month_index"], "left")
     rows = rows.withColumn("interest", F.coalesce("interest", d(0))).withColumn("principal", F.coalesce("principal", d(0)))
     return cash_ledger(rows, ["store_id", "scenario"], F.col("current_cash"))

@@ -24,7 +24,7 @@ def _annuity_share(rate: Column, total: Column, paid: Column) -> Column:
         (growth(total) - growth(paid)) / growth(total))
 
 
-def loan_schedule(loans: DataFrame, horizon: Column, forecast_start: Column | None = None,
+def loan_schedule(loans: DataFrame, horizon: Column | None, forecast_start: Column | None = None,
                   rate_delta: Column | None = None, grace_months: Column | None = None,
                   keep: list[str] | None = None) -> DataFrame:
     """Rows (…keep, month_index, opening, interest, principal, closing, rate, status).
@@ -32,8 +32,9 @@ def loan_schedule(loans: DataFrame, horizon: Column, forecast_start: Column | No
     loans(loan_id, principal, annual_rate, rate_type, repayment_type, remaining_months,
     next_payment_date, grace_end_date, renewal_month, custom). `status` is
     CUSTOM_SCHEDULE_MISSING once a custom schedule runs out and UNSUPPORTED_REPAYMENT for an
-    unknown type; such rows carry null payments and leave the balance alone."""
-    keep = keep or [c for c in loans.columns if c not in TERMS]
+    unknown type; such rows carry null payments and leave the balance alone. Input that already
+    names its `month_index` gets that month alone."""
+    keep = [c for c in keep or loans.columns if c not in TERMS and c != "month_index"]
     rate_delta = d(0) if rate_delta is None else rate_delta
     grace = F.lit(0) if grace_months is None else F.coalesce(grace_months, F.lit(0))
     kind, remaining = F.col("repayment_type"), F.col("remaining_months")
@@ -52,7 +53,8 @@ def loan_schedule(loans: DataFrame, horizon: Column, forecast_start: Column | No
     out = out.withColumn("_k1", F.greatest(F.lit(0), F.least(
         F.least(F.col("_switch") - F.col("_wait") - 1, remaining) - F.col("_grace"), F.col("_periods"))))
     out = out.withColumn("_b1", F.col("principal") * _annuity_share(F.col("_r1") / 12, F.col("_periods"), F.col("_k1")))
-    out = out.withColumn("month_index", F.explode(F.sequence(F.lit(1), horizon)))
+    if "month_index" not in loans.columns:
+        out = out.withColumn("month_index", F.explode(F.sequence(F.lit(1), horizon)))
     out = out.withColumn("_active", F.col("month_index") - F.col("_wait"))
 
     def balance(active: Column) -> Column:
@@ -91,14 +93,15 @@ def loan_schedule(loans: DataFrame, horizon: Column, forecast_start: Column | No
                       "closing", "rate", "status")
 
 
-def debt_service(loans: DataFrame, deltas: DataFrame, keys: list[str], horizon: Column,
-                 forecast_start: Column | None = None) -> DataFrame:
+def debt_service(loans: DataFrame, needed: DataFrame, keys: list[str], forecast_start: Column | None = None) -> DataFrame:
     """Interest and principal per (keys, rate_delta, month_index), summed over a store's loans.
 
-    `deltas` holds the distinct rate changes per key (at most one per forecast month and
-    scenario); a store may own any number of loans, so its loans are spread by loan id."""
-    runs = salted_join(loans, deltas.select(*keys, "rate_delta").distinct(), keys, F.col("loan_id"))
+    `needed` names the months in which each rate change applies: a month reads its own change's
+    table, so only that row of it is worked out. A store may own any number of loans, so its
+    loans are spread by loan id."""
+    months = needed.select(*keys, "rate_delta", "month_index").distinct()
+    runs = salted_join(loans, months, keys, F.col("loan_id"))
     grace = F.col("grace_months") if "grace_months" in loans.columns else None
-    rows = loan_schedule(runs, horizon, forecast_start, F.col("rate_delta"), grace, keep=[*keys, "rate_delta"])
+    rows = loan_schedule(runs, None, forecast_start, F.col("rate_delta"), grace, keep=[*keys, "rate_delta"])
     return rows.groupBy(*keys, "rate_delta", "month_index").agg(
         F.sum("interest").alias("interest"), F.sum("principal").alias("principal"))

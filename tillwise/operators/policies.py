@@ -340,8 +340,8 @@ def policy_benefit(eligible: DataFrame, base: DataFrame, loans: DataFrame, gaps:
     terms = pairs.select(*keys).distinct()
     priced = salted_join(loans, terms, ["store_id"], F.col("loan_id"))
     priced = priced.withColumn("annual_rate", F.greatest(d(0), F.col("annual_rate") - F.col("discount"))).withColumn("grace_months", F.col("deferral"))
-    deltas = terms.join(base.select("store_id", "rate_delta").distinct(), "store_id")
-    service = debt_service(priced, deltas, keys, F.lit(horizon), forecast_start)
+    needed = terms.join(base.select("store_id", "rate_delta", "month_index").distinct(), "store_id")
+    service = debt_service(priced, needed, keys, forecast_start)
     fresh = pairs.filter("draw > 0").select(
         "store_id", "policy_id", F.col("draw").alias("principal"), F.greatest(d(0), F.col("annual_rate_percent") / 100.0 - F.col("discount")).alias("annual_rate"),
         F.lit("FIXED").alias("rate_type"), F.col("method").alias("repayment_type"), F.col("maturity_months").alias("remaining_months"), F.lit(None).cast("date").alias("next_payment_date"),

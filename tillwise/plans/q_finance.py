@@ -51,8 +51,9 @@ cte("debt_sched", b.schedule_sql("debt_runs", "debt_sched", "rate_delta", extra=
 SELECT store_id, rate_delta, m AS month_index, {r('sum(interest)', 2)} AS interest, {r('sum(paid)', 2)} AS principal
 FROM debt_sched WHERE m > 0 GROUP BY store_id, rate_delta, m""", "debt_sched"))
 def debt_service(spark, sf):
-    deltas = b.stores(spark, sf).select("store_id", F.explode(F.array(d(0), d(0.01))).alias("rate_delta"))
-    out = service_of(b.loans(spark, sf), deltas, ["store_id"], F.lit(b.HORIZON), b.start())
+    needed = b.stores(spark, sf).select("store_id", F.explode(F.array(d(0), d(0.01))).alias("rate_delta"))
+    needed = needed.withColumn("month_index", F.explode(F.sequence(F.lit(1), F.lit(b.HORIZON))))
+    out = service_of(b.loans(spark, sf), needed, ["store_id"], b.start())
     return out.select("store_id", "rate_delta", "month_index", rnd(F.col("interest"), 2).alias("interest"), rnd(F.col("principal"), 2).alias("principal"))
 
 
