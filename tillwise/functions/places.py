@@ -25,14 +25,22 @@ def region_id(value: Column) -> Column:
     return lookup(REGION_ALIASES, key, F.concat(F.lit("KR-"), digits))
 
 
+def region_ids(values: Column) -> Column:
+    """Distinct canonical codes of a list of region names."""
+    return F.array_distinct(F.filter(F.transform(values, region_id), lambda x: x.isNotNull()))
+
+
 def regions_match(store_region: Column, policy_regions: Column, hierarchical: bool = False) -> Column:
     """True, False or NULL (unknown). A broader region does not match its districts unless
     `hierarchical` is set, which is how the compared codes behave."""
-    mine = region_id(store_region)
-    theirs = F.array_distinct(F.filter(F.transform(policy_regions, region_id), lambda x: x.isNotNull()))
+    return region_codes_match(region_id(store_region), policy_regions, region_ids(policy_regions), hierarchical)
+
+
+def region_codes_match(mine: Column, declared: Column, theirs: Column, hierarchical: bool = False) -> Column:
+    """The same for codes worked out before a store and a policy meet."""
     nested = (lambda t: mine.startswith(t)) if hierarchical else (
         lambda t: mine.startswith(F.concat(t, F.lit("-"))) | t.startswith(F.concat(mine, F.lit("-"))))
-    open_to_all = policy_regions.isNull() | (F.size(policy_regions) == 0)
+    open_to_all = declared.isNull() | (F.size(declared) == 0)
     unknown = mine.isNull() | (F.size(theirs) == 0)
     return F.when(open_to_all, True).when(unknown, None).otherwise(F.array_contains(theirs, mine) | F.exists(theirs, nested))
 

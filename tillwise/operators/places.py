@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tillwise.functions.core import d, first_by
 from tillwise.functions.geo import haversine_m
 from tillwise.functions.places import normalize_address, normalize_venue
+from tillwise.functions.skew import salted_join
 from tillwise.functions.text import unique_tokens
 
 # Category words, score weights and the tie margin.
@@ -22,19 +23,22 @@ def match_venues(responses: DataFrame) -> DataFrame:
     responses: one row per (query_id, place_id) the provider returned, with query, context, area,
     place_name, address, category, lat, lon, store_lat, store_lon. Only the two best rows of a
     query leave a task."""
+    asked = responses.groupBy("query_id").agg(F.min("query").alias("query"), F.min("context").alias("context"), F.min("area").alias("area"))
+    asked = asked.select(
+        "query_id", unique_tokens(normalize_venue(F.col("query"))).alias("_words"), unique_tokens(F.col("context")).alias("_context"),
+        F.lower(normalize_address(F.col("area"))).alias("_area"))
     text = F.lower(normalize_address(F.concat_ws(" ", "address", "place_name", "category")))
-    words = unique_tokens(normalize_venue(F.col("query")))
     hits = lambda arr: F.size(F.filter(arr, lambda t: F.col("_text").contains(t)))
     kind = F.lower("category")
-    rows = responses.withColumns({"_text": text, "_words": words})
+    rows = salted_join(responses.drop("query", "context", "area").withColumn("_text", text), asked, ["query_id"], F.col("place_id"))
     rows = rows.withColumn("overlap", hits(F.col("_words")))
     public = kind.rlike(PUBLIC)
     usable = F.col("lat").isNotNull() & F.col("lon").isNotNull() & ~(kind.rlike(COMMERCIAL) & ~public) & (
         (F.size("_words") == 0) | (F.col("overlap") > 0))
     distance = haversine_m(F.col("store_lat"), F.col("store_lon"), F.col("lat"), F.col("lon"))
     score = (
-        F.col("overlap") * PER_TOKEN + hits(unique_tokens(F.col("context"))) * PER_CONTEXT
-        + F.when((F.col("area") != "") & F.col("_text").contains(F.lower(normalize_address(F.col("area")))), d(AREA)).otherwise(d(0))
+        F.col("overlap") * PER_TOKEN + hits(F.col("_context")) * PER_CONTEXT
+        + F.when((F.col("_area") != "") & F.col("_text").contains(F.col("_area")), d(AREA)).otherwise(d(0))
         + F.when(public, d(PUBLIC_BONUS)).otherwise(d(0)) + F.greatest(d(0), NEAR_KM - distance / 1000.0))
     ranked = rows.filter(usable).withColumns({"distance_m": distance, "score": score})
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "distance_m", "place_id")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.functions.core import codes, d, lookup, month_gap
-from tillwise.functions.places import regions_match
+from tillwise.functions.places import region_codes_match, region_id, region_ids
 from tillwise.functions.skew import neighbour, salted_join, spread_rank
 from tillwise.functions.text import fold_space
 from tillwise.functions.units import NUMBERS_IN_TEXT, normalize_number
@@ -244,32 +244,53 @@ OPERATORS = ["EQ", "NE", "IN", "NOT_IN", "GE", "GT", "LE", "LT", "EXISTS"]
 SIZE_WORDS = ["sme", "smes", "small business", "small businesses", "micro business", "microenterprise", "중소기업", "소상공인"]
 
 
+def prepare_conditions(conditions: Column) -> Column:
+    """Conditions with everything that does not depend on the store worked out: done once per
+    policy, before it meets its stores."""
+
+    def ready(c: Column) -> Column:
+        field, op = F.regexp_replace(c["field"], "^(store_profile\\.|store\\.)", ""), F.upper(c["op"])
+        number = c["expected"].try_cast("double")
+        numeric = field.isin(NUMERIC_FIELDS)
+        broken = ~op.isin(OPERATORS) | (numeric & ~op.isin("IN", "NOT_IN", "EXISTS") & number.isNull())
+        return F.struct(
+            c["field"].alias("name"), field.alias("field"), op.alias("op"), c["expected"].alias("expected"), number.alias("number"), numeric.alias("numeric"),
+            (~field.isin([*NUMERIC_FIELDS, *TEXT_FIELDS])).alias("unknown"), broken.alias("broken"),
+            F.transform(F.split(c["expected"], ","), lambda x: F.trim(x)).alias("listed"),
+            F.coalesce(~F.lower(c["expected"]).isin("false", "0", ""), F.lit(True)).alias("wanted"))
+
+    return F.transform(conditions, ready)
+
+
 def evaluate_conditions(conditions: Column, numbers: Column, texts: Column) -> Column:
     """struct(status, field) of the first condition that does not pass, in declared order.
 
     conditions ARRAY<STRUCT<field, op, expected>>; numbers/texts are maps of the store's fields."""
+    return evaluate_prepared(prepare_conditions(conditions), numbers, texts)
+
 
+def evaluate_prepared(rules: Column, numbers: Column, texts: Column) -> Column:
     def judge(c: Column) -> Column:
-        field = F.regexp_replace(c["field"], "^(store_profile\\.|store\\.)", "")
-        op = F.upper(c["op"])
-        is_number = field.isin(NUMERIC_FIELDS)
-        number, text = F.try_element_at(numbers, field), F.try_element_at(texts, field)
-        missing = F.when(is_number, number.isNull()).otherwise(text.isNull())
-        expected = c["expected"].try_cast("double")
-        listed = F.transform(F.split(c["expected"], ","), lambda x: F.trim(x))
-        shown = F.when(is_number, F.regexp_replace(number.cast("string"), r"\.0$", "")).otherwise(text)
-        inside = F.array_contains(listed, shown)
-        wanted = F.coalesce(~F.lower(c["expected"]).isin("false", "0", ""), F.lit(True))
+        number, text = F.try_element_at(numbers, c["field"]), F.try_element_at(texts, c["field"])
+        missing = F.when(c["numeric"], number.isNull()).otherwise(text.isNull())
+        op = c["op"]
+        inside = F.array_contains(c["listed"], F.when(c["numeric"], F.regexp_replace(number.cast("string"), r"\.0$", "")).otherwise(text))
         pick = lambda a, b: (
             F.when(op == "EQ", a == b).when(op == "NE", a != b).when(op == "GE", a >= b).when(op == "GT", a > b).when(op == "LE", a <= b).when(op == "LT", a < b))
-        passed = F.when(op == "EXISTS", missing != wanted).when(op == "IN", inside).when(op == "NOT_IN", ~inside).when(is_number, pick(number, expected)).otherwise(pick(text, c["expected"]))
-        invalid = ~field.isin([*NUMERIC_FIELDS, *TEXT_FIELDS]) | ~op.isin(OPERATORS) | (is_number & ~op.isin("IN", "NOT_IN", "EXISTS") & ~missing & expected.isNull())
-        status = F.when(~field.isin([*NUMERIC_FIELDS, *TEXT_FIELDS]), "INVALID_RULE").when(missing & (op != "EXISTS"), "NEEDS_INFORMATION").when(invalid, "INVALID_RULE").when(
+        passed = F.when(op == "EXISTS", missing != c["wanted"]).when(op == "IN", inside).when(op == "NOT_IN", ~inside).when(
+            c["numeric"], pick(number, c["number"])).otherwise(pick(text, c["expected"]))
+        status = F.when(c["unknown"], "INVALID_RULE").when(missing & (op != "EXISTS"), "NEEDS_INFORMATION").when(c["broken"], "INVALID_RULE").when(
             F.coalesce(passed, F.lit(False)), "PASSED").otherwise("FAILED")
-        return F.struct(status.alias("status"), c["field"].alias("field"))
+        return F.struct(status.alias("status"), c["name"].alias("field"))
 
-    bad = F.filter(F.transform(conditions, judge), lambda x: x["status"] != "PASSED")
-    return F.get(bad, F.lit(0))
+    return F.get(F.filter(F.transform(rules, judge), lambda x: x["status"] != "PASSED"), F.lit(0))
+
+
+def prepare_policies(policies: DataFrame) -> DataFrame:
+    """Adds what eligibility needs of a policy alone: rules, region codes, trade lists."""
+    trade = lambda c: F.filter(c, lambda x: ~F.replace(F.lower(fold_space(x)), F.lit("_"), F.lit(" ")).isin(SIZE_WORDS))
+    return policies.withColumns({"rules": prepare_conditions(F.col("conditions")), "region_ids": region_ids(F.col("regions")),
+                                 "include": trade("include"), "exclude": trade("exclude")})
 
 
 def business_age_months(opened: Column, as_of: Column) -> Column:
@@ -290,14 +311,15 @@ def store_maps(as_of: Column) -> tuple[Column, Column]:
 def eligibility(pairs: DataFrame, as_of: Column) -> DataFrame:
     """First rule that decides each (store, policy) pair.
 
-    pairs carry the store's fields, and of the policy: validation_status, application_status,
-    budget_status, regions, include, exclude, conditions, app_start, app_end."""
+    pairs carry the store's fields, and of a policy out of `prepare_policies`: validation_status,
+    application_status, budget_status, regions, region_ids, include, exclude, rules, app_start,
+    app_end."""
     numbers, texts = store_maps(as_of)
-    pairs = pairs.select("*", F.explode(F.array(evaluate_conditions(F.col("conditions"), numbers, texts))).alias("_c"),
-                         ).withColumn("_region", regions_match(F.col("region_code"), F.col("regions")))
-    trade = lambda c: F.filter(c, lambda x: ~F.replace(F.lower(fold_space(x)), F.lit("_"), F.lit(" ")).isin(SIZE_WORDS))
-    shut_out = F.array_contains(trade("exclude"), F.col("business_type_code"))
-    left_out = (F.size(trade("include")) > 0) & ~F.array_contains(trade("include"), F.col("business_type_code"))
+    match = region_codes_match(region_id(F.col("region_code")), F.col("regions"), F.col("region_ids"))
+    pairs = pairs.select("*", F.explode(F.array(F.struct(evaluate_prepared(F.col("rules"), numbers, texts).alias("c"), match.alias("region")))).alias("_x"))
+    pairs = pairs.withColumns({"_c": F.col("_x.c"), "_region": F.col("_x.region")}).drop("_x")
+    shut_out = F.array_contains("exclude", F.col("business_type_code"))
+    left_out = (F.size("include") > 0) & ~F.array_contains("include", F.col("business_type_code"))
     out = lambda status, reason: F.struct(F.lit(status).alias("status"), reason.alias("reason"))
     say = lambda status, reason: out(status, F.lit(reason))
     rule = (

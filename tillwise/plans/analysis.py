@@ -50,10 +50,10 @@ def run_analysis(run_id: str, tables: dict[str, DataFrame], as_of: Column, forec
     gaps = lg.funding_gap(base, ["store_id"])
 
     judged = po.policy_status(tables["policies"], as_of)
-    pairs = po.salted_join(tables["found_policies"], judged, ["policy_id"], F.col("store_id"))
+    pairs = po.salted_join(tables["found_policies"], po.prepare_policies(judged), ["policy_id"], F.col("store_id"))
     pairs = po.salted_join(pairs, stores.select("store_id", "business_type_code", "region_code", "annual_revenue", "employee_count", "declared_revenue", "business_start_date"),
                            ["store_id"], F.col("policy_id"))
-    eligibility = keep("eligibility", lambda: po.eligibility(pairs, as_of).drop("conditions", "regions", "include", "exclude"))
+    eligibility = keep("eligibility", lambda: po.eligibility(pairs, as_of).drop("conditions", "rules", "regions", "region_ids", "include", "exclude"))
     benefits = keep("benefits", lambda: po.policy_benefit(
         eligibility.filter(F.col("status") == "ELIGIBLE_ON_DECLARED_RULES"), base, loans, gaps, horizon, forecast_start))
     delta = lg.layer_delta(ledger, LAYERS)

@@ -131,7 +131,7 @@ FROM (SELECT *, CASE WHEN region_ok IS NULL THEN 'NEEDS_INFORMATION' WHEN NOT re
 
 
 def pairs(spark, sf):
-    p = policies(spark, sf)
+    p = po.prepare_policies(policies(spark, sf))
     s = b.stores(spark, sf).select("store_id", "business_type_code", "region_code", "annual_revenue", "employee_count", "declared_revenue", "business_start_date")
     found = b.policy_pairs(spark, sf)
     return po.salted_join(po.salted_join(found, p, ["policy_id"], F.col("store_id")), s, ["store_id"], F.col("policy_id"))
@@ -146,7 +146,7 @@ def region_match(spark, sf):
 SELECT store_id, policy_id, CASE WHEN c1 <> 'PASSED' THEN c1 WHEN c2 <> 'PASSED' THEN c2 ELSE 'PASSED' END AS status, CASE WHEN c1 <> 'PASSED' THEN f1 WHEN c2 <> 'PASSED' THEN 'business_type_code' END AS field FROM pairs""", "pairs"))
 def eligibility_rules(spark, sf):
     numbers, texts = po.store_maps(b.as_of())
-    out = pairs(spark, sf).withColumn("c", po.evaluate_conditions(F.col("conditions"), numbers, texts))
+    out = pairs(spark, sf).withColumn("c", po.evaluate_prepared(F.col("rules"), numbers, texts))
     return out.select("store_id", "policy_id", F.coalesce("c.status", F.lit("PASSED")).alias("status"), F.col("c.field").alias("field"))
 
 
