@@ -83,6 +83,11 @@ def read_customs_xml(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", "item").schema(schema).load(path)
 
 
+def read_corpus(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Labelled or replay corpora: whole JSON documents under an explicit schema."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
 def customs_observations(rows: DataFrame) -> DataFrame:
     """Import value, weight and (for a positive weight) unit price per commodity and month."""
     number = lambda c: F.expr(f"try_cast(replace({c}, ',', '') AS double)")
