@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tillwise.llm import pieces, token_counts
-from tillwise.llm.common import session
+from tillwise.llm import packing, pieces, risk_rules, shards, token_counts, warc
+from tillwise.llm.common import new_path, session
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +37,27 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_pieces")
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op3_shards")
+def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.document_shards(table(spark, sf_dir, "documents"), 16)
+
+
+@query("op4_quality_rules")
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = risk_rules.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum")
+
+
+@query("op1_warc")
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path, "page_id", "url", "html")
+    return warc.read_archives(spark, path).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op7_packing")
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces_of = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 4096)
+    return packing.with_crc(pieces_of).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
