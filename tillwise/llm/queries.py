@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.llm import minhash, packing, pieces, risk_rules, shards, token_counts, warc
+from tillwise.llm import minhash, packing, pieces, risk_rules, shards, token_counts, vectors, warc
 from tillwise.llm.common import new_path, session
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,8 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_minhash_links")
 def op9_minhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words_each=3, percent=85)
+
+
+@query("op10_vector_links")
+def op10_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
