@@ -85,9 +85,10 @@ def slices(batch: pa.RecordBatch, column: str, budget: int = SLICE_BYTES) -> Ite
 
 
 class Words:
-    """The words of a column of texts as arrays: bytes, start and end of each word, row of each word."""
+    """The words of a column of texts as arrays: bytes, start and end of each word, row of each word.
+    `gap` marks the bytes that stand between words."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, gap: np.ndarray = _GAP):
         texts = texts.cast(pa.large_binary()) if not pa.types.is_large_binary(texts.type) else texts
         texts = texts.fill_null(b"")
         offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1]
@@ -95,7 +96,7 @@ class Words:
         whole = np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.zeros(0, dtype=np.uint8)
         self.data = whole[offsets[0]:offsets[-1]] if len(offsets) else whole[:0]
         self.bounds = (offsets - offsets[0]) if len(offsets) else np.zeros(1, dtype=np.int64)
-        solid = ~_GAP[self.data]
+        solid = ~gap[self.data]
         before = np.zeros(len(solid), dtype=bool)
         before[1:] = solid[:-1]
         edges = self.bounds[1:-1]
@@ -124,6 +125,17 @@ class Words:
         return mix(np.add.reduceat(value, at[:-1]) + size.astype(np.uint64))
 
 
+    def prefix_hashes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words of `size` bytes at least, and a hash of their first `size` bytes, A-Z folded."""
+        some = np.flatnonzero(self.end - self.start >= size)
+        code = np.zeros(len(some), dtype=np.uint64)
+        for i in range(size):
+            byte = self.data[self.start[some] + i]
+            byte = np.where((byte >= 65) & (byte <= 90), byte + 32, byte)
+            code = mix(code + _BYTE[byte] + np.uint64(size))
+        return some, code
+
+
 @functools.lru_cache(maxsize=4)
 def powers(n: int) -> np.ndarray:
     n = 1 << max(6, (n - 1).bit_length())

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.llm import minhash, packing, pieces, risk_rules, shards, token_counts, vectors, warc
+from tillwise.llm import minhash, packing, pieces, risk_rules, shards, substrings, token_counts, vectors, warc
 from tillwise.llm.common import new_path, session
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,8 @@ def op9_minhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_vector_links")
 def op10_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op2_repeats")
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), window=13)
