@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.llm import minhash, packing, pieces, risk_rules, shards, substrings, token_counts, vectors, warc
+import corpus_pipeline
+from tillwise.llm import minhash, packing, pieces, risk_rules, shards, substrings, token_counts, toxicity, vectors, warc
 from tillwise.llm.common import new_path, session
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +77,19 @@ def op10_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_repeats")
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), window=13)
+
+
+def toxicity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled categories in chain order: `junk` (low quality) comes first, as it may tell of `toxic`."""
+    return table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("junk"), "toxic")
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxicity(table(spark, sf_dir, "documents"), toxicity_labels(spark, sf_dir), ["junk", "toxic"], "toxic")
+    return scored.select("doc_id", "p_junk", "p_toxic", F.col("rejected").alias("toxic"), "kept")
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
