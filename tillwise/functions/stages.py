@@ -1,39 +1,50 @@
 """Intermediate tables in the cluster's shared checkpoint folder.
 
-A derived table that several branches of a plan read is written once and read back, so that
-its sources are scanned once and a lost executor costs no recomputation of them."""
+A derived table that several branches of one plan read is written once and read back, so that its sources
+are scanned once and a lost executor costs no recomputation of them. Nothing outlives the plan that is being
+built: another query or another run writes its own tables from its own inputs."""
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
+import contextvars
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-_WRITTEN: dict[tuple[str, str], tuple[str, object]] = {}
+_PLAN: contextvars.ContextVar[dict[str, DataFrame] | None] = contextvars.ContextVar("stages_of_the_plan", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where none is named, which a
-    cluster must not rely on."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a folder inside the warehouse, which
+    driver and executors share too."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
         spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    return folder.rstrip("/")
+
+
+@contextlib.contextmanager
+def one_plan() -> Iterator[None]:
+    """While a plan is built, a stage that several of its parts ask for is written once."""
+    token = _PLAN.set({})
+    try:
+        yield
+    finally:
+        _PLAN.reset(token)
 
 
 def staged(spark: SparkSession, key: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table `key`, written on first use within this application."""
-    slot = (spark.sparkContext.applicationId, key)
-    if slot not in _WRITTEN:
-        path = f"{shared_folder(spark)}/tillwise-{uuid.uuid4().hex}"
-        frame = build()
-        frame.write.parquet(path)
-        _WRITTEN[slot] = (path, frame.schema)
-    path, schema = _WRITTEN[slot]
-    return spark.read.schema(schema).parquet(path)
+    """The table `key` of the plan in hand, written on first use."""
+    known = _PLAN.get()
+    if known is not None and key in known:
+        return known[key]
+    frame = build()
+    path = f"{shared_folder(spark)}/tillwise-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    table = spark.read.schema(frame.schema).parquet(path)
+    if known is not None:
+        known[key] = table
+    return table

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.functions.core import month_scaffold
-from tillwise.functions.stages import staged
+from tillwise.functions.stages import one_plan, staged
 from tillwise.operators import events as ev
 from tillwise.operators import forecast as fc
 from tillwise.operators import ledger as lg
@@ -20,7 +20,13 @@ LAYERS = [("TREND", "OFFICIAL"), ("OFFICIAL", "LOW_IMPACT"), ("OFFICIAL", "HIGH_
 def run_analysis(run_id: str, tables: dict[str, DataFrame], as_of: Column, forecast_start: Column, forecast_end: Column, horizon: int) -> dict[str, DataFrame]:
     """tables: stores, history, loans, observations, events, found_events, policies, found_policies,
     and optionally decisions (bridging events) and fixed_cost_overrides. Returns one DataFrame per
-    result table. Stages that several results read are written once under the run's id."""
+    result table. Stages that several results read are written once in each call; a later call with the
+    same run id reads its own tables."""
+    with one_plan():
+        return _analyse(run_id, tables, as_of, forecast_start, forecast_end, horizon)
+
+
+def _analyse(run_id: str, tables: dict[str, DataFrame], as_of: Column, forecast_start: Column, forecast_end: Column, horizon: int) -> dict[str, DataFrame]:
     stores, history, loans = tables["stores"], tables["history"], tables["loans"]
     spark = stores.sparkSession
     keep = lambda name, build: staged(spark, f"{run_id}:{name}", build)

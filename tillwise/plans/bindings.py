@@ -39,14 +39,20 @@ def cents(c: str) -> Column:
 
 
 def store_count(spark: SparkSession, sf_dir: str) -> Column:
-    return table(spark, sf_dir, "supplier").agg(F.count("*")).scalar()
+    return table(spark, sf_dir, "supplier").agg(2 * F.count("*")).scalar()
+
+
+def store_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two stores for each supplier: 2k + 1 has its latest ledger months, 2k all earlier ones."""
+    both = F.explode(F.array(F.lit(0), F.lit(1)))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", both.alias("_part")).select((2 * F.col("s_suppkey") + F.col("_part")).alias("store_key"), "s_acctbal")
 
 
 # ---- stores and monthly ledger -------------------------------------------------------------
 
 def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("s_suppkey")
-    return table(spark, sf_dir, "supplier").select(
+    k = F.col("store_key")
+    return store_keys(spark, sf_dir).select(
         k.alias("store_id"),
         F.element_at(F.array(*[F.lit(x) for x in ("FNB_CAFE", "FNB_RESTAURANT", "FNB_BAKERY", "RETAIL")]),
                      (k % 4 + 1).cast("int")).alias("business_type_code"),
@@ -64,18 +70,19 @@ def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+cte("store_keys", "SELECT 2 * s_suppkey + part AS store_key, s_acctbal FROM supplier, (VALUES (0), (1)) v(part)")
 cte("stores", """
-SELECT s_suppkey AS store_id,
-  CASE s_suppkey % 4 WHEN 0 THEN 'FNB_CAFE' WHEN 1 THEN 'FNB_RESTAURANT' WHEN 2 THEN 'FNB_BAKERY' ELSE 'RETAIL' END AS business_type_code,
-  'KR-' || CAST(s_suppkey % 25 + 10 AS VARCHAR) AS region_code,
-  37.45::DOUBLE + ((s_suppkey * 37) % 1000) / 10000.0::DOUBLE AS lat, 126.95::DOUBLE + ((s_suppkey * 91) % 1000) / 10000.0::DOUBLE AS lon,
+SELECT store_key AS store_id,
+  CASE store_key % 4 WHEN 0 THEN 'FNB_CAFE' WHEN 1 THEN 'FNB_RESTAURANT' WHEN 2 THEN 'FNB_BAKERY' ELSE 'RETAIL' END AS business_type_code,
+  'KR-' || CAST(store_key % 25 + 10 AS VARCHAR) AS region_code,
+  37.45::DOUBLE + ((store_key * 37) % 1000) / 10000.0::DOUBLE AS lat, 126.95::DOUBLE + ((store_key * 91) % 1000) / 10000.0::DOUBLE AS lon,
   300000.0::DOUBLE + 50.0::DOUBLE * s_acctbal AS current_cash, 100000.0::DOUBLE AS min_cash,
-  CASE WHEN s_suppkey % 10 = 5 THEN 500000.0::DOUBLE END AS declared_revenue,
-  (s_suppkey % 10) / 10.0::DOUBLE AS imported_share, (s_suppkey % 3) * 0.35::DOUBLE AS variable_debt_share,
+  CASE WHEN store_key % 10 = 5 THEN 500000.0::DOUBLE END AS declared_revenue,
+  (store_key % 10) / 10.0::DOUBLE AS imported_share, (store_key % 3) * 0.35::DOUBLE AS variable_debt_share,
   s_acctbal * 120.0::DOUBLE AS annual_revenue,
-  CASE WHEN s_suppkey % 9 <> 0 THEN s_suppkey % 20 END AS employee_count,
-  DATE '1990-01-01' + CAST((s_suppkey * 37) % 3000 AS INTEGER) AS business_start_date
-FROM supplier""")
+  CASE WHEN store_key % 9 <> 0 THEN store_key % 20 END AS employee_count,
+  DATE '1990-01-01' + CAST((store_key * 37) % 3000 AS INTEGER) AS business_start_date
+FROM store_keys""", "store_keys")
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +91,8 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def derive_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The number of months kept differs by store so that every history bucket occurs."""
+    """Every ledger month belongs to one history: a supplier's latest 3 to 42 months are one store's, so that
+    every history length occurs, and all earlier ones another's."""
     li = table(spark, sf_dir, "lineitem").filter(F.col("l_shipdate") < F.lit(START).cast("timestamp"))
     disc = cents("l_discount")
     monthly = li.select(
@@ -96,7 +104,8 @@ def derive_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("tx_count"))
     latest = Window.partitionBy("store_id").orderBy(F.col("month").desc())
     keep = F.element_at(F.array(*[F.lit(x) for x in (3, 10, 14, 24, 42)]), (F.col("store_id") % 5 + 1).cast("int"))
-    kept = monthly.withColumn("_n", F.row_number().over(latest)).filter(F.col("_n") <= keep)
+    recent = F.row_number().over(latest) <= keep
+    kept = monthly.withColumn("_part", recent.cast("int")).withColumn("store_id", 2 * F.col("store_id") + F.col("_part"))
     k = F.col("store_id")
     revenue = F.col("net").cast("double") / 10000.0
     return kept.select(
@@ -123,8 +132,8 @@ SELECT store_id, month, net::DOUBLE / 10000.0::DOUBLE AS revenue,
   off_::DOUBLE / 10000.0::DOUBLE AS platform_fee, 0.5::DOUBLE * (taxed::DOUBLE / 10000.0::DOUBLE) AS payment_fee,
   60000.0::DOUBLE + (store_id % 10) * 25000.0::DOUBLE AS rent, 40000.0::DOUBLE AS labor, 15000.0::DOUBLE AS utilities,
   5000.0::DOUBLE AS other, 2000.0::DOUBLE + (store_id % 7) * 500.0::DOUBLE AS tax, (store_id % 4) * 1000.0::DOUBLE AS capex, tx_count
-FROM (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY month DESC) AS rn FROM ledger_months)
-WHERE rn <= CASE store_id % 5 WHEN 0 THEN 3 WHEN 1 THEN 10 WHEN 2 THEN 14 WHEN 3 THEN 24 ELSE 42 END""", "ledger_months")
+FROM (SELECT * REPLACE (2 * store_id + CAST(rn <= CASE store_id % 5 WHEN 0 THEN 3 WHEN 1 THEN 10 WHEN 2 THEN 14 WHEN 3 THEN 24 ELSE 42 END AS INTEGER) AS store_id)
+      FROM (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY month DESC) AS rn FROM ledger_months))""", "ledger_months")
 cte("last_month", """
 SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY month DESC) AS rn FROM history) WHERE rn = 1""",
     "history")
@@ -132,8 +141,8 @@ SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY store_id O
 
 def overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixed-cost overrides, two entries per store and month so that the later one must win."""
-    rows = table(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias("store_id"), F.explode(F.sequence(F.lit(0), F.lit(1))).alias("seq"))
+    rows = store_keys(spark, sf_dir).select(
+        F.col("store_key").alias("store_id"), F.explode(F.sequence(F.lit(0), F.lit(1))).alias("seq"))
     k = F.col("store_id")
     return rows.select(
         "store_id", "seq", F.add_months(start(), (k % 6).cast("int")).alias("month"),
@@ -142,10 +151,10 @@ def overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 cte("overrides", """
-SELECT s_suppkey AS store_id, seq, CAST(DATE '2001-09-01' + to_months(CAST(s_suppkey % 6 AS INTEGER)) AS DATE) AS month,
-  CASE WHEN s_suppkey % 2 = 0 THEN 'rent' ELSE 'labor' END AS category,
-  30000.0::DOUBLE + 1000.0::DOUBLE * (s_suppkey % 11) + 500.0::DOUBLE * seq AS amount
-FROM supplier, (VALUES (0), (1)) v(seq)""")
+SELECT store_key AS store_id, seq, CAST(DATE '2001-09-01' + to_months(CAST(store_key % 6 AS INTEGER)) AS DATE) AS month,
+  CASE WHEN store_key % 2 = 0 THEN 'rent' ELSE 'labor' END AS category,
+  30000.0::DOUBLE + 1000.0::DOUBLE * (store_key % 11) + 500.0::DOUBLE * seq AS amount
+FROM store_keys, (VALUES (0), (1)) v(seq)""", "store_keys")
 
 
 # ---- loans ---------------------------------------------------------------------------------
@@ -168,7 +177,7 @@ def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 cte("loans", """
-SELECT o_orderkey % (SELECT count(*) FROM supplier) AS store_id, o_orderkey AS loan_id, o_totalprice * 0.010314159265::DOUBLE AS principal,
+SELECT o_orderkey % (SELECT 2 * count(*) FROM supplier) AS store_id, o_orderkey AS loan_id, o_totalprice * 0.010314159265::DOUBLE AS principal,
   0.03::DOUBLE + (o_orderkey % 7) / 100.0::DOUBLE AS annual_rate,
   CASE WHEN o_orderstatus IN ('P','O') THEN 'VARIABLE' ELSE 'FIXED' END AS rate_type,
   CASE o_orderkey % 4 WHEN 0 THEN 'BULLET' WHEN 1 THEN 'EQUAL_PRINCIPAL' WHEN 2 THEN 'AMORTIZING' ELSE 'CUSTOM_SCHEDULE' END AS repayment_type,
@@ -344,10 +353,10 @@ JOIN registry r USING (event_type)""", "registry")
 
 def found_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which notices a store's research found: the store sold an item of that order."""
-    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("store_id"), F.col("l_orderkey").alias("event_id")).distinct()
+    return table(spark, sf_dir, "lineitem").select((2 * F.col("l_suppkey") + 1).alias("store_id"), F.col("l_orderkey").alias("event_id")).distinct()
 
 
-cte("found_by", "SELECT DISTINCT l_suppkey AS store_id, l_orderkey AS event_id FROM lineitem")
+cte("found_by", "SELECT DISTINCT 2 * l_suppkey + 1 AS store_id, l_orderkey AS event_id FROM lineitem")
 
 
 def signal_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -404,7 +413,7 @@ FROM (SELECT *, p_partkey AS k FROM part)""")
 
 def policy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which policies a store's research found: the store sold that part."""
-    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("store_id"), F.col("l_partkey").alias("policy_id")).distinct()
+    return table(spark, sf_dir, "lineitem").select((2 * F.col("l_suppkey") + 1).alias("store_id"), F.col("l_partkey").alias("policy_id")).distinct()
 
 
-cte("policy_pairs", "SELECT DISTINCT l_suppkey AS store_id, l_partkey AS policy_id FROM lineitem")
+cte("policy_pairs", "SELECT DISTINCT 2 * l_suppkey + 1 AS store_id, l_partkey AS policy_id FROM lineitem")

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tillwise.functions.stages import one_plan
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 CTES: dict[str, tuple[list[str], str]] = {}
@@ -28,7 +30,8 @@ def configure(spark: SparkSession) -> SparkSession:
 def query(name: str, oracle: str | None = None):
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(configure(spark), sf_dir)
+            with one_plan():
+                return fn(configure(spark), sf_dir)
 
         QUERIES[name] = run
         if oracle:

@@ -63,7 +63,7 @@ def event_schema_check(spark, sf):
 cte("candidates", f"""
 SELECT n.*, CASE WHEN event_id % 31 = 0 THEN 'WRONG' ELSE family END AS c_family, CASE WHEN event_id % 37 = 0 THEN 'PLATFORM_COST' ELSE axis END AS c_axis,
   CASE WHEN event_id % 41 = 0 THEN 'WRONG' ELSE mechanism END AS c_mechanism, event_id % 29 <> 0 AS has_attributes,
-  event_id % (SELECT count(*) FROM supplier) AS store_id
+  event_id % (SELECT 2 * count(*) FROM supplier) AS store_id
 FROM notices n""", "notices")
 REGISTRY_CODES = present(
     ("c_family <> family", "ENUM_NOT_ALLOWED"), ("c_axis <> axis", "DIRECTION_MECHANISM_NOT_ALLOWED"), ("c_mechanism <> mechanism", "MECHANISM_NOT_SUPPORTED"),
