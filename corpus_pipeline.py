@@ -38,11 +38,12 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier document has; a document of which nothing is left goes."""
     session(spark)
     cut = substrings.remove_repeats(docs, window=PASSAGE_WORDS, keep_text=True).where("n_removed > 0 and doc_id is not null")
-    cut = written(cut.select("doc_id", "kept_text", (F.col("n_words") > F.col("n_removed")).alias("_some")), "passages-cut").dropDuplicates(["doc_id"])
-    joined = docs.join(cut, "doc_id", "left").where(F.coalesce("_some", F.lit(True)))
-    changed = F.col("kept_text").isNotNull()
-    columns = {"text": F.coalesce("kept_text", "text"), "n_chars": F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
-    return joined.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns])
+    cut = written(cut.select("doc_id", "kept_text", (F.col("n_words") > F.col("n_removed")).alias("some")), "passages-cut").dropDuplicates(["doc_id"])
+    # aliases keep columns apart that a table may have under the same names
+    joined = docs.alias("d").join(cut.alias("c"), F.col("d.doc_id") == F.col("c.doc_id"), "left").where(F.coalesce("c.some", F.lit(True)))
+    changed = F.col("c.kept_text").isNotNull()
+    columns = {"text": F.coalesce("c.kept_text", "d.text"), "n_chars": F.when(changed, F.length("c.kept_text").cast("long")).otherwise(F.col("d.n_chars"))}
+    return joined.select(*[columns[c].alias(c) if c in columns else F.col(f"d.`{c}`") for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,8 @@ from tillwise.llm.common import Words, mix, slices, text_or_empty, written
 SAMPLE = 20_000
 #: features for each category, texts that must hold one, and folds
 FEATURES, SUPPORT, FOLDS = 2048, 8, 5
+#: least log odds ratio of a feature, in standard errors
+LEAST_Z = 2.5
 #: byte lengths of the word beginnings that are features beside whole words
 PREFIXES = (4, 5, 6)
 
@@ -39,7 +41,7 @@ def text_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return row[new], code[new]
 
 
-def fit_linear(rows: np.ndarray, columns: np.ndarray, extra: np.ndarray, target: np.ndarray, width: int, ridge: float = 1e-4,
+def fit_linear(rows: np.ndarray, columns: np.ndarray, extra: np.ndarray, target: np.ndarray, width: int, ridge: float = 2e-4,
                rounds: int = 300) -> np.ndarray:
     """Logistic regression by gradient steps with momentum over sparse 0/1 features (rows, columns) and dense
     `extra` columns. Returns width + extra + 1 weights; the last is the constant."""
@@ -91,7 +93,7 @@ def fit_chain(df: DataFrame, labels: DataFrame, categories: list[str], id_col: s
     """Fit the chain on at most `sample` labelled rows of `df`. `labels` has the id and a 0/1 column for each
     category; a row with a null label is not used, of repeated ids one row is.
 
-    Features are counted by Spark and the strongest for each category kept (log odds, weighed by support).
+    Features are counted by Spark and the strongest for each category kept (log odds ratio in standard errors).
     Each later category sees the earlier ones' probabilities as its own scoring will: for training rows they
     come from models that did not see the row's fold."""
     seen = labels.where(F.col(id_col).isNotNull()).dropna(subset=categories).groupBy(F.col(id_col).cast("long").alias("id")).agg(
@@ -119,8 +121,9 @@ def fit_chain(df: DataFrame, labels: DataFrame, categories: list[str], id_col: s
     for k in range(n_cats):
         yes = F.log((F.col(f"y{k}") + 0.5) / (F.lit(float(totals[f"y{k}"] or 0)) + 1.0))
         no = F.log((F.col("n") - F.col(f"y{k}") + 0.5) / (F.lit(float(totals["n"] - (totals[f"y{k}"] or 0))) + 1.0))
-        strength = F.abs(yes - no) * F.sqrt("n")
-        top = counted.orderBy(F.desc(strength), "f").limit(FEATURES).select("f").toArrow().column("f")
+        # log odds ratio over its standard error; weak ones would only be fitted to chance
+        strength = F.abs(yes - no) / F.sqrt(1 / (F.col(f"y{k}") + 0.5) + 1 / (F.col("n") - F.col(f"y{k}") + 0.5))
+        top = counted.where(strength >= LEAST_Z).orderBy(F.desc(strength), "f").limit(FEATURES).select("f").toArrow().column("f")
         chosen.append(np.sort(np.asarray(top.combine_chunks() if hasattr(top, "combine_chunks") else top).astype(np.int64).view(np.uint64)))
     union = np.unique(np.concatenate(chosen))
 
@@ -186,7 +189,7 @@ def toxicity_scores(df: DataFrame, chain: list[Link], id_col: str = "doc_id", te
     return _rows(df, id_col, text_col).mapInArrow(run, "id long, " + ", ".join(f"`{n}` double" for n in names)).withColumnRenamed("id", id_col)
 
 
-def toxicity(df: DataFrame, labels: DataFrame, categories: list[str], reject: str, least: float = 0.5, id_col: str = "doc_id",
+def toxicity(df: DataFrame, labels: DataFrame, categories: list[str], reject: str, least: float = 0.2, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
     """(id, p_<category>..., rejected, kept): rows whose probability of the category `reject` is `least` or
     more are rejected.

@@ -119,7 +119,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for value in batch.column("content"):
                 rows = []
-                for f in parse_archive(zlib.decompress(value.as_buffer(), 31)):
+                packed = value.as_buffer()
+                for f in parse_archive(zlib.decompress(packed, 31) if packed.size else b""):
                     digest, size = f["warc-payload-digest"].removeprefix("sha1:"), int(f["x-payload-length"])
                     if "payload" in f and (len(f["payload"]) != size or hashlib.sha1(f["payload"]).hexdigest() != digest):
                         raise ValueError(f"payload of {f['warc-record-id']} does not agree with its header")
