@@ -51,6 +51,7 @@ def test_reconcile_equals_the_sequential_fold(spark):
     rng = random.Random(11)
     rows = [(i, f"F{rng.randint(0, 25)}", dt.date(2026, 1, rng.randint(1, 3)), rng.choice(["a", "b"]), rng.choice(list(TIER_RANK)), False) for i in range(400)]
     rows += [(1000 + i, "BOK", dt.date(2026, 2, i % 5 + 1), "x", rng.choice(list(TIER_RANK)), True) for i in range(20)]
+    rows += [(2000 + i, f"M{i % 9}", dt.date(2026, 3, rng.randint(1, 2)), "y", rng.choice(list(TIER_RANK)), rng.random() < 0.5) for i in range(120)]
     df = spark.createDataFrame(rows, "event_id int, fingerprint string, start_date date, address string, source_tier string, exempt boolean").withColumn("end_date", F.lit(None).cast("date"))
     got = {r.event_id: (r.status, r.code) for r in ev.reconcile(df).collect()}
     want = {}
@@ -138,5 +139,22 @@ def test_sliding_counts_equal_brute_force(spark):
 
 def test_percentile_takes_the_lower_index(spark):
     df = spark.createDataFrame([("m", i, float(i)) for i in range(1, 11)], "k string, ts int, value double")
-    r = mt.latency_percentiles(df, "k", ["ts"]).first()
+    r = mt.latency_percentiles(df, "k").first()
     assert (r.p50, r.p95) == (5.0, 9.0)
+
+
+def test_percentiles_take_all_samples(spark):
+    rng = random.Random(3)
+    rows = [(k, float(rng.choice([0, 1, 2, 5, 80, -3, 1000, rng.randint(0, 9999)]))) for k in "ab" for _ in range(2500)] + [("a", None)]
+    got = {r.k: r for r in mt.latency_percentiles(spark.createDataFrame(rows, "k string, value double"), "k").collect()}
+    for k in "ab":
+        v = sorted(x for key, x in rows if key == k and x is not None)
+        assert (got[k].sample_count, got[k].p50, got[k].p95) == (2500, v[int(2499 * 0.5)], v[int(2499 * 0.95)])
+
+
+def test_blank_official_value_passes(spark):
+    rows = spark.createDataFrame([(1, None, None), (2, "", None), (3, "n/a", None), (4, None, "%")], "id int, new_raw string, unit_raw string").withColumns(
+        {"event_type": F.lit("BASE_RATE_INCREASE"), "old_raw": F.lit(None).cast("string")})
+    got = {r.id: r.status for r in ev.value_direction(rows).collect()}
+    assert got == {1: "OK", 2: "OK", 3: "OFFICIAL_NUMERIC_UNIT_INVALID", 4: "OFFICIAL_NUMERIC_UNIT_INVALID"}
+    assert [r.status for r in ev.value_direction(rows.drop("unit_raw").filter("id < 4")).orderBy("id").collect()] == ["OK", "OK", "OFFICIAL_NUMERIC_UNIT_INVALID"]

@@ -116,3 +116,13 @@ def test_ledger_is_continuous(spark):
 def test_won_rounds_half_away(spark):
     r = spark.range(1).select(whole_won(F.lit(2.5)).alias("a"), whole_won(F.lit(-2.5)).alias("b")).first()
     assert (int(r.a), int(r.b)) == (3, -3)
+
+
+def test_month_without_adjustment_is_neutral(spark):
+    start = F.lit("2026-09-01").cast("date")
+    runs = spark.createDataFrame([(1, "BASE", dt.date(2026, m, 1), 2.0, 1.0, 1.0, 0.01) for m in (9, 11)],
+                                 "store_id int, scenario string, month date, revenue_multiplier double, variable_cost_multiplier double, fixed_cost_multiplier double, rate_delta double")
+    got = {r.month.month: (r.revenue_multiplier, r.rate_delta) for r in lg.every_month(runs, ["store_id", "scenario"], 4, start).collect()}
+    assert got == {9: (2.0, 0.01), 10: (1.0, 0.0), 11: (2.0, 0.01), 12: (1.0, 0.0)}
+    with pytest.raises(Exception, match="(?i)duplicate"):
+        lg.every_month(runs.unionByName(runs), ["store_id", "scenario"], 4, start).collect()

@@ -1,3 +1,4 @@
+import datetime as dt
 import random
 
 from pyspark.sql import functions as F
@@ -61,3 +62,13 @@ def test_differing_validations_leave_a_conflict(spark):
     out = {r.group_id: r for r in po.merge_policies(df, groups, "policy_id", ["a"], [F.size("failure_codes")]).collect()}
     assert (out[1].validation_status, out[1].failure_codes, out[1].a, out[1].primary_id) == ("CONFLICTED", "SOURCE_CONFLICT,X", "9", 1)
     assert (out[3].validation_status, out[3].members) == ("VALIDATED", 1)
+
+
+def test_rules_on_large_numbers_and_optional_fields(spark):
+    rule = lambda field, op, expected: F.array(F.struct(F.lit(field).alias("field"), F.lit(op).alias("op"), F.lit(expected).alias("expected")))
+    store = spark.createDataFrame([(1, "CAFE", dt.date(2020, 1, 1), 5.0e7, 3, None, 40, "A")],
+                                  "store_id int, business_type_code string, business_start_date date, annual_revenue double, employee_count int, declared_revenue double, owner_age int, credit_band string")
+    numbers, texts = po.store_maps(F.lit("2026-01-01").cast("date"), store.columns)
+    judge = lambda *r: store.select(po.evaluate_conditions(rule(*r), numbers, texts).alias("x")).first().x
+    assert judge("annual_revenue", "IN", "50000000, 7") is None and judge("annual_revenue", "NOT_IN", "50000000").status == "FAILED"
+    assert judge("owner_age", "GE", "39") is None and judge("credit_band", "EQ", "B").status == "FAILED"

@@ -92,3 +92,23 @@ def test_customs_xml(spark, tmp_path):
 def test_failure_codes(spark):
     df = spark.createDataFrame([(401, "ok"), (429, "ok"), (500, "ok"), (200, "malformed"), (200, "ok")], "s int, o string")
     assert [r[0] for r in df.select(provider_failure_code(F.col("s"), F.col("o"))).collect()] == ["AUTHENTICATION_FAILED", "RATE_LIMITED", "HTTP_500", "MALFORMED_RESPONSE", None]
+
+
+def test_detail_pages_are_no_lists(spark):
+    menu = "\n".join(["home"] * 40)
+    rows = spark.createDataFrame([(1, "EVENT_DETAIL_PAGE"), (2, "UNKNOWN")], "id int, page_type string").withColumns({
+        "url": F.lit("https://c.go.kr/"), "title": F.lit("Festival"), "body": F.lit(menu), "query_terms": F.array().cast("array<string>"), "published": F.lit(None).cast("date"),
+        "trust": F.lit("OFFICIAL_TRUSTED"), "injected": F.lit(False), "detail_links": F.lit(0), "attachments": F.lit(0), "traversable": F.lit(False)})
+    got = {r.id: (r.disposition, r.reason_codes) for r in dc.quality_gate(rows, F.lit("2026-08-01").cast("date")).collect()}
+    assert got[1] == ("EXTRACT", []) and got[2][0] == "REFERENCE_ONLY" and "NAVIGATION_OR_LIST_PAGE" in got[2][1]
+
+
+def test_no_link_or_row_is_cut_off(spark):
+    items = "".join(f"<li>Street festival number {i} on 2026-08-09 <a href='/event/{i}'>go</a></li>" for i in range(80)) + "<li>Exam of 2026 and training here <a href='/event/exam'>x</a></li>"
+    df = spark.createDataFrame([(1, "https://c.go.kr/list/", f"<html><body><main><ul>{items}</ul></main></body></html>")], "page_id bigint, url string, html string")
+    parsed = dc.extract_pages(df)
+    r = dc.page_links(parsed).first()
+    assert len(r.detail_urls) == 81 and len(r.event_rows) >= 80
+    got = dc.detail_targets(parsed, F.lit(2026), 6).collect()
+    assert len(got) == 81 and sum(x.reason == "DETAIL_BUDGET_EXHAUSTED" for x in got) == 74
+    assert [(x.rank, x.reason) for x in got if x.target.endswith("exam")] == [(None, "LOCAL_IRRELEVANT_NOTICE")]

@@ -16,8 +16,7 @@ MONTHS = {m: i + 1 for i, m in enumerate(
 REPORT_WORDS = r"(?i)report(?:ing)?\s+period|fiscal\s+year|\bfy\b|report|보고서|기준년도"
 PUBLISHED_WORDS = r"(?i)published|publication date|게재일|발행일|작성일"
 YEAR = r"\b(19[0-9]{2}|20[0-9]{2})\b"
-YEAR_WINDOW = 48
-HEADER_CHARS = 2500
+YEAR_WINDOW = 48  # proximity rule: a word this near to a year names it
 
 
 def safe_date(year: Column, month: Column, day: Column) -> Column:
@@ -70,11 +69,10 @@ def anchored_year(text: Column, words: str) -> Column:
 
 def anchored_month(raw: Column, title: Column, body: Column, published: Column) -> Column:
     """struct(date, source): a bare month dated by the document's own year, else NULLs."""
-    header = F.substring(body, 1, HEADER_CHARS)
     choices = [
         (anchored_year(title, REPORT_WORDS), "DOCUMENT_TITLE_REPORT_PERIOD"),
-        (anchored_year(header, REPORT_WORDS), "DOCUMENT_HEADER_REPORT_PERIOD"),
-        (anchored_year(header, PUBLISHED_WORDS), "DOCUMENT_BODY_PUBLICATION_DATE"),
+        (anchored_year(body, REPORT_WORDS), "DOCUMENT_HEADER_REPORT_PERIOD"),
+        (anchored_year(body, PUBLISHED_WORDS), "DOCUMENT_BODY_PUBLICATION_DATE"),
         (F.year(published), "SOURCE_DOCUMENT_PUBLISHED_AT"),
     ]
     pick = F.coalesce(*[F.when(y.isNotNull(), F.struct(y.alias("year"), F.lit(s).alias("source"))) for y, s in choices])

@@ -98,6 +98,6 @@ def venue_forms(value: Column, areas: Column, context: Column | None = None) ->
     forms = F.concat(F.array(cleaned, core), with_area)
     if context is not None:
         text = normalize_venue(context)
-        forms = F.concat(forms, F.when(text != "", F.array(F.concat(core, F.lit(" "), F.substring(text, 1, 80))))
+        forms = F.concat(forms, F.when(text != "", F.array(F.concat(core, F.lit(" "), text)))
                          .otherwise(F.array().cast("array<string>")))
     return F.array_distinct(F.filter(forms, lambda x: x != ""))

@@ -256,21 +256,19 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInPandas(_parse, PAGE_SCHEMA)
 
 
-# Limits of links and rows kept per page, link and row patterns.
-MAX_LINKS, MAX_ATTACHMENTS, MAX_ROWS = 50, 20, 50
+# Link and row patterns.
 ATTACHMENT = r"(?i)\.(?:pdf|hwp|hwpx|txt)(?:$|[?#])"
 DETAIL = r"(?i)view\.do|detail|board|notice|event|festival"
 ROW_DATE = r"20[0-9]{2}|[0-9]{1,2}[./-][0-9]{1,2}"
 
 
 def page_links(extracted: DataFrame, detail_pattern: str = DETAIL) -> DataFrame:
-    """Adds detail_urls, attachment_urls and event_rows, with the page limits of the feed."""
+    """Adds all detail_urls, attachment_urls and event_rows of the page."""
     hrefs = F.transform("links", lambda x: x["href"])
     attachments = F.array_distinct(F.filter(hrefs, lambda h: h.rlike(ATTACHMENT)))
     details = F.array_distinct(F.filter(hrefs, lambda h: ~h.rlike(ATTACHMENT) & h.rlike(detail_pattern)))
     rows = F.filter("rows", lambda r: (F.length(r["text"]) >= 20) & r["text"].rlike(ROW_DATE))
-    return extracted.withColumns({"detail_urls": F.slice(details, 1, MAX_LINKS), "attachment_urls": F.slice(attachments, 1, MAX_ATTACHMENTS),
-                                  "event_rows": F.slice(rows, 1, MAX_ROWS)})
+    return extracted.withColumns({"detail_urls": details, "attachment_urls": attachments, "event_rows": rows})
 
 
 def absolute_url(base: Column, href: Column) -> Column:
@@ -283,12 +281,14 @@ def absolute_url(base: Column, href: Column) -> Column:
 
 
 # Quality gate constants.
-STALE_DAYS, NAVIGATION_LIMIT, SHORT_TEXT, LIST_TEXT, MAX_INPUT = 550, 0.66, 80, 2000, 30_000
+DETAIL_TYPES = ["EVENT_DETAIL_PAGE", "LOCAL_NOTICE_DETAIL", "EVENT_ATTACHMENT"]
+STALE_DAYS, NAVIGATION_LIMIT, SHORT_TEXT, LIST_TEXT = 550, 0.66, 80, 2000
 
 
 def quality_gate(rows: DataFrame, as_of: Column) -> DataFrame:
     """rows(url, title, body, query_terms, published, trust, injected, detail_links, attachments,
-    traversable) with reasons, disposition, score, priority and whether the input is truncated."""
+    traversable, and optionally page_type) with reasons, disposition, score and priority. Detail pages
+    and attachments are no lists, whatever their size and menu."""
     body = F.trim("body")
     size = F.length(body)
     rows = rows.withColumn("navigation_ratio", navigation_ratio(body))
@@ -298,7 +298,8 @@ def quality_gate(rows: DataFrame, as_of: Column) -> DataFrame:
     specific = (path != "") & ~path.isin("index.do", "main.do", "index.html") & ~F.lower("title").rlike(LIST_MARKERS)
     trusted = F.col("trust") == "OFFICIAL_TRUSTED"
     nav = F.col("navigation_ratio")
-    listing = ~F.col("traversable")
+    exempt = F.coalesce(F.col("page_type").isin(DETAIL_TYPES), F.lit(False)) if "page_type" in rows.columns else F.lit(False)
+    listing = ~F.col("traversable") & ~exempt
     list_page = listing & ~specific & (size < LIST_TEXT)
     reasons = codes(
         (listing & (size < SHORT_TEXT), "INSUFFICIENT_CONTENT"), (listing & (nav >= NAVIGATION_LIMIT), "NAVIGATION_ONLY"),
@@ -306,7 +307,7 @@ def quality_gate(rows: DataFrame, as_of: Column) -> DataFrame:
         (F.datediff(as_of, "published") > STALE_DAYS, "STALE_SOURCE"), (~trusted, "UNVERIFIED_SOURCE_TIER"))
     rows = rows.withColumns({"body_characters": size, "query_term_matches": matches, "reasons": reasons})
     has = lambda c: F.array_contains("reasons", c)
-    substantive = (F.col("body_characters") >= SHORT_TEXT) & (nav < NAVIGATION_LIMIT) & ~has("NAVIGATION_OR_LIST_PAGE")
+    substantive = (F.col("body_characters") >= SHORT_TEXT) & ((nav < NAVIGATION_LIMIT) | exempt) & ~has("NAVIGATION_OR_LIST_PAGE")
     route = (
         F.when((F.col("body_characters") == 0) | F.col("injected"), "REJECT").when(F.col("traversable"), "TRAVERSE_LIST")
         .when((F.col("detail_links") > 0) & substantive, "EXTRACT_AND_TRAVERSE").when(F.col("detail_links") > 0, "ROUTE_TO_DETAIL")
@@ -317,11 +318,10 @@ def quality_gate(rows: DataFrame, as_of: Column) -> DataFrame:
     rows = rows.select("*", F.explode(F.array(route)).alias("disposition"))
     usable = F.col("disposition").isin("EXTRACT", "EXTRACT_AND_TRAVERSE")
     score = F.greatest(F.lit(0), 100 - F.floor(nav * 40) - F.when(has("UNVERIFIED_SOURCE_TIER"), 25).otherwise(0))
-    truncated = usable & (F.col("body_characters") > MAX_INPUT)
     return rows.withColumns({
-        "usable": usable, "truncated": truncated, "quality_score": score.cast("double"),
+        "usable": usable, "quality_score": score.cast("double"),
         "priority": F.when(F.col("disposition") == "EXTRACT", 100).when(F.col("disposition") == "LOW_PRIORITY_EXTRACT", 70).otherwise(40),
-        "reason_codes": F.when(truncated, F.concat("reasons", F.array(F.lit("INPUT_TRUNCATED")))).otherwise(F.col("reasons"))}).drop("reasons")
+        "reason_codes": F.col("reasons")}).drop("reasons")
 
 
 # Signals of a local page.
@@ -363,7 +363,7 @@ def classify_pages(rows: DataFrame) -> DataFrame:
 ROW_SKIP = "recruit|appointment|civil service|exam|training|administrative rule|채용|임용|시험|교육|고시|훈령|규칙"
 ROW_WORDS = ["construction", "road work", "traffic control", "transit", "pedestrian", "festival", "event", "closure", "redevelopment", "commercial",
              "safety", "public works", "공사", "교통", "통제", "보행", "축제", "행사", "폐쇄", "재개발", "상권", "안전"]
-DETAILS_PER_PAGE = 6
+DETAILS_PER_PAGE = 6  # budget of a page; rows beyond it keep their rank and get a code
 
 
 def row_relevance(text: Column, start_year: Column) -> Column:
@@ -375,14 +375,21 @@ def row_relevance(text: Column, start_year: Column) -> Column:
     return F.struct(F.when(low.rlike(ROW_SKIP), -100).otherwise(score).alias("score"), reason.alias("reason"))
 
 
-def detail_targets(extracted: DataFrame, start_year: Column) -> DataFrame:
-    """Best six distinct detail URLs per page from its relevant rows."""
+def detail_targets(extracted: DataFrame, start_year: Column, budget: int = DETAILS_PER_PAGE) -> DataFrame:
+    """All distinct detail URLs of a page's rows: those of relevant rows ranked, beyond `budget` with
+    DETAIL_BUDGET_EXHAUSTED; those of stale or irrelevant rows only with that reason and no rank."""
     rows = extracted.select("page_id", "url", F.explode("rows").alias("r")).withColumn("rel", row_relevance(F.col("r.text"), start_year))
-    urls = rows.filter(F.col("rel.reason").isNull()).select("page_id", F.col("rel.score").alias("score"), F.explode("r.hrefs").alias("href"), "url")
-    urls = urls.select("page_id", "score", absolute_url(F.col("url"), F.col("href")).alias("target")).filter(F.col("target").isNotNull())
-    best = urls.groupBy("page_id", "target").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("page_id").orderBy(F.col("score").desc(), "target")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= DETAILS_PER_PAGE)
+    urls = rows.select("page_id", F.col("rel.score").alias("score"), F.col("rel.reason").alias("reason"), F.explode("r.hrefs").alias("href"), "url")
+    urls = urls.select("page_id", "score", "reason", absolute_url(F.col("url"), F.col("href")).alias("target")).filter(F.col("target").isNotNull())
+    relevant = F.col("reason").isNull()
+    best = urls.groupBy("page_id", "target").agg(
+        F.max(relevant).alias("_relevant"), F.max(F.when(relevant, F.col("score"))).alias("_score"), F.max("score").alias("score"), F.min("reason").alias("reason"))
+    best = best.withColumn("score", F.coalesce("_score", "score"))
+    # a page's own links: bounded by one page
+    order = Window.partitionBy("page_id", "_relevant").orderBy(F.col("score").desc(), "target")
+    rank = F.when(F.col("_relevant"), F.row_number().over(order))
+    best = best.withColumn("rank", rank)
+    return best.withColumn("reason", F.when(F.col("rank") > budget, "DETAIL_BUDGET_EXHAUSTED").when(~F.col("_relevant"), F.col("reason"))).drop("_relevant", "_score")
 
 
 def detail_outcomes(scheduled: DataFrame, landed: DataFrame) -> DataFrame:
@@ -467,10 +474,10 @@ LIMIT = r"(?i)(?:up to|maximum|limit|최대|한도)\s*(?:KRW\s*)?([0-9,]+(?:\.[0
 DISCOUNT = r"(?i)([0-9.]+)\s*(?:%p|percentage\s*points?|퍼센트\s*포인트)"
 ANNUAL = r"(?i)(?:interest\s*rate|rate|금리)[^0-9]{0,20}([0-9.]+)\s*%"
 TERM = r"(?i)(repayment|maturity|grace|상환|거치)[^0-9]{0,20}([0-9]+)\s*(months?|개월|years?|년)"
-APPLICATION = r"(?is)(?:application|apply|신청|접수).{0,180}"
+APPLICATION = r"(?is)(?:application|apply|신청|접수).{0,180}"  # proximity rule: dates this near to the word are its period
 SHUT = r"(?i)applications? (?:are )?closed|접수\s*마감|종료"
-NAMED = r"(?i)(?:program|policy|project|사업명|지원사업)\s*[:：]\s*([^\n]{2,160})"
-ELIGIBLE = r"(?i)(?:eligible(?:\s+(?:businesses|applicants))?|eligibility|지원대상|신청대상)\s*[:：]\s*([^\n.]{2,240})"
+NAMED = r"(?i)(?:program|policy|project|사업명|지원사업)\s*[:：]\s*([^\n]{2,})"
+ELIGIBLE = r"(?i)(?:eligible(?:\s+(?:businesses|applicants))?|eligibility|지원대상|신청대상)\s*[:：]\s*([^\n.]{2,})"
 
 
 def policy_facts(documents: DataFrame) -> DataFrame:
@@ -482,7 +489,7 @@ def policy_facts(documents: DataFrame) -> DataFrame:
     titled = F.coalesce(*[F.when((F.col("policy_type") == k) & title.rlike(p), title) for k, p in POLICY_TYPES])
     named = F.nullif(F.trim(F.regexp_extract(body, NAMED, 1), F.lit(" .")), F.lit(""))
     line = lambda p: F.get(F.filter(F.transform(F.split(body, "\n"), lambda x: F.trim(x)), lambda x: (F.length(x) >= 3) & x.rlike(p)), F.lit(0))
-    by_line = F.coalesce(*[F.when(F.col("policy_type") == k, F.substring(line(p), 1, 160)) for k, p in POLICY_TYPES])
+    by_line = F.coalesce(*[F.when(F.col("policy_type") == k, line(p)) for k, p in POLICY_TYPES])
     amount = F.nullif(F.regexp_replace(F.regexp_extract(body, LIMIT, 1), ",", ""), F.lit("")).cast("double")
     unit = F.regexp_extract(body, LIMIT, 2)
     scale = F.coalesce(*[F.when(unit == k, d(v)) for k, v in CURRENCY.items()], d(1))

@@ -18,13 +18,16 @@ REQUIRED = ["event_id", "domain", "event_family", "event_type", "direction", "st
 
 
 def value_direction(rows: DataFrame) -> DataFrame:
-    """rows(event_type, new_raw, old_raw, …): parsed values and whether they contradict the type."""
+    """rows(event_type, new_raw, old_raw, …, and optionally unit_raw): parsed values and whether they
+    contradict the type. A candidate that states neither value nor unit has nothing to check."""
     out = rows.withColumn("_n", normalize_number(F.col("new_raw"))).withColumn("_o", normalize_number(F.col("old_raw")))
     new, old = F.col("_n.value"), F.col("_o.value")
     bad_old = F.col("old_raw").isNotNull() & (F.col("old_raw") != "") & old.isNull()
     contradiction = ((F.col("event_type") == "BASE_RATE_INCREASE") & (new <= old)) | (
         (F.col("event_type") == "BASE_RATE_DECREASE") & (new >= old))
-    status = F.when(new.isNull() | bad_old, "OFFICIAL_NUMERIC_UNIT_INVALID").when(
+    blank = lambda c: F.col(c).isNull() | (F.trim(c) == "")
+    silent = blank("new_raw") & (blank("unit_raw") if "unit_raw" in rows.columns else F.lit(True))
+    status = F.when(silent, "OK").when(new.isNull() | bad_old, "OFFICIAL_NUMERIC_UNIT_INVALID").when(
         contradiction, "OFFICIAL_VALUE_DIRECTION_CONTRADICTION").otherwise("OK")
     return out.withColumn("new_value", new).withColumn("previous_value", old).withColumn("status", status).drop("_n", "_o")
 
@@ -163,7 +166,7 @@ def reconcile(events: DataFrame) -> DataFrame:
     """Outcome per report of merging the reports of one fingerprint.
 
     events(event_id, fingerprint, start_date, end_date, address, source_tier, exempt). In id
-    order each report meets the current base: same dates and place (or both exempt) merge, a
+    order each report meets the current base: same dates and place, or both exempt, merge, a
     higher tier takes over, an equal one conflicts, a lower one is set aside.
 
     A base changes only when a report of a higher rank disagrees, and there are four ranks; so a
@@ -171,25 +174,25 @@ def reconcile(events: DataFrame) -> DataFrame:
     groups that disagree at all; then every report looks up its base. No task holds a group."""
     rank = lookup(TIER_RANK, F.col("source_tier"), F.lit(0))
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    place = F.when(F.col("exempt"), F.lit("EXEMPT")).otherwise(F.concat_ws("|", text("start_date"), text("end_date"), text("address")))
-    rows = events.select("event_id", "fingerprint", rank.alias("rank"), place.alias("place"))
-    entry = F.struct("event_id", "place", "rank")
-    groups = rows.groupBy("fingerprint").agg(F.min_by(entry, "event_id").alias("base"), F.min("place").alias("p0"), F.max("place").alias("p1"))
-    mixed = groups.filter("p0 <> p1").select("fingerprint", "base", F.array("base").alias("chain"))
+    place = F.concat_ws("|", text("start_date"), text("end_date"), text("address"))
+    rows = events.select("event_id", "fingerprint", rank.alias("rank"), place.alias("place"), F.coalesce("exempt", F.lit(False)).alias("exempt"))
+    entry = F.struct("event_id", "place", "rank", "exempt")
+    differs = (F.col("place") != F.col("base.place")) & ~(F.col("exempt") & F.col("base.exempt"))
+    groups = rows.groupBy("fingerprint").agg(F.min_by(entry, "event_id").alias("base"), (F.min("place") == F.max("place")).alias("same"), F.min("exempt").alias("all_exempt"))
+    mixed = groups.filter("not same and not all_exempt").select("fingerprint", "base", F.array("base").alias("chain"))
     contested = salted_join(rows, mixed.select("fingerprint"), ["fingerprint"], F.col("event_id"))
     for _ in range(len(set(TIER_RANK.values())) - 1):
         met = salted_join(contested, mixed.select("fingerprint", "base"), ["fingerprint"], F.col("event_id"))
-        over = (F.col("place") != F.col("base.place")) & (F.col("rank") > F.col("base.rank")) & (F.col("event_id") > F.col("base.event_id"))
+        over = differs & (F.col("rank") > F.col("base.rank")) & (F.col("event_id") > F.col("base.event_id"))
         after = met.filter(over).groupBy("fingerprint").agg(F.min_by(entry, "event_id").alias("next"))
         mixed = mixed.join(after, "fingerprint", "left").select(
             "fingerprint", F.coalesce("next", "base").alias("base"),
             F.when(F.col("next").isNull(), F.col("chain")).otherwise(F.concat("chain", F.array("next"))).alias("chain"))
-    chains = groups.filter("p0 = p1").select("fingerprint", F.array("base").alias("chain")).unionByName(mixed.select("fingerprint", "chain"))
+    chains = groups.filter("same or all_exempt").select("fingerprint", F.array("base").alias("chain")).unionByName(mixed.select("fingerprint", "chain"))
     met = salted_join(rows, chains, ["fingerprint"], F.col("event_id"))
     mine = F.element_at(F.filter("chain", lambda c: c["event_id"] <= F.col("event_id")), -1)
     met = met.withColumn("base", mine).withColumn("final", F.element_at("chain", -1)["event_id"])
     is_base = F.col("event_id") == F.col("base.event_id")
-    differs = F.col("place") != F.col("base.place")
     split = met.withColumn("is_base", is_base).withColumn("tie", differs & (F.col("rank") == F.col("base.rank")))
     contest = split.filter("tie and base.event_id = final").select("fingerprint").distinct().withColumn("contest", F.lit(True))
     merged = split.filter(~differs & (F.col("base.event_id") == F.col("final"))).groupBy("fingerprint").agg(F.count("*").alias("merged_reports"))

@@ -100,6 +100,17 @@ def has_variable_debt(stores: DataFrame, loans: DataFrame) -> DataFrame:
         "store_id", (F.coalesce("floating", F.lit(False)) & (F.col("variable_debt_share") > 0)).alias("variable_debt"))
 
 
+def every_month(adjustments: DataFrame, keys: list[str], horizon: int, forecast_start: Column) -> DataFrame:
+    """The adjustments of each run for every forecast month, neutral where there is none. Two rows for one
+    month of a run are an error: Spark refuses a map with a key twice."""
+    neutral = {"revenue_multiplier": 1, "variable_cost_multiplier": 1, "fixed_cost_multiplier": 1, "rate_delta": 0}
+    by_month = adjustments.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("month", F.struct(*neutral)))).alias("_by_month"))
+    months = F.explode(F.transform(F.sequence(F.lit(0), F.lit(horizon - 1)), lambda i: F.add_months(forecast_start, i)))
+    rows = by_month.withColumn("month", months)
+    found = F.try_element_at("_by_month", F.col("month"))
+    return rows.select(*keys, "month", *[F.coalesce(found[c], d(v)).alias(c) for c, v in neutral.items()])
+
+
 def monthly_scenario(stores: DataFrame, history: DataFrame, forecasts: DataFrame, adjustments: DataFrame,
                      loans: DataFrame, horizon: int, forecast_start: Column, keys: list[str],
                      features: DataFrame | None = None, overrides: DataFrame | None = None) -> DataFrame:
@@ -112,7 +123,7 @@ def monthly_scenario(stores: DataFrame, history: DataFrame, forecasts: DataFrame
     last = last_ledger_month(history)
     debt = has_variable_debt(stores, loans.select("store_id", "rate_type"))
     # rate changes come from the adjustments alone, so the loan runs do not wait for forecasts
-    plan = adjustments.join(debt, "store_id")
+    plan = every_month(adjustments, keys, horizon, forecast_start).join(debt, "store_id")
     if features is not None:
         # one row per forecast month (at most twelve): bounded by the horizon, not by the data
         plan = plan.join(F.broadcast(features.select(

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from tillwise.functions.core import d, first_by, last_by, lookup, rnd
 from tillwise.functions.skew import spread_rank
 
-SAMPLES_KEPT = 1000
-
-
 def usage_summary(log: DataFrame, keys: list[str]) -> DataFrame:
     """log(keys…, query_id, document_id, tokens_in, tokens_out, latency_ms, provider, model)."""
     names = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
@@ -32,15 +29,24 @@ def token_cost(log: DataFrame, rates: dict[str, tuple[float, float, float]]) ->
     return log.withColumn("cost_status", status).withColumn("cost_usd", F.when(status == "ESTIMATED", rnd(cost, 8)))
 
 
-def latency_percentiles(samples: DataFrame, key: str, order: list[str], points=(0.50, 0.95)) -> DataFrame:
-    """Percentiles by index floor((n-1)*p) over the last thousand samples of each metric.
-
-    The rank filter runs below the shuffle, so a metric sends at most a thousand rows per task."""
-    newest = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
-    kept = samples.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= SAMPLES_KEPT)
-    rows = kept.groupBy(key).agg(F.count("*").alias("sample_count"), F.array_sort(F.collect_list("value")).alias("v"))
-    at = lambda p: F.element_at("v", (1 + F.floor((F.size("v") - 1) * F.lit(p))).cast("int"))
-    return rows.select(key, "sample_count", *[at(p).alias(f"p{int(p * 100)}") for p in points])
+def latency_percentiles(samples: DataFrame, key: str, points=(0.50, 0.95)) -> DataFrame:
+    """Percentiles by index floor((n-1)*p) over all samples of each metric.
+
+    Equal values are counted before the shuffle. A value is the percentile if its run of positions covers
+    the index; positions come from counts by bucket of values and are numbered inside a bucket only, so no
+    metric lies in one task."""
+    counted = samples.filter(F.col("value").isNotNull()).groupBy(key, "value").agg(F.count("*").alias("_c"))
+    counted = counted.withColumn("_bucket", F.floor(F.signum("value") * F.log2(F.abs(F.col("value")) + 1) * 16))
+    sizes = counted.groupBy(key, "_bucket").agg(F.sum("_c").alias("_n"))
+    earlier = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(key, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+                         F.sum("_n").over(Window.partitionBy(key)).alias("sample_count"))
+    inside = Window.partitionBy(key, "_bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    rows = counted.withColumn("_upto", F.sum("_c").over(inside)).join(sizes, [key, "_bucket"])
+    last = F.col("_before") + F.col("_upto")
+    covers = lambda p: F.floor((F.col("sample_count") - 1) * F.lit(p)).between(last - F.col("_c"), last - 1)
+    return rows.groupBy(key).agg(F.max("sample_count").alias("sample_count"), *[
+        F.max(F.when(covers(p), F.col("value"))).alias(f"p{int(p * 100)}") for p in points])
 
 
 def acceptance_ratio(counts: DataFrame, keys: list[str]) -> DataFrame:

@@ -274,7 +274,7 @@ def evaluate_prepared(rules: Column, numbers: Column, texts: Column) -> Column:
         number, text = F.try_element_at(numbers, c["field"]), F.try_element_at(texts, c["field"])
         missing = F.when(c["numeric"], number.isNull()).otherwise(text.isNull())
         op = c["op"]
-        inside = F.array_contains(c["listed"], F.when(c["numeric"], F.regexp_replace(number.cast("string"), r"\.0$", "")).otherwise(text))
+        inside = F.when(c["numeric"], F.exists(c["listed"], lambda x: F.coalesce(x.try_cast("double") == number, F.lit(False)))).otherwise(F.array_contains(c["listed"], text))
         pick = lambda a, b: (
             F.when(op == "EQ", a == b).when(op == "NE", a != b).when(op == "GE", a >= b).when(op == "GT", a > b).when(op == "LE", a <= b).when(op == "LT", a < b))
         passed = F.when(op == "EXISTS", missing != c["wanted"]).when(op == "IN", inside).when(op == "NOT_IN", ~inside).when(
@@ -297,13 +297,15 @@ def business_age_months(opened: Column, as_of: Column) -> Column:
     return F.greatest(F.lit(0), month_gap(as_of, opened))
 
 
-def store_maps(as_of: Column) -> tuple[Column, Column]:
+def store_maps(as_of: Column, known: list[str]) -> tuple[Column, Column]:
+    """A store's fields for its rules; owner_age and credit_band where the stores have them."""
     number = lambda c: c.cast("double")
+    optional = lambda c: {c: F.col(c)} if c in known else {}
     numbers = F.create_map(*[x for k, v in {
         "annual_revenue": F.col("annual_revenue"), "employee_count": F.col("employee_count"), "declared_revenue": F.col("declared_revenue"),
-        "business_age_months": business_age_months(F.col("business_start_date"), as_of)}.items() for x in (F.lit(k), number(v))])
+        **optional("owner_age"), "business_age_months": business_age_months(F.col("business_start_date"), as_of)}.items() for x in (F.lit(k), number(v))])
     texts = F.create_map(*[x for k, v in {
-        "store_id": F.col("store_id").cast("string"), "business_type_code": F.col("business_type_code"),
+        "store_id": F.col("store_id").cast("string"), "business_type_code": F.col("business_type_code"), **optional("credit_band"),
         "business_start_date": F.date_format("business_start_date", "yyyy-MM-dd")}.items() for x in (F.lit(k), v)])
     return numbers, texts
 
@@ -314,7 +316,7 @@ def eligibility(pairs: DataFrame, as_of: Column) -> DataFrame:
     pairs carry the store's fields, and of a policy out of `prepare_policies`: validation_status,
     application_status, budget_status, regions, region_ids, include, exclude, rules, app_start,
     app_end."""
-    numbers, texts = store_maps(as_of)
+    numbers, texts = store_maps(as_of, pairs.columns)
     match = region_codes_match(region_id(F.col("region_code")), F.col("regions"), F.col("region_ids"))
     pairs = pairs.select("*", F.explode(F.array(F.struct(evaluate_prepared(F.col("rules"), numbers, texts).alias("c"), match.alias("region")))).alias("_x"))
     pairs = pairs.withColumns({"_c": F.col("_x.c"), "_region": F.col("_x.region")}).drop("_x")

@@ -48,9 +48,9 @@ def token_cost(spark, sf):
 
 @query("latency_percentiles", sql("""
 SELECT event_type, len(v) AS sample_count, v[1 + CAST(floor((len(v) - 1) * 0.5::DOUBLE) AS INTEGER)] AS p50, v[1 + CAST(floor((len(v) - 1) * 0.95::DOUBLE) AS INTEGER)] AS p95
-FROM (SELECT event_type, list_sort(list(value)) AS v FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 1000 GROUP BY event_type)"""))
+FROM (SELECT event_type, list_sort(list(value)) AS v FROM events GROUP BY event_type)"""))
 def latency_percentiles(spark, sf):
-    return mt.latency_percentiles(b.table(spark, sf, "events").select("event_type", "ts", "event_id", "value"), "event_type", ["ts", "event_id"])
+    return mt.latency_percentiles(b.table(spark, sf, "events").select("event_type", "value"), "event_type")
 
 
 @query("timeout_counts", sql("""
@@ -88,13 +88,13 @@ def run_timeouts(spark, sf):
 SELECT c.candidate_id, coalesce(s.st, 'EXTRACTED') AS validation_status, coalesce(s.codes, '') AS failure_codes, coalesce(d.n, 0) AS source_count, d.first_source
 FROM (SELECT DISTINCT user_id AS candidate_id FROM events) c
 LEFT JOIN (SELECT user_id AS candidate_id, max_by(event_type, (ts, event_id)) AS st, string_agg(DISTINCT CASE WHEN event_type = 'error' THEN 'CODE_' || event_id % 5 END, ',' ORDER BY CASE WHEN event_type = 'error' THEN 'CODE_' || event_id % 5 END) AS codes
-  FROM events WHERE user_id % 7 <> 0 GROUP BY 1) s USING (candidate_id)
-LEFT JOIN (SELECT candidate_id, count(*) AS n, min(source) AS first_source FROM (SELECT DISTINCT user_id AS candidate_id, event_id % 1500 AS doc_id FROM events) JOIN documents USING (doc_id) GROUP BY 1) d USING (candidate_id)"""))
+  FROM events GROUP BY 1) s USING (candidate_id)
+LEFT JOIN (SELECT candidate_id, count(*) AS n, min(source) AS first_source FROM (SELECT DISTINCT user_id AS candidate_id, event_id % (SELECT count(*) FROM documents) AS doc_id FROM events) JOIN documents USING (doc_id) GROUP BY 1) d USING (candidate_id)"""))
 def candidate_evidence_view(spark, sf):
     e = b.table(spark, sf, "events").withColumn("candidate_id", F.col("user_id"))
     code = F.when(F.col("event_type") == "error", F.concat(F.lit("CODE_"), (F.col("event_id") % 5).cast("string")))
-    log = e.filter(F.col("user_id") % 7 != 0).select("candidate_id", F.col("event_type").alias("to_state"), "ts", "event_id", code.alias("failure_code"))
-    return mt.candidate_view(e.select("candidate_id").distinct(), log, e.select("candidate_id", (F.col("event_id") % 1500).alias("doc_id")), b.table(spark, sf, "documents"))
+    log = e.select("candidate_id", F.col("event_type").alias("to_state"), "ts", "event_id", code.alias("failure_code"))
+    return mt.candidate_view(e.select("candidate_id").distinct(), log, e.select("candidate_id", (F.col("event_id") % b.table(spark, sf, "documents").agg(F.count("*")).scalar()).alias("doc_id")), b.table(spark, sf, "documents"))
 
 
 # ---- ids and traces ------------------------------------------------------------------------

@@ -256,13 +256,13 @@ def quarantine_conflicts(spark, sf):
 
 
 @query("value_direction_check", sql(f"""
-SELECT event_id, {r('new_value', 4)} AS new_value, {r('old_value', 4)} AS previous_value, CASE WHEN new_value IS NULL THEN 'OFFICIAL_NUMERIC_UNIT_INVALID'
+SELECT event_id, {r('new_value', 4)} AS new_value, {r('old_value', 4)} AS previous_value, CASE WHEN event_id % 13 = 0 THEN 'OK' WHEN new_value IS NULL THEN 'OFFICIAL_NUMERIC_UNIT_INVALID'
   WHEN event_type = 'BASE_RATE_INCREASE' AND new_value <= old_value OR event_type = 'BASE_RATE_DECREASE' AND new_value >= old_value THEN 'OFFICIAL_VALUE_DIRECTION_CONTRADICTION'
   ELSE 'OK' END AS status
-FROM (SELECT event_id, event_type, value AS new_value, 1.0::DOUBLE + (event_id % 9) * 0.5::DOUBLE AS old_value FROM decisions)""", "decisions"))
+FROM (SELECT event_id, event_type, CASE WHEN event_id % 13 <> 0 THEN value END AS new_value, 1.0::DOUBLE + (event_id % 9) * 0.5::DOUBLE AS old_value FROM decisions)""", "decisions"))
 def value_direction_check(spark, sf):
     text = lambda v: F.concat(F.format_number(v, 2), F.lit(" %"))
-    rows = decisions(spark, sf).select("event_id", "event_type", F.coalesce(text(F.col("value")), F.lit("n/a")).alias("new_raw"),
+    rows = decisions(spark, sf).select("event_id", "event_type", F.when(F.col("event_id") % 26 == 0, "").when(F.col("event_id") % 13 != 0, F.coalesce(text(F.col("value")), F.lit("n/a"))).alias("new_raw"),
                                        text(1.0 + (F.col("event_id") % 9) * 0.5).alias("old_raw"))
     return ev.value_direction(rows).select(
         "event_id", rnd(F.col("new_value"), 4).alias("new_value"), rnd(F.col("previous_value"), 4).alias("previous_value"), "status")

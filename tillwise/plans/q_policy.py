@@ -85,7 +85,6 @@ def policy_conflict_pairs(spark, sf):
 @query("merge_policies")
 def merge_policies(spark, sf):
     p = policies(spark, sf).withColumn("limit_krw", F.when(F.col("limit_krw").isNotNull(), F.floor(F.col("limit_krw") / 50000)))
-    p = p.filter(~F.col("notice_kind").isin("CORRECTION", "TERMINATION"))
     groups = po.group_policies(p, ["provider", "name"], "policy_id", FIELDS)
     return po.merge_policies(p.select("policy_id", *FIELDS, "validation_status", "failure_codes"), groups, "policy_id", FIELDS, [F.size("failure_codes")])
 
@@ -145,8 +144,9 @@ def region_match(spark, sf):
 @query("eligibility_rules", sql("""
 SELECT store_id, policy_id, CASE WHEN c1 <> 'PASSED' THEN c1 WHEN c2 <> 'PASSED' THEN c2 ELSE 'PASSED' END AS status, CASE WHEN c1 <> 'PASSED' THEN f1 WHEN c2 <> 'PASSED' THEN 'business_type_code' END AS field FROM pairs""", "pairs"))
 def eligibility_rules(spark, sf):
-    numbers, texts = po.store_maps(b.as_of())
-    out = pairs(spark, sf).withColumn("c", po.evaluate_prepared(F.col("rules"), numbers, texts))
+    rows = pairs(spark, sf)
+    numbers, texts = po.store_maps(b.as_of(), rows.columns)
+    out = rows.withColumn("c", po.evaluate_prepared(F.col("rules"), numbers, texts))
     return out.select("store_id", "policy_id", F.coalesce("c.status", F.lit("PASSED")).alias("status"), F.col("c.field").alias("field"))
 
 

@@ -159,10 +159,10 @@ def finding_gate(spark, sf):
 
 
 @query("merge_findings", sql(f"""
-SELECT sha256(text) AS revision_key, lang AS reason, lower({FOLD('substr(text, 1, 30)')}) AS folded_title, min(doc_id) AS finding_id, count(DISTINCT source) AS source_count, count(DISTINCT n_chars % 5) AS evidence_count
+SELECT sha256(text) AS revision_key, lang AS reason, lower({FOLD('split_part(text, chr(10), 1)')}) AS folded_title, min(doc_id) AS finding_id, count(DISTINCT source) AS source_count, count(DISTINCT n_chars % 5) AS evidence_count
 FROM documents GROUP BY 1, 2, 3"""))
 def merge_findings(spark, sf):
-    rows = docs(spark, sf).select(F.sha2("text", 256).alias("revision_key"), F.col("lang").alias("reason"), F.substring("text", 1, 30).alias("title"),
+    rows = docs(spark, sf).select(F.sha2("text", 256).alias("revision_key"), F.col("lang").alias("reason"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
                                   F.col("doc_id").alias("finding_id"), F.col("source").alias("source_id"), (F.col("n_chars") % 5).alias("evidence_id"))
     return dc.merge_findings(rows)
 
@@ -321,7 +321,7 @@ def nav_ratio(spark, sf):
 
 
 @query("quality_gate", sql(f"""
-SELECT page_id, disposition, array_to_string(reasons || CASE WHEN disposition IN ('EXTRACT', 'EXTRACT_AND_TRAVERSE') AND size > 30000 THEN ['INPUT_TRUNCATED'] ELSE [] END, ',') AS reason_codes, size AS body_characters,
+SELECT page_id, disposition, array_to_string(reasons, ',') AS reason_codes, size AS body_characters,
   greatest(0, 100 - floor(ratio * 40) - CASE WHEN list_contains(reasons, 'UNVERIFIED_SOURCE_TIER') THEN 25 ELSE 0 END)::DOUBLE AS quality_score FROM (
 SELECT *, CASE WHEN size = 0 OR page_id % 17 = 0 THEN 'REJECT' WHEN page_id % 19 = 0 THEN 'TRAVERSE_LIST' WHEN page_id % 7 = 0 AND sub THEN 'EXTRACT_AND_TRAVERSE' WHEN page_id % 7 = 0 THEN 'ROUTE_TO_DETAIL' WHEN page_id % 11 = 0 AND sub THEN 'EXTRACT_AND_TRAVERSE'
     WHEN page_id % 11 = 0 THEN 'FETCH_ATTACHMENTS' WHEN list_contains(reasons, 'UNVERIFIED_SOURCE_TIER') THEN 'LOW_PRIORITY_EXTRACT' WHEN list_has_any(reasons, ['NAVIGATION_ONLY', 'NAVIGATION_OR_LIST_PAGE']) THEN 'REFERENCE_ONLY'
@@ -369,7 +369,7 @@ def detail_url_topk(spark, sf):
     # every link of the page, menu links too, stands for one listing row
     hrefs = F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))
     e = pages(spark, sf).withColumn("rows", F.transform(hrefs, lambda h: F.struct(F.concat(F.lit("festival notice "), h).alias("text"), F.array(h).alias("hrefs"))))
-    return dc.detail_targets(e, F.lit(2001)).select("page_id", "target", "score", "rank")
+    return dc.detail_targets(e, F.lit(2001)).select("page_id", "target", "score", "rank", "reason")
 
 
 HREF_SQL = r"""SELECT DISTINCT page_id, CASE WHEN starts_with(h, 'http') THEN h WHEN starts_with(h, '/') THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || h ELSE regexp_replace(regexp_extract(url, '^(https?://[^?#]*)', 1), '[^/]*$', '') || h END AS target
@@ -433,14 +433,14 @@ def run_status(spark, sf):
 
 @query("seed_outcomes", sql("""
 SELECT p.canonical AS url, p.page_id AS source_id, p.page_id % 4 <> 0 AS fetched, coalesce(o.a, false) AS extraction_attempted, coalesce(o.c, false) AS candidate_produced, coalesce(o.q, false) AS rejected_by_quality, coalesce(o.f, false) AS policy_validation_failed, coalesce(o.codes, '') AS reason_codes
-FROM canonical p LEFT JOIN (SELECT event_id % 300 AS source_id, bool_or(event_type = 'click') AS a, bool_or(event_type = 'purchase') AS c, bool_or(event_type = 'error') AS q, bool_or(event_id % 50 = 0) AS f,
-  string_agg(DISTINCT upper(event_type), ',' ORDER BY upper(event_type)) AS codes FROM events WHERE event_id % 3 = 0 GROUP BY 1) o ON o.source_id = p.page_id""", "canonical"))
+FROM canonical p LEFT JOIN (SELECT event_id % (SELECT count(*) FROM pages) AS source_id, bool_or(event_type = 'click') AS a, bool_or(event_type = 'purchase') AS c, bool_or(event_type = 'error') AS q, bool_or(event_id % 50 = 0) AS f,
+  string_agg(DISTINCT upper(event_type), ',' ORDER BY upper(event_type)) AS codes FROM events GROUP BY 1) o ON o.source_id = p.page_id""", "canonical"))
 def seed_outcomes(spark, sf):
     k = F.col("page_id")
     seeds = pages(spark, sf).select(canonical_url(F.col("url")).alias("url"), k.alias("source_id"), (k % 4 != 0).alias("fetched"))
     e, t = F.col("event_id"), F.col("event_type")
-    outcomes = b.table(spark, sf, "events").filter(e % 3 == 0).select(
-        (e % 300).alias("source_id"), (t == "click").alias("attempted"), F.when(t == "purchase", 1).otherwise(0).alias("candidates"),
+    outcomes = b.table(spark, sf, "events").select(
+        (e % pages(spark, sf).agg(F.count("*")).scalar()).alias("source_id"), (t == "click").alias("attempted"), F.when(t == "purchase", 1).otherwise(0).alias("candidates"),
         F.when(t == "error", "SOURCE_CONTENT_UNUSABLE").otherwise("OK").alias("status"), F.array(F.upper(t)).alias("reason_codes"), (e % 50 == 0).alias("policy_failed"))
     return dc.seed_outcomes(seeds, outcomes)
 
