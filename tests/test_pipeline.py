@@ -67,7 +67,7 @@ def test_late_and_repeated_rows_reach_the_table_once(spark, tmp_path):
     schema = "id string, ts timestamp"
     for rows in ([("a", day(1)), ("b", day(2))], [("a", day(1)), ("c", day(9))], [("b", day(2)), ("d", day(3))]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
-    table = feeds.ingest_once(feeds.open_stream(spark, src, spark.read.parquet(src).schema), "id", "ts", "20 days", str(tmp_path / "out"))
+    table = feeds.ingest_once(feeds.open_stream(spark, src, spark.read.parquet(src).schema), "id", "ts", str(tmp_path / "out"))
     assert sorted(r.id for r in spark.read.parquet(table).collect()) == ["a", "b", "c", "d"]
 
 
@@ -100,3 +100,16 @@ def test_whole_analysis(spark):
     a, c = net.selectExpr("store_id", "scenario as from_layer", "net as n0"), net.selectExpr("store_id", "scenario as to_layer", "net as n1")
     assert gap.join(a, ["store_id", "from_layer"]).join(c, ["store_id", "to_layer"]).filter("abs(e - (n1 - n0)) > 1e-3").count() == 0
     assert out["cash_burn"].count() == n * 4 and out["ranked_policies"].filter("rank = 1").count() <= n
+
+
+def test_stages_belong_to_one_plan(spark):
+    from tillwise.functions.stages import one_plan, staged
+
+    def run(n):
+        with one_plan():
+            first = staged(spark, "RUN-1:rows", lambda: spark.range(n))
+            assert staged(spark, "RUN-1:rows", lambda: spark.range(99)) is first
+            return first
+
+    assert [run(1).count(), run(5).count()] == [1, 5]
+    assert staged(spark, "RUN-1:rows", lambda: spark.range(3)).count() == 3

@@ -24,7 +24,7 @@ def rows_of(df, *cols):
 
 def test_state_log_equals_batch(spark, tmp_path):
     batch, stream = feed(spark, tmp_path)
-    out = feeds.keep_latest(feeds.state_stream(stream, "k", ["ts", "event_id"]), ["k"], str(tmp_path / "o"))
+    out = feeds.state_stream(stream, "k", ["ts", "event_id"], str(tmp_path / "o"))
     assert rows_of(out, "k", "state", "transitions") == rows_of(mt.current_state(batch, "k", ["ts", "event_id"]), "k", "state", "transitions")
 
 
@@ -53,3 +53,18 @@ def test_closed_sessions_equal_batch(spark, tmp_path):
     feeds.drain(feeds.session_stream(stream, "k", "ts", "1 hour", "5 minutes"), lambda b, n: b.write.mode("append").parquet(table), str(tmp_path / "o"))
     want = batch.filter("k <> 'z'").groupBy(F.session_window("ts", "5 minutes").alias("w"), "k").agg(F.count("*").alias("n"))
     assert rows_of(spark.read.parquet(table), "w", "k", "n") == rows_of(want, "w", "k", "n")
+
+
+def test_rows_of_any_age_reach_the_tables_over_two_triggers(spark, tmp_path):
+    day = lambda m, d: dt.datetime(2026, m, d)
+    src, schema = str(tmp_path / "src"), "id string, indicator_id string, ts timestamp, cents bigint"
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    put([("a", "I", day(3, 1), 5), ("b", "I", day(3, 20), 7)])
+    stream = lambda: feeds.open_stream(spark, src, spark.read.parquet(src).schema)
+    table = feeds.ingest_once(stream(), "id", "ts", str(tmp_path / "in"))
+    feeds.monthly_stream(stream(), "ts", str(tmp_path / "m"))
+    put([("c", "I", day(1, 2), 1), ("a", "I", day(3, 1), 5)])  # months late, and a repeat
+    assert feeds.ingest_once(stream(), "id", "ts", str(tmp_path / "in")) == table
+    assert sorted(r.id for r in spark.read.parquet(table).collect()) == ["a", "b", "c"]
+    months = feeds.monthly_stream(stream().filter("id <> 'a' or ts is not null"), "ts", str(tmp_path / "m2")).collect()
+    assert {(r.month.month, r.cents, r.n, r.last_cents) for r in months} == {(1, 1, 1, 1), (3, 17, 3, 7)}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tillwise.functions.core import codes, d, stable_id
 from tillwise.functions.dates import safe_date
-from tillwise.functions.text import LIST_MARKERS, fold_space, navigation_ratio, tokens, unique_tokens
+from tillwise.functions.text import LIST_MARKERS, fold_space, navigation_ratio, norm_text, tokens, unique_tokens
 from tillwise.functions.units import CURRENCY
 from tillwise.functions.urls import canonical_url, path_of
 
@@ -19,16 +19,20 @@ from tillwise.functions.urls import canonical_url, path_of
 
 
 def check_evidence(evidence: DataFrame, documents: DataFrame) -> DataFrame:
-    """evidence(evidence_id, source_id, quote, start, end) with `codes`; documents(source_id, body)."""
-    rows = evidence.join(documents.select("source_id", "body"), "source_id", "left")
+    """evidence(evidence_id, source_id, quote, start, end) with `codes`; documents(source_id, body).
+
+    Quote and body are compared in composed form (NFKC) with folded white space; each body is folded once,
+    before it meets its evidence."""
+    rows = evidence.join(documents.select("source_id", "body", norm_text("body").alias("_folded")), "source_id", "left")
     quote, size = F.coalesce("quote", F.lit("")), F.length("body")
     bad_range = (F.col("start") < 0) | (F.col("end") > size) | (F.col("start") >= F.col("end"))
     piece = F.col("body").substr(F.col("start") + 1, F.col("end") - F.col("start"))
     present = F.col("body").isNotNull() & (F.col("body") != "")
+    rows = rows.withColumns({"_quote": norm_text(quote), "_piece": norm_text(piece)})
     found = codes(
         (~present, "SOURCE_UNAVAILABLE"), (present & (quote == ""), "EMPTY_QUOTE"),
-        (present & (quote != "") & (bad_range | (fold_space(piece) != fold_space(quote))), "OFFSET_MISMATCH"),
-        (present & (quote != "") & ~fold_space(F.col("body")).contains(fold_space(quote)), "QUOTE_NOT_FOUND"))
+        (present & (quote != "") & (bad_range | (F.col("_piece") != F.col("_quote"))), "OFFSET_MISMATCH"),
+        (present & (quote != "") & ~F.col("_folded").contains(F.col("_quote")), "QUOTE_NOT_FOUND"))
     return rows.select("evidence_id", "source_id", found.alias("codes"))
 
 
@@ -424,14 +428,17 @@ def rate_decisions(documents: DataFrame) -> DataFrame:
     """documents(doc_id, title, body, official_rate): one row per document with the decision it
     states, or the reason why none can be told.
 
-    Clauses with decision wording are found first; offsets are worked out for those alone."""
+    Clauses with decision wording are found first; offsets are worked out for those alone. Soft hyphens and
+    zero-width signs are dropped, compatibility forms composed and numbers such as `2. 50` closed up inside
+    a clause, after its offset in the body as it stands is known."""
     pieces = F.split("body", CLAUSE_BREAK)
-    wanted = lambda c: c.rlike(BASE_RATE) & c.rlike(DECIDED)
+    plain = lambda c: F.regexp_replace(c, "[\u00ad\u200b\u200c\u200d\ufeff]", "")
+    wanted = lambda c: plain(c).rlike(BASE_RATE) & plain(c).rlike(DECIDED)
     marked = F.filter(F.transform(pieces, lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda x: wanted(x["c"]))
     base = documents.withColumn("pieces", pieces).withColumn("hits", marked)
     at = F.aggregate(F.slice("pieces", 1, F.col("h.i")), F.lit(0), lambda n, p: n + F.length(p))
     rows = base.select("doc_id", "title", "body", "official_rate", "pieces", F.explode_outer("hits").alias("h"))
-    clause = F.regexp_replace(F.trim("h.c"), r"\s+", " ")
+    clause = F.regexp_replace(norm_text(plain(F.col("h.c"))), r"(?<=[0-9])\s*\.\s+(?=[0-9]+\s*%)", ".")
     rows = rows.withColumns({"clause": clause, "start": at})
     moves = codes(*[(F.col("clause").rlike(p), k) for k, p in MOVES.items()])
     every = lambda p, i=1: F.regexp_extract_all("clause", F.lit(p), F.lit(i))

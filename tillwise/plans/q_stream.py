@@ -21,7 +21,7 @@ def stream_obs_dedupe(spark, sf):
     rows = feed(spark, sf).withColumn("observation_id", stable_id("OBS-", 24, F.col("event_id"), F.col("event_type")))
     rows = rows.select("observation_id", "event_id", "event_type", "ts")
     folder = feeds.new_folder(spark)
-    table = feeds.ingest_once(rows.unionByName(rows), "observation_id", "ts", "40 days", folder)
+    table = feeds.ingest_once(rows.unionByName(rows), "observation_id", "ts", folder)
     return spark.read.parquet(table).select("event_id", "event_type", "observation_id")
 
 
@@ -29,11 +29,14 @@ def stream_obs_dedupe(spark, sf):
 SELECT 'DAILY_' || upper(event_type) AS indicator_id, strftime(ts, '%Y-%m') AS month, count(*) AS n, {r('sum(CAST(floor(value * 100.0::DOUBLE + 0.5::DOUBLE) AS BIGINT))::DOUBLE / count(*) / 100.0::DOUBLE', 6)} AS value FROM events GROUP BY 1, 2"""))
 def stream_monthly(spark, sf):
     rows = feed(spark, sf).select(F.concat(F.lit("DAILY_"), F.upper("event_type")).alias("indicator_id"), "ts", b.cents("value").alias("cents"))
-    out = feeds.keep_latest(feeds.monthly_stream(rows, "ts", "40 days"), ["month", "indicator_id"], feeds.new_folder(spark))
+    out = feeds.monthly_stream(rows, "ts", feeds.new_folder(spark))
     return out.select("indicator_id", month_name(F.col("month")).alias("month"), "n", rnd(F.col("cents").cast("double") / F.col("n") / 100.0, 6).alias("value"))
 
 
-@query("stream_latency")
+@query("stream_latency", sql("""
+SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, event_type AS metric, count(*) AS n, max(value) AS max_value,
+  list_sort(list(value))[greatest(1, CAST(ceil(0.5::DOUBLE * count(*)) AS INTEGER))] AS p50, list_sort(list(value))[greatest(1, CAST(ceil(0.95::DOUBLE * count(*)) AS INTEGER))] AS p95
+FROM events GROUP BY 1, 2"""))
 def stream_latency(spark, sf):
     rows = feed(spark, sf).select(F.col("event_type").alias("metric"), "ts", "value")
     out = feeds.keep_latest(feeds.latency_stream(rows, "ts", "1 hour", "1 hour"), ["w", "metric"], feeds.new_folder(spark))

@@ -1,7 +1,8 @@
 """Streams whose final tables equal the batch jobs over the same rows.
 
-Every job keeps only keyed state behind a watermark and writes through foreachBatch, so a batch
-that is replayed after a lost executor changes nothing."""
+Every job writes through foreachBatch, a batch in its own folder or behind an anti join, so a batch that
+is replayed after a lost executor changes nothing. What may come late without limit (ingest, calendar
+months, current states) keeps no watermark and loses no row."""
 
 from __future__ import annotations
 
@@ -35,15 +36,26 @@ def new_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def ingest_once(stream: DataFrame, key: str, ts: str, delay: str, folder: str) -> str:
-    """Idempotent ingest: repeats inside the watermark are dropped in state, later ones by the
-    anti join of the sink. Returns the table's path."""
+def ingest_once(stream: DataFrame, key: str, ts: str, folder: str) -> str:
+    """Idempotent ingest: the sink's anti join drops repeats, however late; a row that comes late for the
+    first time is stored like any other. Returns the table's path."""
     table = f"{folder}/table"
-    fresh = stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
-    drain(fresh, lambda batch, _: append_once(batch, table, [key], [ts]), folder)
+    drain(stream, lambda batch, _: append_once(batch, table, [key], [ts]), folder)
     return table
 
 
+def merge_batches(stream: DataFrame, partial: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+    """An aggregate without state: each micro-batch writes its own partial aggregate, and the table is their
+    merge. Late rows count in whatever batch brings them."""
+    table = f"{folder}/table"
+
+    def write(batch: DataFrame, number: int) -> None:
+        partial(batch).write.mode("overwrite").parquet(f"{table}/part={number}")
+
+    drain(stream, write, folder)
+    return merge(stream.sparkSession.read.parquet(table).drop("part"))
+
+
 def keep_latest(stream: DataFrame, keys: list[str], folder: str) -> DataFrame:
     """Updates of an aggregate, written per micro-batch; the last one per key is the result."""
     spark = stream.sparkSession
@@ -58,10 +70,16 @@ def keep_latest(stream: DataFrame, keys: list[str], folder: str) -> DataFrame:
     return rows.groupBy(*keys).agg(last_by(F.struct(*rest), F.col("batch_id")).alias("x")).select(*keys, "x.*")
 
 
-def monthly_stream(stream: DataFrame, ts: str, delay: str) -> DataFrame:
-    """Daily feed to calendar months with late data: the month itself is the watermarked column."""
-    months = stream.withColumn("month", F.date_trunc("month", F.col(ts).cast("timestamp"))).withWatermark("month", delay)
-    return months.groupBy("month", "indicator_id").agg(F.sum("cents").alias("cents"), F.count("*").alias("n"), F.max_by("cents", ts).alias("last_cents"))
+def monthly_stream(stream: DataFrame, ts: str, folder: str) -> DataFrame:
+    """Daily feed to calendar months."""
+    keys = ["month", "indicator_id"]
+
+    def partial(batch: DataFrame) -> DataFrame:
+        months = batch.withColumn("month", F.date_trunc("month", F.col(ts).cast("timestamp")))
+        return months.groupBy(*keys).agg(F.sum("cents").alias("cents"), F.count("*").alias("n"), F.max(F.struct(F.col(ts).alias("at"), "cents")).alias("last"))
+
+    return merge_batches(stream, partial, lambda rows: rows.groupBy(*keys).agg(
+        F.sum("cents").alias("cents"), F.sum("n").alias("n"), F.max("last").alias("last")).withColumn("last_cents", F.col("last.cents")).drop("last"), folder)
 
 
 def latency_stream(stream: DataFrame, ts: str, delay: str, width: str) -> DataFrame:
@@ -75,9 +93,13 @@ def rate_stream(stream: DataFrame, client: str, ts: str, delay: str, width: str
     return stream.withWatermark(ts, delay).groupBy(F.window(ts, width, slide).alias("w"), client).agg(F.count("*").alias("n"))
 
 
-def state_stream(stream: DataFrame, key: str, order: list[str]) -> DataFrame:
+def state_stream(stream: DataFrame, key: str, order: list[str], folder: str) -> DataFrame:
     """Current state per candidate from its transition log."""
-    return stream.groupBy(key).agg(last_by(F.col("to_state"), *[F.col(c) for c in order]).alias("state"), F.count("*").alias("transitions"))
+    latest = F.struct(*order, "to_state")
+    return merge_batches(
+        stream, lambda batch: batch.groupBy(key).agg(F.max(latest).alias("last"), F.count("*").alias("transitions")),
+        lambda rows: rows.groupBy(key).agg(F.max("last").alias("last"), F.sum("transitions").alias("transitions")).select(
+            key, F.col("last.to_state").alias("state"), "transitions"), folder)
 
 
 def session_stream(stream: DataFrame, key: str, ts: str, delay: str, gap: str) -> DataFrame:
