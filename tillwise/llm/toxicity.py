@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from tillwise.llm.common import Words, mix, slices, text_or_empty, written
 #: labelled rows that the chain is fitted on, picked by a hash of the id; all rows are scored
 SAMPLE = 20_000
 #: features for each category, texts that must hold one, and folds
-FEATURES, SUPPORT, FOLDS = 2048, 8, 5
+FEATURES, SUPPORT, FOLDS = 1024, 8, 5
 #: least log odds ratio of a feature, in standard errors
 LEAST_Z = 2.5
 #: byte lengths of the word beginnings that are features beside whole words
@@ -25,12 +26,30 @@ PREFIXES = (4, 5, 6)
 _NO_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
-def text_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) pairs, each once: hashes of whole words and of word beginnings, A-Z folded."""
+class Known:
+    """A set of features: a table of their low bits turns most others away before the exact look-up."""
+
+    def __init__(self, features: np.ndarray):
+        self.features = np.unique(features)
+        self.low = np.zeros(1 << 20, dtype=bool)
+        self.low[(self.features & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+
+    def hits(self, code: np.ndarray) -> np.ndarray:
+        """Positions in `code` that hold one of the features."""
+        some = np.flatnonzero(self.low[(code & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        return some[np.isin(code[some], self.features)]
+
+
+def text_features(texts: pa.Array, known: Known | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature) pairs, each once: hashes of whole words and of word beginnings, A-Z folded. With `known`,
+    only of its features."""
     words = Words(texts, _NO_WORD)
-    rows, codes = [words.row], [words.hashes(lower=True)]
-    for size in PREFIXES:
-        some, code = words.prefix_hashes(size)
+    rows, codes = [], []
+    for size in (0, *PREFIXES):
+        some, code = words.prefix_hashes(size) if size else (np.arange(len(words.row)), words.hashes(lower=True))
+        if known is not None:
+            hit = known.hits(code)
+            some, code = some[hit], code[hit]
         rows.append(words.row[some])
         codes.append(code)
     row, code = np.concatenate(rows), np.concatenate(codes)
@@ -41,8 +60,8 @@ def text_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return row[new], code[new]
 
 
-def fit_linear(rows: np.ndarray, columns: np.ndarray, extra: np.ndarray, target: np.ndarray, width: int, ridge: float = 2e-4,
-               rounds: int = 300) -> np.ndarray:
+def fit_linear(rows: np.ndarray, columns: np.ndarray, extra: np.ndarray, target: np.ndarray, width: int, ridge: float = 5e-5,
+               rounds: int = 150) -> np.ndarray:
     """Logistic regression by gradient steps with momentum over sparse 0/1 features (rows, columns) and dense
     `extra` columns. Returns width + extra + 1 weights; the last is the constant."""
     n, more = len(target), extra.shape[1]
@@ -52,6 +71,8 @@ def fit_linear(rows: np.ndarray, columns: np.ndarray, extra: np.ndarray, target:
         score = np.bincount(rows, weights[columns], n) + extra @ weights[width:-1] + weights[-1]
         miss = 1 / (1 + np.exp(-np.clip(score, -30, 30))) - target
         slope = np.concatenate([np.bincount(columns, miss[rows], width), extra.T @ miss, [miss.sum()]]) / n
+        if t % 10 == 0 and np.abs(slope).max() < 1e-5:
+            break
         slope[:-1] += ridge * weights[:-1]
         speed = 0.9 * speed + 0.1 * slope
         second = 0.99 * second + 0.01 * slope * slope
@@ -93,14 +114,14 @@ def fit_chain(df: DataFrame, labels: DataFrame, categories: list[str], id_col: s
     """Fit the chain on at most `sample` labelled rows of `df`. `labels` has the id and a 0/1 column for each
     category; a row with a null label is not used, of repeated ids one row is.
 
-    Features are counted by Spark and the strongest for each category kept (log odds ratio in standard errors).
+    Features are counted by Spark and the strongest for each category kept (log odds ratio, weighed by support).
     Each later category sees the earlier ones' probabilities as its own scoring will: for training rows they
     come from models that did not see the row's fold."""
     seen = labels.where(F.col(id_col).isNotNull()).dropna(subset=categories).groupBy(F.col(id_col).cast("long").alias("id")).agg(
         *[F.max(F.col(c).cast("int")).alias(f"y{k}") for k, c in enumerate(categories)])
     # at most `sample` rows of a few numbers: its size is bounded by the parameter
     few = seen.orderBy(F.xxhash64("id"), "id").limit(sample)
-    texts = written(_rows(df, id_col, text_col).join(F.broadcast(few), "id").dropDuplicates(["id"]), "toxicity-sample")
+    texts = written(_rows(df, id_col, text_col).join(F.broadcast(few), "id").dropDuplicates(["id"]).dropDuplicates(["_text"]), "toxicity-sample")
     n_cats = len(categories)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,18 +142,20 @@ def fit_chain(df: DataFrame, labels: DataFrame, categories: list[str], id_col: s
     for k in range(n_cats):
         yes = F.log((F.col(f"y{k}") + 0.5) / (F.lit(float(totals[f"y{k}"] or 0)) + 1.0))
         no = F.log((F.col("n") - F.col(f"y{k}") + 0.5) / (F.lit(float(totals["n"] - (totals[f"y{k}"] or 0))) + 1.0))
-        # log odds ratio over its standard error; weak ones would only be fitted to chance
-        strength = F.abs(yes - no) / F.sqrt(1 / (F.col(f"y{k}") + 0.5) + 1 / (F.col("n") - F.col(f"y{k}") + 0.5))
-        top = counted.where(strength >= LEAST_Z).orderBy(F.desc(strength), "f").limit(FEATURES).select("f").toArrow().column("f")
+        # the log odds ratio over its standard error tells chance from signal; weighed by support it puts what
+        # many texts share before what only copies of a few share
+        surely = F.abs(yes - no) / F.sqrt(1 / (F.col(f"y{k}") + 0.5) + 1 / (F.col("n") - F.col(f"y{k}") + 0.5))
+        strength = F.abs(yes - no) * F.sqrt("n")
+        top = counted.where(surely >= LEAST_Z).orderBy(F.desc(strength), "f").limit(FEATURES).select("f").toArrow().column("f")
         chosen.append(np.sort(np.asarray(top.combine_chunks() if hasattr(top, "combine_chunks") else top).astype(np.int64).view(np.uint64)))
     union = np.unique(np.concatenate(chosen))
+    known = Known(union)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_text"):
-                row, code = text_features(part.column("_text"))
-                hit = np.isin(code, union)
-                row, place = row[hit], np.searchsorted(union, code[hit])
+                row, code = text_features(part.column("_text"), known)
+                place = np.searchsorted(union, code)
                 bounds = np.searchsorted(row, np.arange(part.num_rows + 1))
                 held = [place[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
                 yield pa.RecordBatch.from_arrays(
@@ -142,12 +165,14 @@ def fit_chain(df: DataFrame, labels: DataFrame, categories: list[str], id_col: s
     data = texts.mapInArrow(pick, "id long, " + ", ".join(f"y{k} int" for k in range(n_cats)) + ", held array<long>").toArrow()
     ids = np.asarray(data.column("id")).astype(np.int64)
     order = np.argsort(ids)
-    held = [np.asarray(h, dtype=np.int64) for h in data.column("held").to_pylist()]
-    held = [held[i] for i in order]
+    n = len(ids)
     fold = (mix(ids[order].view(np.uint64)) % np.uint64(FOLDS)).astype(np.int64)
-    row = np.repeat(np.arange(len(held)), [len(h) for h in held])
-    code = union[np.concatenate(held)] if held and len(row) else np.zeros(0, dtype=np.uint64)
-    earlier = np.zeros((len(held), 0))
+    size = np.asarray(pc.list_value_length(data.column("held"))).astype(np.int64)
+    place = np.empty(n, dtype=np.int64)
+    place[order] = np.arange(n)
+    row = np.repeat(place, size)
+    code = union[np.asarray(pc.list_flatten(data.column("held"))).astype(np.int64)]
+    earlier = np.zeros((n, 0))
     chain = []
     for k, name in enumerate(categories):
         target = np.asarray(data.column(f"y{k}")).astype(float)[order]
@@ -164,12 +189,12 @@ def fit_chain(df: DataFrame, labels: DataFrame, categories: list[str], id_col: s
             some = use[rows]
             return fit_linear(number[rows[some]], columns[some], earlier[use], target[use], len(features))
 
-        fresh = np.zeros(len(held))
+        fresh = np.zeros(n)
         for f in range(FOLDS):
             w = fit(fold != f)
-            score = np.bincount(rows, w[columns], len(held)) + earlier @ w[len(features):-1] + w[-1] if len(held) else fresh
+            score = np.bincount(rows, w[columns], n) + earlier @ w[len(features):-1] + w[-1]
             fresh = np.where(fold == f, 1 / (1 + np.exp(-np.clip(score, -30, 30))), fresh)
-        w = fit(np.ones(len(held), dtype=bool))
+        w = fit(np.ones(n, dtype=bool))
         chain.append(Link(name, features, w[:len(features)], w[len(features):-1], float(w[-1])))
         earlier = np.column_stack([earlier, fresh])
     return chain
@@ -178,18 +203,20 @@ def fit_chain(df: DataFrame, labels: DataFrame, categories: list[str], id_col: s
 def toxicity_scores(df: DataFrame, chain: list[Link], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, p_<category>...) for every row, from its whole text. One map, no shuffle."""
     names = [f"p_{link.name}" for link in chain]
+    union = np.concatenate([link.features for link in chain])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(union)
         for batch in batches:
             for part in slices(batch, "_text"):
-                row, code = text_features(part.column("_text"))
+                row, code = text_features(part.column("_text"), known)
                 scores = score_rows(chain, row, code, part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(s) for s in scores.T)], ["id", *names])
 
     return _rows(df, id_col, text_col).mapInArrow(run, "id long, " + ", ".join(f"`{n}` double" for n in names)).withColumnRenamed("id", id_col)
 
 
-def toxicity(df: DataFrame, labels: DataFrame, categories: list[str], reject: str, least: float = 0.2, id_col: str = "doc_id",
+def toxicity(df: DataFrame, labels: DataFrame, categories: list[str], reject: str, least: float = 0.06, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
     """(id, p_<category>..., rejected, kept): rows whose probability of the category `reject` is `least` or
     more are rejected.
