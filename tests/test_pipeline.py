@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 
 import duckdb
 import pytest
@@ -113,3 +114,16 @@ def test_stages_belong_to_one_plan(spark):
 
     assert [run(1).count(), run(5).count()] == [1, 5]
     assert staged(spark, "RUN-1:rows", lambda: spark.range(3)).count() == 3
+
+
+def test_bad_provider_rows_stay_rows_with_a_code(spark):
+    from tillwise.sources import landed
+
+    record = lambda **x: {"STAT_CODE": "722Y001", "ITEM_CODE1": "0101000", "ITEM_CODE2": "", "TIME": "200105", "DATA_VALUE": "4.0", **x}
+    body = json.dumps({"StatisticSearch": {"row": [record(), record(STAT_CODE="zzz"), record(TIME="2001"), record(DATA_VALUE="-")]}})
+    payloads = spark.createDataFrame([(body,)], "payload string")
+    assert landed.bank_observations(payloads).count() == 1
+    assert sorted(r.code for r in landed.rejects(landed.judged_bank_rows(payloads)).collect()) == ["PERIOD_INVALID", "SERIES_UNKNOWN", "VALUE_INVALID"]
+    rows = spark.createDataFrame([("090111", "2001.05", "10", "2"), ("-", "2001.05", "1", "1"), ("090111", "2001.05", "-3", "2"), ("090111", "x", "1", "1")], "hsCode string, year string, impDlr string, impWgt string")
+    assert landed.customs_observations(rows).count() == 3
+    assert sorted(r.code for r in landed.rejects(landed.judged_customs_rows(rows)).collect()) == ["COMMODITY_MISSING", "PERIOD_INVALID", "VALUE_INVALID"]

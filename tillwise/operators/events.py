@@ -49,7 +49,7 @@ def registry_errors(candidates: DataFrame, registry: DataFrame) -> DataFrame:
     """candidates(event_type, domain, family, impacts, attributes, …) with `registry_codes`.
 
     The registry is a fixed dimension of under a hundred rows."""
-    out = candidates.join(F.broadcast(registry), "event_type", "left")
+    out = candidates.join(registry, "event_type", "left")
     unknown = F.col("reg_domain").isNull()
     wrong_axis = F.exists("impacts", lambda i: (i["axis"] != F.col("reg_axis")))
     wrong_way = F.exists("impacts", lambda i: (i["axis"] != F.col("reg_axis")) | (i["direction"] != F.col("reg_direction")))

@@ -209,7 +209,7 @@ def baseline_forecast(stores: DataFrame, history: DataFrame, forecast_start: Col
     rows = rows.withColumn("month", F.add_months(forecast_start, F.col("month_index") - 1))
     if features is not None:
         # one row per forecast month (at most twelve): bounded by the horizon, not by the data
-        rows = rows.join(F.broadcast(features.select("month", "revenue_index_multiplier")), "month", "left")
+        rows = rows.join(features.select("month", "revenue_index_multiplier"), "month", "left")
         factor = F.coalesce("revenue_index_multiplier", d(1))
     else:
         factor = d(1)

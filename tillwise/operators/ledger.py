@@ -125,9 +125,9 @@ def monthly_scenario(stores: DataFrame, history: DataFrame, forecasts: DataFrame
     # rate changes come from the adjustments alone, so the loan runs do not wait for forecasts
     plan = every_month(adjustments, keys, horizon, forecast_start).join(debt, "store_id")
     if features is not None:
-        # one row per forecast month (at most twelve): bounded by the horizon, not by the data
-        plan = plan.join(F.broadcast(features.select(
-            "month", "domestic_multiplier", "imported_multiplier", "interest_rate_delta")), "month", "left")
+        # one row per forecast month; Spark broadcasts it once it has measured its size
+        plan = plan.join(features.select(
+            "month", "domestic_multiplier", "imported_multiplier", "interest_rate_delta"), "month", "left")
         mix = F.coalesce((1 - F.col("imported_share")) * F.col("domestic_multiplier")
                          + F.col("imported_share") * F.col("imported_multiplier"), d(1))
         official_delta = F.coalesce("interest_rate_delta", d(0))

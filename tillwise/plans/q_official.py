@@ -363,18 +363,15 @@ def latest_version(spark, sf):
 
 
 @query("latest_event_version", sql("""
-SELECT event_id, CAST(max(k) AS BIGINT) AS version_key, max_by(tier, (d, k)) AS source_tier, count(*) AS versions,
-  string_agg(DISTINCT CAST(k % 7 AS VARCHAR), ',' ORDER BY CAST(k % 7 AS VARCHAR)) AS source_ids
-FROM (SELECT o_custkey AS event_id, o_orderkey AS k, CAST(o_orderdate AS DATE) AS d, o_orderpriority AS tier,
-   row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
-GROUP BY event_id"""))
+SELECT event_id, version_key, source_tier, versions, source_id
+FROM (SELECT o_custkey AS event_id, max(o_orderkey) AS version_key, max_by(o_orderpriority, (CAST(o_orderdate AS DATE), o_orderkey)) AS source_tier, count(*) AS versions FROM orders GROUP BY 1)
+JOIN (SELECT DISTINCT o_custkey AS event_id, CAST(o_orderkey % 7 AS VARCHAR) AS source_id FROM orders) USING (event_id)"""))
 def latest_event_version(spark, sf):
     rows = b.table(spark, sf, "orders").select(
         F.col("o_custkey").alias("event_id"), F.col("o_orderkey").alias("version_key"), F.to_date("o_orderdate").alias("created_at"),
         F.col("o_orderpriority").alias("source_tier"), F.array((F.col("o_orderkey") % 7).cast("string")).alias("source_ids"))
     latest = sinks.latest_version(rows, ["event_id"], ["created_at", "version_key"])
-    links = rows.select("event_id", F.explode("source_ids").alias("source_id")).distinct().groupBy("event_id").agg(
-        F.array_join(F.array_sort(F.collect_set("source_id")), ",").alias("source_ids"))
+    links = rows.select("event_id", F.explode("source_ids").alias("source_id")).distinct()  # long rows: an event may have any number of sources
     top = rows.groupBy("event_id").agg(F.max("version_key").alias("version_key"))
     return latest.select("event_id", "source_tier", F.col("version").alias("versions")).join(links, "event_id").join(top, "event_id")
 

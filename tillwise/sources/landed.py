@@ -40,16 +40,32 @@ def _series(provider: str, position: int) -> dict:
     return {v[1]: (k if position < 0 else v[position]) for k, v in INDICATORS.items() if v[0] == provider}
 
 
-def bank_observations(payloads: DataFrame) -> DataFrame:
-    """payloads(payload STRING) of central-bank responses to observations; unknown series,
-    malformed periods and non-numeric values are dropped by the feed's own contract."""
+def _first_code(*pairs: tuple[Column, str]) -> Column:
+    """Code of the first condition that does not hold, null if all do."""
+    return F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), code) for ok, code in pairs])
+
+
+def rejects(judged: DataFrame) -> DataFrame:
+    """The rows of a judged feed that became no observation, with their `code`."""
+    return judged.filter(F.col("code").isNotNull())
+
+
+def judged_bank_rows(payloads: DataFrame) -> DataFrame:
+    """payloads(payload STRING) of central-bank responses, one row per record with the `code` of what is
+    wrong with it: an unknown series, a malformed period or a value that is no number."""
     rows = payloads.select(F.from_json("payload", BANK_SCHEMA).alias("p")) \
         .select(F.explode("p.StatisticSearch.row").alias("r")).select("r.*")
     series = F.concat_ws(":", *[F.when(F.col(c) != "", F.col(c)) for c in ("STAT_CODE", "ITEM_CODE1", "ITEM_CODE2")])
     rows = rows.withColumn("series", series).withColumn("indicator_id", lookup(_series("ECOS", -1), F.col("series")))
     rows = rows.withColumn("observed_at", period_month(F.col("TIME"))).withColumn("value", F.expr("try_cast(DATA_VALUE AS double)"))
+    return rows.withColumn("code", _first_code(
+        (F.col("indicator_id").isNotNull(), "SERIES_UNKNOWN"), (F.col("observed_at").isNotNull(), "PERIOD_INVALID"), (F.col("value").isNotNull(), "VALUE_INVALID")))
+
+
+def bank_observations(payloads: DataFrame) -> DataFrame:
+    """Observations of central-bank responses; `rejects(judged_bank_rows(…))` has the other records."""
+    rows = judged_bank_rows(payloads).filter(F.col("code").isNull())
     lag = lookup(_series("ECOS", 3), F.col("series")).cast("int")
-    rows = rows.filter(F.col("indicator_id").isNotNull() & F.col("observed_at").isNotNull() & F.col("value").isNotNull())
     available = month_end_plus(F.col("observed_at"), lag)
     names = sorted(["STAT_CODE", "ITEM_CODE1", "ITEM_CODE2", "TIME", "DATA_VALUE"])
     return rows.select(
@@ -59,8 +75,8 @@ def bank_observations(payloads: DataFrame) -> DataFrame:
         content_revision("ECOS-", F.col("TIME"), *[F.col(c) for c in names]).alias("source_revision_id"))
 
 
-def statistics_observations(rows: DataFrame) -> DataFrame:
-    """Rows of the statistics office; the last-change date is the availability date."""
+def judged_statistics_rows(rows: DataFrame) -> DataFrame:
+    """Rows of the statistics office with the `code` of what is wrong with them."""
     region = F.when(F.trim("C1_NM") == NATIONAL_LABEL, "NATIONAL").otherwise("OTHER")
     series = F.concat_ws(":", "ORG_ID", "TBL_ID", "ITM_ID", region)
     digits = F.regexp_replace("LST_CHN_DE", "[^0-9]", "")
@@ -69,10 +85,14 @@ def statistics_observations(rows: DataFrame) -> DataFrame:
         .withColumn("observed_at", period_month(F.col("PRD_DE"))) \
         .withColumn("available_at", F.when(F.length(digits) >= 8, F.try_to_date(F.substring(digits, 1, 8), "yyyyMMdd"))) \
         .withColumn("value", F.expr("try_cast(DT AS double)"))
-    keep = (
-        F.col("indicator_id").isNotNull() & (F.col("PRD_SE") == "M") & (squeeze(F.col("UNIT_NM")) == PRICE_INDEX_UNIT_LABEL)
-        & F.col("observed_at").isNotNull() & F.col("available_at").isNotNull() & F.col("value").isNotNull())
-    return out.filter(keep).select(
+    return out.withColumn("code", _first_code(
+        (F.col("indicator_id").isNotNull(), "SERIES_UNKNOWN"), (F.col("PRD_SE") == "M", "FREQUENCY_UNKNOWN"), (squeeze(F.col("UNIT_NM")) == PRICE_INDEX_UNIT_LABEL, "UNIT_UNKNOWN"),
+        (F.col("observed_at").isNotNull(), "PERIOD_INVALID"), (F.col("available_at").isNotNull(), "AVAILABILITY_MISSING"), (F.col("value").isNotNull(), "VALUE_INVALID")))
+
+
+def statistics_observations(rows: DataFrame) -> DataFrame:
+    """Observations of the statistics office; the last-change date is the availability date."""
+    return judged_statistics_rows(rows).filter(F.col("code").isNull()).select(
         "indicator_id", "value", F.lit("INDEX_2020_100").alias("unit"), F.lit("MONTHLY").alias("frequency"), "observed_at",
         F.col("available_at").alias("released_at"), "available_at")
 
@@ -88,14 +108,21 @@ def read_corpus(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def customs_observations(rows: DataFrame) -> DataFrame:
-    """Import value, weight and (for a positive weight) unit price per commodity and month."""
+def judged_customs_rows(rows: DataFrame) -> DataFrame:
+    """Customs rows with the `code` of what is wrong with them; totals are TOTAL_ROW."""
     number = lambda c: F.expr(f"try_cast(replace({c}, ',', '') AS double)")
     period = F.regexp_replace("year", "[.\\-]", "")
     code = F.trim("hsCode")
     out = rows.withColumn("observed_at", period_month(F.trim(period))).withColumn("v", number("impDlr")).withColumn("w", number("impWgt"))
-    out = out.filter((code != "") & (code != "-") & (F.trim("year") != TOTAL_LABEL) & F.col("observed_at").isNotNull()
-                     & (F.col("v") >= 0) & (F.col("w") >= 0))
+    return out.withColumn("code", _first_code(
+        (F.trim("year") != TOTAL_LABEL, "TOTAL_ROW"), ((code != "") & (code != "-"), "COMMODITY_MISSING"), (F.col("observed_at").isNotNull(), "PERIOD_INVALID"),
+        (F.col("v") >= 0, "VALUE_INVALID"), (F.col("w") >= 0, "WEIGHT_INVALID")))
+
+
+def customs_observations(rows: DataFrame) -> DataFrame:
+    """Import value, weight and (for a positive weight) unit price per commodity and month."""
+    out = judged_customs_rows(rows).filter(F.col("code").isNull())
+    code = F.trim("hsCode")
     item = lambda name, unit, value: F.struct(F.concat(F.lit(name), code).alias("indicator_id"), value.alias("value"),
                                               F.lit(unit).alias("unit"))
     facts = F.array_compact(F.array(
