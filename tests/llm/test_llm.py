@@ -202,21 +202,23 @@ def test_rule_features(docs):
 
 def test_cutoffs_hold_the_exact_bound(spark):
     rng = random.Random(2)
-    rows = [(s, int(rng.random() < 0.8), rng.choice([0.0, 0.1, 0.3]) if rng.random() < 0.03 else 0.0) for s in ("a", "b", None) for _ in range(1500)]
+    rows = [(s, int(rng.random() < 0.8), rng.choice([0.0, 0.1, 0.3]) if rng.random() < 0.01 else 0.0) for s in ("a", "b", None) for _ in range(1500)]
+    rows += [("a", 0, 0.1)] * 40 + [("b", 0, 0.3)] * 40
     rows += [("few", 1, 0.0)] * 20
     rule = risk_rules.Rule("share", "x", (0.2, 0.05))
     got = {(r.stratum, r.rule): r for r in risk_rules.certified_cutoffs(spark.createDataFrame(rows, "s string, good int, x double"), "s", "good", (rule,), 0.02, 0.05).collect()}
     for s in ("a", "b", None, "few"):
         good = [x for t, g, x in rows if t == s and g]
-        best = None
+        best, bad = None, [x for t, g, x in rows if t == s and not g]
         for cutoff in rule.cutoffs:
             k, n = sum(x > cutoff for x in good), len(good)
             if sum(math.comb(n, i) * 0.02**i * 0.98 ** (n - i) for i in range(k + 1)) > 0.05 / 4:
                 break
-            best = (cutoff, n, k)
+            gain = sum(x > cutoff for x in bad) - risk_rules.COST * k
+            best = best if best and best[3] >= gain else (cutoff, n, k, gain)
         assert (best is None) == ((s, "share") not in got)
         if best:
-            assert (got[s, "share"].cutoff, got[s, "share"].n_good, got[s, "share"].n_false) == best
+            assert (got[s, "share"].cutoff, got[s, "share"].n_good, got[s, "share"].n_false) == best[:3]
     assert ("few", "share") not in got
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tillwise.llm.common import WORD_BREAK, text_or_empty, written
 
+#: rejected bad rows that outweigh one good row rejected
+COST = 5
 #: characters that count as symbols
 SYMBOLS = "#*$%&|<>"
 
@@ -83,7 +85,7 @@ def _fails(rule: Rule, cutoff: Column) -> Column:
 
 def certified_cutoffs(holdout: DataFrame, stratum: str, good: str, rules: tuple[Rule, ...] = RULES, risk: float = 0.05,
                       doubt: float = 0.05) -> DataFrame:
-    """(stratum, rule, cutoff, n_good, n_false): for each stratum and rule the harshest certified cutoff.
+    """(stratum, rule, cutoff, n_good, n_false): for each stratum and rule the most useful certified cutoff.
 
     `holdout` has the features, the stratum and a label `good` (1: must not be rejected). A cutoff is
     certified if the exact binomial tail P(Bin(n_good, risk / rules) <= n_false) is at most
@@ -91,10 +93,15 @@ def certified_cutoffs(holdout: DataFrame, stratum: str, good: str, rules: tuple[
     risk / rules. Cutoffs are tested from the mildest on and testing stops at the first failure (fixed
     sequence), so no further correction is due within a rule; strata and rules share `doubt` evenly
     (Bonferroni). With probability 1 - doubt, in every stratum all rules together falsely reject at most
-    `risk` of the good rows. A stratum with too few good rows certifies nothing."""
+    `risk` of the good rows. A stratum with too few good rows certifies nothing.
+
+    All certified cutoffs hold the bound at once, so any of them may be taken: that with most bad rows
+    rejected, less `COST` for each good one, is; of equals the mildest."""
     share = risk / len(rules)
-    counts = (holdout.where(F.col(good) == 1).select(F.col(stratum).alias("stratum"), F.explode(_grid(rules)).alias("g"))
-              .groupBy("stratum", "g.rule", "g.step", "g.cutoff").agg(F.count("*").alias("n"), F.sum(F.col("g.fails").cast("long")).alias("k")))
+    fine = F.col("_fine") == 1
+    counts = (holdout.where(F.col(good).isNotNull()).select(F.col(stratum).alias("stratum"), F.col(good).alias("_fine"), F.explode(_grid(rules)).alias("g"))
+              .groupBy("stratum", "g.rule", "g.step", "g.cutoff").agg(
+                  F.count_if(fine).alias("n"), F.count_if(fine & F.col("g.fails")).alias("k"), F.count_if(~fine & F.col("g.fails")).alias("bad")))
     strata = Window.partitionBy(F.lit(1))  # strata x rules x cutoffs rows
     counts = counts.withColumn("n_strata", F.size(F.collect_set("stratum").over(strata)) + F.max(F.col("stratum").isNull().cast("int")).over(strata))
     # log P(i) - log P(i - 1) = log((n - i + 1) / i) + log(share / (1 - share)); the tail sums exp of the running sum.
@@ -110,8 +117,9 @@ def certified_cutoffs(holdout: DataFrame, stratum: str, good: str, rules: tuple[
     passed = counts.withColumn("ok", tail <= doubt / (F.col("n_strata") * len(rules)))
     row = Window.partitionBy("stratum", "rule").orderBy("step")
     passed = passed.withColumn("ok", F.min(F.col("ok").cast("int")).over(row) == 1).where("ok")
+    use = F.struct((F.col("bad") - COST * F.col("k")).alias("gain"), (-F.col("step")).alias("mild"))
     return passed.groupBy("stratum", "rule").agg(
-        F.max_by("cutoff", "step").alias("cutoff"), F.max_by("n", "step").alias("n_good"), F.max_by("k", "step").alias("n_false"))
+        F.max_by("cutoff", use).alias("cutoff"), F.max_by("n", use).alias("n_good"), F.max_by("k", use).alias("n_false"))
 
 
 def quality_verdicts(df: DataFrame, labels: DataFrame, stratum: str = "lang", id_col: str = "doc_id", text_col: str = "text",
