@@ -51,7 +51,48 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum")
 
 
-@query("op1_warc")
+OP1_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+h AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS top FROM h)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to FROM r"""
+
+# the words of every text: runs of other than space and \t \n \v \f \r
+WORDS_SQL = "SELECT doc_id, [x FOR x IN regexp_split_to_array({text}, '[\\x20\\x09-\\x0D]+') IF x <> ''] AS ws FROM documents"
+
+OP2_SQL = f"""
+WITH w AS ({WORDS_SQL.format(text="coalesce(text, '')")}),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM w, unnest(range(1, len(ws) - 11)) t(i)),
+late AS (SELECT doc_id, i FROM g JOIN (SELECT k, min(doc_id) AS first FROM g GROUP BY k) USING (k) WHERE doc_id > first),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM late),
+kept AS (SELECT t.doc_id, string_agg(t.word, ' ' ORDER BY t.i) AS text, count(*) AS n
+  FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w) t ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
+
+REACH_SQL = """reach AS (SELECT a AS node, a AS root FROM links UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node WHERE r.root < l.b),
+roots AS (SELECT node, min(root) AS root FROM reach GROUP BY 1)"""
+
+OP9_SQL = f"""
+WITH RECURSIVE w AS ({WORDS_SQL.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS k FROM w, unnest(range(1, greatest(len(ws) - 1, CASE WHEN len(ws) > 0 THEN 2 ELSE 1 END))) t(i)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+links AS (SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON x.k = y.k AND x.doc_id <> y.doc_id JOIN n p ON p.doc_id = x.doc_id JOIN n q ON q.doc_id = y.doc_id
+  GROUP BY x.doc_id, y.doc_id, p.n, q.n HAVING 100 * count(*) >= 85 * (p.n + q.n - count(*))),
+{REACH_SQL}
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, doc_id) AS component_id, coalesce(root, doc_id) = doc_id AS kept FROM w LEFT JOIN n USING (doc_id) LEFT JOIN roots ON node = doc_id"""
+
+OP10_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT *, sqrt(list_sum([x * x FOR x IN e])) AS size FROM v
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN e IF x <> 0]) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM ok x JOIN ok y ON x.label = y.label AND x.vec_id <> y.vec_id AND list_dot_product(x.e, y.e) / (x.size * y.size) >= 0.98::DOUBLE),
+{REACH_SQL}
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(root, vec_id) AS component_id, coalesce(root, vec_id) = vec_id AS kept
+FROM v LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY 1) ON a = vec_id LEFT JOIN roots ON node = vec_id"""
+
+
+@query("op1_warc", OP1_SQL)
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path, "page_id", "url", "html")
@@ -64,17 +105,17 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_crc(pieces_of).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-@query("op9_minhash_links")
+@query("op9_minhash_links", OP9_SQL)
 def op9_minhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words_each=3, percent=85)
 
 
-@query("op10_vector_links")
+@query("op10_vector_links", OP10_SQL)
 def op10_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-@query("op2_repeats")
+@query("op2_repeats", OP2_SQL)
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), window=13)
 
