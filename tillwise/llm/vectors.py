@@ -25,8 +25,8 @@ def learn_rotations(sample: np.ndarray, count: int = ROTATIONS, rounds: int = RO
     dims = sample.shape[1]
     mean = sample.mean(axis=0)
     centred = sample - mean
-    _, _, axes = np.linalg.svd(centred, full_matrices=True)
-    principal = centred @ axes.T
+    _, axes = np.linalg.eigh(centred.T @ centred)
+    principal = centred @ axes
     out = []
     for seed in range(count):
         turn, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(dims, dims)))
@@ -34,7 +34,7 @@ def learn_rotations(sample: np.ndarray, count: int = ROTATIONS, rounds: int = RO
             code = np.where(principal @ turn >= 0, 1.0, -1.0)
             u, _, v = np.linalg.svd(principal.T @ code)
             turn = u @ v
-        out.append(axes.T @ turn)
+        out.append(axes @ turn)
     return mean, out
 
 
