@@ -18,16 +18,20 @@ _RNG = np.random.default_rng(9)
 
 @dataclass(frozen=True)
 class Scheme:
-    """Signatures of chunks x width symbols of `bits` bits. Two signatures that differ in at most `distance`
-    symbols agree, in some chunk, in all but one symbol (pigeonhole); so each chunk is looked up once for each
-    symbol left out, and every pair within the distance is found for certain.
+    """Signatures of chunks x width indexed symbols of `bits` bits and `further` symbols of 8 bits.
+
+    Two signatures that differ in at most `distance` indexed symbols agree, in some chunk, in all but one
+    symbol (pigeonhole); so each chunk is looked up once for each symbol left out, and every pair within the
+    distance is found for certain. Of these pairs those go on to their full sets that differ in at most
+    `limit` of all symbols.
 
     A symbol of two sets of similarity s differs with probability 1 - s. At s = 0.85 more than 15 of 32
-    differ with probability 3e-6, and no chunk agrees in three of four with 2e-8; at 0.8: 2e-4 and 1e-6."""
+    differ with probability 3e-6, at 0.8 with 2e-4; more than `limit` of all with about 1e-6."""
 
     chunks: int = 8
     width: int = 4
     bits: int = 20
+    further: int = 480
 
     @property
     def symbols(self) -> int:
@@ -37,13 +41,27 @@ class Scheme:
     def distance(self) -> int:
         return 2 * self.chunks - 1
 
-    def sign(self, shingles: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """n x symbols signature of the sets that begin at `first` in `shingles`."""
-        out = np.empty((len(first), self.symbols), dtype=np.uint32)
-        for i in range(self.symbols):
-            low = np.minimum.reduceat(shingles * _FACTOR[i] + _SHIFT[i], first)
-            out[:, i] = (mix(low) >> np.uint64(64 - self.bits)).astype(np.uint32)
-        return out
+    def limit(self, percent: int) -> int:
+        """Symbols in which sets of this similarity may differ: the mean and five standard deviations."""
+        n, s = self.symbols + self.further, percent / 100
+        return int(n * (1 - s) + 5 * (n * s * (1 - s)) ** 0.5)
+
+    def sign(self, shingles: np.ndarray, first: np.ndarray) -> list[bytes]:
+        """Signatures of the sets that begin at `first` in `shingles`: indexed symbols, then the others."""
+        indexed = np.empty((len(first), self.symbols), dtype=np.uint32)
+        others = np.empty((len(first), self.further), dtype=np.uint8)
+        for i in range(self.symbols + self.further):
+            low = mix(np.minimum.reduceat(shingles * _FACTOR[i] + _SHIFT[i], first))
+            if i < self.symbols:
+                indexed[:, i] = (low >> np.uint64(64 - self.bits)).astype(np.uint32)
+            else:
+                others[:, i - self.symbols] = (low >> np.uint64(56)).astype(np.uint8)
+        return [a.tobytes() + b.tobytes() for a, b in zip(indexed, others)]
+
+    def parts(self, signatures: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The indexed and the other symbols of signatures, a row for each."""
+        whole = np.frombuffer(b"".join(signatures), dtype=np.uint8).reshape(len(signatures), -1)
+        return np.ascontiguousarray(whole[:, :4 * self.symbols]).view(np.uint32), whole[:, 4 * self.symbols:]
 
     def keys(self, signature: np.ndarray) -> np.ndarray:
         """n x (chunks * width) look-up keys: a chunk, the symbol left out, and the other symbols."""
@@ -59,12 +77,13 @@ class Scheme:
         return out.reshape(len(signature), -1).view(np.int64)
 
 
-_FACTOR = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFT = _RNG.integers(0, 2**63, 256, dtype=np.uint64)
+_FACTOR = _RNG.integers(0, 2**63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFT = _RNG.integers(0, 2**63, 1024, dtype=np.uint64)
 #: members of a bucket that are compared with one another in one step
 BLOCK = 512
 
 
+
 def shingle_sets(texts: pa.Array, words_each: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, texts one after another and sorted within, and the bounds of
     each text. A text with fewer words has its whole sequence as one shingle, one without words none."""
@@ -103,7 +122,7 @@ def signed(df: DataFrame, id_col: str, text_col: str, words_each: int, scheme: S
                     for k in range(2):
                         codes[k][some] = np.add.reduceat(mix(code ^ np.uint64(0xA5A5A5A5 * k + 1)), at)
                     for i, s in zip(some.tolist(), scheme.sign(code, at)):
-                        signature[i] = s.tobytes()
+                        signature[i] = s
                 yield pa.RecordBatch.from_arrays([
                     part.column("id"), pa.array(size, pa.int64()), pa.array(codes[0].view(np.int64)), pa.array(codes[1].view(np.int64)),
                     pa.array(signature, pa.binary())], ["id", "n_shingles", "s1", "s2", "signature"])
@@ -118,22 +137,23 @@ def _bucket_rows(classes: DataFrame, scheme: Scheme) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                signature = np.stack([np.frombuffer(s.as_buffer(), dtype=np.uint32) for s in batch.column("signature")])
-                keys = scheme.keys(signature)
+                keys = scheme.keys(scheme.parts(batch.column("signature").to_pylist())[0])
                 ids = np.repeat(np.asarray(batch.column("id")), keys.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], ["key", "id"])
 
     return classes.select("id", "signature").mapInArrow(run, "key long, id long")
 
 
-def _near(pairs: DataFrame, classes: DataFrame, scheme: Scheme) -> DataFrame:
-    """The pairs (a, b) whose signatures differ in at most the scheme's distance."""
+def _near(pairs: DataFrame, classes: DataFrame, scheme: Scheme, percent: int) -> DataFrame:
+    """The pairs (a, b) whose signatures are within the scheme's distance and limit."""
+    limit = scheme.limit(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.stack([np.frombuffer(s.as_buffer(), dtype=np.uint32) for s in batch.column(c)]) for c in ("sa", "sb"))
-                ok = pa.array((x != y).sum(axis=1) <= scheme.distance)
+                (x, u), (y, v) = (scheme.parts(batch.column(c).to_pylist()) for c in ("sa", "sb"))
+                far = (x != y).sum(axis=1)
+                ok = pa.array((far <= scheme.distance) & (far + (u != v).sum(axis=1) <= limit))
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
 
     one, two = classes.select(F.col("id").alias("a"), F.col("signature").alias("sa")), classes.select(F.col("id").alias("b"), F.col("signature").alias("sb"))
@@ -172,18 +192,19 @@ def _full_sets(df: DataFrame, needed: DataFrame, id_col: str, text_col: str, wor
     return rows.join(needed, "id", "left_semi").mapInArrow(run, "id long, set binary").dropDuplicates(["id"])
 
 
-def _cross_pairs(rows: DataFrame, classes: DataFrame, scheme: Scheme) -> DataFrame:
-    """Pairs (a, b) of one bucket, of different components and within the signature distance.
+def _cross_pairs(rows: DataFrame, classes: DataFrame, scheme: Scheme, percent: int) -> DataFrame:
+    """Pairs (a, b) of one bucket, of different components and within the signature distance and limit.
 
     Rows (key, id, root, n): buckets of more than BLOCK members are cut into blocks, and each pair of blocks
     is compared apart, so no bucket lies in one task and none is cut short."""
+    limit = scheme.limit(percent)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = rows.withColumn("_blocks", blocks).withColumn("_mine", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     rows = rows.select("key", F.least("_mine", "_other").alias("i"), F.greatest("_mine", "_other").alias("j"), "_mine", "id", "root")
     rows = rows.join(classes.select("id", "signature"), "id")
 
-    def compare(ids: np.ndarray, roots: np.ndarray, mine: np.ndarray, signature: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    def compare(ids: np.ndarray, roots: np.ndarray, mine: np.ndarray, signature: np.ndarray, others: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
         left = np.arange(len(ids)) if same else np.flatnonzero(mine == mine.min())
         right = left if same else np.flatnonzero(mine == mine.max())
         out = []
@@ -193,7 +214,8 @@ def _cross_pairs(rows: DataFrame, classes: DataFrame, scheme: Scheme) -> DataFra
             for k in range(signature.shape[1]):
                 far += signature[some, k][:, None] != signature[right, k][None, :]
             x, y = np.nonzero((far <= scheme.distance) & (roots[some][:, None] != roots[right][None, :]))
-            out.append((ids[some[x]], ids[right[y]]))
+            close = far[x, y] + (others[some[x]] != others[right[y]]).sum(axis=1) <= limit
+            out.append((ids[some[x[close]]], ids[right[y[close]]]))
         a, b = np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
         return np.minimum(a, b), np.maximum(a, b)
 
@@ -217,21 +239,31 @@ def _cross_pairs(rows: DataFrame, classes: DataFrame, scheme: Scheme) -> DataFra
         stop = int(bounds[-1])
         if not stop:
             return table, []
-        signature = np.frombuffer(b"".join(table.column("signature").slice(0, stop).to_pylist()), dtype=np.uint32).reshape(stop, -1)
+        signature, others = scheme.parts(table.column("signature").slice(0, stop).to_pylist())
         found = []
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             if b - a > 1:
-                found.append(compare(ids[a:b], roots[a:b], mine[a:b], signature[a:b], group[1, a] == group[2, a]))
+                found.append(compare(ids[a:b], roots[a:b], mine[a:b], signature[a:b], others[a:b], group[1, a] == group[2, a]))
         rest = None if end else table.slice(stop)
         if not found:
             return rest, []
         x, y = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
         return rest, [pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])]
 
-    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    # a set number of partitions: few bytes may be much work here, so they are not to be put together
+    number = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(number, "key", "i", "j").sortWithinPartitions("key", "i", "j")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, id, n, root): the members of buckets that hold more than one component."""
+    member = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    member = written(member, "minhash-members")
+    mixed = member.groupBy("key", F.shiftright("key", 32).alias("_high")).agg(F.min("root").alias("_low"), F.max("root").alias("_top")).where("_low <> _top")
+    return written(member.join(mixed.select("key"), "key", "left_semi"), "minhash-open")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, percent: int = 80,
                     scheme: Scheme | None = None) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row: rows are linked if 100 * intersection >= percent *
@@ -240,7 +272,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     1. Rows with one and the same set are one class; the smallest id stands for it, so copies cost nothing.
     2. In each bucket of the multi-index the smallest member is the hub. Pairs with the hub that lie within
-       the signature distance are confirmed on full sets and joined to components.
+       the signature distance and limit are confirmed on full sets and joined to components.
     3. Buckets whose members are all in one component are done: further links inside could change nothing. In
        the others every pair across components is compared by signature and then confirmed.
 
@@ -255,20 +287,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # adaptive execution can split a hot bucket
     hubs = buckets.groupBy("key", F.shiftright("key", 32).alias("_high")).agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
     shared = written(buckets.join(hubs.drop("_high"), "key"), "minhash-shared")
-    first = written(_near(shared.where("a <> id").select("a", F.col("id").alias("b")).distinct(), classes, scheme), "minhash-pairs")
+    first = written(_near(shared.where("a <> id").select("a", F.col("id").alias("b")).distinct(), classes, scheme, percent), "minhash-pairs")
     needed = first.select(F.col("a").alias("id")).union(first.select("b")).distinct()
     sets = written(_full_sets(df, needed, id_col, text_col, words_each), "minhash-sets")
     links = written(_confirmed(first, sets, percent), "minhash-links")
     roots = components(links)
 
-    member = shared.select("key", "id", "n").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    member = written(member, "minhash-members")
-    mixed = member.groupBy("key", F.shiftright("key", 32).alias("_high")).agg(F.min("root").alias("_low"), F.max("root").alias("_top")).where("_low <> _top")
-    open_ = member.join(mixed.select("key"), "key", "left_semi")
-    second = written(_cross_pairs(open_, classes, scheme).join(first, ["a", "b"], "left_anti"), "minhash-pairs")
-    more_needed = second.select(F.col("a").alias("id")).union(second.select("b")).distinct()
-    more_sets = written(_full_sets(df, more_needed, id_col, text_col, words_each), "minhash-sets")
-    more = written(_confirmed(second, more_sets, percent), "minhash-links")
+    open_ = _open_members(shared.select("key", "id", "n"), roots)
+    sets = written(_full_sets(df, open_.select("id").distinct(), id_col, text_col, words_each), "minhash-sets")
+    last = written(_cross_pairs(open_, classes, scheme, percent).join(first, ["a", "b"], "left_anti"), "minhash-pairs")
+    more = written(_confirmed(last, sets, percent), "minhash-links")
     if more.limit(1).count():
         roots = components(links.unionByName(more))
 
