@@ -330,6 +330,54 @@ def test_toxicity_on_held_out_rows(spark, empty):
     assert toxicity.toxicity(empty, labels, ["junk", "toxic"], "toxic").count() == 0
 
 
+def toxic_case(spark, n, toxic_rate, marked, seed, vocabulary=300, labelled=None, junk_mark=True):
+    """(documents, labels, toxic by id): with `marked`, toxic texts hold a word that others lack."""
+    rng = random.Random(seed)
+    rows, marks = [], []
+    for i in range(n):
+        toxic, junk = rng.random() < toxic_rate, rng.random() < 0.2
+        w = prose(rng, rng.randrange(20, 60), vocabulary) + " clickhere" * (junk and junk_mark) + " nasty vile" * (toxic and marked)
+        rows.append((i, w, "en", "s", 0))
+        marks.append((i, int(junk), int(toxic)))
+    rows += [(n, None, None, None, None), (n + 1, "", "en", "s", 0), (n + 2, "не из этих языков", "ru", "s", 0)]
+    labels = spark.createDataFrame(marks[:labelled or n], "doc_id long, junk int, toxic int")
+    return spark.createDataFrame(rows, DOCS), labels, {i: t for i, _, t in marks}
+
+
+def test_toxicity_without_signal_rejects_no_clean_document(spark):
+    # one word tells junk, none tells toxic; the rate of toxic labels is no reason to reject
+    docs, labels, _ = toxic_case(spark, 150, 0.12, False, 3, vocabulary=10**9)
+    assert not any(r.rejected for r in toxicity.toxicity(docs, labels, ["junk", "toxic"], "toxic").collect())
+
+
+def test_toxicity_false_rejections_with_few_labels(spark):
+    for seed in (1, 2):  # features that tell toxic by chance only
+        docs, labels, toxic = toxic_case(spark, 600, 0.12, False, seed, labelled=200)
+        gone = {r.doc_id for r in toxicity.toxicity(docs, labels, ["junk", "toxic"], "toxic").collect() if r.rejected}
+        clean = [i for i in range(200, 600) if not toxic[i]]
+        assert sum(i in gone for i in clean) <= 0.05 * len(clean)
+    # a clear signal, but fewer clean labels than a bound of 5 % needs at 95 %
+    docs, labels, toxic = toxic_case(spark, 200, 0.5, True, 1, labelled=60)
+    assert not any(r.rejected for r in toxicity.toxicity(docs, labels, ["junk", "toxic"], "toxic").collect())
+
+
+def test_toxicity_keeps_texts_without_features(spark):
+    docs, labels, toxic = toxic_case(spark, 600, 0.6, True, 5, labelled=400)
+    got = by_id(toxicity.toxicity(docs, labels, ["junk", "toxic"], "toxic"))
+    assert got[600].kept and got[601].kept and got[602].kept
+    assert sum(got[i].rejected == bool(toxic[i]) for i in range(400, 600)) >= 0.98 * 200
+
+
+def test_certified_cut_holds_the_exact_bound():
+    for n, risk in ((58, 0.05), (59, 0.05), (400, 0.05), (1000, 0.01)):
+        tail = lambda k: sum(math.comb(n, i) * risk**i * (1 - risk) ** (n - i) for i in range(k + 1))
+        k = toxicity.most_false(n, risk, 0.05)
+        assert (k < 0 or tail(k) <= 0.05) and tail(k + 1) > 0.05
+    scores, target = np.array([0.5] * 4 + [0.01] * 96 + [0.9] * 20), np.array([0] * 100 + [1] * 20)
+    assert 0.5 < toxicity.certified_cut(scores, target, 0.0, 0.05, 0.05) <= 0.9
+    assert toxicity.certified_cut(scores[80:], target[80:], 0.0, 0.05, 0.05) == math.inf
+
+
 # ---- 9: near copies
 
 
