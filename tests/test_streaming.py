@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -38,6 +39,26 @@ def test_windows_equal_batch(spark, tmp_path):
     assert rows_of(rate, "w", "k", "n") == rows_of(want, "w", "k", "n")
 
 
+def test_percentiles_of_a_hot_window_are_exact(spark, tmp_path):
+    rng, t0 = random.Random(7), dt.datetime(2026, 1, 1)
+    values = [("hot", rng.choice([-1, 1]) * rng.lognormvariate(3, 2)) for _ in range(30_000)] + [("few", float(v)) for v in (5, 1, 3)]
+    values += [("hot", None), ("none", None), (None, 2.0), (None, 1.0), ("hot", float("nan"))]
+    rows = [(k, t0 + dt.timedelta(seconds=rng.randint(0, 3599)), v) for k, v in values]
+    rng.shuffle(rows)
+    src, schema = str(tmp_path / "src"), "metric string, ts timestamp, value double"
+    for part in (rows[::2], rows[1::2]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+    stream = lambda: feeds.open_stream(spark, src, spark.read.parquet(src).schema)
+    want = {}
+    for k in {k for k, _ in values}:
+        held = sorted((v for m, v in values if m == k and v is not None), key=lambda v: (v != v, v))
+        want[k] = (sum(m == k for m, _ in values), *([held[max(1, math.ceil(p * len(held))) - 1] for p in (0.5, 0.95)] if held else (None, None)))
+    got = feeds.latency_windows(stream(), "ts", "1 hour", str(tmp_path / "a")).collect()
+    assert {r.metric: (r.n, r.p50, r.p95) for r in got} == want and len(got) == len(want)
+    got = feeds.keep_latest(feeds.latency_stream(stream(), "ts", "1 hour", "1 hour"), ["w", "metric"], str(tmp_path / "b")).collect()
+    assert {r.metric: (r.n, *r.p) for r in got} == want
+
+
 def test_corpus_reader(spark, tmp_path):
     from tillwise.sources.landed import read_corpus
 

@@ -49,6 +49,30 @@ def latency_percentiles(samples: DataFrame, key: str, points=(0.50, 0.95)) -> Da
         F.max(F.when(covers(p), F.col("value"))).alias(f"p{int(p * 100)}") for p in points])
 
 
+def counted_percentiles(counted: DataFrame, keys: list[str], points=(0.50, 0.95)) -> DataFrame:
+    """counted(keys…, value, c): rows per distinct value to (keys…, n, max_value, p…), percentiles being the
+    value at rank ceil(p * samples), exactly.
+
+    Null values count in n only. Ranks are found as in `latency_percentiles`, by bucket of values, so no group
+    lies in one task; null keys are groups too."""
+    value = F.col("value")
+    bucket = F.when(F.isnan("value"), F.lit(2**63 - 1)).otherwise(F.floor(F.signum(value) * F.log2(F.abs(value) + 1) * 16))
+    counted = counted.withColumn("_bucket", bucket).withColumn("_held", F.when(value.isNotNull(), F.col("c")).otherwise(F.lit(0)))
+    sizes = counted.groupBy(*keys, "_bucket").agg(F.sum("_held").alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+                         F.sum("_n").over(Window.partitionBy(*keys)).alias("_samples"))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    same = F.col("_bucket").eqNullSafe(F.col("_b"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    rows = counted.withColumn("_upto", F.sum("_held").over(inside)).join(sizes, same)
+    last = F.col("_before") + F.col("_upto")
+    covers = lambda p: F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("_samples"))).between(last - F.col("_held") + 1, last)
+    return rows.groupBy(*keys).agg(F.sum("c").alias("n"), F.max("value").alias("max_value"), *[
+        F.max(F.when(covers(p), value)).alias(f"p{int(p * 100)}") for p in points])
+
+
 def acceptance_ratio(counts: DataFrame, keys: list[str]) -> DataFrame:
     """counts(keys…, accepted, rejected) plus the accepted share, 0 without events."""
     total = F.sum("accepted") + F.sum("rejected")

@@ -39,5 +39,5 @@ SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, event
 FROM events GROUP BY 1, 2"""))
 def stream_latency(spark, sf):
     rows = feed(spark, sf).select(F.col("event_type").alias("metric"), "ts", "value")
-    out = feeds.keep_latest(feeds.latency_stream(rows, "ts", "1 hour", "1 hour"), ["w", "metric"], feeds.new_folder(spark))
-    return out.select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("window_start"), "metric", "n", "max_value", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"))
+    out = feeds.latency_windows(rows, "ts", "1 hour", feeds.new_folder(spark))
+    return out.select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("window_start"), "metric", "n", "max_value", "p50", "p95")
