@@ -473,6 +473,20 @@ def test_vectors_brute_force(spark):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for dims, n in ((32, 400), (24, 150), (64, 4)):  # pairs of near copies; the last two lengths are the rarer
+        for i in range(n):
+            v = rng.normal(size=dims)
+            rows += [(len(rows), v.tolist(), 1), (len(rows) + 1, (v + rng.normal(size=dims) * 0.03).tolist(), 1)]
+    rows += [(len(rows), rows[-1][1], 1)]
+    got = by_id(vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")), "vec_id")
+    for first, last in ((0, 800), (800, 1100), (1100, 1108)):
+        assert sum(got[i].n_links > 0 for i in range(first, last)) >= 0.99 * (last - first)
+    assert got[1108].n_links == 2 and got[1108].component_id == 1106
+
+
 # ---- the pipeline
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ SAMPLE = 20_000
 #: codes of one bit for each dimension, each with a rotation of its own, and tables for each code. A pair is
 #: found if one of the ROTATIONS x TABLES parts differs in at most one bit
 ROTATIONS, TABLES, ROUNDS = 3, 3, 30
+#: vectors of a length, for each dimension, that rotations are learned from at least; with fewer they are random
+LEARNED = 4
 
 
 def learn_rotations(sample: np.ndarray, count: int = ROTATIONS, rounds: int = ROUNDS) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -38,6 +42,27 @@ def learn_rotations(sample: np.ndarray, count: int = ROTATIONS, rounds: int = RO
     return mean, out
 
 
+@functools.lru_cache(maxsize=16)
+def random_rotations(dims: int, count: int = ROTATIONS) -> tuple[np.ndarray, list[np.ndarray]]:
+    """As `learn_rotations`, for a length that too few vectors have: the same in every task, about zero."""
+    return np.zeros(dims), [np.linalg.qr(np.random.default_rng([dims, seed]).normal(size=(dims, dims)))[0] for seed in range(count)]
+
+
+def learn_models(sample: pa.Array) -> dict[int, tuple[np.ndarray, list[np.ndarray]]]:
+    """Dimensions to mean and rotations, for each length that enough vectors of the sample have."""
+    dims = np.asarray(pc.binary_length(sample)) // 8
+    return {int(d): learn_rotations(_units(sample.filter(pa.array(dims == d)))) for d in np.unique(dims) if (dims == d).sum() >= LEARNED * d}
+
+
+def by_length(batch: pa.RecordBatch, column: str, most: int = 2000) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(dimensions, rows of that many), `most` rows at once."""
+    dims = np.asarray(pc.binary_length(batch.column(column))) // 8
+    for d in np.unique(dims):
+        some = batch.filter(pa.array(dims == d))
+        for at in range(0, some.num_rows, most):
+            yield int(d), some.slice(at, most)
+
+
 def table_codes(units: np.ndarray, mean: np.ndarray, rotations: list[np.ndarray], tables: int = TABLES) -> list[tuple[np.ndarray, int]]:
     """For each rotation and table: the bits of all vectors as one number, and how many bits those are."""
     out = []
@@ -85,12 +110,12 @@ def _units(column: pa.Array) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
-def _keys(classes: DataFrame, model: tuple[np.ndarray, list[np.ndarray]], probes: bool) -> DataFrame:
+def _keys(classes: DataFrame, models: dict[int, tuple[np.ndarray, list[np.ndarray]]], probes: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                keys = look_up_keys(np.asarray(part.column("label")), table_codes(_units(part.column("vector")), *model), probes)
+            for dims, part in by_length(batch, "vector"):
+                spaces = mix(np.asarray(part.column("label")).astype(np.int64).view(np.uint64) ^ mix(np.array([dims], dtype=np.uint64))).view(np.int64)
+                keys = look_up_keys(spaces, table_codes(_units(part.column("vector")), *(models.get(dims) or random_rotations(dims))), probes)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(np.asarray(part.column("id")), keys.shape[1]))], ["key", "id"])
 
     return classes.select("id", "label", "vector").mapInArrow(run, "key long, id long")
@@ -101,38 +126,34 @@ def _reranked(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for _, part in by_length(batch, "va"):
                 x, y = _units(part.column("va")), _units(part.column("vb"))
                 ok = pa.array(((x * y).sum(axis=1) >= least) & (np.asarray(part.column("la")) == np.asarray(part.column("lb"))))
                 yield pa.RecordBatch.from_arrays([part.column("a").filter(ok), part.column("b").filter(ok)], ["a", "b"])
 
     one, two = (classes.select(F.col("id").alias(n), F.col("label").alias(f"l{n}"), F.col("vector").alias(f"v{n}")) for n in "ab")
-    return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").where(F.octet_length("va") == F.octet_length("vb")).mapInArrow(run, "a long, b long")
 
 
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98) -> DataFrame:
-    """(id, n_links, component_id, kept) of every vector; vectors with equal labels link at a cosine of at
-    least `least`.
+    """(id, n_links, component_id, kept) of every vector; vectors with equal labels and lengths link at a cosine
+    of at least `least`.
 
-    Equal vectors are one class and are indexed once. The rotations are learned on the driver from at most
-    SAMPLE classes; every class is indexed, retrieved through the Hamming tables and reranked with its
+    Equal vectors are one class and are indexed once. The rotations of each length are learned on the driver
+    from those of at most SAMPLE classes that have it; every class is indexed, retrieved through the Hamming tables and reranked with its
     original vector. At a cosine of 0.98 a bit differs with probability 0.064 for a random rotation, so all
     nine parts of 21 bits differ in two bits or more with about 2e-4.
 
-    Null labels, null, empty or zero vectors, vectors with null or non-finite components, vectors whose
-    length is not the commonest one, and null ids link with nothing and are kept. Rows with the same id are
-    one node. An empty table gives no rows; other columns are not read."""
+    Null labels, null, empty or zero vectors, vectors with null or non-finite components, and null ids link
+    with nothing and are kept. Rows with the same id are one node. An empty table gives no rows; other columns are not read."""
     checked = written(_checked(df, id_col, vector_col, label_col), "vectors")
-    usual = checked.where("vector is not null").groupBy(F.octet_length("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    width = usual["n"] if usual else 0
-    valid = (F.col("vector").isNotNull()) & (F.octet_length("vector") == width) & F.col("id").isNotNull()
+    valid = F.col("vector").isNotNull() & F.col("id").isNotNull()
     rows = checked.withColumn("c1", F.when(valid, F.xxhash64("label", "vector"))).withColumn("c2", F.when(valid, F.xxhash64("vector", "label")))
     classes = written(rows.where("c1 is not null").groupBy("c1", "c2", "label", "vector").agg(F.min("id").alias("id"), F.count("*").alias("n")), "vector-classes")
     sample = classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").toArrow().column("vector").combine_chunks()
     if len(sample):
-        model = learn_rotations(_units(sample))
-        index, probes = _keys(classes, model, False), _keys(classes, model, True)
+        models = learn_models(sample)
+        index, probes = _keys(classes, models, False), _keys(classes, models, True)
         found = index.withColumnRenamed("id", "a").join(probes.withColumnRenamed("id", "b"), "key").where("a < b").select("a", "b").distinct()
         links = _reranked(found, classes, least)
     else:
