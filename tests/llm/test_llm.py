@@ -473,6 +473,24 @@ def test_vectors_brute_force(spark):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_wide_vectors_near_the_limit(spark):
+    assert vectors.tables_for(64, 0.98) == vectors.TABLES
+    for dims in (2, 3, 64, 128, 256, 384, 1024):
+        for least in (0.7, 0.9, 0.98, 0.9999):
+            n = vectors.tables_for(dims, least)
+            assert -(-dims // n) <= 64 and (n == dims or vectors.expected_recall(dims, n, least) >= vectors.RECALL)
+    rng = np.random.default_rng(8)
+    rows = []
+    for dims, n in ((384, 100), (128, 50)):  # pairs at a cosine of 0.981
+        for _ in range(n):
+            v, w = rng.normal(size=(2, dims))
+            v /= np.linalg.norm(v)
+            w -= (w @ v) * v
+            rows += [(len(rows), v.tolist(), 1), (len(rows) + 1, (0.981 * v + math.sqrt(1 - 0.981**2) * w / np.linalg.norm(w)).tolist(), 1)]
+    got = by_id(vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")), "vec_id")
+    assert sum(r.n_links for r in got.values()) >= 0.99 * len(rows)
+
+
 def test_vectors_of_several_lengths(spark):
     rng = np.random.default_rng(6)
     rows = []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,9 +17,13 @@ from tillwise.llm.components import components
 
 #: vectors, picked by a hash of their id, that the rotations are learned from; every vector is indexed
 SAMPLE = 20_000
-#: codes of one bit for each dimension, each with a rotation of its own, and tables for each code. A pair is
-#: found if one of the ROTATIONS x TABLES parts differs in at most one bit
+#: codes of one bit for each dimension, each with a rotation of its own, and tables for each code at least. A pair
+#: is found if one of the ROTATIONS x tables parts differs in at most one bit
 ROTATIONS, TABLES, ROUNDS = 3, 3, 30
+#: bits of a part at most, as it is one 64-bit number
+PART_BITS = 64
+#: expected share of the pairs at the limit that are found, at least; where TABLES do not reach it there are more
+RECALL = 0.999
 #: vectors of a length, for each dimension, that rotations are learned from at least; with fewer they are random
 LEARNED = 4
 
@@ -42,6 +47,25 @@ def learn_rotations(sample: np.ndarray, count: int = ROTATIONS, rounds: int = RO
     return mean, out
 
 
+def expected_recall(dims: int, tables: int, least: float, rotations: int = ROTATIONS) -> float:
+    """The chance that a pair at cosine `least` agrees in all bits but one of some part, where each bit differs
+    with acos(least) / pi."""
+    p, missed = math.acos(min(1.0, max(-1.0, least))) / math.pi, 1.0
+    for part in np.array_split(np.arange(dims), tables):
+        missed *= (1 - (1 - p) ** len(part) - len(part) * p * (1 - p) ** (len(part) - 1)) ** rotations
+    return 1 - missed
+
+
+@functools.lru_cache(maxsize=1024)
+def tables_for(dims: int, least: float) -> int:
+    """The fewest parts of a code, TABLES at least, whose expected recall reaches RECALL. Parts of one bit find
+    every pair, so there always are."""
+    tables = min(max(TABLES, -(-dims // PART_BITS)), dims)
+    while tables < dims and expected_recall(dims, tables, least) < RECALL:
+        tables += 1
+    return tables
+
+
 @functools.lru_cache(maxsize=16)
 def random_rotations(dims: int, count: int = ROTATIONS) -> tuple[np.ndarray, list[np.ndarray]]:
     """As `learn_rotations`, for a length that too few vectors have: the same in every task, about zero."""
@@ -110,12 +134,13 @@ def _units(column: pa.Array) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
-def _keys(classes: DataFrame, models: dict[int, tuple[np.ndarray, list[np.ndarray]]], probes: bool) -> DataFrame:
+def _keys(classes: DataFrame, models: dict[int, tuple[np.ndarray, list[np.ndarray]]], least: float, probes: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for dims, part in by_length(batch, "vector"):
                 spaces = mix(np.asarray(part.column("label")).astype(np.int64).view(np.uint64) ^ mix(np.array([dims], dtype=np.uint64))).view(np.int64)
-                keys = look_up_keys(spaces, table_codes(_units(part.column("vector")), *(models.get(dims) or random_rotations(dims))), probes)
+                mean, rotations = models.get(dims) or random_rotations(dims)
+                keys = look_up_keys(spaces, table_codes(_units(part.column("vector")), mean, rotations, tables_for(dims, least)), probes)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(np.asarray(part.column("id")), keys.shape[1]))], ["key", "id"])
 
     return classes.select("id", "label", "vector").mapInArrow(run, "key long, id long")
@@ -141,8 +166,9 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
     Equal vectors are one class and are indexed once. The rotations of each length are learned on the driver
     from those of at most SAMPLE classes that have it; every class is indexed, retrieved through the Hamming tables and reranked with its
-    original vector. At a cosine of 0.98 a bit differs with probability 0.064 for a random rotation, so all
-    nine parts of 21 bits differ in two bits or more with about 2e-4.
+    original vector. At a cosine of 0.98 a bit differs with probability 0.064 for a random rotation, so at 64
+    dimensions all nine parts of 21 bits differ in two bits or more with about 2e-4. More dimensions or a lower
+    `least` have more parts, so that RECALL is expected at the limit (`tables_for`).
 
     Null labels, null, empty or zero vectors, vectors with null or non-finite components, and null ids link
     with nothing and are kept. Rows with the same id are one node. An empty table gives no rows; other columns are not read."""
@@ -153,7 +179,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     sample = classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").toArrow().column("vector").combine_chunks()
     if len(sample):
         models = learn_models(sample)
-        index, probes = _keys(classes, models, False), _keys(classes, models, True)
+        index, probes = _keys(classes, models, least, False), _keys(classes, models, least, True)
         found = index.withColumnRenamed("id", "a").join(probes.withColumnRenamed("id", "b"), "key").where("a < b").select("a", "b").distinct()
         links = _reranked(found, classes, least)
     else:
