@@ -13,34 +13,47 @@ from tillwise.llm.common import session, written
 PASSAGE_WORDS = 13
 
 
-def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The documents that a verdict (doc_id, kept) keeps, with their own columns; rows without an id stay."""
-    gone = verdicts.where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def _keyed(docs: DataFrame, name: str) -> DataFrame:
+    """The documents with a key of each row's own, written once; keys follow doc_id, and rows without one have none."""
+    return written(docs.orderBy("doc_id").withColumn("_row", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())), name)
+
+
+def _by_row(labels: DataFrame, keyed: DataFrame) -> DataFrame:
+    return labels.join(keyed.select("doc_id", "_row"), "doc_id").drop("doc_id")
+
+
+def _kept(keyed: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The documents that a verdict (_row, kept) keeps, with their own columns; rows without an id stay."""
+    gone = verdicts.where("not kept and _row is not null").select("_row")
+    return keyed.join(gone, "_row", "left_anti").drop("_row")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = session(spark).read.parquet(f"{sf_dir}/labels.parquet")
-    return _kept(docs, risk_rules.quality_verdicts(docs, labels))
+    keyed = _keyed(docs, "quality-rows")
+    return _kept(keyed, risk_rules.quality_verdicts(keyed, _by_row(labels, keyed), id_col="_row"))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = session(spark).read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", (1 - F.col("quality")).alias("junk"), "toxic")
-    return _kept(docs, toxicity.toxicity(docs, labels, ["junk", "toxic"], "toxic"))
+    keyed = _keyed(docs, "toxicity-rows")
+    return _kept(keyed, toxicity.toxicity(keyed, _by_row(labels, keyed), ["junk", "toxic"], "toxic", id_col="_row"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     session(spark)
-    return _kept(docs, minhash.near_duplicates(docs, words_each=5, percent=80))
+    keyed = _keyed(docs, "near-copies-rows")
+    return _kept(keyed, minhash.near_duplicates(keyed, words_each=5, percent=80, id_col="_row"))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier document has; a document of which nothing is left goes."""
     session(spark)
-    cut = substrings.remove_repeats(docs, window=PASSAGE_WORDS, keep_text=True).where("n_removed > 0 and doc_id is not null")
-    cut = written(cut.select("doc_id", "kept_text", (F.col("n_words") > F.col("n_removed")).alias("some")), "passages-cut").dropDuplicates(["doc_id"])
+    keyed = _keyed(docs, "passages-rows")
+    cut = substrings.remove_repeats(keyed, id_col="_row", window=PASSAGE_WORDS, keep_text=True).where("n_removed > 0 and _row is not null")
+    cut = written(cut.select("_row", "kept_text", (F.col("n_words") > F.col("n_removed")).alias("some")), "passages-cut")
     # aliases keep columns apart that a table may have under the same names
-    joined = docs.alias("d").join(cut.alias("c"), F.col("d.doc_id") == F.col("c.doc_id"), "left").where(F.coalesce("c.some", F.lit(True)))
+    joined = keyed.alias("d").join(cut.alias("c"), F.col("d._row") == F.col("c._row"), "left").where(F.coalesce("c.some", F.lit(True)))
     changed = F.col("c.kept_text").isNotNull()
     columns = {"text": F.coalesce("c.kept_text", "d.text"), "n_chars": F.when(changed, F.length("c.kept_text").cast("long")).otherwise(F.col("d.n_chars"))}
     return joined.select(*[columns[c].alias(c) if c in columns else F.col(f"d.`{c}`") for c in docs.columns])

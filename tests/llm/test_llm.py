@@ -508,6 +508,20 @@ def test_vectors_of_several_lengths(spark):
 # ---- the pipeline
 
 
+def test_pipeline_stages_keep_other_rows_of_an_id(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    a, b, passage = prose(rng, 80, 20_000), prose(rng, 80, 20_000), prose(rng, 40, 20_000)
+    rows = [(1, passage, "en", "s", 0), (2, f"{a} {passage}", "en", "s", 0), (2, f"{b} {passage}", "en", "s", 0), (3, b, "en", "s", 0), (2, "too short", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = sorted((r.doc_id, r.text) for r in corpus_pipeline.passages(spark, docs.limit(3), "").collect())
+    assert got == sorted([(1, passage), (2, a), (2, b)])
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = sorted((r.doc_id, r.text) for r in corpus_pipeline.quality(spark, docs, str(tmp_path)).collect())
+    assert got == sorted(r[:2] for r in rows[:4])
+
+
 def test_pipeline_on_planted_cases(spark, tmp_path):
     import corpus_pipeline
 
