@@ -36,15 +36,19 @@ def one_plan() -> Iterator[None]:
         _PLAN.reset(token)
 
 
+def new_stage(frame: DataFrame, name: str) -> DataFrame:
+    """The frame written to the shared folder and read back: cuts the lineage of rounds that build on each other."""
+    path = f"{shared_folder(frame.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def staged(spark: SparkSession, key: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The table `key` of the plan in hand, written on first use."""
     known = _PLAN.get()
     if known is not None and key in known:
         return known[key]
-    frame = build()
-    path = f"{shared_folder(spark)}/tillwise-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    table = spark.read.schema(frame.schema).parquet(path)
+    table = new_stage(build(), "tillwise")
     if known is not None:
         known[key] = table
     return table

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.functions.core import codes, d, lookup, month_gap
 from tillwise.functions.places import region_codes_match, region_id, region_ids
-from tillwise.functions.skew import neighbour, salted_join, spread_rank
+from tillwise.functions.skew import salted_join, spread_rank
 from tillwise.functions.text import fold_space
 from tillwise.functions.units import NUMBERS_IN_TEXT, normalize_number
 from tillwise.operators.ledger import cash_burn, cash_ledger
@@ -138,103 +135,6 @@ def context_check(rows: DataFrame, documents: DataFrame) -> DataFrame:
     return out.select("policy_id", code.alias("code"))
 
 
-# ---- grouping and merging ------------------------------------------------------------------
-
-
-def conflict_fields(policies: DataFrame, block: list[str], key: str, fields: list[str]) -> DataFrame:
-    """Per policy the fields in which another program of its block states something else.
-
-    A stated field is contested when the block's smallest and largest stated values differ, so
-    one small aggregate per block replaces the comparison of every pair."""
-    text = {f: F.col(f).cast("string") for f in fields}
-    spread = policies.groupBy(*block).agg(*[F.min(v).alias("_lo_" + f) for f, v in text.items()], *[F.max(v).alias("_hi_" + f) for f, v in text.items()])
-    out = salted_join(policies, spread, block, F.col(key))
-    found = codes(*[(F.col(f).isNotNull() & (F.col("_lo_" + f) != F.col("_hi_" + f)), f) for f in fields])
-    return out.select(key, *block, found.alias("conflicting_fields"))
-
-
-def _first_fit(fields: list[str]):
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows arrive sorted by (_sub, first_id): put each into the first group of its sub-block
-        that it does not contradict. Only the groups' stated values are held, never the rows."""
-        current, profiles = None, []
-        for batch in batches:
-            chosen = []
-            columns = [batch["_sub"], *[batch[f] for f in fields]]
-            for sub, *values in zip(*columns):
-                if sub != current:
-                    current, profiles = sub, []
-                stated = {f: v for f, v in zip(fields, values) if v is not None and v == v}
-                for number, profile in enumerate(profiles):
-                    if all(profile.get(f, v) == v for f, v in stated.items()):
-                        profile.update(stated)
-                        break
-                else:
-                    number = len(profiles)
-                    profiles.append(stated)
-                chosen.append(number)
-            yield pd.DataFrame({"_sub": batch["_sub"], "_sig": batch["_sig"], "first_id": batch["first_id"], "_group": chosen})
-
-    return assign
-
-
-def group_policies(policies: DataFrame, block: list[str], key: str, fields: list[str]) -> DataFrame:
-    """Adds `group_id`, the smallest policy id of the equivalent programs.
-
-    Greedy in id order: a policy joins the first group none of whose members contradicts it.
-    Members never contradict each other, so a group is known by one stated value per field; and
-    policies with equal fields always land together, so only distinct field combinations are
-    placed. A field that every policy of a block states splits the block outright. The distinct
-    combinations of a sub-block then stream past in id order; a task holds one small profile per
-    group, not the combinations themselves."""
-    text = {f: F.col(f).cast("string") for f in fields}
-    rows = policies.select(key, *block, *[v.alias(f) for f, v in text.items()])
-    rows = rows.withColumn("_sig", F.sha2(F.to_json(F.struct(*block, *fields)), 256))
-    sigs = rows.groupBy("_sig", *block, *fields).agg(F.min(key).alias("first_id"))
-    gaps = sigs.groupBy(*block).agg(*[F.max(F.col(f).isNull()).alias("_gap_" + f) for f in fields])
-    sigs = salted_join(sigs, gaps, block, F.col("_sig"))
-    parts = [F.when(F.col("_gap_" + f), F.lit("*")).otherwise(F.concat(F.lit("="), F.col(f))) for f in fields]
-    sigs = sigs.withColumn("_sub", F.sha2(F.concat_ws("\x1f", *block, *parts), 256))
-    ordered = sigs.select("_sub", "_sig", "first_id", *fields).repartition("_sub").sortWithinPartitions("_sub", "first_id")
-    placed = ordered.mapInPandas(_first_fit(fields), "_sub string, _sig string, first_id bigint, _group int")
-    heads = placed.groupBy("_sub", "_group").agg(F.min("first_id").alias("group_id"))
-    placed = placed.join(heads, ["_sub", "_group"]).select("_sig", "group_id")
-    return salted_join(rows.select(key, "_sig"), placed, ["_sig"], F.col(key)).select(key, "group_id")
-
-
-def merge_policies(policies: DataFrame, groups: DataFrame, key: str, fields: list[str], strength: list[Column]) -> DataFrame:
-    """One row per group: first stated value per field (in id order), the strongest member as
-    primary, the union of codes, and the status that differing validations leave.
-
-    policies carry validation_status and failure_codes; notices that correct or end a program
-    stay out of the merge and keep their own row (`notice_lineage`)."""
-    rows = policies.join(groups, key)
-    stated = lambda f: F.min_by(F.when(F.col(f).isNotNull(), F.col(f)), F.when(F.col(f).isNotNull(), F.col(key))).alias(f)
-    signature = F.concat_ws("|", "validation_status", F.array_join(F.array_sort("failure_codes"), ","))
-    soft = F.col("validation_status").isin("VALIDATED", "PARTIALLY_VALIDATED")
-    out = rows.groupBy("group_id").agg(
-        F.count("*").alias("members"), F.min_by(key, F.struct(*strength, F.col(key))).alias("primary_id"), *[stated(f) for f in fields],
-        F.min(signature).alias("_s0"), F.max(signature).alias("_s1"), F.min(soft).alias("_soft"),
-        F.min_by("validation_status", F.struct(*strength, F.col(key))).alias("_status"))
-    found = rows.select("group_id", F.explode("failure_codes").alias("code")).distinct().groupBy("group_id").agg(F.collect_list("code").alias("_codes"))
-    out = out.join(found, "group_id", "left")
-    mixed = F.col("_s0") != F.col("_s1")
-    none = F.array().cast("array<string>")
-    status = F.when(mixed & F.col("_soft"), "PARTIALLY_VALIDATED").when(mixed, "CONFLICTED").otherwise(F.col("_status"))
-    union = F.concat(F.coalesce("_codes", none), F.when(mixed, F.array(F.lit("SOURCE_CONFLICT"))).otherwise(none))
-    return out.select("group_id", "members", "primary_id", *fields, status.alias("validation_status"), F.array_join(F.array_sort(union), ",").alias("failure_codes"))
-
-
-def notice_lineage(notices: DataFrame, group: str, key: str, day: str) -> DataFrame:
-    """Corrections and terminations point to the notice before them in their group.
-
-    notices(group, key, day, notice_kind). The order is spread by day, so a group of any size
-    is several small tasks."""
-    out = neighbour(notices, [group], [day, key], F.col(day), F.col(key), "previous", after=False)
-    revision = F.col("notice_kind").isin("CORRECTION", "TERMINATION")
-    return out.withColumn("supersedes", F.when(revision, F.col("previous"))).drop("previous")
-
-
 # ---- eligibility ---------------------------------------------------------------------------
 
 # Comparable store fields, operators, business-size words.

@@ -71,32 +71,6 @@ def policy_identity(spark, sf):
         po.purpose_key(purpose).alias("purposes"), po.policy_type(F.when(k % 2 == 0, "Loan-Program").otherwise("Odd Type")).alias("type_name"))
 
 
-FIELDS = ["limit_krw", "discount_pp", "annual_rate_percent", "grace_months", "maturity_months"]
-
-
-@query("policy_conflict_pairs", sql(f"""
-SELECT policy_id, provider, name, array_to_string({present(*[(f'{f} IS NOT NULL AND lo_{f} <> hi_{f}', f) for f in FIELDS])}, ',') AS conflicting_fields
-FROM policies JOIN (SELECT provider, name, {', '.join(f'min({f}) AS lo_{f}, max({f}) AS hi_{f}' for f in FIELDS)} FROM policies GROUP BY 1, 2) USING (provider, name)""", "policies"))
-def policy_conflict_pairs(spark, sf):
-    out = po.conflict_fields(b.policies(spark, sf), ["provider", "name"], "policy_id", FIELDS)
-    return out.withColumn("conflicting_fields", F.array_join("conflicting_fields", ","))
-
-
-@query("merge_policies")
-def merge_policies(spark, sf):
-    p = policies(spark, sf).withColumn("limit_krw", F.when(F.col("limit_krw").isNotNull(), F.floor(F.col("limit_krw") / 50000)))
-    groups = po.group_policies(p, ["provider", "name"], "policy_id", FIELDS)
-    return po.merge_policies(p.select("policy_id", *FIELDS, "validation_status", "failure_codes"), groups, "policy_id", FIELDS, [F.size("failure_codes")])
-
-
-@query("notice_lineage", sql("""
-SELECT policy_id, provider, notice_kind, CASE WHEN notice_kind IN ('CORRECTION', 'TERMINATION') THEN lag(policy_id) OVER (PARTITION BY provider ORDER BY day, policy_id) END AS supersedes
-FROM (SELECT *, coalesce(app_start, app_end, DATE '1900-01-01') AS day FROM policies)""", "policies"))
-def notice_lineage(spark, sf):
-    p = b.policies(spark, sf).select("policy_id", "provider", "notice_kind", F.coalesce("app_start", "app_end", F.lit("1900-01-01").cast("date")).alias("day"))
-    return po.notice_lineage(p, "provider", "policy_id", "day").drop("day")
-
-
 @query("policy_upsert", sql("""
 SELECT coalesce(o.policy_id, n.policy_id) AS policy_id, CASE WHEN o.policy_id IS NULL THEN 'INSERT' WHEN n.policy_id IS NULL THEN 'KEPT' WHEN o.f = n.f THEN 'UPDATE' ELSE 'IDENTITY_COLLISION' END AS status
 FROM (SELECT policy_id, sha256(provider || name) AS f FROM policies WHERE policy_id % 3 <> 0) o FULL JOIN (SELECT policy_id, sha256(provider || name || CASE WHEN policy_id % 5 = 0 THEN '!' ELSE '' END) AS f FROM policies WHERE policy_id % 4 <> 0) n ON o.policy_id = n.policy_id""", "policies"))
