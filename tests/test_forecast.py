@@ -58,24 +58,57 @@ def test_short_history_is_not_modelled(spark):
     assert rows[3].status == "INSUFFICIENT_DATA" and rows[3].point is None
 
 
-def test_best_grid_point_is_the_least_squares_one(spark):
+def run(vs, seasonal, a, b, g, p):
+    """(fits, squared errors before each month, level, trend, seasons) of one grid point."""
+    level = sum(vs[:12]) / 12 if seasonal else vs[0]
+    season = [v - level for v in vs[:12]] if seasonal else [0.0] * 12
+    trend = (sum(vs[12:24]) / 12 - level) / 12 if seasonal else vs[1] - vs[0]
+    fits, before, sse = [], [], 0.0
+    for t, y in enumerate(vs):
+        ahead, old = level + p * trend, season[t % 12]
+        fits.append(ahead + old)
+        before.append(sse)
+        sse += (y - ahead - old) ** 2
+        new = a * (y - old) + (1 - a) * ahead
+        trend = b * (new - level) + (1 - b) * p * trend
+        if seasonal:
+            season[t % 12] = g * (y - ahead) + (1 - g) * old
+        level = new
+    return fits, before + [sse], level, trend, season
+
+
+def grid(seasonal):
+    return [(a, b, g, p) for a in smoothing.ALPHA for b in smoothing.BETA for g in (smoothing.GAMMA if seasonal else [0.0]) for p in smoothing.PHI]
+
+
+def test_smoothing_never_sees_the_month_it_predicts(spark):
+    """Every fold is fitted anew on its prefix alone; the forecast on all months."""
     rng = random.Random(5)
-    vs = [50 + 3 * i + rng.uniform(-5, 5) for i in range(20)]
-    fit = smoothing.fit_damped(history(spark, {1: vs}), 3).first()
-
-    def run(a, b, p):
-        level, trend, sse = vs[0], vs[1] - vs[0], 0.0
-        for y in vs:
-            ahead = level + p * trend
-            sse += (y - ahead) ** 2
-            new = a * y + (1 - a) * ahead
-            trend, level = b * (new - level) + (1 - b) * p * trend, new
-        return sse, level, trend
-
-    best = min((run(a, b, p)[0], a, b, p) for a in smoothing.ALPHA for b in smoothing.BETA for p in smoothing.PHI)
-    assert fit.sse == pytest.approx(best[0])
-    _, level, trend = run(*best[1:])
-    assert fit.points[1] == pytest.approx(max(0, level + trend * (best[3] + best[3] ** 2)))
+    series = {n: [50 + 3 * i + 20 * (i % 12 == 3) + rng.uniform(-9, 9) for i in range(n)] for n in (17, 18, 19, 23, 24, 25, 30, 47)}
+    got = {r.store_id: r for r in smoothing.fit_damped(history(spark, series), 3).collect()}
+    assert 17 not in got
+    metrics = {r.store_id: r for r in smoothing.ets_metrics(smoothing.fit_damped(history(spark, series), 3)).collect()}
+    assert set(metrics) == {24, 25, 30, 47}
+    for n, vs in series.items():
+        if n == 17:
+            continue
+        want = []
+        for t in range(max(18, n - 12), n):
+            seasonal = t >= 24
+            prefix = vs[:t]
+            best = min((run(prefix, seasonal, *point)[1][-1], point) for point in grid(seasonal))[1]
+            _, _, level, trend, season = run(prefix, seasonal, *best)
+            want.append((vs[t], vs[t - 1], max(0.0, level + best[3] * trend + season[t % 12])))
+        assert [tuple(f) for f in got[n].folds] == [pytest.approx(w) for w in want]
+        best = min((run(vs, n >= 24, *point)[1][-1], point) for point in grid(n >= 24))
+        assert (got[n].sse, tuple(got[n].params)) == (pytest.approx(best[0]), best[1])
+        _, _, level, trend, season = run(vs, n >= 24, *best[1])
+        phi = best[1][3]
+        assert got[n].points == pytest.approx([max(0.0, level + trend * sum(phi**k for k in range(1, h + 1)) + season[(n + h - 1) % 12]) for h in (1, 2, 3)])
+        if n in metrics:
+            errors = [abs(y - p) for y, _, p in want]
+            assert metrics[n].folds == len(want) and metrics[n].mae == pytest.approx(sum(errors) / len(errors))
+            assert metrics[n].interval_coverage == pytest.approx(sum(e <= 1.96 * metrics[n].mae for e in errors) / len(errors))
 
 
 def test_ets_can_win_the_contest(spark):

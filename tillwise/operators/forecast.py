@@ -101,6 +101,13 @@ def backtest_metrics(history: DataFrame, windows: int = BACKTEST_WINDOWS, all_mo
     )
 
 
+def with_models(metrics: DataFrame, extra: DataFrame) -> DataFrame:
+    """The metrics with those of models without a closed form in place of their `failed` rows."""
+    named = extra.select(F.col("store_id").alias("_store"), F.col("model").alias("_model"))
+    rest = metrics.join(named, (F.col("store_id") == F.col("_store")) & (F.col("model") == F.col("_model")), "left_anti")
+    return rest.unionByName(extra)
+
+
 def select_models(metrics: DataFrame, min_improvement: float = 0.0) -> DataFrame:
     """One row per store: the chosen model, its metrics and the fallback note."""
     ok = metrics.filter(~F.col("failed"))
@@ -192,9 +199,7 @@ def baseline_forecast(stores: DataFrame, history: DataFrame, forecast_start: Col
     metrics = backtest_metrics(history, windows)
     points = model_points(last_frame(history), horizon)
     if extra_metrics is not None:
-        metrics = metrics.join(extra_metrics.select("store_id", "model"), ["store_id", "model"], "left_anti")
-        metrics = metrics.unionByName(extra_metrics)
-        points = points.unionByName(extra_points)
+        metrics, points = with_models(metrics, extra_metrics), points.unionByName(extra_points)
     mean = history.groupBy("store_id").agg(F.avg("revenue").alias("mean_revenue"))
     picked = select_models(metrics, min_improvement).join(mean, "store_id")
     width = F.coalesce("mae", d(0)) * INTERVAL_Z

@@ -1,7 +1,7 @@
 """Damped exponential smoothing on a fixed parameter grid, for all stores at once.
 
-A store's months are one short array; each grid point is one array fold, and the best grid
-point is the one with the smallest squared one-step error. Python is not involved."""
+A store's months are one short array; each grid point is one array fold. The back-test chooses grid points by the
+months before each predicted one, the forecast by all months. Python is not involved."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.functions.core import d
-from tillwise.operators.forecast import INTERVAL_Z, number_months
+from tillwise.operators.forecast import BACKTEST_WINDOWS, INTERVAL_Z, MIN_HISTORY, number_months
 
 # Grid of level, trend and season weights and of the damping factor.
 ALPHA = [0.2, 0.5, 0.8]
@@ -17,6 +17,9 @@ BETA = [0.05, 0.2]
 GAMMA = [0.1, 0.3]
 PHI = [0.9, 0.98]
 PERIOD = 12
+#: months from which the recursion has seasons
+SEASONAL_FROM = 24
+_RUN = ("struct<params:struct<alpha:double,beta:double,gamma:double,phi:double>,run:struct<level:double,trend:double,season:array<double>,sse:double,t:int,fits:array<double>,before:array<double>>>")
 
 
 def _grid(seasonal: bool) -> Column:
@@ -41,8 +44,8 @@ def _fold(values: Column, params: Column, seasonal: bool) -> Column:
     else:
         level0, season0 = values[0], zeros
         trend0 = values[1] - values[0]
-    start = F.struct(level0.alias("level"), trend0.alias("trend"), season0.alias("season"),
-                     d(0).alias("sse"), F.lit(0).alias("t"), F.array().cast("array<double>").alias("fits"))
+    start = F.struct(level0.alias("level"), trend0.alias("trend"), season0.alias("season"), d(0).alias("sse"), F.lit(0).alias("t"),
+                     F.array().cast("array<double>").alias("fits"), F.array().cast("array<double>").alias("before"))
 
     def step(s: Column, y: Column) -> Column:
         slot = F.pmod(s["t"], F.lit(PERIOD))
@@ -53,54 +56,62 @@ def _fold(values: Column, params: Column, seasonal: bool) -> Column:
         trend = params["beta"] * (level - s["level"]) + (1 - params["beta"]) * params["phi"] * s["trend"]
         fresh = params["gamma"] * (y - ahead) + (1 - params["gamma"]) * old
         season = F.transform(s["season"], lambda v, i: F.when(i == slot, fresh).otherwise(v)) if seasonal else s["season"]
-        return F.struct(level.alias("level"), trend.alias("trend"), season.alias("season"),
-                        (s["sse"] + (y - fit) * (y - fit)).alias("sse"), (s["t"] + 1).alias("t"),
-                        F.concat(s["fits"], F.array(fit)).alias("fits"))
+        return F.struct(level.alias("level"), trend.alias("trend"), season.alias("season"), (s["sse"] + (y - fit) * (y - fit)).alias("sse"), (s["t"] + 1).alias("t"),
+                        F.array_append(s["fits"], fit).alias("fits"), F.array_append(s["before"], s["sse"]).alias("before"))
 
     return F.aggregate(values, start, step)
 
 
-def fit_damped(history: DataFrame, horizon: int, windows: int = 12) -> DataFrame:
-    """One row per store with at least 18 months: best parameters, fit error over the last
-    `windows` months and the point forecasts. Seasonal from 24 months on."""
-    numbered = number_months(history).filter(F.col("n") >= 18)
+def _runs(values: Column, seasonal: bool) -> Column:
+    """One run of the recursion for every grid point."""
+    return F.transform(_grid(seasonal), lambda p: F.struct(p.alias("params"), _fold(values, p, seasonal).alias("run")))
+
+
+def fit_damped(history: DataFrame, horizon: int, windows: int = BACKTEST_WINDOWS) -> DataFrame:
+    """One row per store with at least MIN_HISTORY months: (store_id, n, params, sse, points, folds).
+
+    `params` is the grid point with the smallest squared one-step error over all months and `points` its forecasts.
+    `folds` (y, prev, pred) is the rolling back-test: month t is predicted by the grid point that was best over the
+    months before t, seasonally where those are 24 or more. The recursion only looks back, so one run per grid
+    point has every prefix: its errors before t and its prediction of t. A store is one short array, worked out in one
+    projection after one shuffle."""
+    numbered = number_months(history).filter(F.col("n") >= MIN_HISTORY["ETS_DAMPED"])
     series = numbered.groupBy("store_id").agg(
-        F.max("n").alias("n"),
-        F.transform(F.array_sort(F.collect_list(F.struct("idx", "revenue"))), lambda x: x["revenue"]).alias("ys"),
-    )
-    parts = []
-    for seasonal in (False, True):
-        side = series.filter((F.col("n") >= 24) if seasonal else (F.col("n") < 24))
-        grid = side.withColumn("params", F.explode(_grid(seasonal)))
-        grid = grid.withColumn("run", _fold(F.col("ys"), F.col("params"), seasonal))
-        order = F.struct(F.col("run.sse"), F.col("params"))
-        parts.append(grid.groupBy("store_id").agg(
-            F.min_by(F.struct("n", "ys", "params", "run"), order).alias("b")))
-    best = parts[0].unionByName(parts[1]).select("store_id", "b.*")
+        F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("idx", "revenue"))), lambda x: x["revenue"]).alias("ys"))
+    none = F.array().cast(f"array<{_RUN}>")
+    first = F.greatest(F.lit(MIN_HISTORY["ETS_DAMPED"]), F.col("n") - max(1, windows))
+    plain = F.when(first < SEASONAL_FROM, _runs(F.col("ys"), False)).otherwise(none)
+    seasonal = F.when(F.col("n") >= SEASONAL_FROM, _runs(F.col("ys"), True)).otherwise(none)
+    # exploded, so that the runs are worked out once and not again in each expression that looks into them
+    runs = series.withColumn("r", F.explode(F.array(F.struct(plain.alias("plain"), seasonal.alias("seasonal"))))).select("store_id", "n", "ys", "r.*")
+
+    def fold(t: Column) -> Column:
+        side = F.when(t < SEASONAL_FROM, F.col("plain")).otherwise(F.col("seasonal"))
+        best = F.array_min(F.transform(side, lambda r: F.struct(r["run"]["before"][t], r["params"], r["run"]["fits"][t].alias("fit"))))
+        return F.struct(F.col("ys")[t].alias("y"), F.col("ys")[t - 1].alias("prev"), F.greatest(d(0), best["fit"]).alias("pred"))
+
+    folds = F.when(first < F.col("n"), F.transform(F.sequence(first, F.col("n") - 1), lambda t: fold(t.cast("int")))).otherwise(F.array().cast("array<struct<y:double,prev:double,pred:double>>"))
+    whole = F.when(F.col("n") < SEASONAL_FROM, F.col("plain")).otherwise(F.col("seasonal"))
+    least = F.array_min(F.transform(whole, lambda r: F.struct(r["run"]["sse"].alias("sse"), r["params"].alias("params"), r["run"].alias("run"))))
+    best = runs.select("store_id", "n", F.explode(F.array(F.struct(folds.alias("folds"), least.alias("b")))).alias("x")).select("store_id", "n", "x.*")
+    best = best.select("store_id", "n", "b.sse", "b.params", "b.run", "folds")
     phi = F.col("params.phi")
-    steps = F.sequence(F.lit(1), F.lit(horizon))
-    point = lambda h: F.greatest(d(0), F.col("run.level") + F.col("run.trend") * phi * (1 - F.pow(phi, h)) / (1 - phi)
-                                 + F.col("run.season")[F.pmod(F.col("run.t") + h - 1, F.lit(PERIOD))])
-    take = F.least(F.lit(windows), F.col("n") - 12)
-    tail = F.slice(F.arrays_zip(F.col("ys").alias("y"), F.col("run.fits").alias("f")), F.col("n") - take + 1, take)
-    return best.select(
-        "store_id", "n", "params", F.col("run.sse").alias("sse"), F.transform(steps, point).alias("points"),
-        tail.alias("tail"),
-    )
+    point = lambda h: F.greatest(d(0), F.col("run.level") + F.col("run.trend") * phi * (1 - F.pow(phi, h)) / (1 - phi) + F.col("run.season")[F.pmod(F.col("run.t") + h - 1, F.lit(PERIOD))])
+    return best.select("store_id", "n", "params", "sse", F.transform(F.sequence(F.lit(1), F.lit(horizon)), point).alias("points"), "folds")
 
 
 def ets_metrics(fits: DataFrame) -> DataFrame:
-    """Fit errors in the shape of the back-test metrics, so the model can join the contest."""
-    rows = fits.select("store_id", "n", F.explode("tail").alias("p"))
-    y, f = F.col("p.y"), F.greatest(d(0), F.col("p.f"))
-    rows = rows.withColumn("err", F.abs(y - f)).withColumn("scale", F.abs(y) + f)
-    out = rows.groupBy("store_id").agg(
-        F.max("n").alias("n"), F.count("*").alias("folds"), F.avg("err").alias("mae"),
-        F.avg(F.when(F.col("scale") == 0, d(0)).otherwise(2 * F.col("err") / F.col("scale"))).alias("smape"),
-    )
-    return out.select("store_id", F.lit("ETS_DAMPED").alias("model"), "n", "folds", F.lit(False).alias("failed"),
-                      "mae", "smape", F.lit(None).cast("double").alias("directional_accuracy"),
-                      F.lit(None).cast("double").alias("interval_coverage"))
+    """Rolling errors in the shape of the back-test metrics, for the stores in whose contest the model takes part."""
+    size = F.nullif(F.size("folds"), F.lit(0))
+    mean = lambda value: F.aggregate("folds", d(0), lambda acc, x: acc + value(x)) / size
+    scale = lambda x: F.abs(x["y"]) + F.abs(x["pred"])
+    hit = lambda x: F.signum(x["pred"] - x["prev"]) == F.signum(x["y"] - x["prev"])
+    out = fits.filter(F.col("n") >= SEASONAL_FROM).withColumn("mae", mean(lambda x: F.abs(x["y"] - x["pred"])))
+    return out.select(
+        "store_id", F.lit("ETS_DAMPED").alias("model"), "n", F.size("folds").cast("long").alias("folds"), F.lit(False).alias("failed"), "mae",
+        mean(lambda x: F.when(scale(x) == 0, d(0)).otherwise(2 * F.abs(x["y"] - x["pred"]) / scale(x))).alias("smape"),
+        mean(lambda x: hit(x).cast("double")).alias("directional_accuracy"),
+        mean(lambda x: (F.abs(x["y"] - x["pred"]) <= F.col("mae") * INTERVAL_Z).cast("double")).alias("interval_coverage"))
 
 
 def ets_points(fits: DataFrame) -> DataFrame:

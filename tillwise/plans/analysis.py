@@ -13,6 +13,7 @@ from tillwise.operators import ledger as lg
 from tillwise.operators import official as of
 from tillwise.operators import policies as po
 from tillwise.operators import signals as sg
+from tillwise.operators import smoothing
 
 LAYERS = [("TREND", "OFFICIAL"), ("OFFICIAL", "LOW_IMPACT"), ("OFFICIAL", "HIGH_IMPACT")]
 
@@ -36,8 +37,10 @@ def _analyse(run_id: str, tables: dict[str, DataFrame], as_of: Column, forecast_
         known = of.apply_bridge(known, bridged)
     projected = of.project_indicators(known, forecast_start, horizon)
     features = keep("features", lambda: of.monthly_features(projected))
-    trend = keep("trend", lambda: fc.baseline_forecast(stores, history, forecast_start, horizon))
-    official = keep("official", lambda: fc.baseline_forecast(stores, history, forecast_start, horizon, features))
+    fits = keep("smoothing", lambda: smoothing.fit_damped(history, horizon))
+    contest = {"extra_metrics": smoothing.ets_metrics(fits), "extra_points": smoothing.ets_points(fits)}
+    trend = keep("trend", lambda: fc.baseline_forecast(stores, history, forecast_start, horizon, **contest))
+    official = keep("official", lambda: fc.baseline_forecast(stores, history, forecast_start, horizon, features, **contest))
 
     live = tables["events"].filter(ev.overlaps(F.col("start_date"), F.col("end_date"), forecast_start, forecast_end))
     debt = lg.has_variable_debt(stores, loans.select("store_id", "rate_type"))

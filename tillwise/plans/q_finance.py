@@ -8,10 +8,12 @@ from tillwise.functions.core import d, day_name, month_name, month_scaffold, rnd
 from tillwise.functions.stages import staged
 from tillwise.operators import forecast as fc
 from tillwise.operators import ledger as lg
+from tillwise.operators import smoothing
 from tillwise.operators.loans import debt_service as service_of
 from tillwise.operators.loans import loan_schedule as schedule_of
 from tillwise.plans import bindings as b
 from tillwise.plans import q_forecast  # noqa: F401  (its CTEs)
+from tillwise.plans.q_forecast import fits
 from tillwise.plans.catalog import cte, query, r, sql
 from tillwise.plans.q_official import features
 
@@ -157,9 +159,10 @@ SHOWN_SQL = "store_id, scenario, strftime(month, '%Y-%m') AS month, " + ", ".joi
 SELECT b.store_id, status, model, strftime(b.month, '%Y-%m') AS month, {r('point * f.revenue_index_multiplier', 2)} AS point,
   {r('greatest(0.0::DOUBLE, point * f.revenue_index_multiplier - width * f.revenue_index_multiplier)', 2)} AS lower,
   {r('point * f.revenue_index_multiplier + width * f.revenue_index_multiplier', 2)} AS upper, is_assumption_range
-FROM baseline b LEFT JOIN features f USING (month_index)""", "baseline", "features"))
+FROM contest_baseline b LEFT JOIN features f USING (month_index)""", "contest_baseline", "features"))
 def baseline_forecast(spark, sf):
-    out = fc.baseline_forecast(b.stores(spark, sf), b.history(spark, sf), b.start(), b.HORIZON, features(spark, sf))
+    smooth = fits(spark, sf)
+    out = fc.baseline_forecast(b.stores(spark, sf), b.history(spark, sf), b.start(), b.HORIZON, features(spark, sf), extra_metrics=smoothing.ets_metrics(smooth), extra_points=smoothing.ets_points(smooth))
     return out.select("store_id", "status", "model", month_name(F.col("month")).alias("month"), rnd(F.col("point"), 2).alias("point"),
                       rnd(F.col("lower"), 2).alias("lower"), rnd(F.col("upper"), 2).alias("upper"), "is_assumption_range")
 
