@@ -114,13 +114,6 @@ def test_no_link_or_row_is_cut_off(spark):
     assert [(x.rank, x.reason) for x in got if x.target.endswith("exam")] == [(None, "LOCAL_IRRELEVANT_NOTICE")]
 
 
-def test_evidence_is_compared_in_composed_form(spark):
-    body = "기준금리 ２．５０％ 로 유지"
-    ev = spark.createDataFrame([(1, 1, "2.50%", 5, 10), (2, 1, "2.50 %", 5, 10)], "evidence_id int, source_id int, quote string, start int, `end` int")
-    got = {r.evidence_id: r.codes for r in dc.check_evidence(ev, spark.createDataFrame([(1, body)], "source_id int, body string")).collect()}
-    assert got == {1: [], 2: ["OFFSET_MISMATCH", "QUOTE_NOT_FOUND"]}
-
-
 def test_rate_with_spaced_digits(spark):
     text = "2026-07-10. The Monetary Policy Board decided to hold the base rate at 2. 50 %. Done."
     df = spark.createDataFrame([(1, "", text, 2.5), (2, "", text.replace("2. 50 %", "２.５０％").replace("rate", "ra\u00adte"), 2.5)], "doc_id int, title string, body string, official_rate double")

@@ -15,51 +15,6 @@ from tillwise.functions.text import LIST_MARKERS, fold_space, navigation_ratio,
 from tillwise.functions.units import CURRENCY
 from tillwise.functions.urls import canonical_url, path_of
 
-# ---- evidence ------------------------------------------------------------------------------
-
-
-def check_evidence(evidence: DataFrame, documents: DataFrame) -> DataFrame:
-    """evidence(evidence_id, source_id, quote, start, end) with `codes`; documents(source_id, body).
-
-    Quote and body are compared in composed form (NFKC) with folded white space; each body is folded once,
-    before it meets its evidence."""
-    rows = evidence.join(documents.select("source_id", "body", norm_text("body").alias("_folded")), "source_id", "left")
-    quote, size = F.coalesce("quote", F.lit("")), F.length("body")
-    bad_range = (F.col("start") < 0) | (F.col("end") > size) | (F.col("start") >= F.col("end"))
-    piece = F.col("body").substr(F.col("start") + 1, F.col("end") - F.col("start"))
-    present = F.col("body").isNotNull() & (F.col("body") != "")
-    rows = rows.withColumns({"_quote": norm_text(quote), "_piece": norm_text(piece)})
-    found = codes(
-        (~present, "SOURCE_UNAVAILABLE"), (present & (quote == ""), "EMPTY_QUOTE"),
-        (present & (quote != "") & (bad_range | (F.col("_piece") != F.col("_quote"))), "OFFSET_MISMATCH"),
-        (present & (quote != "") & ~F.col("_folded").contains(F.col("_quote")), "QUOTE_NOT_FOUND"))
-    return rows.select("evidence_id", "source_id", found.alias("codes"))
-
-
-def repair_evidence(evidence: DataFrame, documents: DataFrame) -> DataFrame:
-    """Rebinds a wrong offset or revision when the quote occurs exactly once in the body.
-
-    evidence(evidence_id, source_id, revision_id, quote, start, end, row_text): a given row_text
-    shifts row-bounded offsets by the row's place in the body first."""
-    rows = evidence.join(documents.select("source_id", F.col("revision_id").alias("stored_revision"), "body"), "source_id", "left")
-    shift = F.when(F.col("row_text").isNotNull(), F.greatest(F.lit(0), F.instr(F.col("body"), F.col("row_text")) - 1)).otherwise(F.lit(0))
-    start, end = F.col("start") + shift, F.col("end") + shift
-    first = F.instr(F.col("body"), F.col("quote"))
-    again = F.instr(F.col("body").substr(first + 1, F.length("body")), F.col("quote"))
-    rows = rows.withColumns({"s": start, "e": end, "first": first, "again": F.when(first > 0, again).otherwise(F.lit(0))})
-    exact = (F.col("s") >= 0) & (F.col("s") < F.col("e")) & (F.col("e") <= F.length("body")) & (
-        F.col("body").substr(F.col("s") + 1, F.col("e") - F.col("s")) == F.col("quote"))
-    unique = (F.length("quote") > 0) & (F.col("first") > 0) & (F.col("again") == 0)
-    moved = F.col("revision_id") != F.col("stored_revision")
-    code = (
-        F.when(F.col("body").isNull(), "POLICY_EVIDENCE_SOURCE_MISSING").when(moved & ~unique, "POLICY_REVISION_MISMATCH")
-        .when(~exact & (F.col("first") == 0), "POLICY_QUOTE_NOT_FOUND").when(~exact & ~unique, "POLICY_OFFSET_AMBIGUOUS")
-        .when(~exact, "POLICY_EVIDENCE_OFFSET_REPAIRED").when(moved, "POLICY_REVISION_REBOUND_TO_STORED_SOURCE").otherwise("OK"))
-    fixed = ~exact & unique
-    return rows.select("evidence_id", "source_id", F.when(fixed, F.col("first") - 1).otherwise(F.col("s")).alias("start"),
-                       F.when(fixed, F.col("first") - 1 + F.length("quote")).otherwise(F.col("e")).alias("end"), code.alias("code"))
-
-
 # ---- freshness of reference text -----------------------------------------------------------
 
 # Wording that decides whether reference text still applies.

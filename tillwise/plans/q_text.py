@@ -11,6 +11,7 @@ from tillwise.functions.text import injection_flags, navigation_ratio, norm_text
 from tillwise.functions.units import normalize_number
 from tillwise.functions.urls import canonical_url, host_of, source_class, source_role, source_trust
 from tillwise.operators import documents as dc
+from tillwise.operators import evidence as evd
 from tillwise.operators import metrics as mt
 from tillwise.operators import results as rs
 from tillwise.plans import bindings as b
@@ -81,44 +82,64 @@ def injection_flags_query(spark, sf):
 
 # ---- evidence ------------------------------------------------------------------------------
 
-cte("evidence", """
-SELECT doc_id * 3 + j AS evidence_id, CASE WHEN (doc_id * 3 + j) % 23 = 0 THEN -1 ELSE doc_id END AS source_id, p + CASE WHEN (doc_id * 3 + j) % 7 = 0 THEN 2 ELSE 0 END AS s, p + 40 AS e,
-  CASE WHEN (doc_id * 3 + j) % 11 = 0 THEN 'zzz ' || substr(text, p + 1, 36) WHEN (doc_id * 3 + j) % 29 = 0 THEN '' WHEN (doc_id * 3 + j) % 31 = 0 THEN substr(text, p + 1, 1) ELSE substr(text, p + 1, 40) END AS quote,
-  CASE WHEN (doc_id * 3 + j) % 17 = 0 THEN 'r2' ELSE 'r1' END AS revision_id
-FROM (SELECT doc_id, text, j, (doc_id * 13 + j * 57) % greatest(1, length(text) - 40) AS p FROM documents, range(0, 3) t(j))""")
+# quotes come from the stored revision of their name; some are altered, in full-width letters, cut short or bound to a row
+_WIDE = ("abcdefghij", "ａｂｃｄｅｆｇｈｉｊ")
+cte("bodies", """
+SELECT doc_id AS source_id, 'r1' AS revision_id, CASE WHEN doc_id % 37 = 0 THEN 'FAILED' ELSE 'OK' END AS access_status, 1 AS fetched, text AS body FROM documents
+UNION ALL SELECT doc_id, 'r2', 'OK', 2, 'Preface. ' || text || ' ' || substr(text, 1, 200) FROM documents WHERE doc_id % 5 = 0""")
+cte("evidence", f"""
+SELECT k AS evidence_id, CASE WHEN k % 23 = 0 THEN -1 ELSE doc_id END AS source_id, CASE WHEN k % 17 = 0 THEN 'r2' WHEN k % 47 = 0 THEN 'r9' ELSE 'r1' END AS revision_id,
+  CASE WHEN bound THEN p - 100 ELSE p + CASE WHEN k % 7 = 0 THEN 2 ELSE 0 END END AS s, CASE WHEN bound THEN p - 60 ELSE p + 40 END AS e, CASE WHEN bound THEN substr(text, 101, 200) END AS row_text, plain,
+  CASE WHEN k % 13 = 0 THEN translate(plain, '{_WIDE[0]}', '{_WIDE[1]}') ELSE plain END AS quote
+FROM (SELECT *, k % 19 = 0 AND p BETWEEN 100 AND 250 AND length(text) >= 300 AS bound,
+  CASE WHEN k % 11 = 0 THEN 'zzz ' || substr(text, p + 1, 36) WHEN k % 29 = 0 THEN '' WHEN k % 31 = 0 THEN substr(text, p + 1, 1) ELSE substr(text, p + 1, 40) END AS plain
+FROM (SELECT doc_id, text, doc_id * 3 + j AS k, (doc_id * 131 + j * 57) % greatest(1, length(text) - 40) AS p FROM documents, range(0, 3) t(j)))""")
 
 
 def evidence(spark, sf):
     rows = docs(spark, sf).select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("j"))
-    rows = rows.withColumn("p", (F.col("doc_id") * 13 + F.col("j") * 57) % F.greatest(F.lit(1), F.length("text") - 40)).withColumn("k", F.col("doc_id") * 3 + F.col("j"))
-    k, p = F.col("k"), F.col("p").cast("int")
+    rows = rows.withColumn("p", ((F.col("doc_id") * 131 + F.col("j") * 57) % F.greatest(F.lit(1), F.length("text") - 40)).cast("int")).withColumn("k", F.col("doc_id") * 3 + F.col("j"))
+    k, p = F.col("k"), F.col("p")
     piece = lambda n: F.col("text").substr(p + 1, F.lit(n))
-    quote = F.when(k % 11 == 0, F.concat(F.lit("zzz "), piece(36))).when(k % 29 == 0, "").when(k % 31 == 0, piece(1)).otherwise(piece(40))
-    return rows.select(k.alias("evidence_id"), F.when(k % 23 == 0, F.lit(-1)).otherwise(F.col("doc_id")).cast("bigint").alias("source_id"),
-                       (p + F.when(k % 7 == 0, 2).otherwise(0)).alias("start"), (p + 40).alias("end"), quote.alias("quote"),
-                       F.when(k % 17 == 0, "r2").otherwise("r1").alias("revision_id"), F.lit(None).cast("string").alias("row_text"))
+    plain = F.when(k % 11 == 0, F.concat(F.lit("zzz "), piece(36))).when(k % 29 == 0, "").when(k % 31 == 0, piece(1)).otherwise(piece(40))
+    bound = (k % 19 == 0) & p.between(100, 250) & (F.length("text") >= 300)
+    return rows.select(k.alias("evidence_id"), F.when(k % 23 == 0, F.lit(-1)).otherwise(F.col("doc_id")).cast("bigint").alias("source_id"), F.when(k % 17 == 0, "r2").when(k % 47 == 0, "r9").otherwise("r1").alias("revision_id"),
+                       F.when(bound, p - 100).otherwise(p + F.when(k % 7 == 0, 2).otherwise(0)).alias("start"), F.when(bound, p - 60).otherwise(p + 40).alias("end"),
+                       F.when(bound, F.col("text").substr(F.lit(101), F.lit(200))).alias("row_text"), F.when(k % 13 == 0, F.translate(plain, *_WIDE)).otherwise(plain).alias("quote"))
 
 
 def bodies(spark, sf):
-    return docs(spark, sf).select(F.col("doc_id").alias("source_id"), F.lit("r1").alias("revision_id"), F.col("text").alias("body"))
+    d = docs(spark, sf)
+    one = d.select(F.col("doc_id").alias("source_id"), F.lit("r1").alias("revision_id"), F.when(F.col("doc_id") % 37 == 0, "FAILED").otherwise("OK").alias("access_status"), F.lit(1).alias("fetched_at"), F.col("text").alias("body"))
+    two = d.where("doc_id % 5 = 0").select("doc_id", F.lit("r2"), F.lit("OK"), F.lit(2), F.concat(F.lit("Preface. "), "text", F.lit(" "), F.substring("text", 1, 200)))
+    return one.union(two)
 
 
-@query("evidence_check", sql("SELECT evidence_id, source_id, array_to_string(" + present(
-    ("text IS NULL", "SOURCE_UNAVAILABLE"), ("text IS NOT NULL AND quote = ''", "EMPTY_QUOTE"),
-    (f"text IS NOT NULL AND quote <> '' AND (s < 0 OR e > length(text) OR s >= e OR {FOLD('substr(text, s + 1, e - s)')} <> {FOLD('quote')})", "OFFSET_MISMATCH"),
-    (f"text IS NOT NULL AND quote <> '' AND NOT contains({FOLD('text')}, {FOLD('quote')})", "QUOTE_NOT_FOUND")) + ", ',') AS codes FROM evidence LEFT JOIN documents ON doc_id = source_id", "evidence"))
+cte("evidence_at", """
+SELECT x.*, b.body, b.revision_id AS stored, row_text IS NOT NULL AND instr(body, row_text) > 0 AND substr(body, instr(body, row_text) + s, e - s) = quote AS shifted, instr(body, row_text) - 1 AS row_at
+FROM evidence x LEFT JOIN (SELECT * FROM bodies QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY fetched DESC) = 1) b USING (source_id)""", "evidence", "bodies")
+
+
+@query("evidence_check", sql("SELECT evidence_id, source_id, revision_id, array_to_string(" + present(
+    ("body IS NULL", "SOURCE_UNAVAILABLE"), ("body IS NOT NULL AND quote = ''", "EMPTY_QUOTE"),
+    (f"body IS NOT NULL AND quote <> '' AND (s2 < 0 OR e2 > length(body) OR s2 >= e2 OR {FOLD('substr(body, s2 + 1, e2 - s2)')} <> {FOLD('plain')})", "OFFSET_MISMATCH"),
+    (f"body IS NOT NULL AND quote <> '' AND NOT contains({FOLD('body')}, {FOLD('plain')})", "QUOTE_NOT_FOUND")) + """, ',') AS codes
+FROM (SELECT x.*, body, CASE WHEN shift THEN instr(body, row_text) - 1 ELSE 0 END + s AS s2, CASE WHEN shift THEN instr(body, row_text) - 1 ELSE 0 END + e AS e2
+  FROM (SELECT x.*, b.body, coalesce(row_text IS NOT NULL AND instr(body, row_text) > 0 AND substr(body, instr(body, row_text) + s, e - s) = quote, false) AS shift
+    FROM evidence x LEFT JOIN (SELECT * FROM bodies WHERE access_status = 'OK') b USING (source_id, revision_id)) x)""", "evidence", "bodies"))
 def evidence_check(spark, sf):
-    return dc.check_evidence(evidence(spark, sf), bodies(spark, sf)).withColumn("codes", F.array_join("codes", ","))
+    return evd.check_evidence(evidence(spark, sf), bodies(spark, sf)).withColumn("codes", F.array_join("codes", ","))
 
 
 @query("evidence_repair", sql("""
-SELECT evidence_id, source_id, CASE WHEN NOT exact AND uniq THEN first - 1 ELSE s END AS "start", CASE WHEN NOT exact AND uniq THEN first - 1 + length(quote) ELSE e END AS "end",
-  CASE WHEN text IS NULL THEN 'POLICY_EVIDENCE_SOURCE_MISSING' WHEN revision_id <> 'r1' AND NOT uniq THEN 'POLICY_REVISION_MISMATCH' WHEN NOT exact AND first = 0 THEN 'POLICY_QUOTE_NOT_FOUND'
-    WHEN NOT exact AND NOT uniq THEN 'POLICY_OFFSET_AMBIGUOUS' WHEN NOT exact THEN 'POLICY_EVIDENCE_OFFSET_REPAIRED' WHEN revision_id <> 'r1' THEN 'POLICY_REVISION_REBOUND_TO_STORED_SOURCE' ELSE 'OK' END AS code
-FROM (SELECT *, s < e AND e <= length(text) AND substr(text, s + 1, e - s) = quote AS exact, quote <> '' AND first > 0 AND again = 0 AS uniq FROM (
-  SELECT *, CASE WHEN quote = '' THEN 1 ELSE instr(text, quote) END AS first, CASE WHEN instr(text, quote) > 0 AND quote <> '' THEN instr(substr(text, instr(text, quote) + 1), quote) ELSE 1 END AS again FROM evidence LEFT JOIN documents ON doc_id = source_id))""", "evidence"))
+SELECT evidence_id, source_id, CASE WHEN NOT exact AND uniq THEN first - 1 ELSE s2 END AS "start", CASE WHEN NOT exact AND uniq THEN first - 1 + length(quote) ELSE e2 END AS "end", CASE WHEN revision_id <> stored AND uniq THEN stored ELSE revision_id END AS revision_id,
+  CASE WHEN body IS NULL THEN 'POLICY_EVIDENCE_SOURCE_MISSING' WHEN revision_id <> stored AND NOT uniq THEN 'POLICY_REVISION_MISMATCH' WHEN NOT exact AND first = 0 AND quote <> '' THEN 'POLICY_QUOTE_NOT_FOUND'
+    WHEN NOT exact AND NOT uniq THEN 'POLICY_OFFSET_AMBIGUOUS' WHEN NOT exact THEN 'POLICY_EVIDENCE_OFFSET_REPAIRED' WHEN revision_id <> stored THEN 'POLICY_REVISION_REBOUND_TO_STORED_SOURCE' ELSE 'OK' END AS code
+FROM (SELECT *, s2 >= 0 AND s2 < e2 AND e2 <= length(body) AND substr(body, s2 + 1, e2 - s2) = quote AS exact, coalesce(quote <> '' AND first > 0 AND again = 0, false) AS uniq FROM (
+  SELECT *, CASE WHEN coalesce(shifted, false) THEN s + row_at ELSE s END AS s2, CASE WHEN coalesce(shifted, false) THEN e + row_at ELSE e END AS e2, instr(body, quote) AS first,
+    CASE WHEN instr(body, quote) > 0 AND quote <> '' THEN instr(substr(body, instr(body, quote) + 1), quote) ELSE 1 END AS again FROM evidence_at))""", "evidence_at"))
 def evidence_repair(spark, sf):
-    return dc.repair_evidence(evidence(spark, sf), bodies(spark, sf))
+    return evd.repair_evidence(evidence(spark, sf), bodies(spark, sf))
 
 
 # ---- reference material --------------------------------------------------------------------
