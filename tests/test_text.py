@@ -8,6 +8,7 @@ from tillwise.functions.text import norm_text
 from tillwise.functions.units import normalize_number
 from tillwise.functions.urls import canonical_url, source_class, source_trust
 from tillwise.operators import documents as dc
+from tillwise.operators import html_pages as hp
 from tillwise.sources.landed import customs_observations, provider_failure_code, read_customs_xml
 
 
@@ -58,10 +59,10 @@ def test_page_parser(spark):
     html = ("<html><head><title>Festival list</title><meta property='og:site_name' content='City'></head><body><nav><a href='/menu'>m</a></nav><main><h1>Hi</h1>"
             "<ul><li>Street festival on 2026-08-09 in the park <a href='/event/1?utm_a=1'>go</a></li></ul><a href='plan.pdf'>p</a></main></body></html>")
     df = spark.createDataFrame([(1, "https://c.go.kr/list/", html)], "page_id bigint, url string, html string")
-    r = dc.page_links(dc.extract_pages(df)).first()
+    r = dc.page_links(hp.extract_pages(df)).first()
     assert (r.title, r.publisher, r.detail_urls, r.attachment_urls, len(r.event_rows)) == ("Festival list", "City", ["/event/1?utm_a=1"], ["plan.pdf"], 1)
     assert "m" not in r.body.split("\n")
-    t = dc.detail_targets(dc.extract_pages(df), F.lit(2026)).first()
+    t = dc.detail_targets(hp.extract_pages(df), F.lit(2026)).first()
     assert (t.target, t.score) == ("https://c.go.kr/event/1", 10)
 
 
@@ -106,7 +107,7 @@ def test_detail_pages_are_no_lists(spark):
 def test_no_link_or_row_is_cut_off(spark):
     items = "".join(f"<li>Street festival number {i} on 2026-08-09 <a href='/event/{i}'>go</a></li>" for i in range(80)) + "<li>Exam of 2026 and training here <a href='/event/exam'>x</a></li>"
     df = spark.createDataFrame([(1, "https://c.go.kr/list/", f"<html><body><main><ul>{items}</ul></main></body></html>")], "page_id bigint, url string, html string")
-    parsed = dc.extract_pages(df)
+    parsed = hp.extract_pages(df)
     r = dc.page_links(parsed).first()
     assert len(r.detail_urls) == 81 and len(r.event_rows) >= 80
     got = dc.detail_targets(parsed, F.lit(2026), 6).collect()

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,83 +134,6 @@ def top_per_group(rows: DataFrame, key: str, group: str, order: list[Column], bu
 
 # ---- pages ---------------------------------------------------------------------------------
 
-DROPPED = {"script", "style", "iframe", "noscript", "svg", "form", "nav", "header", "footer", "aside", "template"}
-VOID = {"meta", "link", "br", "img", "input", "hr", "source", "area", "base", "col", "embed", "track", "wbr"}
-PAGE_SCHEMA = ("page_id bigint, url string, title string, body string, published_at string, publisher string, "
-               "links array<struct<href:string,in_row:boolean>>, rows array<struct<text:string,hrefs:array<string>>>")
-
-
-class _Page(HTMLParser):
-    """Collects title, main text, links and list rows of one page."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.stack: list[str] = []
-        self.title, self.meta = [], {}
-        self.all_text, self.main_text, self.links, self.rows = [], [], [], []
-        self.open_rows: list[dict] = []
-
-    def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
-        if tag == "meta":
-            name = a.get("property") or a.get("name")
-            if name and a.get("content"):
-                self.meta.setdefault(name, a["content"].strip())
-        if tag in VOID:
-            return
-        self.stack.append(tag)
-        if DROPPED.intersection(self.stack):
-            return
-        if tag in ("tr", "li"):
-            self.open_rows.append({"text": [], "hrefs": []})
-        if tag == "a" and a.get("href") and not a["href"].lower().startswith(("javascript:", "#")):
-            self.links.append((a["href"].strip(), bool(self.open_rows)))
-            for row in self.open_rows:
-                row["hrefs"].append(a["href"].strip())
-
-    def handle_endtag(self, tag):
-        if tag not in self.stack:
-            return
-        while self.stack and self.stack.pop() != tag:
-            pass
-        if tag in ("tr", "li") and self.open_rows:
-            row = self.open_rows.pop()
-            self.rows.append({"text": " ".join(row["text"]), "hrefs": list(dict.fromkeys(row["hrefs"]))})
-
-    def handle_data(self, data):
-        text = " ".join(data.split())
-        if not text:
-            return
-        if self.stack and self.stack[-1] == "title":
-            self.title.append(text)
-        if DROPPED.intersection(self.stack) or "title" in self.stack:
-            return
-        self.all_text.append(text)
-        if "main" in self.stack or "article" in self.stack:
-            self.main_text.append(text)
-        for row in self.open_rows:
-            row["text"].append(text)
-
-
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = []
-        for page_id, url, html in zip(batch["page_id"], batch["url"], batch["html"]):
-            p = _Page()
-            p.feed(html or "")
-            out.append({
-                "page_id": page_id, "url": url, "title": " ".join(p.title), "body": "\n".join(p.main_text or p.all_text),
-                "published_at": p.meta.get("article:published_time") or p.meta.get("date"), "publisher": p.meta.get("og:site_name") or p.meta.get("author"),
-                "links": [{"href": h, "in_row": r} for h, r in p.links], "rows": [r for r in p.rows if r["text"]]})
-        yield pd.DataFrame(out, columns=["page_id", "url", "title", "body", "published_at", "publisher", "links", "rows"])
-
-
-def extract_pages(pages: DataFrame) -> DataFrame:
-    """pages(page_id, url, html) to title, main text, links and rows. Spark has no HTML parser, so
-    this one step runs in Python over Arrow batches; everything after it is expressions."""
-    return pages.select("page_id", "url", "html").mapInPandas(_parse, PAGE_SCHEMA)
-
-
 # Link and row patterns.
 ATTACHMENT = r"(?i)\.(?:pdf|hwp|hwpx|txt)(?:$|[?#])"
 DETAIL = r"(?i)view\.do|detail|board|notice|event|festival"

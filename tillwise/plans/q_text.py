@@ -12,6 +12,7 @@ from tillwise.functions.units import normalize_number
 from tillwise.functions.urls import canonical_url, host_of, source_class, source_role, source_trust
 from tillwise.operators import documents as dc
 from tillwise.operators import evidence as evd
+from tillwise.operators import html_pages as hp
 from tillwise.operators import metrics as mt
 from tillwise.operators import results as rs
 from tillwise.plans import bindings as b
@@ -169,13 +170,36 @@ def reference_freshness(spark, sf):
     return rows.select("doc_id", F.col("f.status").alias("status"), F.array_join("f.codes", ",").alias("codes"))
 
 
-@query("finding_gate")
+# quotes lie anywhere in the text, some altered, some short; summaries repeat words of the quote or speak of something else
+_MENU = " menu login sitemap contact"
+cte("found_quotes", f"""
+SELECT doc_id, k, body, trust, disposition, reasons, CASE WHEN k % 11 = 0 THEN NULL WHEN k % 6 = 5 THEN replace(quote, ' ', '  ') || 'x' WHEN k % 10 = 3 THEN substr(quote, 1, 30) ELSE quote END AS quote,
+  CASE WHEN k % 17 = 0 THEN NULL WHEN k % 19 = 0 THEN '' WHEN k % 9 = 4 THEN 'nothing that any quote here would say' ELSE quote END AS summary
+FROM (SELECT doc_id, doc_id AS k, text || CASE WHEN doc_id % 23 = 0 THEN '{_MENU}' ELSE '' END AS body, (['OFFICIAL_TRUSTED', 'INSTITUTIONAL_TRUSTED', 'VERIFIED_MEDIA', 'OFFICIAL_TRUSTED', 'UNVERIFIED'])[doc_id % 5 + 1] AS trust,
+    CASE doc_id % 13 WHEN 0 THEN 'REFERENCE_ONLY' WHEN 1 THEN 'REJECT' ELSE 'EXTRACT' END AS disposition, CASE WHEN doc_id % 7 = 0 THEN ['STALE_SOURCE'] WHEN doc_id % 7 = 1 THEN ['QUERY_IRRELEVANT', 'STALE_SOURCE'] ELSE [] END AS reasons,
+    substr(text, 1 + (doc_id * 37) % greatest(1, length(text) - 90), 90) AS quote FROM documents)""")
+_BOILER = ["menu", "login", "sitemap", "contact", "copyright", "navigation"]
+_WORDS = lambda e: f"regexp_extract_all({e}, '[0-9A-Za-z가-힣]{{2,}}')"
+
+
+@query("finding_gate", sql(f"""
+SELECT doc_id, CASE WHEN coalesce(summary, '') = '' THEN 'REFERENCE_SUMMARY_MISSING' WHEN quote IS NULL THEN 'REFERENCE_EVIDENCE_MISSING' WHEN trust = 'UNVERIFIED' THEN 'REFERENCE_SOURCE_UNTRUSTED'
+  WHEN {' + '.join(f"(length(lower(body)) - length(replace(lower(body), '{w}', ''))) // {len(w)}" for w in _BOILER)} >= 3 THEN 'REFERENCE_CONTENT_NOT_SUBSTANTIVE'
+  WHEN list_contains(reasons, 'QUERY_IRRELEVANT') THEN 'REFERENCE_QUERY_IRRELEVANT' WHEN list_contains(reasons, 'STALE_SOURCE') OR disposition <> 'EXTRACT' THEN 'REFERENCE_CONTENT_NOT_SUBSTANTIVE'
+  WHEN NOT contains(body, quote) THEN 'REFERENCE_QUOTE_NOT_FOUND'
+  WHEN length({FOLD('quote')}) < 40 OR len({_WORDS('quote')}) < 5 OR len(list_distinct({_WORDS('lower(summary)')})) < 3 OR len(list_intersect(list_distinct({_WORDS('lower(summary)')}), list_distinct({_WORDS('lower(quote)')}))) < 2
+    THEN 'REFERENCE_CONTENT_NOT_SUBSTANTIVE' ELSE 'PROMOTED' END AS gate FROM found_quotes""", "found_quotes"))
 def finding_gate(spark, sf):
     k = F.col("doc_id")
-    rows = docs(spark, sf).select(
-        "doc_id", F.when(k % 5 == 0, "UNVERIFIED").otherwise("OFFICIAL_TRUSTED").alias("trust"), F.when(k % 13 == 0, "REFERENCE_ONLY").otherwise("EXTRACT").alias("disposition"),
-        F.when(k % 7 == 0, F.array(F.lit("STALE_SOURCE"))).otherwise(F.array().cast("array<string>")).alias("reasons"), F.col("text").alias("body"),
-        F.when(k % 11 != 0, F.substring("text", 1, 90)).alias("quote"), F.when(k % 17 != 0, F.substring("text", 1, 60)).alias("summary"))
+    quote = F.col("text").substr((1 + (k * 37) % F.greatest(F.lit(1), F.length("text") - 90)).cast("int"), F.lit(90))
+    rows = docs(spark, sf).select("doc_id", F.concat("text", F.when(k % 23 == 0, _MENU).otherwise("")).alias("body"), quote.alias("whole"))
+    pick = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), (n + 1).cast("int"))
+    none = F.array().cast("array<string>")
+    rows = rows.withColumns({
+        "trust": pick(["OFFICIAL_TRUSTED", "INSTITUTIONAL_TRUSTED", "VERIFIED_MEDIA", "OFFICIAL_TRUSTED", "UNVERIFIED"], k % 5), "disposition": F.when(k % 13 == 0, "REFERENCE_ONLY").when(k % 13 == 1, "REJECT").otherwise("EXTRACT"),
+        "reasons": F.when(k % 7 == 0, F.array(F.lit("STALE_SOURCE"))).when(k % 7 == 1, F.array(F.lit("QUERY_IRRELEVANT"), F.lit("STALE_SOURCE"))).otherwise(none),
+        "quote": F.when(k % 11 == 0, None).when(k % 6 == 5, F.concat(F.replace("whole", F.lit(" "), F.lit("  ")), F.lit("x"))).when(k % 10 == 3, F.substring("whole", 1, 30)).otherwise(F.col("whole")),
+        "summary": F.when(k % 17 == 0, None).when(k % 19 == 0, "").when(k % 9 == 4, "nothing that any quote here would say").otherwise(F.col("whole"))})
     return dc.finding_gate(rows).select("doc_id", "gate")
 
 
@@ -364,28 +388,18 @@ def quality_gate(spark, sf):
     return out.select("page_id", "disposition", F.array_join("reason_codes", ",").alias("reason_codes"), "body_characters", "quality_score")
 
 
-def extracted(spark, sf):
-    """Parsed pages, written once: the only Python step of the page jobs."""
-    return staged(spark, "pages:" + sf, lambda: dc.extract_pages(pages(spark, sf)))
-
-
-@query("page_extract")
-def page_extract(spark, sf):
-    out = dc.page_links(dc.extract_pages(pages(spark, sf)))
-    return out.select("page_id", "title", F.length("body").alias("body_characters"), F.size("links").alias("link_count"), F.size("detail_urls").alias("detail_count"),
-                      F.size("attachment_urls").alias("attachment_count"), F.size("event_rows").alias("row_count"))
-
-
-@query("page_class")
-def page_class(spark, sf):
-    e = dc.page_links(extracted(spark, sf)).drop("url").join(hosted(spark, sf).select("page_id", "url"), "page_id")
-    dated = F.size(F.filter("event_rows", lambda x: x["text"].rlike(dc.LOCAL_DATE) & x["text"].rlike(dc.LOCAL_PLACE)))
-    rows = e.select("page_id", "url", "title", "body", F.size("detail_urls").alias("detail_links"), F.size("attachment_urls").alias("attachments"), F.size("event_rows").alias("row_count"),
-                    dated.alias("dated_rows"), (F.col("page_id") % 9 == 0).alias("has_parent"), source_class(host_of(F.col("url"))).alias("source_type"))
-    return dc.classify_pages(rows).select("page_id", "page_type", "traversable", F.array_join("flags", ",").alias("flags"))
+_ROW_WORDS = ["construction", "road work", "traffic control", "transit", "pedestrian", "festival", "event", "closure", "redevelopment", "commercial", "safety", "public works"]
 
 
-@query("detail_url_topk")
+@query("detail_url_topk", sql(f"""
+SELECT page_id, target, score, CASE WHEN relevant THEN row_number() OVER (PARTITION BY page_id, relevant ORDER BY score DESC, target) END AS rank,
+  CASE WHEN NOT relevant THEN reason WHEN row_number() OVER (PARTITION BY page_id, relevant ORDER BY score DESC, target) > 6 THEN 'DETAIL_BUDGET_EXHAUSTED' END AS reason
+FROM (SELECT page_id, target, bool_or(reason IS NULL) AS relevant, coalesce(max(score) FILTER (reason IS NULL), max(score)) AS score, min(reason) AS reason FROM (
+  SELECT page_id, {URL_SQL.format(u='target')} AS target, CASE WHEN list_max(list_transform(years, lambda y: y::INTEGER)) < 2000 THEN 'STALE_LISTING_ROW' WHEN skip THEN 'LOCAL_IRRELEVANT_NOTICE' END AS reason, CASE WHEN skip THEN -100 ELSE points END AS score
+  FROM (SELECT *, {QUERY_SQL.format(u='target')} AS q, regexp_matches(low, 'recruit|appointment|civil service|exam|training|administrative rule') AS skip, regexp_extract_all(low, '(?:^|[^0-9a-z_])(20[0-9]{{2}})(?:[^0-9a-z_]|$)', 1) AS years,
+      10 * len(list_filter({_ROW_WORDS}, lambda w: contains(low, w))) AS points
+    FROM (SELECT page_id, lower('festival notice ' || h) AS low, CASE WHEN starts_with(h, 'http') THEN h WHEN starts_with(h, '/') THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || h ELSE regexp_replace(regexp_extract(url, '^(https?://[^?#]*)', 1), '[^/]*$', '') || h END AS target
+      FROM (SELECT page_id, url, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS h FROM pages)))) GROUP BY 1, 2)"""))
 def detail_url_topk(spark, sf):
     # every link of the page, menu links too, stands for one listing row
     hrefs = F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))
