@@ -434,6 +434,48 @@ def test_blocks_lose_no_pair(spark, monkeypatch):
     assert {i: r.component_id for i, r in got.items()} == roots
 
 
+def variants(count, changed, words=300):
+    rng = random.Random(14)
+    base, out = prose(rng, words, 20_000).split(), []
+    for i in range(count):
+        w = list(base)
+        for k in rng.sample(range(words), changed):
+            w[k] = f"v{i}x{k}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("changed", [5, 7])
+def test_a_family_takes_rows_in_proportion(spark, monkeypatch, changed):
+    """400 variants of one text, most pairs similar and few or none linked: tables of edges stay below two rows a member."""
+    sizes, write = {}, minhash.written
+
+    def counted(df, name):
+        table = write(df, name)
+        sizes[name] = max(sizes.get(name, 0), table.count())
+        return table
+
+    monkeypatch.setattr(minhash, "written", counted)
+    monkeypatch.setattr(minhash, "FAMILY", 150)
+    texts = variants(400, changed)
+    sets = [shingles_of(t, 5) for t in texts]
+    links = [(a, b) for a, b in combinations(range(400), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    roots = roots_of(range(400), links)
+    got = by_id(minhash.near_duplicates(frame(spark, texts)))
+    assert {i: r.component_id for i, r in got.items()} == roots
+    assert sizes["minhash-candidates"] <= 2 * 400 and sizes["minhash-links"] <= 2 * 400
+
+
+def test_intersections_are_exact(monkeypatch):
+    rng = random.Random(15)
+    sets = [np.array(sorted(rng.sample(range(400), rng.randrange(1, 200))), dtype=np.uint64) for _ in range(60)]
+    for few, columns in ((32, 4096), (1, 7), (70, 5)):
+        monkeypatch.setattr(minhash, "FEW", few)
+        monkeypatch.setattr(minhash, "COLUMNS", columns)
+        found = minhash.intersections(sets)
+        assert all(found[a, b] == found[b, a] == len(np.intersect1d(sets[a], sets[b])) for a, b in combinations(range(60), 2))
+
+
 def test_near_copies_null_ids_and_empty(spark, empty):
     df = spark.createDataFrame([(None, "a b c d", "en", "s", 0), (None, "a b c d", "en", "s", 0), (7, "a b c d", "en", "s", 0)], DOCS)
     assert {(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()} == {(None, None, True), (7, 7, True)}
@@ -508,18 +550,34 @@ def test_vectors_of_several_lengths(spark):
 # ---- the pipeline
 
 
-def test_pipeline_stages_keep_other_rows_of_an_id(spark, tmp_path):
+def test_pipeline_stages_judge_every_row(spark, tmp_path):
+    """Null ids and texts, repeated ids and rows, empty and very long texts, clashing names, an empty table."""
     import corpus_pipeline
 
     rng = random.Random(12)
-    a, b, passage = prose(rng, 80, 20_000), prose(rng, 80, 20_000), prose(rng, 40, 20_000)
-    rows = [(1, passage, "en", "s", 0), (2, f"{a} {passage}", "en", "s", 0), (2, f"{b} {passage}", "en", "s", 0), (3, b, "en", "s", 0), (2, "too short", "en", "s", 0)]
-    docs = spark.createDataFrame(rows, DOCS)
-    got = sorted((r.doc_id, r.text) for r in corpus_pipeline.passages(spark, docs.limit(3), "").collect())
-    assert got == sorted([(1, passage), (2, a), (2, b)])
+    a, b, passage, long = prose(rng, 80, 20_000), prose(rng, 80, 20_000), prose(rng, 40, 20_000), prose(rng, 30_000, 20_000)
+    names = ["_row", "__row", "some", "kept", "n_words", "id", "_gone", "_cut", "stratum"]
+    rows = [(1, passage), (2, f"{a} {passage}"), (2, f"{b} {passage}"), (3, b), (2, "too short"), (None, "too short"), (None, a), (4, None), (5, ""), (6, long), (7, f"{long} end"), (3, b)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS).withColumns({c: F.lit(c) for c in names})
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    got = sorted((r.doc_id, r.text) for r in corpus_pipeline.quality(spark, docs, str(tmp_path)).collect())
-    assert got == sorted(r[:2] for r in rows[:4])
+
+    def out(stage, df):
+        found = stage(spark, df, str(tmp_path))
+        assert found.dtypes == df.dtypes
+        found = found.collect()
+        assert all(r[c] == c for r in found for c in names)
+        assert stage(spark, df.limit(0), str(tmp_path)).count() == 0
+        return sorted(((r.doc_id, r.text) for r in found), key=repr)
+
+    sort = lambda rows: sorted(rows, key=repr)
+    assert out(corpus_pipeline.quality, docs) == sort(r for r in rows if r[1] not in ("too short", None, ""))
+    assert out(corpus_pipeline.clean, docs) == sort(rows)
+    # equal texts of short rows are copies too: the smallest doc_id stays, rows without one last
+    assert out(corpus_pipeline.near_copies, docs) == sort([r for r in rows if r[0] is not None and r != (3, b) and r[0] != 7] + [(3, b), (None, a)])
+    assert out(corpus_pipeline.passages, docs) == sort([(1, passage), (2, a), (2, b), (2, "too short"), (None, "too short"), (4, None), (5, ""), (6, long), (7, "end")])
+    pieces = corpus_pipeline.packed(spark, docs, str(tmp_path)).collect()
+    assert sum(r.length for r in pieces if r.start == 0) and sum(1 for r in pieces if r.start == 0) == len(rows)
+    assert corpus_pipeline.packed(spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
 def test_pipeline_on_planted_cases(spark, tmp_path):

@@ -44,7 +44,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     costs no more than the tasks that follow."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_path = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that `written` made and that no later step reads, nor any result in hand."""
+    for table in tables:
+        spark = table.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(table.written_path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def session(spark: SparkSession) -> SparkSession:

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillwise.llm.common import Words, grams, mix, slices, text_or_empty, written
+from tillwise.llm.common import Words, forget, grams, mix, slices, text_or_empty, written
 from tillwise.llm.components import components
 
 _RNG = np.random.default_rng(9)
@@ -79,9 +79,12 @@ class Scheme:
 
 _FACTOR = _RNG.integers(0, 2**63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _RNG.integers(0, 2**63, 1024, dtype=np.uint64)
-#: members of a bucket that are compared with one another in one step
+#: members of a bucket in a block
 BLOCK = 512
-
+#: members, and bytes of their sets, in a block of a family
+FAMILY, FAMILY_BYTES = 512, 8 << 20
+#: a shingle in at most so many sets of a task is counted pair by pair; columns of one matrix product
+FEW, COLUMNS = 32, 4096
 
 
 def shingle_sets(texts: pa.Array, words_each: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,76 +195,156 @@ def _full_sets(df: DataFrame, needed: DataFrame, id_col: str, text_col: str, wor
     return rows.join(needed, "id", "left_semi").mapInArrow(run, "id long, set binary").dropDuplicates(["id"])
 
 
-def _cross_pairs(rows: DataFrame, classes: DataFrame, scheme: Scheme, percent: int) -> DataFrame:
-    """Pairs (a, b) of one bucket, of different components and within the signature distance and limit.
-
-    Rows (key, id, root, n): buckets of more than BLOCK members are cut into blocks, and each pair of blocks
-    is compared apart, so no bucket lies in one task and none is cut short."""
-    limit = scheme.limit(percent)
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+def _labels(linked: np.ndarray) -> np.ndarray:
+    """For each node of a graph given by its symmetric adjacency matrix the first node that it can reach."""
+    label = np.full(len(linked), -1)
+    for start in range(len(linked)):
+        if label[start] >= 0:
+            continue
+        label[start] = start
+        queue = [start]
+        while queue:
+            found = np.flatnonzero(linked[queue.pop()] & (label < 0))
+            label[found] = start
+            queue.extend(found.tolist())
+    return label
+
+
+def _in_blocks(rows: DataFrame, group: list[str], blocks: Column, columns: list[str], links: Callable[[pa.Table], np.ndarray]) -> DataFrame:
+    """Edges (a, b) that join whom the links inside each group join; members are compared in pairs of blocks.
+
+    A group of more than one block meets in one task for each pair of blocks, so no group lies in one task and
+    none is cut short. `links` gets a pair's members and returns who is linked with whom; the task returns, for each
+    member, the smallest member it can reach. A member of many groups is then tied to the least of those and they to
+    one another, so there are about as many edges as members, whatever the number of links and groups."""
     rows = rows.withColumn("_blocks", blocks).withColumn("_mine", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    rows = rows.select("key", F.least("_mine", "_other").alias("i"), F.greatest("_mine", "_other").alias("j"), "_mine", "id", "root")
-    rows = rows.join(classes.select("id", "signature"), "id")
+    rows = rows.select(*group, F.least("_mine", "_other").alias("i"), F.greatest("_mine", "_other").alias("j"), "_mine", *columns)
 
-    def compare(ids: np.ndarray, roots: np.ndarray, mine: np.ndarray, signature: np.ndarray, others: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-        left = np.arange(len(ids)) if same else np.flatnonzero(mine == mine.min())
-        right = left if same else np.flatnonzero(mine == mine.max())
-        out = []
-        for at in range(0, len(left), 64):
-            some = left[at:at + 64]
-            far = np.zeros((len(some), len(right)), dtype=np.int16)
-            for k in range(signature.shape[1]):
-                far += signature[some, k][:, None] != signature[right, k][None, :]
-            x, y = np.nonzero((far <= scheme.distance) & (roots[some][:, None] != roots[right][None, :]))
-            close = far[x, y] + (others[some[x]] != others[right[y]]).sum(axis=1) <= limit
-            out.append((ids[some[x[close]]], ids[right[y[close]]]))
-        a, b = np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
-        return np.minimum(a, b), np.maximum(a, b)
+    def solve(table: pa.Table) -> pa.RecordBatch | None:
+        ids, roots, mine = (np.asarray(table.column(c)) for c in ("id", "root", "_mine"))
+        if len(ids) < 2 or (roots == roots[0]).all():
+            return None
+        linked = links(table) & (roots[:, None] != roots[None, :])
+        if (mine != mine[0]).any():  # pairs inside one block meet where the block meets itself
+            linked &= mine[:, None] != mine[None, :]
+        order = np.argsort(ids, kind="stable")
+        label = _labels(linked[np.ix_(order, order)])
+        some = np.flatnonzero(label != np.arange(len(label)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[order[label[some]]]), pa.array(ids[order[some]])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left: pa.Table | None = None
+        held: list[pa.RecordBatch] = []
+        at = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = pa.Table.from_batches([batch]) if left is None else pa.concat_tables([left, pa.Table.from_batches([batch])])
-            left, done = split(table, False)
-            yield from done
-        if left is not None:
-            yield from split(left, True)[1]
-
-    def split(table: pa.Table, end: bool) -> tuple[pa.Table | None, list[pa.RecordBatch]]:
-        """Compare the groups that are complete; the last one may go on in the next batch."""
-        group = np.stack([np.asarray(table.column(c)).astype(np.int64) for c in ("key", "i", "j")])
-        cut = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1
-        bounds = np.concatenate([[0], cut, [table.num_rows]] if end else [[0], cut])
-        ids, roots, mine = (np.asarray(table.column(c)) for c in ("id", "root", "_mine"))
-        stop = int(bounds[-1])
-        if not stop:
-            return table, []
-        signature, others = scheme.parts(table.column("signature").slice(0, stop).to_pylist())
-        found = []
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            if b - a > 1:
-                found.append(compare(ids[a:b], roots[a:b], mine[a:b], signature[a:b], others[a:b], group[1, a] == group[2, a]))
-        rest = None if end else table.slice(stop)
-        if not found:
-            return rest, []
-        x, y = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-        return rest, [pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])]
+            keys = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in (*group, "i", "j")])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for low, high in zip(cuts[:-1], cuts[1:]):
+                here = keys[:, low].tolist()
+                if held and here != at:
+                    found = solve(pa.Table.from_batches(held))
+                    if found is not None:
+                        yield found
+                    held = []
+                at = here
+                held.append(batch.slice(low, high - low))
+        if held:
+            found = solve(pa.Table.from_batches(held))
+            if found is not None:
+                yield found
 
     # a set number of partitions: few bytes may be much work here, so they are not to be put together
     number = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(number, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    dealt = rows.repartition(number, *group, "i", "j").sortWithinPartitions(*group, "i", "j")
+    found = dealt.mapInArrow(run, "a long, b long").distinct()
+    # as many rows of one b as it is in groups and pairs of blocks
+    found = found.withColumn("least", F.min("a").over(Window.partitionBy("b")))
+    return found.select(F.col("least").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct()
 
 
-def _open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, id, n, root): the members of buckets that hold more than one component."""
-    member = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    member = written(member, "minhash-members")
-    mixed = member.groupBy("key", F.shiftright("key", 32).alias("_high")).agg(F.min("root").alias("_low"), F.max("root").alias("_top")).where("_low <> _top")
-    return written(member.join(mixed.select("key"), "key", "left_semi"), "minhash-open")
+def _candidates(rows: DataFrame, classes: DataFrame, scheme: Scheme, percent: int) -> DataFrame:
+    """Edges (a, b) over the members (key, id, root, n) of buckets that join all pairs of one bucket and different
+    components within the signature distance and limit."""
+    limit = scheme.limit(percent)
+
+    def near(table: pa.Table) -> np.ndarray:
+        signature, others = scheme.parts(table.column("signature").to_pylist())
+        out = np.zeros((len(signature), len(signature)), dtype=bool)
+        for low in range(0, len(signature), 64):
+            far = np.zeros((len(signature[low:low + 64]), len(signature)), dtype=np.int16)
+            for k in range(signature.shape[1]):
+                far += signature[low:low + 64, k][:, None] != signature[:, k][None, :]
+            x, y = np.nonzero(far <= scheme.distance)
+            for at in range(0, len(x), 1 << 14):
+                u, v = x[at:at + (1 << 14)], y[at:at + (1 << 14)]
+                close = far[u, v] + (others[low + u] != others[v]).sum(axis=1) <= limit
+                out[low + u[close], v[close]] = True
+        return out
+
+    rows = rows.join(classes.select("id", "signature"), "id")
+    return _in_blocks(rows, ["key"], F.ceil(F.col("n") / BLOCK).cast("int"), ["id", "root", "signature"], near)
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections, exact. Shingles in few sets are counted pair by pair, those in many
+    by a matrix product."""
+    m = len(sets)
+    code = np.concatenate(sets)
+    row = np.repeat(np.arange(m), [len(s) for s in sets])
+    order = np.argsort(code, kind="stable")
+    code, row = code[order], row[order]
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    times = np.diff(np.append(first, len(code)))
+    column = np.repeat(np.arange(len(first)), times)
+    out = np.zeros(m * m)
+    few = times[column] <= FEW
+    r, c = row[few], column[few]
+    for low in range(0, len(r), 1 << 18):
+        cells = []
+        for step in range(1, FEW):
+            same = low + np.flatnonzero(c[low + step:low + step + (1 << 18)] == c[low:low + (1 << 18)][:max(0, len(c) - step - low)])
+            cells.append(r[same] * m + r[same + step])
+        out += np.bincount(np.concatenate(cells), minlength=m * m)
+    out = out.reshape(m, m)
+    out += out.T
+    number = np.cumsum(times > FEW) - 1
+    r, c = row[~few], number[column[~few]]
+    for low in range(0, int(c[-1]) + 1 if len(c) else 0, COLUMNS):
+        a, b = np.searchsorted(c, (low, low + COLUMNS))
+        here = np.zeros((m, COLUMNS), dtype=np.float32)
+        here[r[a:b], c[a:b] - low] = 1
+        out += here @ here.T
+    return out
+
+
+def _family_links(members: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that join what confirmed links between different components of a family join: members
+    (family, id, root, n, size, set), all pairs of a family being compared by full sets inside the tasks."""
+
+    def linked(table: pa.Table) -> np.ndarray:
+        sets = [np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in table.column("set")]
+        size = np.array([len(s) for s in sets], dtype=np.float64)
+        common = intersections(sets)
+        out = 100 * common >= percent * (size[:, None] + size[None, :] - common)
+        np.fill_diagonal(out, False)
+        return out
+
+    blocks = F.greatest(F.ceil(F.col("n") / FAMILY), F.ceil(F.col("size") / FAMILY_BYTES)).cast("int")
+    return _in_blocks(members, ["family"], blocks, ["id", "root", "set"], linked)
+
+
+def _open_members(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, id, n, root): the members of buckets that hold more than one component, that is, one that is not
+    the hub's."""
+    hub = roots.select(F.col("node").alias("a"), F.col("root").alias("_top"))
+    own = roots.select(F.col("node").alias("id"), "root")
+    pairs = shared.where("a <> id").select("a", "id").distinct().join(hub, "a", "left").join(own, "id", "left")
+    pairs = pairs.where(F.coalesce("root", "id") != F.coalesce("_top", "a")).select("a", "id")
+    keys = shared.join(pairs, ["a", "id"], "left_semi").select("key").distinct()
+    members = shared.join(keys, "key", "left_semi").select("key", "id", "n")
+    return written(members.join(own, "id", "left").withColumn("root", F.coalesce("root", "id")), "minhash-open")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, percent: int = 80,
@@ -274,7 +357,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     2. In each bucket of the multi-index the smallest member is the hub. Pairs with the hub that lie within
        the signature distance and limit are confirmed on full sets and joined to components.
     3. Buckets whose members are all in one component are done: further links inside could change nothing. In
-       the others every pair across components is compared by signature and then confirmed.
+       the others members are compared across components by signature, in blocks; those that pairs within
+       distance and limit join are families.
+    4. All pairs of a family, again in blocks, are compared by full sets inside the tasks, which return
+       whom the confirmed links join, not the links. So no step's rows grow with the square of a family.
 
     Null and empty texts have no shingles and link with nothing; null ids neither. Rows with the same id are
     one node. An empty table gives no rows; other columns are not read."""
@@ -293,12 +379,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = written(_confirmed(first, sets, percent), "minhash-links")
     roots = components(links)
 
-    open_ = _open_members(shared.select("key", "id", "n"), roots)
-    sets = written(_full_sets(df, open_.select("id").distinct(), id_col, text_col, words_each), "minhash-sets")
-    last = written(_cross_pairs(open_, classes, scheme, percent).join(first, ["a", "b"], "left_anti"), "minhash-pairs")
-    more = written(_confirmed(last, sets, percent), "minhash-links")
+    open_ = _open_members(shared, roots)
+    families = components(written(_candidates(open_, classes, scheme, percent), "minhash-candidates"))
+    own = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    members = families.select(F.col("node").alias("id"), F.col("root").alias("family")).join(own, F.col("id") == F.col("_node"), "left")
+    members = written(members.select("id", "family", F.coalesce("_root", "id").alias("root")), "minhash-families")
+    more_sets = written(_full_sets(df, members.select("id"), id_col, text_col, words_each), "minhash-sets")
+    sized = members.join(more_sets, "id")
+    sized = sized.join(sized.groupBy("family").agg(F.count("*").alias("n"), F.sum(F.octet_length("set")).alias("size")), "family")
+    more = written(_family_links(sized, percent), "minhash-links")
     if more.limit(1).count():
         roots = components(links.unionByName(more))
+    forget(buckets, shared, first, sets, open_, members, more_sets)
 
     found = classes.select(F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), F.col("n_shingles").alias("_n"), F.col("id").alias("_id"))
     found = written(found.join(roots, F.col("_id") == F.col("node"), "left").select("_s1", "_s2", "_n", F.coalesce("root", "_id").alias("component_id")), "minhash-roots")
