@@ -164,9 +164,14 @@ STALE_DAYS, NAVIGATION_LIMIT, SHORT_TEXT, LIST_TEXT = 550, 0.66, 80, 2000
 
 
 def quality_gate(rows: DataFrame, as_of: Column) -> DataFrame:
-    """rows(url, title, body, query_terms, published, trust, injected, detail_links, attachments,
-    traversable, and optionally page_type) with reasons, disposition, score and priority. Detail pages
-    and attachments are no lists, whatever their size and menu."""
+    """rows(url, title, body, query_terms, published, trust, injected, detail_links, attachments, traversable, and
+    optionally source_type, page_type and classification_reasons of pages that were classified) with reasons, hard
+    rejections, disposition, score and priority.
+
+    A list worth traversing keeps none of the reasons that only speak of lists; detail pages and attachments keep
+    them but are not put aside as mere reference for them."""
+    optional = lambda c, kind: F.col(c) if c in rows.columns else F.lit(None).cast(kind)
+    source_type, page_type, local = optional("source_type", "string"), optional("page_type", "string"), optional("classification_reasons", "array<string>")
     body = F.trim("body")
     size = F.length(body)
     rows = rows.withColumn("navigation_ratio", navigation_ratio(body))
@@ -174,24 +179,24 @@ def quality_gate(rows: DataFrame, as_of: Column) -> DataFrame:
     matches = F.size(F.filter("query_terms", lambda t: text.contains(t)))
     path = F.trim(path_of(F.col("url")), F.lit("/"))
     specific = (path != "") & ~path.isin("index.do", "main.do", "index.html") & ~F.lower("title").rlike(LIST_MARKERS)
-    trusted = F.col("trust") == "OFFICIAL_TRUSTED"
-    nav = F.col("navigation_ratio")
-    exempt = F.coalesce(F.col("page_type").isin(DETAIL_TYPES), F.lit(False)) if "page_type" in rows.columns else F.lit(False)
-    listing = ~F.col("traversable") & ~exempt
-    list_page = listing & ~specific & (size < LIST_TEXT)
-    reasons = codes(
-        (listing & (size < SHORT_TEXT), "INSUFFICIENT_CONTENT"), (listing & (nav >= NAVIGATION_LIMIT), "NAVIGATION_ONLY"),
-        (listing & (F.size("query_terms") > 0) & (matches == 0), "QUERY_IRRELEVANT"), (list_page, "NAVIGATION_OR_LIST_PAGE"),
-        (F.datediff(as_of, "published") > STALE_DAYS, "STALE_SOURCE"), (~trusted, "UNVERIFIED_SOURCE_TIER"))
-    rows = rows.withColumns({"body_characters": size, "query_term_matches": matches, "reasons": reasons})
+    trusted = (F.col("trust") == "OFFICIAL_TRUSTED") | F.coalesce(source_type.isin("OFFICIAL_PRIMARY", "OFFICIAL_LOCAL_GOV"), F.lit(False))
+    nav, listing = F.col("navigation_ratio"), ~F.col("traversable")
+    reasons = F.concat(
+        codes((listing & (size < SHORT_TEXT), "INSUFFICIENT_CONTENT"), (listing & (nav >= NAVIGATION_LIMIT), "NAVIGATION_ONLY"),
+              (listing & (F.size("query_terms") > 0) & (matches == 0), "QUERY_IRRELEVANT"), (listing & ~specific & (size < LIST_TEXT), "NAVIGATION_OR_LIST_PAGE")),
+        F.coalesce(local, F.array().cast("array<string>")),
+        codes((F.datediff(as_of, "published") > STALE_DAYS, "STALE_SOURCE"), (~trusted, "UNVERIFIED_SOURCE_TIER")))
+    hard = codes((size == 0, "EMPTY_EXTRACTION"), (F.col("injected"), "SECURITY_POLICY_VIOLATION"))
+    rows = rows.withColumns({"body_characters": size, "query_term_matches": matches, "specific": specific, "reasons": reasons, "hard_rejection_reasons": hard})
     has = lambda c: F.array_contains("reasons", c)
-    substantive = (F.col("body_characters") >= SHORT_TEXT) & ((nav < NAVIGATION_LIMIT) | exempt) & ~has("NAVIGATION_OR_LIST_PAGE")
+    rows = rows.withColumn("substantive", (F.col("body_characters") >= SHORT_TEXT) & (nav < NAVIGATION_LIMIT) & ~has("NAVIGATION_OR_LIST_PAGE"))
+    good, detail = F.col("substantive"), F.coalesce(page_type.isin(DETAIL_TYPES), F.lit(False))
     route = (
-        F.when((F.col("body_characters") == 0) | F.col("injected"), "REJECT").when(F.col("traversable"), "TRAVERSE_LIST")
-        .when((F.col("detail_links") > 0) & substantive, "EXTRACT_AND_TRAVERSE").when(F.col("detail_links") > 0, "ROUTE_TO_DETAIL")
-        .when((F.col("attachments") > 0) & substantive, "EXTRACT_AND_TRAVERSE").when(F.col("attachments") > 0, "FETCH_ATTACHMENTS")
+        F.when(F.size("hard_rejection_reasons") > 0, "REJECT").when(F.col("traversable"), "TRAVERSE_LIST")
+        .when((F.col("detail_links") > 0) & good, "EXTRACT_AND_TRAVERSE").when(F.col("detail_links") > 0, "ROUTE_TO_DETAIL")
+        .when((F.col("attachments") > 0) & good, "EXTRACT_AND_TRAVERSE").when(F.col("attachments") > 0, "FETCH_ATTACHMENTS")
         .when(F.lower("url").contains("topis"), "RESOLVE_DYNAMIC_SOURCE").when(has("UNVERIFIED_SOURCE_TIER"), "LOW_PRIORITY_EXTRACT")
-        .when(has("NAVIGATION_ONLY") | has("NAVIGATION_OR_LIST_PAGE"), "REFERENCE_ONLY")
+        .when((has("NAVIGATION_ONLY") | has("NAVIGATION_OR_LIST_PAGE")) & ~detail, "REFERENCE_ONLY")
         .when(has("QUERY_IRRELEVANT") | has("STALE_SOURCE") | has("INSUFFICIENT_CONTENT"), "LOW_PRIORITY_EXTRACT").otherwise("EXTRACT"))
     rows = rows.select("*", F.explode(F.array(route)).alias("disposition"))
     usable = F.col("disposition").isin("EXTRACT", "EXTRACT_AND_TRAVERSE")
@@ -225,16 +230,26 @@ def classify_pages(rows: DataFrame) -> DataFrame:
     noticey = path.rlike(NOTICEY) | F.col("title").rlike(NOTICEY)
     inner = F.col("has_parent") | path.contains("view.do") | path.contains("detail")
     list_type = F.when(noticey, "LOCAL_NOTICE_LIST").otherwise("STRUCTURED_EVENT_LIST")
-    page = lambda name, go: F.struct((F.lit(name) if isinstance(name, str) else name).alias("t"), F.lit(go).alias("go"))
+    said = F.transform("flags", lambda f: F.concat(F.lit("LOCAL_CLASSIFICATION_"), f))
+    none = F.array().cast("array<string>")
+
+    def page(name, go: bool, last: str | None = None, alone: str | None = None) -> Column:
+        """Type, whether to traverse, and the signals with a last code, or one code where no signal spoke."""
+        reasons = F.concat(said, F.array(F.lit(last))) if last else F.when(F.size(said) > 0, said).otherwise(F.array(F.lit(alone)) if alone else none)
+        return F.struct((F.lit(name) if isinstance(name, str) else name).alias("t"), F.lit(go).alias("go"), reasons.alias("why"))
+
+    only = lambda name, code: F.struct(F.lit(name).alias("t"), F.lit(False).alias("go"), F.array(F.lit(code)).alias("why"))
     kind = (
-        F.when(F.trim(text) == "", page("UNUSABLE_CONTENT", False))
-        .when(F.col("has_parent") & path.rlike(ATTACHMENT), page("EVENT_ATTACHMENT", False))
-        .when(listy & ~inner & (score >= 2) & event, page(list_type, True))
-        .when(path.rlike(DETAIL) | F.col("has_parent"), page(F.when(noticey, "LOCAL_NOTICE_DETAIL").otherwise("EVENT_DETAIL_PAGE"), False))
-        .when((F.col("detail_links") > 0) | (F.col("attachments") > 0), page(list_type, True))
-        .when((score >= 2) & event & (F.col("dated_rows") > 0), page("STRUCTURED_EVENT_LIST", True))
-        .when(local & ((score < 2) | ~event), page("NAVIGATION_ONLY", False)).otherwise(page("UNKNOWN", False)))
-    return rows.select("*", F.explode(F.array(kind)).alias("_k")).withColumn("page_type", F.col("_k.t")).withColumn("traversable", F.col("_k.go")).drop("_k")
+        F.when(F.trim(text) == "", only("UNUSABLE_CONTENT", "EMPTY_BODY"))
+        .when(F.col("has_parent") & path.rlike(ATTACHMENT), only("EVENT_ATTACHMENT", "ATTACHMENT_CONTENT"))
+        .when(listy & ~inner & (score >= 2) & event, page(list_type, True, "LOCAL_STRUCTURED_LIST_QUALIFIED"))
+        .when(path.rlike(DETAIL) | F.col("has_parent"), page(F.when(noticey, "LOCAL_NOTICE_DETAIL").otherwise("EVENT_DETAIL_PAGE"), False, alone="LOCAL_DETAIL_URL_PATTERN"))
+        .when((F.col("detail_links") > 0) | (F.col("attachments") > 0), page(list_type, True, "LOCAL_ROUTING_LINKS_DISCOVERED"))
+        .when((score >= 2) & event & (F.col("dated_rows") > 0), page("STRUCTURED_EVENT_LIST", True, "LOCAL_STRUCTURED_LIST_QUALIFIED"))
+        .when(local & ((score < 2) | ~event), page("NAVIGATION_ONLY", False, alone="LOCAL_NAVIGATION_NO_EVENT_EVIDENCE")).otherwise(page("UNKNOWN", False)))
+    rows = rows.select("*", F.explode(F.array(kind)).alias("_k"))
+    return rows.withColumns({"page_type": F.col("_k.t"), "traversable": F.col("_k.go"), "classification_reasons": F.col("_k.why"),
+                             "rows_sufficient": F.col("_k.go") & (F.col("dated_rows") > 0)}).drop("_k")
 
 
 # Words that make a listing row relevant or not.
