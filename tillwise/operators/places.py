@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillwise.functions.core import d, first_by
+from tillwise.functions.core import d
 from tillwise.functions.geo import haversine_m
-from tillwise.functions.places import normalize_address, normalize_venue
+from tillwise.functions.places import normalize_address, normalize_venue, venue_forms
 from tillwise.functions.skew import salted_join
+from tillwise.functions.stages import new_stage
 from tillwise.functions.text import unique_tokens
 
 # Category words, score weights and the tie margin.
@@ -33,7 +34,7 @@ def match_venues(responses: DataFrame) -> DataFrame:
     rows = salted_join(responses.drop("query", "context", "area").withColumn("_text", text), asked, ["query_id"], F.col("place_id"))
     rows = rows.withColumn("overlap", hits(F.col("_words")))
     public = kind.rlike(PUBLIC)
-    usable = F.col("lat").isNotNull() & F.col("lon").isNotNull() & ~(kind.rlike(COMMERCIAL) & ~public) & (
+    usable = valid_coordinates(F.col("lat"), F.col("lon")) & ~(kind.rlike(COMMERCIAL) & ~public) & (
         (F.size("_words") == 0) | (F.col("overlap") > 0))
     distance = haversine_m(F.col("store_lat"), F.col("store_lon"), F.col("lat"), F.col("lon"))
     score = (
@@ -69,17 +70,98 @@ def match_addresses(responses: DataFrame) -> DataFrame:
         F.when(road, "EXACT_ROAD_ADDRESS").when(lot, "EXACT_LOT_ADDRESS").alias("match_type"))
 
 
-def resolve_places(attempts: DataFrame) -> DataFrame:
-    """First success by step; otherwise AMBIGUOUS before PROVIDER_ERROR before NOT_FOUND.
+# Steps of the ladder: the address, search forms from FORMS on in their order, the text as it stands, the area.
+ADDRESS, FORMS, PLAIN, AREA_STEP = 0, 1, 1000, 1001
+#: gazetteer entries of a word that one task joins
+HOT = 10_000
 
-    attempts(query_id, step, status, place_id); an area fallback is a last step that counts only
-    when everything before it was NOT_FOUND."""
+
+def search_steps(requests: DataFrame) -> DataFrame:
+    """(query_id, step, query, area, context, store_lat, store_lon): the searches of each request in order.
+
+    requests(query_id, address, areas, context, store_lat, store_lon, allow_fallback)."""
+    none = F.array().cast("array<string>")
+    areas = F.coalesce("areas", none)
+    forms = F.transform(venue_forms(F.col("address"), areas, F.col("context")), lambda f, i: F.struct((i + FORMS).alias("step"), f.alias("query")))
+    plain = F.array(F.struct(F.lit(PLAIN).alias("step"), normalize_address(F.col("address")).alias("query")))
+    fall = F.when(F.col("allow_fallback") & (F.size(areas) > 0), F.array(F.struct(F.lit(AREA_STEP).alias("step"), F.array_join(areas, " ").alias("query")))).otherwise(
+        F.array().cast("array<struct<step:int,query:string>>"))
+    rows = requests.withColumn("s", F.explode(F.concat(forms, plain, fall)))
+    return rows.select("query_id", "s.step", "s.query", F.coalesce(F.get(areas, F.lit(0)), F.lit("")).alias("area"), F.coalesce("context", F.lit("")).alias("context"), "store_lat", "store_lon")
+
+
+def candidates(searches: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """Every search with every place that has one of its words, as rows for match_venues; query_id is `query#step`.
+
+    An inverted index of the gazetteer's words meets the searches' words. Words of more than HOT places are split:
+    their places are spread over tasks by place and their searches repeated, as often as the word's count asks for."""
+    text = F.lower(normalize_address(F.concat_ws(" ", "address", "place_name", "category")))
+    index = gazetteer.select("place_id", F.explode(unique_tokens(text)).alias("word"))
+    asked = searches.select(F.concat_ws("#", F.col("query_id").cast("string"), F.col("step").cast("string")).alias("search"), F.explode(unique_tokens(normalize_venue(F.col("query")))).alias("word"))
+    index = index.join(asked.select("word").distinct(), "word", "left_semi")
+    parts = index.groupBy("word").agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts")).where("parts > 1")
+    dealt = index.join(parts, "word", "left").select("word", "place_id", F.coalesce(F.pmod(F.xxhash64("place_id"), F.col("parts")).cast("int"), F.lit(0)).alias("part"))
+    repeated = asked.join(parts, "word", "left").select("search", "word", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    pairs = repeated.join(dealt, ["word", "part"]).select("search", "place_id").distinct()
+    named = searches.withColumn("search", F.concat_ws("#", F.col("query_id").cast("string"), F.col("step").cast("string"))).drop("query_id", "step")
+    places = gazetteer.select("place_id", "place_name", "address", "category", "lat", "lon")
+    rows = salted_join(salted_join(pairs, named, ["search"], F.col("place_id")), places, ["place_id"], F.col("search"))
+    return rows.withColumnRenamed("search", "query_id")
+
+
+def resolve_ladder(requests: DataFrame, gazetteer: DataFrame, outages: DataFrame) -> DataFrame:
+    """(query_id, status, step, place_id, match_type, failure_codes): where each request is, by the first search that finds
+    one clear place: its exact address, its search forms in order, its text. If that last search finds nothing and
+    the request allows it, the area's own place stands in. Otherwise AMBIGUOUS comes before PROVIDER_ERROR before
+    NOT_FOUND; an empty address is FAILED.
+
+    gazetteer(place_id, place_name, address, lot_address, category, lat, lon); outages(query_id, kind, reason) are searches
+    (ADDRESS, KEYWORD, AREA) that the provider failed to answer."""
+    text = normalize_address(F.col("address"))
+    usable = requests.where(F.coalesce(text, F.lit("")) != "")
+    wanted = usable.select("query_id", text.alias("wanted"))
+    sides = F.explode(F.array(F.struct(F.lit("road").alias("side"), normalize_address(F.col("address")).alias("wanted")), F.struct(F.lit("lot").alias("side"), normalize_address(F.col("lot_address")).alias("wanted"))))
+    exact = gazetteer.select("place_id", "lat", "lon", sides.alias("s")).select("place_id", "lat", "lon", "s.side", "s.wanted").where("wanted is not null")
+    exact = salted_join(exact, wanted, ["wanted"], F.col("place_id")).groupBy("query_id").agg(
+        F.count_if(F.col("side") == "road").alias("roads"), F.count_if(F.col("side") == "lot").alias("lots"),
+        *[F.min(F.when(F.col("side") == side, F.struct("place_id", "lat", "lon"))).alias(side) for side in ("road", "lot")])
+    road, lot = F.col("roads") == 1, (F.col("roads") == 0) & (F.col("lots") == 1)
+    hit = F.when(road, F.col("road")).when(lot, F.col("lot"))
+    found = usable.select("query_id").join(exact, "query_id", "left").select("query_id", hit.alias("hit"), F.coalesce(F.col("roads") + F.col("lots"), F.lit(0)).alias("n"), F.when(road, "EXACT_ROAD_ADDRESS").when(lot, "EXACT_LOT_ADDRESS").alias("match_type"))
+    status = F.when(F.col("hit").isNull() & (F.col("n") > 0), "AMBIGUOUS").when(F.col("hit").isNull(), "NOT_FOUND").when(valid_coordinates(F.col("hit.lat"), F.col("hit.lon")), "SUCCESS").otherwise("PROVIDER_ERROR")
+    first = found.select("query_id", F.lit(ADDRESS).alias("step"), status.alias("status"), F.col("hit.place_id").alias("place_id"), "match_type", F.when(status == "PROVIDER_ERROR", "INVALID_COORDINATES").alias("reason"))
+    # written, as the forms are long expressions and several steps read the same pairs
+    searches = new_stage(search_steps(usable), "place-searches")
+    matched = match_venues(new_stage(candidates(searches, gazetteer), "place-candidates")).select(
+        F.substring_index("query_id", "#", 1).alias("_query"), F.substring_index("query_id", "#", -1).cast("int").alias("_step"), "status", "place_id")
+    rest = searches.select("query_id", "step").join(matched, (F.col("query_id").cast("string") == F.col("_query")) & (F.col("step") == F.col("_step")), "left")
+    kind = F.when(F.col("step") == AREA_STEP, "ADMINISTRATIVE_AREA_FALLBACK").otherwise("KEYWORD")
+    rest = rest.select("query_id", "step", F.coalesce("status", F.lit("NOT_FOUND")).alias("status"), "place_id", kind.alias("match_type"), F.lit(None).cast("string").alias("reason"))
+    tried = first.unionByName(rest).withColumn("kind", F.when(F.col("step") == ADDRESS, "ADDRESS").when(F.col("step") == AREA_STEP, "AREA").otherwise("KEYWORD"))
+    lost = outages.groupBy(F.col("query_id").alias("_lost"), F.col("kind").alias("_kind")).agg(F.min("reason").alias("_why"))
+    tried = tried.join(lost, (F.col("query_id") == F.col("_lost")) & (F.col("kind") == F.col("_kind")), "left")
+    down = F.col("_lost").isNotNull()
+    tried = tried.withColumns({"status": F.when(down, "PROVIDER_ERROR").otherwise(F.col("status")), "reason": F.when(down, F.col("_why")).otherwise(F.col("reason")), "place_id": F.when(~down, F.col("place_id"))})
+    tried = new_stage(tried.select("query_id", "step", "status", "place_id", "match_type", "reason"), "place-tried")
+    out = requests.select("query_id").join(resolve_places(tried), "query_id", "left")
+    return out.select("query_id", F.coalesce("status", F.lit("FAILED")).alias("status"), "step", "place_id", "match_type",
+                      F.when(F.col("status").isNull(), F.array(F.lit("EMPTY_ADDRESS"))).otherwise(F.col("failure_codes")).alias("failure_codes"))
+
+
+def valid_coordinates(lat: Column, lon: Column) -> Column:
+    return F.coalesce(lat.between(-90, 90) & lon.between(-180, 180), F.lit(False))
+
+
+def resolve_places(tried: DataFrame) -> DataFrame:
+    """tried(query_id, step, status, place_id, match_type, reason) to one row a query: the first success by step; the area
+    step counts only where the plain text was NOT_FOUND."""
+    plain = tried.where(F.col("step") == PLAIN).groupBy("query_id").agg(F.min("status").alias("_plain"))
+    rows = tried.join(plain, "query_id", "left").where((F.col("step") != AREA_STEP) | (F.col("_plain") == "NOT_FOUND"))
     ok = F.col("status") == "SUCCESS"
-    rows = attempts.groupBy("query_id").agg(
-        first_by(F.when(ok & ~F.col("fallback"), F.struct("step", "place_id")), F.when(ok & ~F.col("fallback"), F.lit(0)).otherwise(1), F.col("step")).alias("hit"),
-        first_by(F.when(ok & F.col("fallback"), F.struct("step", "place_id")), F.when(ok & F.col("fallback"), F.lit(0)).otherwise(1), F.col("step")).alias("area"),
-        F.max((F.col("status") == "AMBIGUOUS")).alias("ambiguous"), F.max(F.col("status") == "PROVIDER_ERROR").alias("broken"))
-    plain = ~F.col("ambiguous") & ~F.col("broken")
-    chosen = F.coalesce("hit", F.when(plain, F.col("area")))
-    status = F.when(chosen.isNotNull(), "SUCCESS").when(F.col("ambiguous"), "AMBIGUOUS").when(F.col("broken"), "PROVIDER_ERROR").otherwise("NOT_FOUND")
-    return rows.select("query_id", status.alias("status"), chosen["step"].alias("step"), chosen["place_id"].alias("place_id"))
+    # what came after the first success was never asked
+    rows = rows.groupBy("query_id").agg(
+        F.min_by(F.when(ok, F.struct("step", "place_id", "match_type")), F.when(ok, F.col("step"))).alias("hit"), F.max(F.col("status") == "AMBIGUOUS").alias("ambiguous"),
+        F.max(F.col("status") == "PROVIDER_ERROR").alias("broken"), F.array_sort(F.collect_set("reason")).alias("failure_codes"))
+    status = F.when(F.col("hit").isNotNull(), "SUCCESS").when(F.col("ambiguous"), "AMBIGUOUS").when(F.col("broken"), "PROVIDER_ERROR").otherwise("NOT_FOUND")
+    none = F.array().cast("array<string>")
+    return rows.select("query_id", status.alias("status"), "hit.step", "hit.place_id", "hit.match_type", F.when(status == "PROVIDER_ERROR", F.col("failure_codes")).otherwise(none).alias("failure_codes"))

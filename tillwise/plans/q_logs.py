@@ -193,16 +193,68 @@ def gazetteer_match(spark, sf):
     return pl.match_venues(responses(spark, sf)).select("query_id", "status", "place_id", rnd(F.col("score"), 6).alias("score"))
 
 
+# stores ask for lots, named plazas, unknown names with and without an area, and names whose search or address failed
+_GAZ = """SELECT c_custkey AS place_id, c_mktsegment || ' Plaza ' || (100 + c_custkey % 40) AS place_name, 'Road ' || c_nationkey || ' District ' || (10 + c_custkey % 7) AS address, 'Lot ' || (c_custkey - c_custkey % 10) || '-' || least(c_custkey % 10, 8) AS lot_address,
+  CASE c_mktsegment WHEN 'FURNITURE' THEN 'shopping' WHEN 'HOUSEHOLD' THEN 'public' WHEN 'MACHINERY' THEN 'park' WHEN 'BUILDING' THEN 'office' ELSE 'cafe' END AS category,
+  CASE WHEN c_custkey % 50 = 3 THEN 97.0::DOUBLE ELSE 37.45::DOUBLE + (c_custkey % 1000) / 10000.0::DOUBLE END AS lat, 126.95::DOUBLE + ((c_custkey * 7) % 1000) / 10000.0::DOUBLE AS lon FROM customer"""
+cte("gazetteer", _GAZ)
+cte("place_requests", """
+SELECT store_id AS query_id, lat AS s_lat, lon AS s_lon, store_id % 9 AS kind, CASE store_id % 9 WHEN 0 THEN 'Lot ' || (k - k % 10) || '-' || k % 10 WHEN 1 THEN 'BUILDING Plaza ' || (100 + k % 40) WHEN 2 THEN 'Nowhere Xyz' WHEN 3 THEN 'Nowhere Xyz' WHEN 4 THEN 'Nowhere Xyz'
+  WHEN 5 THEN 'Blank Hall, MACHINERY Plaza ' || (100 + k % 40) WHEN 6 THEN ' ' WHEN 7 THEN 'Lot ' || (k - k % 10) || '-' || k % 10 ELSE 'Road 3' END AS address,
+  CASE store_id % 9 WHEN 2 THEN 'Lot ' || (k - k % 10) || '-' || k % 10 WHEN 3 THEN 'District 12' END AS area, store_id % 9 <> 3 AS allowed, CASE store_id % 9 WHEN 4 THEN 'KEYWORD' WHEN 7 THEN 'ADDRESS' END AS down
+FROM (SELECT *, (store_id * 7) % (SELECT count(*) FROM customer) + 1 AS k FROM stores)""", "stores")
+cte("place_searches", """
+SELECT query_id, s_lat, s_lon, area, step, text, list_distinct(regexp_extract_all(lower(text), '[0-9a-z]{2,}')) AS words FROM (
+  SELECT *, 1 AS step, trim(address) AS text FROM place_requests UNION ALL SELECT *, 2, trim(split_part(address, ',', 1)) FROM place_requests WHERE contains(address, ',')
+  UNION ALL SELECT *, 1000, trim(replace(address, ', ', ' ')) FROM place_requests UNION ALL SELECT *, 1001, area FROM place_requests WHERE allowed AND area IS NOT NULL) WHERE trim(address) <> ''""", "place_requests")
+cte("place_scores", f"""
+SELECT *, row_number() OVER (PARTITION BY query_id, step ORDER BY score DESC, distance_m, place_id) AS rn FROM (
+  SELECT *, overlap * 12.0::DOUBLE + CASE WHEN area IS NOT NULL AND contains(t, lower(area)) THEN 30.0::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN category IN ('public', 'park') THEN 8.0::DOUBLE ELSE 0.0::DOUBLE END + greatest(0.0::DOUBLE, 6.0::DOUBLE - distance_m / 1000.0::DOUBLE) AS score
+  FROM (SELECT q.*, g.*, len(list_filter(words, lambda w: contains(t, w))) AS overlap, {hav('s_lat', 's_lon', 'lat', 'lon')} AS distance_m
+    FROM place_searches q JOIN (SELECT *, lower(address || ' ' || place_name || ' ' || category) AS t FROM gazetteer) g ON list_has_any(words, regexp_extract_all(t, '[0-9a-z]{{2,}}')))
+  WHERE category NOT IN ('shopping', 'cafe') AND lat <= 90)""", "place_searches", "gazetteer")
+cte("place_tried", """
+SELECT q.query_id, 0 AS step, CASE WHEN r.down = 'ADDRESS' THEN 'PROVIDER_ERROR' WHEN n = 1 AND lat > 90 THEN 'PROVIDER_ERROR' WHEN n = 1 THEN 'SUCCESS' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'NOT_FOUND' END AS status, place_id, 'EXACT_LOT_ADDRESS' AS match_type,
+  CASE WHEN r.down = 'ADDRESS' THEN 'KAKAO_TIMEOUT' WHEN n = 1 AND lat > 90 THEN 'INVALID_COORDINATES' END AS reason
+FROM (SELECT DISTINCT query_id FROM place_searches) q JOIN place_requests r USING (query_id) LEFT JOIN (SELECT lot_address, count(*) AS n, min(place_id) AS place_id, min(lat) AS lat FROM gazetteer GROUP BY 1) g ON g.lot_address = trim(r.address)
+UNION ALL
+SELECT s.query_id, s.step, CASE WHEN r.down = 'KEYWORD' AND s.step <> 1001 THEN 'PROVIDER_ERROR' WHEN a.score IS NULL THEN 'NOT_FOUND' WHEN b.score IS NOT NULL AND a.score - b.score < 2 THEN 'AMBIGUOUS' ELSE 'SUCCESS' END, a.place_id,
+  CASE s.step WHEN 1001 THEN 'ADMINISTRATIVE_AREA_FALLBACK' ELSE 'KEYWORD' END, CASE WHEN r.down = 'KEYWORD' AND s.step <> 1001 THEN 'KAKAO_RATE_LIMITED' END
+FROM place_searches s JOIN place_requests r USING (query_id) LEFT JOIN place_scores a ON a.query_id = s.query_id AND a.step = s.step AND a.rn = 1 LEFT JOIN place_scores b ON b.query_id = s.query_id AND b.step = s.step AND b.rn = 2""", "place_searches", "place_requests", "gazetteer", "place_scores")
+
+
+def gazetteer(spark, sf):
+    k, seg = F.col("c_custkey"), F.col("c_mktsegment")
+    text = lambda x: x.cast("string")
+    return b.table(spark, sf, "customer").select(
+        k.alias("place_id"), F.concat(seg, F.lit(" Plaza "), text(100 + k % 40)).alias("place_name"), F.concat(F.lit("Road "), text(F.col("c_nationkey")), F.lit(" District "), text(10 + k % 7)).alias("address"),
+        F.concat(F.lit("Lot "), text(k - k % 10), F.lit("-"), text(F.least(k % 10, F.lit(8)))).alias("lot_address"),
+        F.when(seg == "FURNITURE", "shopping").when(seg == "HOUSEHOLD", "public").when(seg == "MACHINERY", "park").when(seg == "BUILDING", "office").otherwise("cafe").alias("category"),
+        F.when(k % 50 == 3, F.lit(97.0)).otherwise(37.45 + (k % 1000) / 10000.0).alias("lat"), (126.95 + ((k * 7) % 1000) / 10000.0).alias("lon"))
+
+
+def place_requests(spark, sf):
+    q = F.col("store_id")
+    k = (q * 7) % b.table(spark, sf, "customer").agg(F.count("*")).scalar() + 1
+    lot = F.concat(F.lit("Lot "), (k - k % 10).cast("string"), F.lit("-"), (k % 10).cast("string"))
+    number = (100 + k % 40).cast("string")
+    kind = q % 9
+    address = (F.when(kind.isin(0, 7), lot).when(kind == 1, F.concat(F.lit("BUILDING  Plaza "), number)).when(kind.isin(2, 3, 4), "Nowhere Xyz").when(kind == 5, F.concat(F.lit("Blank Hall, MACHINERY Plaza "), number))
+               .when(kind == 6, " ").otherwise("Road 3"))
+    areas = F.when(kind == 2, F.array(lot)).when(kind == 3, F.array(F.lit("District 12"))).otherwise(F.array().cast("array<string>"))
+    return b.stores(spark, sf).select(q.alias("query_id"), address.alias("address"), areas.alias("areas"), F.lit(None).cast("string").alias("context"), F.col("lat").alias("store_lat"), F.col("lon").alias("store_lon"),
+                                      (kind != 3).alias("allow_fallback"), F.when(kind == 4, "KEYWORD").when(kind == 7, "ADDRESS").alias("down"))
+
+
 @query("place_resolution", sql("""
-SELECT q.query_id, CASE WHEN e.roads = 1 OR v.status = 'SUCCESS' THEN 'SUCCESS' ELSE 'AMBIGUOUS' END AS status, CASE WHEN e.roads = 1 THEN 0 WHEN v.status = 'SUCCESS' THEN 1 END AS step,
-  CASE WHEN e.roads = 1 THEN e.road_id WHEN v.status = 'SUCCESS' THEN v.place_id END AS place_id
-FROM (SELECT DISTINCT query_id FROM responses) q JOIN venue_best v USING (query_id) JOIN (SELECT query_id, count(*) FILTER (address = 'Road ' || query_id % 25 || ' District ' || (10 + query_id % 7)) AS roads,
-  min(place_id) FILTER (address = 'Road ' || query_id % 25 || ' District ' || (10 + query_id % 7)) AS road_id FROM responses GROUP BY query_id) e USING (query_id)""", "responses", "venue_best"))
+SELECT r.query_id, coalesce(x.status, 'FAILED') AS status, x.step, x.place_id, x.match_type, CASE WHEN x.status IS NULL THEN 'EMPTY_ADDRESS' WHEN x.status = 'PROVIDER_ERROR' THEN x.codes ELSE '' END AS failure_codes
+FROM place_requests r LEFT JOIN (
+  SELECT query_id, CASE WHEN hit IS NOT NULL THEN 'SUCCESS' WHEN ambiguous THEN 'AMBIGUOUS' WHEN broken THEN 'PROVIDER_ERROR' ELSE 'NOT_FOUND' END AS status, hit.step AS step, hit.place_id AS place_id, hit.match_type AS match_type, codes FROM (
+    SELECT query_id, first({'step': step, 'place_id': place_id, 'match_type': match_type} ORDER BY step) FILTER (status = 'SUCCESS') AS hit, bool_or(status = 'AMBIGUOUS') AS ambiguous, bool_or(status = 'PROVIDER_ERROR') AS broken,
+      array_to_string(list_sort(list_distinct(list(reason) FILTER (reason IS NOT NULL))), ',') AS codes
+    FROM place_tried t WHERE step <> 1001 OR EXISTS (SELECT 1 FROM place_tried p WHERE p.query_id = t.query_id AND p.step = 1000 AND p.status = 'NOT_FOUND') GROUP BY 1)) x USING (query_id)""", "place_requests", "place_tried"))
 def place_resolution(spark, sf):
-    found = responses(spark, sf)
-    q = F.col("query_id")
-    wanted = F.concat(F.lit("Road  "), (q % 25).cast("string"), F.lit(", District "), (10 + q % 7).cast("string"))
-    exact = pl.match_addresses(found.select("query_id", "place_id", wanted.alias("query"), F.col("address").alias("road_address"), F.lit(None).cast("string").alias("lot_address")))
-    venue = pl.match_venues(found)
-    attempt = lambda df, step: df.select("query_id", F.lit(step).alias("step"), "status", "place_id", F.lit(False).alias("fallback"))
-    return pl.resolve_places(attempt(exact, 0).unionByName(attempt(venue, 1)))
+    asked = place_requests(spark, sf)
+    reason = F.when(F.col("down") == "ADDRESS", "KAKAO_TIMEOUT").otherwise("KAKAO_RATE_LIMITED")
+    outages = asked.where("down is not null").select("query_id", F.col("down").alias("kind"), reason.alias("reason"))
+    return pl.resolve_ladder(asked.drop("down"), gazetteer(spark, sf), outages).withColumn("failure_codes", F.array_join("failure_codes", ","))
