@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tillwise.operators import metrics as mt
+from tillwise.sources import sinks
 from tillwise.streaming import feeds
 
 
@@ -89,3 +90,45 @@ def test_rows_of_any_age_reach_the_tables_over_two_triggers(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(table).collect()) == ["a", "b", "c"]
     months = feeds.monthly_stream(stream().filter("id <> 'a' or ts is not null"), "ts", str(tmp_path / "m2")).collect()
     assert {(r.month.month, r.cents, r.n, r.last_cents) for r in months} == {(1, 1, 1, 1), (3, 17, 3, 7)}
+
+
+def test_revisions_become_vintages_and_old_dates_keep_what_they_knew(spark, tmp_path):
+    src, schema = str(tmp_path / "src"), "indicator_id string, observed_at date, known timestamp, value double"
+    at = lambda d, h=0: dt.datetime(2026, 5, d, h)
+    obs = lambda d: dt.date(2026, 4, d)
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    folder = str(tmp_path / "v")
+
+    def run():
+        stream = feeds.open_stream(spark, src, spark.read.parquet(src).schema)
+        table = feeds.ingest_vintages(stream, ["indicator_id"], "observed_at", "known", "value", folder)
+        return feeds.vintages(spark.read.parquet(table), ["indicator_id"], "observed_at", "known", "value")
+
+    seen = lambda moment, table: sorted((r.indicator_id, r.observed_at.day, r.value) for r in feeds.known_at(table, F.lit(moment)).collect())
+    put([("A", obs(1), at(2), 1.0), ("A", obs(2), at(3), 5.0), ("B", obs(1), at(2), 9.0)])
+    first = run()
+    assert seen(at(4), first) == [("A", 1, 1.0), ("A", 2, 5.0), ("B", 1, 9.0)]
+    old = seen(at(4), first)
+    put([("A", obs(1), at(6), 2.0), ("A", obs(1), at(7), 2.0), ("A", obs(2), at(3), 7.0), ("A", obs(1), at(2), 1.0), ("0", dt.date(2025, 1, 1), at(6), None)])  # a revision, its repeat, another value under a known key, a replay, a null long ago
+    table = run()
+    assert seen(at(4), table) == old
+    assert seen(at(8), table) == [("0", 1, None), ("A", 1, 2.0), ("A", 2, 5.0), ("B", 1, 9.0)]
+    assert sorted((r.value, r.known_from.day, r.known_to and r.known_to.day) for r in table.where("indicator_id = 'A' and observed_at = '2026-04-01'").collect()) == [(1.0, 2, 6), (2.0, 6, None)]
+    assert run().count() == table.count()  # nothing new arrived
+
+
+def test_append_reads_only_the_days_that_arrive(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "id int, day date, v int"
+    for rows in ([(1, dt.date(2026, 1, 1), 1), (2, dt.date(2026, 1, 2), 1), (9, None, 1)], [(1, dt.date(2026, 1, 1), 5), (3, dt.date(2026, 1, 1), 1), (9, None, 4)]):
+        sinks.append_once(spark.createDataFrame(rows, schema), path, ["id", "day"], ["v"], "day")
+    assert rows_of(spark.read.parquet(path).fillna({"v": 0}), "id", "v") == [(1, 1), (2, 1), (3, 1), (9, 1), (9, 4)]  # a null day meets nothing, as null keys do
+
+
+def test_versions_are_stored_once(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "result string, request string, x int"
+    store = lambda rows: {(r.result, r.request): r.version for r in sinks.store_versions(spark.createDataFrame(rows, schema), path, ["result"], "request").collect()}
+    assert store([("r", "a", 1), ("s", "a", 1)]) == {("r", "a"): 1, ("s", "a"): 1}
+    assert store([("r", "a", 1)]) == {("r", "a"): 1}
+    assert store([("r", "c", 1), ("r", "b", 1), ("r", "a", 1), ("r", "b", 1)]) == {("r", "a"): 1, ("r", "b"): 2, ("r", "c"): 3}
+    latest = sinks.latest_version(spark.read.parquet(path), ["result"]).collect()
+    assert {(r.result, r.version, r.request) for r in latest} == {("r", 3, "c"), ("s", 1, "a")}

@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillwise.functions.core import last_by
@@ -38,13 +38,40 @@ def new_folder(spark: SparkSession) -> str:
 
 
 def ingest_once(stream: DataFrame, key: str, ts: str, folder: str) -> str:
-    """Idempotent ingest: the sink's anti join drops repeats, however late; a row that comes late for the
-    first time is stored like any other. Returns the table's path."""
+    """Idempotent ingest of rows whose time never changes under a key: the sink's anti join drops repeats, however
+    late; a row that comes late for the first time is stored like any other. The table is partitioned by day, and a
+    batch reads only the days that it brings. Returns the table's path."""
     table = f"{folder}/table"
-    drain(stream, lambda batch, _: append_once(batch, table, [key], [ts]), folder)
+    dated = stream.withColumn("day", F.to_date(ts))
+    drain(dated, lambda batch, _: append_once(batch, table, [key, "day"], [ts], "day"), folder)
     return table
 
 
+def ingest_vintages(stream: DataFrame, series: list[str], observed: str, known: str, value: str, folder: str) -> str:
+    """A feed of observations that may be revised: every (series, observed, known) is one fact, stored once in the
+    partition of its observed month. `known` is when the value could first be used, landing included, so that facts
+    that arrive later never change what an earlier date knew. Of rows with equal keys in one batch the least value is
+    kept, over batches the first. Returns the table's path."""
+    table = f"{folder}/table"
+    dated = stream.withColumn("month", F.trunc(observed, "month"))
+    drain(dated, lambda batch, _: append_once(batch, table, [*series, observed, known, "month"], [value], "month"), folder)
+    return table
+
+
+def vintages(facts: DataFrame, series: list[str], observed: str, known: str, value: str) -> DataFrame:
+    """(series, observed, value, known_from, known_to): the values of each observation and when each was the known one,
+    known_to open for the last. A fact that repeats the value known before it starts no vintage."""
+    own = Window.partitionBy(*series, observed).orderBy(known)  # the facts of one observation
+    before = F.lag(F.struct(value)).over(own)
+    changed = facts.withColumn("_before", before).where(F.col("_before").isNull() | ~F.col(f"_before.{value}").eqNullSafe(F.col(value)))
+    return changed.select(*series, observed, value, F.col(known).alias("known_from"), F.lead(known).over(own).alias("known_to"))
+
+
+def known_at(intervals: DataFrame, moment: Column) -> DataFrame:
+    """What was known at a moment: one vintage per observation at most."""
+    return intervals.where((F.col("known_from") <= moment) & (F.col("known_to").isNull() | (F.col("known_to") > moment)))
+
+
 def merge_batches(stream: DataFrame, partial: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
     """An aggregate without state: each micro-batch writes its own partial aggregate, and the table is their
     merge. Late rows count in whatever batch brings them."""
