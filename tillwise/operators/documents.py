@@ -121,11 +121,12 @@ def extraction_score(trusted: Column, detail: Column, title: Column, body: Colum
     return trusted.cast("int") * 100 + detail.cast("int") * 30 + terms * 5 + words * 3
 
 
-def top_per_group(rows: DataFrame, key: str, group: str, order: list[Column], budget: DataFrame, most: int, code: str) -> DataFrame:
+def top_per_group(rows: DataFrame, key: str, group: str, order: list[Column], budget: DataFrame, code: str) -> DataFrame:
     """Marks rows within their group's budget; the rest carry `code`.
 
-    budget(group, budget) is a small dimension with budgets up to `most`; ranks above `most` are
-    cut below the shuffle, so a crowded group sends few rows."""
+    budget(group, budget) is a small dimension; ranks above its largest budget are cut below the shuffle, so a
+    crowded group sends few rows."""
+    most = budget.agg(F.coalesce(F.max("budget"), F.lit(0))).first()[0]
     best = Window.partitionBy(group).orderBy(*order)
     kept = rows.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= most)
     kept = kept.join(budget, group).filter(F.col("_r") <= F.col("budget")).select(key, F.col("_r").alias("rank"))

@@ -210,7 +210,8 @@ def reconcile(events: DataFrame) -> DataFrame:
 
 
 def decision_lifecycle(decisions: DataFrame, keys: list[str], as_of: Column) -> DataFrame:
-    """Current, superseded (until the day before the next distinct start) or future decision.
+    """Current, superseded (until the day before the next distinct start) or future decision; only the current one
+    emits signals.
 
     decisions(keys…, event_id, start_date, end_date). Works on one row per key and start date;
     a series' dates are few, its reports need not be."""
@@ -224,7 +225,8 @@ def decision_lifecycle(decisions: DataFrame, keys: list[str], as_of: Column) ->
     superseded = status == "SUPERSEDED_BY_LATER_DECISION"
     return out.select(
         *keys, "event_id", "start_date", F.when(superseded, F.date_sub("later.start_date", 1)).otherwise(F.col("end_date")).alias("end_date"),
-        status.alias("lifecycle_status"), F.when(superseded, F.col("later.day_first")).alias("superseded_by"))
+        status.alias("lifecycle_status"), F.when(superseded, F.col("later.day_first")).alias("superseded_by"), is_current.eqNullSafe(True).alias("signal_enabled"),
+        F.when(superseded, "SUPERSEDED").when(status == "FUTURE_OFFICIAL_DECISION", "NOT_EFFECTIVE_YET").alias("signal_reason"))
 
 
 def assign_cause_groups(events: DataFrame, indicators: Column) -> DataFrame:

@@ -79,6 +79,21 @@ def acceptance_ratio(counts: DataFrame, keys: list[str]) -> DataFrame:
     return counts.groupBy(*keys).agg(F.coalesce(F.try_divide(F.sum("accepted"), total), d(0)).alias("event_acceptance_ratio"))
 
 
+def rejection_shares(candidates: DataFrame) -> DataFrame:
+    """(code, n, share): how often each failure code was given, and its part of all codes given. candidates(failure_codes)."""
+    counts = candidates.select(F.explode("failure_codes").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+    return counts.withColumn("share", F.col("n") / counts.agg(F.sum("n")).scalar())
+
+
+def per_accepted(documents: DataFrame, candidates: DataFrame) -> DataFrame:
+    """One row: documents, accepted candidates, cost and latency for each accepted one (0 where none was).
+    documents(cost_usd, latency_ms); candidates(accepted)."""
+    spent = documents.agg(F.count("*").alias("documents"), F.coalesce(F.sum("cost_usd"), d(0)).alias("_cost"), F.coalesce(F.sum("latency_ms"), d(0)).alias("_latency"))
+    accepted = candidates.agg(F.count_if("accepted")).scalar()
+    share = lambda total: F.coalesce(F.try_divide(F.col(total), F.col("accepted")), d(0))
+    return spent.withColumn("accepted", accepted).select("documents", "accepted", share("_cost").alias("cost_per_accepted_usd"), share("_latency").alias("latency_per_accepted_ms"))
+
+
 def timeout_counts(outcomes: DataFrame, order: list[str]) -> DataFrame:
     """Timeouts per code; a source counts once, for its first timeout."""
     hits = outcomes.withColumn("code", F.explode("reason_codes")).filter(

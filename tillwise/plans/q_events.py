@@ -360,9 +360,10 @@ def supersede_chain(spark, sf):
 
 @query("decision_lifecycle", sql("""
 SELECT event_id, place, CASE WHEN event_id = current_id THEN 'CURRENT_OFFICIAL_DECISION' WHEN later_id IS NOT NULL THEN 'SUPERSEDED_BY_LATER_DECISION' ELSE 'FUTURE_OFFICIAL_DECISION' END AS lifecycle_status,
-  strftime(CASE WHEN event_id IS DISTINCT FROM current_id AND later_id IS NOT NULL THEN later_start - 1 ELSE end_date END, '%Y-%m-%d') AS end_date FROM life""", "life"))
+  strftime(CASE WHEN event_id IS DISTINCT FROM current_id AND later_id IS NOT NULL THEN later_start - 1 ELSE end_date END, '%Y-%m-%d') AS end_date,
+  CASE WHEN event_id IS DISTINCT FROM current_id THEN later_id END AS superseded_by, event_id IS NOT DISTINCT FROM current_id AS signal_enabled, CASE WHEN event_id IS NOT DISTINCT FROM current_id THEN NULL WHEN later_id IS NOT NULL THEN 'SUPERSEDED' ELSE 'NOT_EFFECTIVE_YET' END AS signal_reason FROM life""", "life"))
 def decision_lifecycle(spark, sf):
-    return lifecycle(spark, sf).select("event_id", "place", "lifecycle_status", day_name(F.col("end_date")).alias("end_date"))
+    return lifecycle(spark, sf).select("event_id", "place", "lifecycle_status", day_name(F.col("end_date")).alias("end_date"), "superseded_by", "signal_enabled", "signal_reason")
 
 
 cte("signal_counts", "SELECT event_id, count(*) AS signals, count(*) FILTER (raw <> 0) AS nonzero FROM raw_signals GROUP BY event_id", "raw_signals")

@@ -134,6 +134,36 @@ def bundle_status(spark, sf):
     return out.join(runs, "run_id", "left_semi")
 
 
+# every request is a call; some fail in each of the known ways, and what they asked for is not delivered
+cte("calls", """
+SELECT *, CASE n WHEN 0 THEN 401 WHEN 1 THEN 429 WHEN 2 THEN 503 ELSE 200 END AS http_status, CASE n WHEN 3 THEN 'timeout' WHEN 4 THEN 'malformed' WHEN 5 THEN 'error' ELSE 'ok' END AS outcome,
+  CASE n WHEN 0 THEN 'AUTHENTICATION_FAILED' WHEN 1 THEN 'RATE_LIMITED' WHEN 2 THEN 'HTTP_503' WHEN 3 THEN 'TIMEOUT' WHEN 4 THEN 'MALFORMED_RESPONSE' WHEN 5 THEN 'PROVIDER_FAILURE' END AS code
+FROM (SELECT *, (CAST(substr(run_id, 6, 2) AS INTEGER) * 7 + length(indicator_id)) % 19 AS n FROM requests)""", "requests")
+
+
+def calls(spark, sf):
+    n = (F.substring("run_id", 6, 2).cast("int") * 7 + F.length("indicator_id")) % 19
+    return requests(spark, sf).withColumns({
+        "http_status": F.when(n == 0, 401).when(n == 1, 429).when(n == 2, 503).otherwise(200), "outcome": F.when(n == 3, "timeout").when(n == 4, "malformed").when(n == 5, "error").otherwise("ok")})
+
+
+@query("provider_failures", sql("SELECT run_id, indicator_id, code FROM calls WHERE code IS NOT NULL", "calls"))
+def provider_failures(spark, sf):
+    return landed.provider_errors(calls(spark, sf))
+
+
+@query("bundle_status_of_calls", sql("""
+SELECT q.run_id, count(k.indicator_id) AS delivered, CASE WHEN bool_or(q.required AND k.indicator_id IS NULL) AND count(k.indicator_id) = 0 THEN 'FAILED' WHEN bool_or(k.indicator_id IS NULL) OR count(q.code) > 0 THEN 'PARTIAL' ELSE 'COMPLETED' END AS status
+FROM calls q LEFT JOIN (SELECT DISTINCT strftime(observed_at, '%Y-%m') AS run_id, indicator_id FROM known) k ON k.run_id = q.run_id AND k.indicator_id = q.indicator_id AND q.code IS NULL GROUP BY q.run_id""", "calls", "known"))
+def bundle_status_of_calls(spark, sf):
+    asked = calls(spark, sf)
+    failed = landed.provider_errors(asked)
+    obs = of.accepted_as_of(b.observations(spark, sf), b.as_of()).select(month_name(F.col("observed_at")).alias("run_id"), "indicator_id").distinct()
+    obs = obs.join(failed.select("run_id", "indicator_id"), ["run_id", "indicator_id"], "left_anti")
+    out = of.bundle_status(asked, obs, failed.select("run_id", "code"))
+    return out.join(asked.select("run_id").distinct(), "run_id", "left_semi")
+
+
 cte("projection", """
 SELECT t.*, h.h AS month_index, CAST(DATE '2001-09-01' + to_months(CAST(h.h - 1 AS INTEGER)) AS DATE) AS month,
   coalesce(latest_value - previous_value, 0.0::DOUBLE) AS delta,
@@ -344,13 +374,13 @@ def registry_normalize(spark, sf):
 
 @query("idempotent_append", sql(f"""
 SELECT o.observation_id, o.indicator_id, {DAY('o.observed_at')} AS observed_at FROM obs o
-WHERE o.vintage_id <> 'VNT-0' AND o.observed_at >= DATE '2024-01-31' - 36500""", "obs"))
+WHERE o.vintage_id <> 'VNT-0' AND o.observed_at >= DATE '2001-08-31' - 400""", "obs"))
 def idempotent_append(spark, sf):
     """Two deliveries overlap; only rows not stored before, one per id, inside the retention."""
     obs = b.observations(spark, sf)
     stored = obs.filter(F.col("vintage_id") == "VNT-0")
     fresh = sinks.new_rows(obs.unionByName(obs.filter(F.col("frequency") == "DAILY")), stored, ["observation_id"], ["available_at"])
-    kept = sinks.within_retention(fresh, F.col("observed_at"), F.lit("2024-01-31").cast("date"), 36500)
+    kept = sinks.within_retention(fresh, F.col("observed_at"), F.lit("2001-08-31").cast("date"), 400)
     return kept.select("observation_id", "indicator_id", day_name(F.col("observed_at")).alias("observed_at"))
 
 
@@ -457,6 +487,12 @@ _LEDGER_SQL = " UNION ALL ".join(
        "SELECT store_id, NULL, 'ERROR', 'SCHEMA_VERSION', 'schema_version', NULL, 1 FROM uploaded GROUP BY store_id HAVING bool_or(schema_version <> 'store_history.v1')"])
 
 
+@query("ledger_valid_rows", sql(f"""SELECT store_id, row_index, month FROM uploaded WHERE store_id NOT IN (SELECT store_id FROM ({_LEDGER_SQL}) WHERE severity = 'ERROR')""", "uploaded"))
+def ledger_valid_rows(spark, sf):
+    rows = staged(spark, "uploaded:" + sf, lambda: uploaded(spark, sf))
+    return ledger_csv.valid_rows(rows, ledger_csv.validate_ledger(rows)).select("store_id", "row_index", "month")
+
+
 @query("ledger_validate", sql(_LEDGER_SQL, "uploaded"))
 def ledger_validate(spark, sf):
     return ledger_csv.validate_ledger(uploaded(spark, sf))

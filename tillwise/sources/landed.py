@@ -157,3 +157,10 @@ def provider_failure_code(http_status: Column, outcome: Column) -> Column:
         .when(http_status != 200, F.concat(F.lit("HTTP_"), http_status.cast("string")))
         .when(outcome == "timeout", "TIMEOUT").when(outcome == "malformed", "MALFORMED_RESPONSE")
         .when(outcome == "error", "PROVIDER_FAILURE"))
+
+
+def provider_errors(calls: DataFrame) -> DataFrame:
+    """(run_id, indicator_id, code) of the calls that failed, for the status of their bundle. calls(run_id,
+    indicator_id, http_status, outcome)."""
+    found = calls.select("run_id", "indicator_id", provider_failure_code(F.col("http_status"), F.col("outcome")).alias("code"))
+    return found.where("code is not null")
