@@ -111,6 +111,23 @@ def every_month(adjustments: DataFrame, keys: list[str], horizon: int, forecast_
     return rows.select(*keys, "month", *[F.coalesce(found[c], d(v)).alias(c) for c, v in neutral.items()])
 
 
+def alignment_issues(adjustments: DataFrame, stores: DataFrame, keys: list[str], horizon: int, forecast_start: Column) -> DataFrame:
+    """(keys…, month, code): where adjustments and forecast months do not meet one to one. MONTH_OUTSIDE_HORIZON, MONTH_REPEATED
+    and MONTH_MISSING for a run and a month; RUN_MISSING for a store without any run (its other keys and month are null)."""
+    last = F.add_months(forecast_start, horizon - 1)
+    counted = adjustments.groupBy(*keys, "month").agg(F.count("*").alias("_n"))
+    inside = F.col("month").between(forecast_start, last) & (F.col("month") == F.trunc("month", "month"))
+    code = F.when(~F.coalesce(inside, F.lit(False)), "MONTH_OUTSIDE_HORIZON").when(F.col("_n") > 1, "MONTH_REPEATED")
+    odd = counted.select(*keys, "month", code.alias("code")).where("code is not null")
+    months = F.explode(F.transform(F.sequence(F.lit(0), F.lit(horizon - 1)), lambda i: F.add_months(forecast_start, i)))
+    due = counted.select(*keys).distinct().withColumn("month", months)
+    missing = due.join(counted.select(*keys, "month"), [*keys, "month"], "left_anti").withColumn("code", F.lit("MONTH_MISSING"))
+    alone = stores.select("store_id").join(counted.select("store_id").distinct(), "store_id", "left_anti")
+    kinds = dict(odd.dtypes)
+    alone = alone.select("store_id", *[F.lit(None).cast(kinds[c]).alias(c) for c in (*keys[1:], "month")], F.lit("RUN_MISSING").alias("code"))
+    return odd.unionByName(missing).unionByName(alone)
+
+
 def monthly_scenario(stores: DataFrame, history: DataFrame, forecasts: DataFrame, adjustments: DataFrame,
                      loans: DataFrame, horizon: int, forecast_start: Column, keys: list[str],
                      features: DataFrame | None = None, overrides: DataFrame | None = None) -> DataFrame:

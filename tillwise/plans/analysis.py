@@ -60,8 +60,8 @@ def _analyse(run_id: str, tables: dict[str, DataFrame], as_of: Column, forecast_
 
     judged = po.policy_status(tables["policies"], as_of)
     pairs = po.salted_join(tables["found_policies"], po.prepare_policies(judged), ["policy_id"], F.col("store_id"))
-    pairs = po.salted_join(pairs, stores.select("store_id", "business_type_code", "region_code", "annual_revenue", "employee_count", "declared_revenue", "business_start_date"),
-                           ["store_id"], F.col("policy_id"))
+    declared = ["business_type_code", "region_code", "annual_revenue", "employee_count", "declared_revenue", "business_start_date", "owner_age", "credit_band"]
+    pairs = po.salted_join(pairs, stores.select("store_id", *[c for c in declared if c in stores.columns]), ["store_id"], F.col("policy_id"))
     eligibility = keep("eligibility", lambda: po.eligibility(pairs, as_of).drop("conditions", "rules", "regions", "region_ids", "include", "exclude"))
     benefits = keep("benefits", lambda: po.policy_benefit(
         eligibility.filter(F.col("status") == "ELIGIBLE_ON_DECLARED_RULES"), base, loans, gaps, horizon, forecast_start))
@@ -70,5 +70,5 @@ def _analyse(run_id: str, tables: dict[str, DataFrame], as_of: Column, forecast_
         "features": features, "indicator_contributions": of.contributions(projected), "trend_forecasts": trend, "official_forecasts": official,
         "signals": signals, "adjustments": adjustments, "ledger": ledger, "break_even": lg.break_even(ledger),
         "cash_burn": lg.cash_burn(ledger, keys, F.col("min_cash")), "layer_delta": delta, "attribution": lg.attribution(delta),
-        "funding_gap": gaps, "eligibility": eligibility, "benefits": benefits, "ranked_policies": po.rank_policies(benefits, judged),
+        "alignment": lg.alignment_issues(adjustments, stores, keys, horizon, forecast_start), "funding_gap": gaps, "eligibility": eligibility, "benefits": benefits, "ranked_policies": po.rank_policies(benefits, judged),
         "stage_counts": po.stage_counts(judged, eligibility)}

@@ -67,6 +67,8 @@ def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("s_acctbal") * 120.0).alias("annual_revenue"),
         F.when(k % 9 != 0, (k % 20).cast("int")).alias("employee_count"),
         F.date_add(F.lit("1990-01-01").cast("date"), ((k * 37) % 3000).cast("int")).alias("business_start_date"),
+        F.when(k % 8 != 0, (19 + (k * 5) % 60).cast("int")).alias("owner_age"),
+        F.when(k % 6 != 0, F.element_at(F.array(*[F.lit(x) for x in "ABC"]), (k % 3 + 1).cast("int"))).alias("credit_band"),
     )
 
 
@@ -81,7 +83,8 @@ SELECT store_key AS store_id,
   (store_key % 10) / 10.0::DOUBLE AS imported_share, (store_key % 3) * 0.35::DOUBLE AS variable_debt_share,
   s_acctbal * 120.0::DOUBLE AS annual_revenue,
   CASE WHEN store_key % 9 <> 0 THEN store_key % 20 END AS employee_count,
-  DATE '1990-01-01' + CAST((store_key * 37) % 3000 AS INTEGER) AS business_start_date
+  DATE '1990-01-01' + CAST((store_key * 37) % 3000 AS INTEGER) AS business_start_date,
+  CASE WHEN store_key % 8 <> 0 THEN 19 + (store_key * 5) % 60 END AS owner_age, CASE WHEN store_key % 6 <> 0 THEN (['A', 'B', 'C'])[store_key % 3 + 1] END AS credit_band
 FROM store_keys""", "store_keys")
 
 
@@ -383,7 +386,8 @@ def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     cond = F.struct(
         pick(["employee_count", "store.annual_revenue", "business_age_months", "shoe_size"], k % 4).alias("field"), pick(["LE", "LE", "GE", "EQ"], k % 4).alias("op"),
         F.when(k % 4 == 0, text(8 + k % 12)).when(k % 4 == 1, text(400000 + k % 700000)).when(k % 4 == 2, text(k % 150)).otherwise("1").alias("expected"))
-    second = F.struct(F.lit("business_type_code").alias("field"), F.lit("NOT_IN").alias("op"), F.lit("RETAIL, PUB").alias("expected"))
+    second = F.struct(pick(["business_type_code", "owner_age", "store_profile.credit_band"], k % 3).alias("field"), pick(["NOT_IN", "GE", "IN"], k % 3).alias("op"),
+                      F.when(k % 3 == 0, "RETAIL, PUB").when(k % 3 == 1, text(20 + k % 30)).otherwise("A, B").alias("expected"))
     return table(spark, sf_dir, "part").select(
         k.alias("policy_id"), F.col("p_brand").alias("provider"), F.concat(F.col("p_type"), F.lit(" support program "), text(size)).alias("name"),
         pick(POLICY_TYPES, k % 4).alias("policy_type"), F.when(k % 3 != 0, F.col("p_retailprice") * 100.123).alias("limit_krw"),

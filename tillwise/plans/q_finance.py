@@ -178,6 +178,22 @@ def monthly_scenario(spark, sf):
     return shown(out, rnd(F.col("rate_delta"), 8).alias("rate_delta"), whole_won(F.col("ending_cash")).cast("bigint").alias("ending_cash_won"))
 
 
+# adjustments with faults: stores without any, months left out, repeated and beyond the horizon
+@query("scenario_alignment", sql("""
+WITH a AS (SELECT store_id, s.scenario, m.m, CASE WHEN store_id % 11 = 0 AND m.m = 2 THEN 2 ELSE 1 END AS n FROM stores, (VALUES ('BASELINE'), ('LOW_IMPACT')) s(scenario), range(1, 8) m(m)
+  WHERE store_id % 7 <> 0 AND NOT (store_id % 5 = 0 AND m.m = 3 AND s.scenario = 'BASELINE') AND (m.m < 7 OR store_id % 3 = 0))
+SELECT store_id, scenario, strftime(DATE '2001-09-01' + to_months(CAST(m - 1 AS INTEGER)), '%Y-%m') AS month, CASE WHEN m > 6 THEN 'MONTH_OUTSIDE_HORIZON' ELSE 'MONTH_REPEATED' END AS code FROM a WHERE m > 6 OR n > 1
+UNION ALL SELECT store_id, 'BASELINE', '2001-11', 'MONTH_MISSING' FROM stores WHERE store_id % 7 <> 0 AND store_id % 5 = 0
+UNION ALL SELECT store_id, NULL, NULL, 'RUN_MISSING' FROM stores WHERE store_id % 7 = 0""", "stores"))
+def scenario_alignment(spark, sf):
+    s, m = F.col("store_id"), F.col("m")
+    rows = b.stores(spark, sf).select("store_id", F.explode(F.array(F.lit("BASELINE"), F.lit("LOW_IMPACT"))).alias("scenario")).withColumn("m", F.explode(F.sequence(F.lit(1), F.lit(7))))
+    rows = rows.where((s % 7 != 0) & ~((s % 5 == 0) & (m == 3) & (F.col("scenario") == "BASELINE")) & ((m < 7) | (s % 3 == 0)))
+    rows = rows.withColumn("month", F.add_months(b.start(), m - 1)).withColumn("copy", F.explode(F.sequence(F.lit(1), F.when((s % 11 == 0) & (m == 2), 2).otherwise(1))))
+    out = lg.alignment_issues(rows, b.stores(spark, sf), ["store_id", "scenario"], b.HORIZON, b.start())
+    return out.select("store_id", "scenario", month_name(F.col("month")).alias("month"), "code")
+
+
 @query("what_if_grid", sql(f"SELECT {SHOWN_SQL} FROM what_ledger", "what_ledger"))
 def what_if_grid(spark, sf):
     return shown(ledger(spark, sf, WHAT_IFS, True))

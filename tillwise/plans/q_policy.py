@@ -89,7 +89,9 @@ COND_SQL = """CASE p.policy_id % 4 WHEN 0 THEN CASE WHEN s.employee_count IS NUL
   WHEN 1 THEN CASE WHEN s.annual_revenue <= 400000 + p.policy_id % 700000 THEN 'PASSED' ELSE 'FAILED' END
   WHEN 2 THEN CASE WHEN greatest(0, (2001 - year(s.business_start_date)) * 12 + 8 - month(s.business_start_date)) >= p.policy_id % 150 THEN 'PASSED' ELSE 'FAILED' END ELSE 'INVALID_RULE' END"""
 cte("pairs", f"""
-SELECT p.*, s.store_id, s.business_type_code AS btype, {REGION_SQL} AS region_ok, {COND_SQL} AS c1, CASE WHEN s.business_type_code = 'RETAIL' THEN 'FAILED' ELSE 'PASSED' END AS c2,
+SELECT p.*, s.store_id, s.business_type_code AS btype, {REGION_SQL} AS region_ok, {COND_SQL} AS c1, CASE p.policy_id % 3 WHEN 0 THEN CASE WHEN s.business_type_code = 'RETAIL' THEN 'FAILED' ELSE 'PASSED' END
+    WHEN 1 THEN CASE WHEN s.owner_age IS NULL THEN 'NEEDS_INFORMATION' WHEN s.owner_age >= 20 + p.policy_id % 30 THEN 'PASSED' ELSE 'FAILED' END
+    ELSE CASE WHEN s.credit_band IS NULL THEN 'NEEDS_INFORMATION' WHEN s.credit_band IN ('A', 'B') THEN 'PASSED' ELSE 'FAILED' END END AS c2, (['business_type_code', 'owner_age', 'store_profile.credit_band'])[p.policy_id % 3 + 1] AS f2,
   (['employee_count', 'store.annual_revenue', 'business_age_months', 'shoe_size'])[p.policy_id % 4 + 1] AS f1
 FROM policy_pairs q JOIN policy_state p USING (policy_id) JOIN stores s USING (store_id)""", "policy_pairs", "policy_state", "stores")
 cte("eligible_pairs", """
@@ -98,14 +100,14 @@ SELECT *, CASE WHEN validation_status = 'CLOSED' THEN 'CLOSED' WHEN validation_s
   CASE WHEN validation_status = 'CLOSED' THEN 'PROGRAM_CLOSED' WHEN validation_status <> 'VALIDATED' THEN 'EVIDENCE' WHEN application_status IN ('BUDGET_EXHAUSTED', 'SCHEDULED', 'STATUS_UNCONFIRMED') THEN 'APPLICATION_STATUS'
     WHEN budget_status = 'UNKNOWN' THEN 'BUDGET' WHEN app_end < DATE '2001-08-31' THEN 'PERIOD_ENDED' WHEN app_start > DATE '2001-08-31' THEN 'PERIOD_NOT_STARTED' ELSE why END AS reason
 FROM (SELECT *, CASE WHEN region_ok IS NULL THEN 'NEEDS_INFORMATION' WHEN NOT region_ok OR policy_id % 19 = 0 AND btype = 'FNB_BAKERY' OR policy_id % 17 = 0 AND btype <> 'FNB_CAFE' OR c1 = 'FAILED' THEN 'INELIGIBLE'
-    WHEN c1 <> 'PASSED' THEN 'NEEDS_INFORMATION' WHEN c2 = 'FAILED' THEN 'INELIGIBLE' ELSE 'ELIGIBLE_ON_DECLARED_RULES' END AS rule,
+    WHEN c1 <> 'PASSED' THEN 'NEEDS_INFORMATION' WHEN c2 = 'FAILED' THEN 'INELIGIBLE' WHEN c2 <> 'PASSED' THEN 'NEEDS_INFORMATION' ELSE 'ELIGIBLE_ON_DECLARED_RULES' END AS rule,
   CASE WHEN region_ok IS NULL THEN 'REGION_UNKNOWN' WHEN NOT region_ok THEN 'REGION' WHEN policy_id % 19 = 0 AND btype = 'FNB_BAKERY' THEN 'INDUSTRY_EXCLUDED' WHEN policy_id % 17 = 0 AND btype <> 'FNB_CAFE' THEN 'INDUSTRY_NOT_INCLUDED'
-    WHEN c1 <> 'PASSED' THEN f1 WHEN c2 = 'FAILED' THEN 'business_type_code' ELSE 'ALL_PASSED' END AS why FROM pairs)""", "pairs")
+    WHEN c1 <> 'PASSED' THEN f1 WHEN c2 <> 'PASSED' THEN f2 ELSE 'ALL_PASSED' END AS why FROM pairs)""", "pairs")
 
 
 def pairs(spark, sf):
     p = po.prepare_policies(policies(spark, sf))
-    s = b.stores(spark, sf).select("store_id", "business_type_code", "region_code", "annual_revenue", "employee_count", "declared_revenue", "business_start_date")
+    s = b.stores(spark, sf).select("store_id", "business_type_code", "region_code", "annual_revenue", "employee_count", "declared_revenue", "business_start_date", "owner_age", "credit_band")
     found = b.policy_pairs(spark, sf)
     return po.salted_join(po.salted_join(found, p, ["policy_id"], F.col("store_id")), s, ["store_id"], F.col("policy_id"))
 
@@ -116,7 +118,7 @@ def region_match(spark, sf):
 
 
 @query("eligibility_rules", sql("""
-SELECT store_id, policy_id, CASE WHEN c1 <> 'PASSED' THEN c1 WHEN c2 <> 'PASSED' THEN c2 ELSE 'PASSED' END AS status, CASE WHEN c1 <> 'PASSED' THEN f1 WHEN c2 <> 'PASSED' THEN 'business_type_code' END AS field FROM pairs""", "pairs"))
+SELECT store_id, policy_id, CASE WHEN c1 <> 'PASSED' THEN c1 WHEN c2 <> 'PASSED' THEN c2 ELSE 'PASSED' END AS status, CASE WHEN c1 <> 'PASSED' THEN f1 WHEN c2 <> 'PASSED' THEN f2 END AS field FROM pairs""", "pairs"))
 def eligibility_rules(spark, sf):
     rows = pairs(spark, sf)
     numbers, texts = po.store_maps(b.as_of(), rows.columns)
