@@ -50,3 +50,14 @@ def spread_rank(df: DataFrame, keys: list[str], bucket: Column, order: list[Colu
     offsets = offsets.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     local = base.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order)))
     return local.join(offsets, [*keys, "_bucket"]).withColumn(name, F.col("_before") + F.col("_local")).drop("_bucket", "_before", "_local")
+
+
+def tie_safe(df: DataFrame, keys: list[str], bucket: Column, score: Column, number: Column, most: int = 4096) -> DataFrame:
+    """Adds `_fine`, a bucket for `spread_rank` in the order (score descending, number ascending) that holds at most about `most` rows, and
+    as many rows of one score only where their numbers lie within `most` of each other: where the plain bucket holds more,
+    it is split by score and by ranges of the number, so that equal scores are spread too."""
+    counts = df.groupBy(*keys, bucket.alias("_coarse")).agg(F.count("*").alias("_rows")).where(F.col("_rows") > most)
+    joined = salted_join(df.withColumn("_coarse", bucket), counts, [*keys, "_coarse"], number, "left")
+    large = F.col("_rows").isNotNull()
+    fine = F.struct(F.col("_coarse").alias("a"), F.when(large, -score).alias("b"), F.when(large, F.floor(number / most)).alias("c"))
+    return joined.withColumn("_fine", fine).drop("_coarse", "_rows")

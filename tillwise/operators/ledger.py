@@ -189,6 +189,19 @@ def scenario_rows(scenarios: list[tuple]) -> Column:
     ])
 
 
+def request_adjustments(requests: DataFrame, horizon: int, forecast_start: Column) -> DataFrame:
+    """What-if requests (store_id, scenario, revenue_multiplier, variable_cost_multiplier, fixed_cost_multiplier, rate_delta)
+    as adjustments of every forecast month; a request that arrives twice counts once."""
+    months = F.explode(F.transform(F.sequence(F.lit(0), F.lit(horizon - 1)), lambda i: F.add_months(forecast_start, i)))
+    return requests.distinct().withColumn("month", months)
+
+
+def request_key(requests: DataFrame) -> DataFrame:
+    """Adds `request_hash`, the idempotency key of a request: equal for equal stores, names and changes."""
+    parts = ["store_id", "scenario", "revenue_multiplier", "variable_cost_multiplier", "fixed_cost_multiplier", "rate_delta"]
+    return requests.withColumn("request_hash", F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in parts]), 256))
+
+
 def flat_scenario(stores: DataFrame, history: DataFrame, scenarios: list[tuple], loans: DataFrame,
                   horizon: int) -> DataFrame:
     """Version-1 run: the last month repeated under constant multipliers, one run per literal

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tillwise.functions.core import codes, d, lookup, month_gap
 from tillwise.functions.places import region_codes_match, region_id, region_ids
-from tillwise.functions.skew import salted_join, spread_rank
+from tillwise.functions.skew import salted_join, spread_rank, tie_safe
 from tillwise.functions.text import fold_space
 from tillwise.functions.units import NUMBERS_IN_TEXT, normalize_number
 from tillwise.operators.ledger import cash_burn, cash_ledger
@@ -298,8 +298,8 @@ def rank_policies(benefits: DataFrame, policies: DataFrame) -> DataFrame:
         100.0 + F.when(early, d(20)).otherwise(d(0)) + F.least(d(30), F.col("runway_extension_days") / 3.0) + F.least(d(20), F.col("interest_savings") / 100000.0)
         - F.when(F.col("collateral"), d(10)).otherwise(d(0)) + F.least(d(10), F.coalesce(F.col("grace_months").cast("double"), d(0))))
     rows = rows.withColumn("score", score)
-    rows = rows.withColumn("_s", F.round("score", 6))
-    return spread_rank(rows, ["store_id"], -F.floor(F.col("_s") * 100), [F.col("_s").desc(), F.col("policy_id")], "rank").drop("_s")
+    rows = tie_safe(rows.withColumn("_s", F.round("score", 6)), ["store_id"], -F.floor(F.col("_s") * 100), F.col("_s"), F.col("policy_id"))
+    return spread_rank(rows, ["store_id"], F.col("_fine"), [F.col("_s").desc(), F.col("policy_id")], "rank").drop("_s", "_fine")
 
 
 def stage_counts(policies: DataFrame, results: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from tillwise.functions.stages import staged
 from tillwise.operators import events as ev
 from tillwise.operators import results as rs
 from tillwise.operators import signals as sg
-from tillwise.operators.spatial import radius_points
+from tillwise.operators.spatial import radius_points, radius_summary
 from tillwise.plans import bindings as b
 from tillwise.plans import q_finance  # noqa: F401  (its CTEs)
 from tillwise.plans.catalog import cte, query, r, sql
@@ -162,6 +162,14 @@ def radius_join(spark, sf):
     return out.select("store_id", rnd(F.col("lat"), 4).alias("lat"), rnd(F.col("lon"), 4).alias("lon"), "event_count", rnd(F.col("distance_m"), 3).alias("distance_m"))
 
 
+@query("radius_summary", sql(f"""
+SELECT s.store_id, coalesce(sum(p.event_count), 0)::BIGINT AS event_count, {r("min(" + hav('s.lat', 's.lon', 'p.lat', 'p.lon') + ")", 3)} AS nearest_m
+FROM stores s LEFT JOIN (SELECT lat, lon, count(*) AS event_count FROM notices GROUP BY lat, lon) p ON {hav('s.lat', 's.lon', 'p.lat', 'p.lon')} <= 1500 GROUP BY 1""", "stores", "notices"))
+def radius_summary_query(spark, sf):
+    out = radius_summary(b.stores(spark, sf), b.notices(spark, sf))
+    return out.select("store_id", "event_count", rnd(F.col("nearest_m"), 3).alias("nearest_m"))
+
+
 OVERLAP_SQL = """CASE WHEN greatest(m.month, n.start_date) > least(last_day(m.month), coalesce(n.end_date, last_day(m.month))) THEN 0.0::DOUBLE
   ELSE (datediff('day', greatest(m.month, n.start_date), least(last_day(m.month), coalesce(n.end_date, last_day(m.month)))) + 1)::DOUBLE / day(last_day(m.month)) END"""
 cte("months", "SELECT CAST(DATE '2001-09-01' + to_months(CAST(i AS INTEGER)) AS DATE) AS month, i + 1 AS month_index FROM range(0, 6) t(i)")

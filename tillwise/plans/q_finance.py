@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tillwise.functions.core import d, day_name, month_name, month_scaffold, rnd, whole_won
-from tillwise.functions.stages import staged
+from tillwise.functions.stages import new_stage, shared_folder, staged
 from tillwise.operators import forecast as fc
 from tillwise.operators import ledger as lg
 from tillwise.operators import smoothing
@@ -13,9 +15,10 @@ from tillwise.operators.loans import debt_service as service_of
 from tillwise.operators.loans import loan_schedule as schedule_of
 from tillwise.plans import bindings as b
 from tillwise.plans import q_forecast  # noqa: F401  (its CTEs)
-from tillwise.plans.q_forecast import fits
 from tillwise.plans.catalog import cte, query, r, sql
+from tillwise.plans.q_forecast import fits
 from tillwise.plans.q_official import features
+from tillwise.sources import sinks
 
 MONEY = ["revenue", "variable_cost", "fixed_cost", "interest", "principal", "net", "ending_cash"]
 
@@ -199,6 +202,30 @@ def what_if_grid(spark, sf):
     return shown(ledger(spark, sf, WHAT_IFS, True))
 
 
+# stores ask for some of the what-ifs, each twice, in two rounds; every answer is stored once under its store's next version
+_ASKED = " UNION ALL ".join(f"SELECT {i} AS i, '{n}' AS scenario, '{float(a)}|{float(v)}|{float(f)}|{float(x)}' AS changes" for i, (n, a, v, f, x) in enumerate(WHAT_IFS))
+
+
+@query("what_if_versions", sql(f"""
+SELECT l.store_id, l.scenario, q.request_hash, q.version, {r('l.ending_cash', 2)} AS ending_cash FROM what_ledger l
+JOIN (SELECT store_id, scenario, request_hash, row_number() OVER (PARTITION BY store_id ORDER BY later, request_hash)::INTEGER AS version FROM (
+  SELECT store_id, scenario, i >= 2 AS later, sha256(store_id || '|' || scenario || '|' || changes) AS request_hash FROM stores, ({_ASKED}) WHERE (store_id + i) % 3 <> 0)) q USING (store_id, scenario)
+WHERE l.month = DATE '2002-02-01'""", "what_ledger", "stores"))
+def what_if_versions(spark, sf):
+    offers = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("scenario"), d(a).alias("revenue_multiplier"), d(v).alias("variable_cost_multiplier"), d(f).alias("fixed_cost_multiplier"), d(x).alias("rate_delta"))
+                       for i, (n, a, v, f, x) in enumerate(WHAT_IFS)])
+    asked = b.stores(spark, sf).select("store_id", F.explode(offers).alias("o")).select("store_id", "o.*").where((F.col("store_id") + F.col("i")) % 3 != 0)
+    asked = lg.request_key(asked.unionByName(asked))
+    adjusted = lg.request_adjustments(asked.drop("i", "request_hash"), b.HORIZON, b.start())
+    out = lg.monthly_scenario(b.stores(spark, sf), b.history(spark, sf), forecasts(spark, sf, True), adjusted, b.loans(spark, sf), b.HORIZON, b.start(), ["store_id", "scenario"], features(spark, sf))
+    last = out.where(F.col("month") == F.add_months(b.start(), b.HORIZON - 1)).select("store_id", "scenario", "ending_cash")
+    answers = new_stage(asked.select("store_id", "scenario", "request_hash", "i").distinct().join(last, ["store_id", "scenario"]), "what-if")
+    path = f"{shared_folder(spark)}/what-if-versions-{uuid.uuid4().hex}"
+    for part in (answers.where("i < 2"), answers.where("i < 2"), answers):  # a replay, and a second round that repeats the first
+        stored = sinks.store_versions(part.drop("i"), path, ["store_id"], "request_hash")
+    return stored.select("store_id", "scenario", "request_hash", "version", rnd(F.col("ending_cash"), 2).alias("ending_cash"))
+
+
 BEP = ["operating_bep", "financial_bep", "cash_bep"]
 
 
