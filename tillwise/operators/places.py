@@ -91,15 +91,20 @@ def search_steps(requests: DataFrame) -> DataFrame:
 
 
 def candidates(searches: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """Every search with every place that has one of its words, as rows for match_venues; query_id is `query#step`.
+    """Every search with the places that hold the rarest of its words (all of them where several are as rare), as rows for
+    match_venues; query_id is `query#step`. Words that no place has do not count; the other words only score.
 
-    An inverted index of the gazetteer's words meets the searches' words. Words of more than HOT places are split:
+    So common words make no pairs unless a search has nothing else. Words of more than HOT places are split even then:
     their places are spread over tasks by place and their searches repeated, as often as the word's count asks for."""
     text = F.lower(normalize_address(F.concat_ws(" ", "address", "place_name", "category")))
     index = gazetteer.select("place_id", F.explode(unique_tokens(text)).alias("word"))
     asked = searches.select(F.concat_ws("#", F.col("query_id").cast("string"), F.col("step").cast("string")).alias("search"), F.explode(unique_tokens(normalize_venue(F.col("query")))).alias("word"))
     index = index.join(asked.select("word").distinct(), "word", "left_semi")
-    parts = index.groupBy("word").agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts")).where("parts > 1")
+    sizes = index.groupBy("word").agg(F.count("*").alias("_n"))
+    known = asked.join(sizes, "word")
+    fewest = known.groupBy("search").agg(F.min("_n").alias("_least"))
+    asked = known.join(fewest, "search").where("_n = _least").select("search", "word")
+    parts = sizes.select("word", F.ceil(F.col("_n") / HOT).cast("int").alias("parts")).where("parts > 1")
     dealt = index.join(parts, "word", "left").select("word", "place_id", F.coalesce(F.pmod(F.xxhash64("place_id"), F.col("parts")).cast("int"), F.lit(0)).alias("part"))
     repeated = asked.join(parts, "word", "left").select("search", "word", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
     pairs = repeated.join(dealt, ["word", "part"]).select("search", "place_id").distinct()

@@ -30,8 +30,9 @@ def _grid(seasonal: bool) -> Column:
     ])
 
 
-def _fold(values: Column, params: Column, seasonal: bool) -> Column:
-    """Run the recursion over `values`; the state ends with level, trend, seasons, errors."""
+def _fold(values: Column, params: Column, seasonal: bool, first: Column) -> Column:
+    """Run the recursion over `values`; the state ends with level, trend, seasons (the next month's in front) and, from
+    month `first` on, the one-step predictions and the squared errors before them."""
     zeros = F.array_repeat(d(0), PERIOD)
     if seasonal:
         head = F.slice(values, 1, PERIOD)
@@ -48,23 +49,23 @@ def _fold(values: Column, params: Column, seasonal: bool) -> Column:
                      F.array().cast("array<double>").alias("fits"), F.array().cast("array<double>").alias("before"))
 
     def step(s: Column, y: Column) -> Column:
-        slot = F.pmod(s["t"], F.lit(PERIOD))
-        old = s["season"][slot]
+        old = s["season"][0]
         ahead = s["level"] + params["phi"] * s["trend"]
         fit = ahead + old
         level = params["alpha"] * (y - old) + (1 - params["alpha"]) * ahead
         trend = params["beta"] * (level - s["level"]) + (1 - params["beta"]) * params["phi"] * s["trend"]
         fresh = params["gamma"] * (y - ahead) + (1 - params["gamma"]) * old
-        season = F.transform(s["season"], lambda v, i: F.when(i == slot, fresh).otherwise(v)) if seasonal else s["season"]
+        season = F.array_append(F.slice(s["season"], 2, PERIOD - 1), fresh) if seasonal else s["season"]
+        kept = s["t"] >= first
         return F.struct(level.alias("level"), trend.alias("trend"), season.alias("season"), (s["sse"] + (y - fit) * (y - fit)).alias("sse"), (s["t"] + 1).alias("t"),
-                        F.array_append(s["fits"], fit).alias("fits"), F.array_append(s["before"], s["sse"]).alias("before"))
+                        F.when(kept, F.array_append(s["fits"], fit)).otherwise(s["fits"]).alias("fits"), F.when(kept, F.array_append(s["before"], s["sse"])).otherwise(s["before"]).alias("before"))
 
     return F.aggregate(values, start, step)
 
 
-def _runs(values: Column, seasonal: bool) -> Column:
+def _runs(values: Column, seasonal: bool, first: Column) -> Column:
     """One run of the recursion for every grid point."""
-    return F.transform(_grid(seasonal), lambda p: F.struct(p.alias("params"), _fold(values, p, seasonal).alias("run")))
+    return F.transform(_grid(seasonal), lambda p: F.struct(p.alias("params"), _fold(values, p, seasonal, first).alias("run")))
 
 
 def fit_damped(history: DataFrame, horizon: int, windows: int = BACKTEST_WINDOWS) -> DataFrame:
@@ -80,14 +81,14 @@ def fit_damped(history: DataFrame, horizon: int, windows: int = BACKTEST_WINDOWS
         F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("idx", "revenue"))), lambda x: x["revenue"]).alias("ys"))
     none = F.array().cast(f"array<{_RUN}>")
     first = F.greatest(F.lit(MIN_HISTORY["ETS_DAMPED"]), F.col("n") - max(1, windows))
-    plain = F.when(first < SEASONAL_FROM, _runs(F.col("ys"), False)).otherwise(none)
-    seasonal = F.when(F.col("n") >= SEASONAL_FROM, _runs(F.col("ys"), True)).otherwise(none)
+    plain = F.when(first < SEASONAL_FROM, _runs(F.col("ys"), False, first)).otherwise(none)
+    seasonal = F.when(F.col("n") >= SEASONAL_FROM, _runs(F.col("ys"), True, first)).otherwise(none)
     # exploded, so that the runs are worked out once and not again in each expression that looks into them
     runs = series.withColumn("r", F.explode(F.array(F.struct(plain.alias("plain"), seasonal.alias("seasonal"))))).select("store_id", "n", "ys", "r.*")
 
     def fold(t: Column) -> Column:
         side = F.when(t < SEASONAL_FROM, F.col("plain")).otherwise(F.col("seasonal"))
-        best = F.array_min(F.transform(side, lambda r: F.struct(r["run"]["before"][t], r["params"], r["run"]["fits"][t].alias("fit"))))
+        best = F.array_min(F.transform(side, lambda r: F.struct(r["run"]["before"][t - first], r["params"], r["run"]["fits"][t - first].alias("fit"))))
         return F.struct(F.col("ys")[t].alias("y"), F.col("ys")[t - 1].alias("prev"), F.greatest(d(0), best["fit"]).alias("pred"))
 
     folds = F.when(first < F.col("n"), F.transform(F.sequence(first, F.col("n") - 1), lambda t: fold(t.cast("int")))).otherwise(F.array().cast("array<struct<y:double,prev:double,pred:double>>"))
@@ -96,7 +97,7 @@ def fit_damped(history: DataFrame, horizon: int, windows: int = BACKTEST_WINDOWS
     best = runs.select("store_id", "n", F.explode(F.array(F.struct(folds.alias("folds"), least.alias("b")))).alias("x")).select("store_id", "n", "x.*")
     best = best.select("store_id", "n", "b.sse", "b.params", "b.run", "folds")
     phi = F.col("params.phi")
-    point = lambda h: F.greatest(d(0), F.col("run.level") + F.col("run.trend") * phi * (1 - F.pow(phi, h)) / (1 - phi) + F.col("run.season")[F.pmod(F.col("run.t") + h - 1, F.lit(PERIOD))])
+    point = lambda h: F.greatest(d(0), F.col("run.level") + F.col("run.trend") * phi * (1 - F.pow(phi, h)) / (1 - phi) + F.col("run.season")[F.pmod(h - 1, F.lit(PERIOD))])
     return best.select("store_id", "n", "params", "sse", F.transform(F.sequence(F.lit(1), F.lit(horizon)), point).alias("points"), "folds")
 
 

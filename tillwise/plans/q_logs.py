@@ -207,12 +207,15 @@ cte("place_searches", """
 SELECT query_id, s_lat, s_lon, area, step, text, list_distinct(regexp_extract_all(lower(text), '[0-9a-z]{2,}')) AS words FROM (
   SELECT *, 1 AS step, trim(address) AS text FROM place_requests UNION ALL SELECT *, 2, trim(split_part(address, ',', 1)) FROM place_requests WHERE contains(address, ',')
   UNION ALL SELECT *, 1000, trim(replace(address, ', ', ' ')) FROM place_requests UNION ALL SELECT *, 1001, area FROM place_requests WHERE allowed AND area IS NOT NULL) WHERE trim(address) <> ''""", "place_requests")
+cte("place_rarest", """
+WITH df AS (SELECT word, count(*) AS n FROM (SELECT place_id, unnest(list_distinct(regexp_extract_all(lower(address || ' ' || place_name || ' ' || category), '[0-9a-z]{2,}'))) AS word FROM gazetteer) GROUP BY 1)
+SELECT query_id, step, list(word) AS rarest FROM (SELECT query_id, step, word, n, min(n) OVER (PARTITION BY query_id, step) AS least FROM (SELECT query_id, step, unnest(words) AS word FROM place_searches) JOIN df USING (word)) WHERE n = least GROUP BY 1, 2""", "place_searches", "gazetteer")
 cte("place_scores", f"""
 SELECT *, row_number() OVER (PARTITION BY query_id, step ORDER BY score DESC, distance_m, place_id) AS rn FROM (
   SELECT *, overlap * 12.0::DOUBLE + CASE WHEN area IS NOT NULL AND contains(t, lower(area)) THEN 30.0::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN category IN ('public', 'park') THEN 8.0::DOUBLE ELSE 0.0::DOUBLE END + greatest(0.0::DOUBLE, 6.0::DOUBLE - distance_m / 1000.0::DOUBLE) AS score
   FROM (SELECT q.*, g.*, len(list_filter(words, lambda w: contains(t, w))) AS overlap, {hav('s_lat', 's_lon', 'lat', 'lon')} AS distance_m
-    FROM place_searches q JOIN (SELECT *, lower(address || ' ' || place_name || ' ' || category) AS t FROM gazetteer) g ON list_has_any(words, regexp_extract_all(t, '[0-9a-z]{{2,}}')))
-  WHERE category NOT IN ('shopping', 'cafe') AND lat <= 90)""", "place_searches", "gazetteer")
+    FROM place_searches q JOIN place_rarest USING (query_id, step) JOIN (SELECT *, lower(address || ' ' || place_name || ' ' || category) AS t FROM gazetteer) g ON list_has_any(rarest, regexp_extract_all(t, '[0-9a-z]{{2,}}')))
+  WHERE category NOT IN ('shopping', 'cafe') AND lat <= 90)""", "place_searches", "gazetteer", "place_rarest")
 cte("place_tried", """
 SELECT q.query_id, 0 AS step, CASE WHEN r.down = 'ADDRESS' THEN 'PROVIDER_ERROR' WHEN n = 1 AND lat > 90 THEN 'PROVIDER_ERROR' WHEN n = 1 THEN 'SUCCESS' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'NOT_FOUND' END AS status, place_id, 'EXACT_LOT_ADDRESS' AS match_type,
   CASE WHEN r.down = 'ADDRESS' THEN 'KAKAO_TIMEOUT' WHEN n = 1 AND lat > 90 THEN 'INVALID_COORDINATES' END AS reason
