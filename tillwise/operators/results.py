@@ -39,7 +39,7 @@ def citation_gaps(statements: DataFrame, trace: DataFrame, keys: list[str]) -> D
 def result_hash(rows: DataFrame, keys: list[str], ignore: list[str]) -> DataFrame:
     """Content hash per key, blind to row order and to run-time fields.
 
-    Row hashes are summed (as four 64-bit words), so no key's rows meet in one place."""
+    Row hashes are summed (as five words of 48 bits), so no key's rows meet in one place."""
     names = sorted(c for c in rows.columns if c not in (*keys, *ignore))
     digest = F.sha2(F.to_json(F.struct(*names)), 256)
     word = lambda i: F.conv(F.substring(digest, 1 + 12 * i, 12), 16, 10).cast("decimal(20,0)")
