@@ -19,7 +19,7 @@ CURRENCY = {"원": 1.0, "만원": 1e4, "백만원": 1e6, "억원": 1e8}
 UNIT_WORDS = (r"%\s*[pP]?|percentage\s+points?|percent(?:age)?|퍼센트|백만원|만원|억원|원|KRW(?:/USD)?"
               r"|months?|개월|달|years?|년|days?")
 NUMBER = r"(?i)^([+-]?[0-9]+(?:\.[0-9]+)?)\s*(" + UNIT_WORDS + r")?$"
-NUMBERS_IN_TEXT = r"(?i)[+-]?[0-9][0-9,]*(?:\.[0-9]+)?\s*(?:" + UNIT_WORDS + ")"
+NUMBERS_IN_TEXT = r"(?i)(?:KRW\s*)?[+-]?[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?\s*(?:" + UNIT_WORDS + ")?"
 
 # Indicator spellings.
 INDICATOR_ALIASES = {"baserate": "BASE_RATE", "기준금리": "BASE_RATE", "한국은행기준금리": "BASE_RATE", "bokbaserate": "BASE_RATE"}

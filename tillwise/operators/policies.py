@@ -100,8 +100,8 @@ EXHAUSTED_WORDS = r"(?i)\b(?:until funds? (?:are )?exhausted|budget exhausted)\b
 
 
 def term_evidence(rows: DataFrame) -> DataFrame:
-    """rows(policy columns, quotes MAP<field, text>): codes of terms whose own quote does not
-    carry the same number and unit; years count as twelve months."""
+    """rows(policy columns, quotes MAP<field, text>): codes of terms whose own quote does not carry the same number and
+    unit. Won may stand before the number; years count as twelve months; numbers without a unit do not count."""
     found = []
     for name, unit, missing in TERMS:
         quote, value = F.try_element_at("quotes", F.lit(name)), F.col(name)
@@ -109,7 +109,7 @@ def term_evidence(rows: DataFrame) -> DataFrame:
         numbers = F.filter(F.transform(F.regexp_extract_all(quote, F.lit(NUMBERS_IN_TEXT), F.lit(0)), token), lambda n: n["value"].isNotNull())
         same = (lambda n, u=unit, v=value: ((n["unit"] == u) & (n["value"] == v)) | (F.lit(u == "MONTHS") & (n["unit"] == "YEARS") & (n["value"] * 12 == v)))
         found += [(quote.isNotNull() & value.isNull(), missing), (quote.isNotNull() & value.isNotNull() & (F.size(numbers) == 0), "POLICY_NUMERIC_UNIT_AMBIGUOUS"),
-                  (quote.isNotNull() & value.isNotNull() & (F.size(numbers) > 0) & ~_exists(numbers, same), "POLICY_FIELD_VALUE_OR_UNIT_MISMATCH")]
+                  *[(quote.isNotNull() & value.isNotNull() & (F.size(numbers) > 0) & ~_exists(numbers, same), code) for code in ("POLICY_FIELD_EVIDENCE_MISMATCH", "POLICY_FIELD_VALUE_OR_UNIT_MISMATCH")]]
     for name in ("app_start", "app_end"):
         quote = F.try_element_at("quotes", F.lit(name))
         found += [(quote.isNotNull() & F.col(name).isNull(), "POLICY_APPLICATION_STATUS_UNRESOLVED"),

@@ -36,7 +36,12 @@ def policy_status(spark, sf):
     return policies(spark, sf).select("policy_id", "application_status", "validation_status", F.array_join("failure_codes", ",").alias("failure_codes"), F.array_join("recommendation_codes", ",").alias("recommendation_codes"))
 
 
-@query("policy_term_evidence")
+@query("policy_term_evidence", sql("SELECT policy_id, " + "array_to_string(list_sort(list_distinct(" + present(
+    ("limit_krw IS NULL", "POLICY_FIELD_VALUE_MISSING"), ("limit_krw IS NOT NULL AND policy_id % 2 = 1", "POLICY_FIELD_EVIDENCE_MISMATCH"), ("limit_krw IS NOT NULL AND policy_id % 2 = 1", "POLICY_FIELD_VALUE_OR_UNIT_MISMATCH"),
+    ("discount_pp IS NULL OR grace_months IS NULL OR maturity_months IS NULL OR collateral IS NULL", "POLICY_REQUIRED_TERM_MISSING"), ("grace_months IS NOT NULL AND policy_id % 3 = 0", "POLICY_NUMERIC_UNIT_AMBIGUOUS"),
+    ("maturity_months::DOUBLE / 12 * 12 <> maturity_months", "POLICY_FIELD_EVIDENCE_MISMATCH"), ("maturity_months::DOUBLE / 12 * 12 <> maturity_months", "POLICY_FIELD_VALUE_OR_UNIT_MISMATCH"),
+    ("app_start IS NULL", "POLICY_APPLICATION_STATUS_UNRESOLVED"), ("collateral IS NOT NULL AND policy_id % 5 = 0", "POLICY_FIELD_EVIDENCE_MISMATCH"),
+    ("policy_id % 16 = 0 AND budget_status <> 'EXHAUSTED'", "POLICY_BUDGET_STATUS_MISMATCH")) + ")), ',') AS codes, policy_id % 22 = 0 AND policy_id % 16 <> 0 AS explicitly_closed FROM policies", "policies"))
 def policy_term_evidence(spark, sf):
     p = b.policies(spark, sf)
     k = F.col("policy_id")
@@ -44,7 +49,7 @@ def policy_term_evidence(spark, sf):
     quotes = F.create_map(
         F.lit("limit_krw"), F.concat(F.lit("up to KRW "), say(F.when(k % 2 == 0, F.col("limit_krw")).otherwise(5))), F.lit("discount_pp"), F.concat(F.lit("cut by "), say(F.col("discount_pp")), F.lit(" %p")),
         F.lit("grace_months"), F.concat(F.lit("grace of "), say(F.col("grace_months")), F.when(k % 3 == 0, " ").otherwise(" months")), F.lit("maturity_months"), F.concat(say(F.col("maturity_months") / 12), F.lit(" years")),
-        F.lit("app_start"), F.concat(F.lit("opens "), say(F.col("app_start"))), F.lit("collateral"), F.when(k % 5 == 0, "lien").otherwise("no collateral"))
+        F.lit("app_start"), F.concat(F.lit("opens "), say(F.col("app_start"))), F.lit("remark"), F.when(k % 16 == 0, "open until funds are exhausted").when(k % 22 == 0, "Applications are closed").otherwise("none"), F.lit("collateral"), F.when(k % 5 == 0, "lien").otherwise("no collateral"))
     out = po.term_evidence(p.drop("semantic_codes", "explicitly_closed").withColumn("quotes", quotes))
     return out.select("policy_id", F.array_join("semantic_codes", ",").alias("codes"), "explicitly_closed")
 
