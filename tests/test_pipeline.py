@@ -14,7 +14,8 @@ from tillwise.streaming import feeds
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 # a spread over every query module; tools/check.py runs all of them
-SAMPLE = ["model_selection", "official_features", "event_bridge", "loan_schedule", "cash_burn", "dedupe_causes", "eligibility", "evidence_check", "quality_gate", "sliding_rate_flags"]
+SAMPLE = ["model_selection", "official_features", "event_bridge", "loan_schedule", "cash_burn", "dedupe_causes", "eligibility", "evidence_check", "quality_gate", "sliding_rate_flags",
+          "evidence_repair", "page_class", "local_quality_gate", "policy_term_evidence", "merge_policies", "program_lists", "ets_backtest", "radius_summary", "scenario_alignment", "stream_vintages", "bundle_status_of_calls"]
 
 
 @pytest.fixture(scope="module")

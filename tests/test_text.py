@@ -77,9 +77,9 @@ def test_rate_decisions(spark):
              "2026-07-10 The Board decided to hold the base rate at 2.50%, 2.75% or 3%.", "2026-07-10 nothing", "The Board decided to hold the base rate at 2.50%.", "2026-07-10 The Board decided to hold the base rate at 3.00%."]
     df = spark.createDataFrame([(i, "", t, 2.5) for i, t in enumerate(texts)], "doc_id int, title string, body string, official_rate double")
     r = {x.doc_id: x for x in dc.rate_decisions(df).collect()}
-    assert (r[0].decision_type, r[0].current_rate, r[0].reason_code, texts[0][r[0].evidence_start:].strip()[:3]) == ("HOLD", "2.50", None, "The")
-    assert (r[1].decision_type, r[1].previous_rate, r[1].current_rate, r[1].reason_code) == ("INCREASE", "2.25", "2.50", None)
-    assert [r[i].reason_code for i in (2, 3, 4, 5)] == ["BOK_CURRENT_RATE_AMBIGUOUS", "BOK_DECISION_LANGUAGE_MISSING", "BOK_DECISION_DATE_MISSING", "BOK_RATE_OFFICIAL_DATA_CONFLICT"]
+    assert (r[0].decision_type, r[0].current_rate, r[0].reason_codes, texts[0][r[0].evidence_start:].strip()[:3]) == ("HOLD", "2.50", [], "The")
+    assert (r[1].decision_type, r[1].previous_rate, r[1].current_rate, r[1].reason_codes) == ("INCREASE", "2.25", "2.50", [])
+    assert [r[i].reason_codes[0] for i in (2, 3, 4, 5)] == ["BOK_CURRENT_RATE_AMBIGUOUS", "BOK_DECISION_LANGUAGE_MISSING", "BOK_DECISION_DATE_MISSING", "BOK_RATE_OFFICIAL_DATA_CONFLICT"]
 
 
 def test_customs_xml(spark, tmp_path):
@@ -118,4 +118,4 @@ def test_no_link_or_row_is_cut_off(spark):
 def test_rate_with_spaced_digits(spark):
     text = "2026-07-10. The Monetary Policy Board decided to hold the base rate at 2. 50 %. Done."
     df = spark.createDataFrame([(1, "", text, 2.5), (2, "", text.replace("2. 50 %", "２.５０％").replace("rate", "ra\u00adte"), 2.5)], "doc_id int, title string, body string, official_rate double")
-    assert {(r.current_rate, r.reason_code, r.decision_type) for r in dc.rate_decisions(df).collect()} == {("2.50", None, "HOLD")}
+    assert {(r.current_rate, tuple(r.reason_codes), r.decision_type) for r in dc.rate_decisions(df).collect()} == {("2.50", (), "HOLD")}

@@ -27,10 +27,6 @@ def d(value: float) -> Column:
     return F.lit(float(value))
 
 
-def month_of(value: Column) -> Column:
-    return F.trunc(value, "month")
-
-
 def month_name(value: Column) -> Column:
     return F.date_format(value, "yyyy-MM")
 

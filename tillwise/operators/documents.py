@@ -315,8 +315,8 @@ DECISION_DATE = (r"(?i)20[0-9]{2}[./-]\s*[0-9]{1,2}[./-]\s*[0-9]{1,2}|(?:january
 
 
 def rate_decisions(documents: DataFrame) -> DataFrame:
-    """documents(doc_id, title, body, official_rate): one row per document with the decision it
-    states, or the reason why none can be told.
+    """documents(doc_id, title, body, official_rate): one row per document with the decision it states, or all the
+    reasons why none can be told; the facts of a decision that only contradicts the official rate stay.
 
     Clauses with decision wording are found first; offsets are worked out for those alone. Soft hyphens and
     zero-width signs are dropped, compatibility forms composed and numbers such as `2. 50` closed up inside
@@ -352,15 +352,21 @@ def rate_decisions(documents: DataFrame) -> DataFrame:
         F.min_by(F.when(good, fact), F.when(good, F.col("start"))).alias("f"),
         F.count_distinct(F.when(good, F.concat_ws("|", "move", "current", F.coalesce("previous", F.lit(""))))).alias("identities"),
         F.max(good & (F.col("move") != "HOLD")).alias("changes"), F.max(F.col("h").isNotNull()).alias("spoken"),
-        F.min_by("failure", "start").alias("failure"), F.max(F.regexp_extract(F.concat_ws("\n", "title", "body"), DECISION_DATE, 0)).alias("day"),
+        F.array_sort(F.collect_list(F.when(F.col("failure").isNotNull(), F.struct("start", "failure")))).alias("failures"), F.max(F.regexp_extract(F.concat_ws("\n", "title", "body"), DECISION_DATE, 0)).alias("day"),
         F.max("official_rate").alias("official_rate"))
-    reason = (
-        F.when(F.col("day") == "", "BOK_DECISION_DATE_MISSING").when(~F.col("spoken"), "BOK_DECISION_LANGUAGE_MISSING")
-        .when(F.col("f").isNull(), F.coalesce("failure", F.lit("BOK_CURRENT_RATE_MISSING")))
-        .when((F.col("identities") > 1) & F.col("changes"), "BOK_RATE_CHANGE_VALUES_AMBIGUOUS").when(F.col("identities") > 1, "BOK_CURRENT_RATE_AMBIGUOUS")
-        .when(F.abs(F.col("f.current").cast("double") - F.col("official_rate")) > 1e-9, "BOK_RATE_OFFICIAL_DATA_CONFLICT"))
-    return out.select("doc_id", reason.alias("reason_code"), F.col("f.move").alias("decision_type"), F.nullif("day", F.lit("")).alias("decision_date"),
-                      F.col("f.current").alias("current_rate"), F.col("f.previous").alias("previous_rate"), F.col("f.start").alias("evidence_start"))
+    none = F.array().cast("array<string>")
+    found = F.when(F.col("f").isNotNull(), none).when(F.size("failures") > 0, F.transform("failures", lambda x: x["failure"])).otherwise(F.array(F.lit("BOK_CURRENT_RATE_MISSING")))
+    many = F.col("identities") > 1
+    reasons = F.array_distinct(F.concat(
+        codes((F.col("day") == "", "BOK_DECISION_DATE_MISSING"), (~F.col("spoken"), "BOK_DECISION_LANGUAGE_MISSING")), found,
+        codes((many & F.col("changes"), "BOK_RATE_CHANGE_VALUES_AMBIGUOUS"), (many & ~F.col("changes"), "BOK_CURRENT_RATE_AMBIGUOUS"))))
+    out = out.withColumn("reasons", reasons)
+    clear = F.size("reasons") == 0
+    clash = clear & F.coalesce(F.abs(F.col("f.current").cast("double") - F.col("official_rate")) > 1e-9, F.lit(False))
+    fact = lambda value: F.when(clear, value)
+    return out.select("doc_id", (clear & ~clash).alias("usable"), F.when(clash, F.array(F.lit("BOK_RATE_OFFICIAL_DATA_CONFLICT"))).otherwise(F.col("reasons")).alias("reason_codes"),
+                      fact(F.col("f.move")).alias("decision_type"), fact(F.nullif("day", F.lit(""))).alias("decision_date"), fact(F.col("f.current")).alias("current_rate"),
+                      fact(F.col("f.previous")).alias("previous_rate"), fact(F.col("f.start")).alias("evidence_start"))
 
 
 # Policy wording.

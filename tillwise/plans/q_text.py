@@ -336,15 +336,31 @@ def presence_eval(spark, sf):
 
 # ---- text jobs -----------------------------------------------------------------------------
 
-SENTENCES = ["On 2001-08-30 the Monetary Policy Board decided to hold the base rate at 3.25% for now.", "The Board decided to raise the base rate from 3.00% to 3.25% on 2001-08-30.",
-             "The base rate decision named 3.00% and 3.25% and was kept on 2001-08-30.", "Nothing was decided.", "금융통화위원회는 2001년 8월 30일 기준금리를 현 수준 3.25%에서 유지하기로 결정."]
-
-
-@query("rate_decisions")
+# sentence, move, previous and current rate it states, reasons against it
+DECISIONS = [
+    ("On 2001-08-30 the Monetary Policy Board decided to hold the base rate at 3.25% for now.", "HOLD", None, "3.25", ""),
+    ("The Board decided to raise the base rate from 3.00% to 3.25% on 2001-08-30.", "INCREASE", "3.00", "3.25", ""),
+    ("The base rate decision named 3.00% and 3.25% and was kept on 2001-08-30.", None, None, None, "BOK_CURRENT_RATE_AMBIGUOUS"),
+    ("Nothing was decided on 2001-08-30.", None, None, None, "BOK_DECISION_LANGUAGE_MISSING,BOK_CURRENT_RATE_MISSING"),
+    ("금융통화위원회는 2001년 8월 30일 기준금리를 현 수준 3.25%에서 유지하기로 결정.", "HOLD", None, "3.25", ""),
+    ("On 2001-08-30 the Board decided to hold the base rate at 3.25%! It decided to lower the base rate from 3.25% to 3.00%.", None, None, None, "BOK_RATE_CHANGE_VALUES_AMBIGUOUS"),
+    ("The Board decided to raise the base rate by 0.25% on 2001-08-30.", None, None, None, "BOK_RATE_CHANGE_VALUES_INCOMPLETE"),
+    ("On 2001-08-30 the decision was to raise the base rate, 3.00% and 3.25% being named. It was decided to keep the base rate!", None, None, None, "BOK_RATE_CHANGE_VALUES_AMBIGUOUS,BOK_CURRENT_RATE_MISSING"),
+    ("The Board decided to cut the policy rate from 3.50% to 3.25%.", "DECREASE", "3.50", "3.25", "BOK_DECISION_DATE_MISSING")]
+_DECISION = ", ".join("('" + "', '".join([str(i), *["" if x is None else x for x in d[1:]]]) + "')" for i, d in enumerate(DECISIONS))
+
+
+@query("rate_decisions", sql(f"""
+SELECT doc_id, reasons = '' AND NOT clash AS usable, CASE WHEN clash THEN 'BOK_RATE_OFFICIAL_DATA_CONFLICT' ELSE reasons END AS reason_codes, CASE WHEN reasons = '' THEN move END AS decision_type, CASE WHEN reasons = '' THEN day END AS decision_date,
+  CASE WHEN reasons = '' THEN rate END AS current_rate, CASE WHEN reasons = '' THEN nullif(previous, '') END AS previous_rate, CASE WHEN reasons = '' THEN length(text) + 5 END AS evidence_start
+FROM (SELECT *, reasons = '' AND doc_id % 3 = 0 AS clash FROM (
+  SELECT doc_id, text, move, previous, rate, day, CASE WHEN day = '' AND why NOT LIKE 'BOK_DECISION_DATE%' THEN concat_ws(',', 'BOK_DECISION_DATE_MISSING', nullif(why, '')) WHEN day <> '' AND why LIKE 'BOK_DECISION_DATE%' THEN '' ELSE why END AS reasons
+  FROM (SELECT doc_id, text, d.*, regexp_extract(text || CASE WHEN i = '8' THEN '' WHEN i = '4' THEN ' 2001년 8월 30일' ELSE ' 2001-08-30' END, '20[0-9]{{2}}[./-] *[0-9]{{1,2}}[./-] *[0-9]{{1,2}}|20[0-9]{{2}}년 *[0-9]{{1,2}}월 *[0-9]{{1,2}}일') AS day
+    FROM documents JOIN (VALUES {_DECISION}) d(i, move, previous, rate, why) ON d.i = (doc_id % {len(DECISIONS)})::VARCHAR)))"""))
 def rate_decisions(spark, sf):
-    tail = F.element_at(F.array(*[F.lit(s) for s in SENTENCES]), (F.col("doc_id") % 5 + 1).cast("int"))
-    rows = docs(spark, sf).select("doc_id", F.lit("").alias("title"), F.concat_ws("\n", "text", tail).alias("body"), F.when(F.col("doc_id") % 3 == 0, 3.0).otherwise(3.25).alias("official_rate"))
-    return dc.rate_decisions(rows)
+    tail = F.element_at(F.array(*[F.lit(d[0]) for d in DECISIONS]), (F.col("doc_id") % len(DECISIONS) + 1).cast("int"))
+    rows = docs(spark, sf).select("doc_id", F.lit("").alias("title"), F.concat_ws("\n", "text", F.lit("End."), tail).alias("body"), F.when(F.col("doc_id") % 3 == 0, 3.0).otherwise(3.25).alias("official_rate"))
+    return dc.rate_decisions(rows).withColumn("reason_codes", F.array_join("reason_codes", ","))
 
 
 FACTS = ["Small business loan program\nLoan support up to KRW 50,000,000. Interest rate is 2.5 %. Repayment within 5 years. Application 2001-09-01 to 2001-12-31. Eligible businesses: cafes in Seoul",
