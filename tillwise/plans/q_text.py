@@ -367,7 +367,13 @@ FACTS = ["Small business loan program\nLoan support up to KRW 50,000,000. Intere
          "신용보증 지원\n한도 3억원, 거치 12 개월, 신청 2001년 9월 1일부터", "Program: Interest subsidy\nInterest subsidy of 1.5 %p for shops in gangnam-gu; applications closed", "No support here"]
 
 
-@query("policy_facts")
+# untrusted sources and texts without a program give no row; an amount counts only with its unit behind it
+@query("policy_facts", sql("""
+SELECT doc_id, f.* EXCLUDE (i) FROM documents JOIN (VALUES
+  (0, 'LOAN_SUPPORT', 'Small business loan program', NULL::DOUBLE, NULL::DOUBLE, 2.5::DOUBLE, NULL::INTEGER, 60, '2001-09-01', '2001-12-31', 'STATUS_UNCONFIRMED', '11', 'cafes in Seoul'),
+  (1, 'CREDIT_GUARANTEE', '신용보증 지원', 300000000.0, NULL, NULL, 12, NULL, '2001-09-01', NULL, 'STATUS_UNCONFIRMED', NULL, NULL),
+  (2, 'INTEREST_SUBSIDY', 'Interest subsidy', NULL, 1.5, NULL, NULL, NULL, NULL, NULL, 'CLOSED', '11680', NULL))
+  f(i, policy_type, name, limit_krw, discount_pp, annual_rate_percent, grace_months, maturity_months, application_start, application_end, application_status, region_code, eligibility) ON doc_id % 4 = f.i WHERE doc_id % 6 <> 0"""))
 def policy_facts(spark, sf):
     k = F.col("doc_id")
     head = F.element_at(F.array(*[F.lit(s) for s in FACTS]), (k % 4 + 1).cast("int"))
