@@ -119,3 +119,11 @@ def test_rate_with_spaced_digits(spark):
     text = "2026-07-10. The Monetary Policy Board decided to hold the base rate at 2. 50 %. Done."
     df = spark.createDataFrame([(1, "", text, 2.5), (2, "", text.replace("2. 50 %", "２.５０％").replace("rate", "ra\u00adte"), 2.5)], "doc_id int, title string, body string, official_rate double")
     assert {(r.current_rate, tuple(r.reason_codes), r.decision_type) for r in dc.rate_decisions(df).collect()} == {("2.50", (), "HOLD")}
+
+
+def test_region_code_inside_a_longer_number_or_hash_is_no_region(spark):
+    head = "Program: Interest subsidy\nInterest subsidy for shops.\n"
+    tails = {1: "4116801234567890", 2: "token d116805f", 3: "code 11680, see there", 4: "KR-11680", 5: "seoul 4031092311680865"}
+    docs = spark.createDataFrame([(k, "", head + t, True) for k, t in tails.items()], "doc_id bigint, title string, body string, trusted boolean")
+    got = {r["doc_id"]: r["region_code"] for r in dc.policy_facts(docs).collect()}
+    assert got == {1: None, 2: None, 3: "11680", 4: "11680", 5: "11"}

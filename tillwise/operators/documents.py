@@ -380,6 +380,7 @@ TERM = r"(?i)(repayment|maturity|grace|상환|거치)[^0-9]{0,20}([0-9]+)\s*(mon
 APPLICATION = r"(?is)(?:application|apply|신청|접수).{0,180}"  # proximity rule: dates this near to the word are its period
 SHUT = r"(?i)applications? (?:are )?closed|접수\s*마감|종료"
 NAMED = r"(?i)(?:program|policy|project|사업명|지원사업)\s*[:：]\s*([^\n]{2,})"
+GANGNAM = r"(?<![0-9a-z])11680(?![0-9a-z])|gangnam[- ]gu|강남구"  # the code by itself, not digits inside a card number or a hash
 ELIGIBLE = r"(?i)(?:eligible(?:\s+(?:businesses|applicants))?|eligibility|지원대상|신청대상)\s*[:：]\s*([^\n.]{2,})"
 
 
@@ -401,7 +402,7 @@ def policy_facts(documents: DataFrame) -> DataFrame:
     grace = F.lower(F.regexp_extract(body, TERM, 1)).isin("grace", "거치")
     days = explicit_days(F.regexp_extract(body, APPLICATION, 0))
     text = F.concat_ws("\n", "title", "body")
-    region = F.when(F.lower(text).rlike("11680|gangnam[- ]gu|강남구"), "11680").when(F.lower(text).rlike("seoul|서울특별시|서울시"), "11")
+    region = F.when(F.lower(text).rlike(GANGNAM), "11680").when(F.lower(text).rlike("seoul|서울특별시|서울시"), "11")
     rows = documents.filter("trusted").withColumn("policy_type", kind).filter(F.col("policy_type").isNotNull())
     return rows.select(
         "doc_id", "policy_type", F.coalesce(titled, named, by_line).alias("name"), (amount * scale).alias("limit_krw"), number(DISCOUNT).alias("discount_pp"),
