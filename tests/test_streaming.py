@@ -132,3 +132,18 @@ def test_versions_are_stored_once(spark, tmp_path):
     assert store([("r", "c", 1), ("r", "b", 1), ("r", "a", 1), ("r", "b", 1)]) == {("r", "a"): 1, ("r", "b"): 2, ("r", "c"): 3}
     latest = sinks.latest_version(spark.read.parquet(path), ["result"]).collect()
     assert {(r.result, r.version, r.request) for r in latest} == {("r", 3, "c"), ("s", 1, "a")}
+
+
+def test_idempotent_append_keeps_every_new_observation(spark):
+    from tillwise.plans import bindings as b
+    from tillwise.plans.registry import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    fresh = b.observations(spark, folder).where("vintage_id <> 'VNT-0'")
+    assert QUERIES["idempotent_append"](spark, folder).count() == fresh.count() > 0
+
+
+def test_retention_drops_rows_before_the_period(spark):
+    rows = spark.sql("SELECT explode(sequence(DATE '2001-08-25', DATE '2001-08-31')) AS day")
+    kept = sinks.within_retention(rows, F.col("day"), F.lit("2001-08-31").cast("date"), 3)
+    assert [r["day"].day for r in kept.orderBy("day").collect()] == [28, 29, 30, 31]
