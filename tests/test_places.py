@@ -41,3 +41,19 @@ def test_ladder(spark, monkeypatch, hot):
 def test_empty_tables(spark):
     assert solve(spark, [], PLACES) == {}
     assert solve(spark, [(1, "Main Road 1", [], True)], []) == {1: ("NOT_FOUND", None, None, None, [])}
+
+
+def test_many_asking_alike_are_matched_once(spark):
+    """300 requests for 400 places whose words they share: rows grow with texts, points and places, not with their product."""
+    places = [(i, "North Plaza", f"Road {i % 3} East", None, ("public", "office")[i % 2], 37.5 + (i % 4) / 100, 127.0) for i in range(400)]
+    requests = [(q, "Plaza East", [], None, 37.5 + (q % 5) / 100, 127.0, True) for q in range(300)]
+    searches = pl.search_steps(spark.createDataFrame(requests, REQUESTS))
+    gazetteer = spark.createDataFrame(places, GAZETTEER)
+    rows = pl.candidates(searches, gazetteer)
+    assert rows.count() <= 5 * 2 * 4 * 2  # sites, scores, points, two places each
+    got = {r.query_id: r for r in pl.match_venues(rows).collect()}
+    want = pl.match_venues(searches.where("step = 1").select("query_id", "query", "area", "context", "store_lat", "store_lon").crossJoin(gazetteer.drop("lot_address")))
+    sites = {r.query_id: r.site for r in searches.where("step = 1").withColumn("site", pl.asked_site()).collect()}
+    for r in want.collect():
+        mine = got[sites[r.query_id]]
+        assert (mine.status, mine.place_id, mine.score, mine.distance_m) == (r.status, r.place_id, r.score, r.distance_m)
