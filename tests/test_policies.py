@@ -126,3 +126,13 @@ def test_rules_on_large_numbers_and_optional_fields(spark):
     judge = lambda *r: store.select(po.evaluate_conditions(rule(*r), numbers, texts).alias("x")).first().x
     assert judge("annual_revenue", "IN", "50000000, 7") is None and judge("annual_revenue", "NOT_IN", "50000000").status == "FAILED"
     assert judge("owner_age", "GE", "39") is None and judge("credit_band", "EQ", "B").status == "FAILED"
+
+
+def test_term_evidence_spreads_the_rows_of_one_file(spark):
+    rows = spark.sql("""SELECT id AS policy_id, 50000000D AS limit_krw, 2.5D AS annual_rate_percent, CAST(NULL AS DOUBLE) AS discount_pp, 6 AS grace_months, 60 AS maturity_months, DATE '2001-09-01' AS app_start,
+        CAST(NULL AS DATE) AS app_end, false AS collateral, 'OPEN' AS budget_status,
+        map('limit_krw', 'up to KRW 50,000,000', 'annual_rate_percent', '3 %', 'maturity_months', '5 years', 'grace_months', '6') AS quotes FROM range(0, 8, 1, 1)""")
+    out = po.term_evidence(rows)
+    assert out.columns == [*rows.columns, "semantic_codes", "explicitly_closed"]
+    assert {tuple(r["semantic_codes"]) for r in out.collect()} == {("POLICY_FIELD_EVIDENCE_MISMATCH", "POLICY_FIELD_VALUE_OR_UNIT_MISMATCH", "POLICY_NUMERIC_UNIT_AMBIGUOUS")}
+    assert "hashpartitioning(policy_id" in out._jdf.queryExecution().executedPlan().toString()
