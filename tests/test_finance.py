@@ -126,3 +126,10 @@ def test_month_without_adjustment_is_neutral(spark):
     assert got == {9: (2.0, 0.01), 10: (1.0, 0.0), 11: (2.0, 0.01), 12: (1.0, 0.0)}
     with pytest.raises(Exception, match="(?i)duplicate"):
         lg.every_month(runs.unionByName(runs), ["store_id", "scenario"], 4, start).collect()
+
+
+def test_uploaded_rows_are_numbered_once(spark):
+    from tillwise.plans.registry import QUERIES
+
+    plan = QUERIES["ledger_validate"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan  # the checks read the stored rows; no check numbers a store's months again
