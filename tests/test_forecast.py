@@ -119,3 +119,20 @@ def test_ets_can_win_the_contest(spark):
     out = fc.baseline_forecast(stores, h, F.lit("2023-01-01").cast("date"), 6, extra_metrics=smoothing.ets_metrics(fits), extra_points=smoothing.ets_points(fits))
     rows = out.collect()
     assert len(rows) == 6 and {r.model for r in rows} == {"ETS_DAMPED"}
+
+
+def test_smoothing_takes_many_stores_a_step(spark):
+    """No fold row by row; stores of all lengths, months without revenue and NaN do not disturb each other."""
+    rng = random.Random(9)
+    series = {s: [rng.uniform(0, 500) + 9 * (i % 12) for i in range(18 + s % 40)] for s in range(2 * smoothing.TOGETHER + 3)}
+    series[7][20], series[8][3] = None, float("nan")
+    fits = smoothing.fit_damped(history(spark, series), 3)
+    plan = fits._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "aggregate(" not in plan
+    got = {r.store_id: r for r in fits.collect()}
+    assert set(got) == set(series)
+    assert got[7].sse is None and got[7].points == [0.0] * 3 and [f.pred for f in got[7].folds if f.y is not None][-1] == 0.0
+    assert got[8].sse != got[8].sse
+    alone = [5, 6, 9, 39, 300]
+    for s in alone:
+        assert smoothing.fit_damped(history(spark, {s: series[s]}), 3).collect() == [got[s]]
