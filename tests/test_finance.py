@@ -133,3 +133,23 @@ def test_uploaded_rows_are_numbered_once(spark):
 
     plan = QUERIES["ledger_validate"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number" not in plan  # the checks read the stored rows; no check numbers a store's months again
+
+
+def test_rate_changes_meet_loans_whose_terms_are_worked_out(spark):
+    """Above the join of loans and rate changes nothing runs entry by entry, and the terms are columns, not computed again for each row."""
+    from tillwise.operators.loans import debt_service
+
+    custom = [(1000.0 * i, 10.0 * i) for i in range(1, 5)]
+    rows = [loan(1, "CUSTOM_SCHEDULE", 9000, 0.1, 6, custom=custom, grace=1), loan(2, "AMORTIZING", 6e6, 0.12, 8, "VARIABLE", renewal=3), loan(3, "BULLET", 5e5, 0.06, 4, "VARIABLE")]
+    loans = spark.createDataFrame(rows, LOAN).drop("delta")
+    needed = spark.createDataFrame([(1, x, m) for x in (0.0, 0.02) for m in range(1, 7)], "store_id bigint, rate_delta double, month_index int")
+    start = dt.date(2024, 1, 1)
+    out = debt_service(loans, needed, ["store_id"], F.lit(start))
+    above = out._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[0]
+    assert "aggregate(" not in above and "slice(" not in above and "next_payment_date" not in above
+    got = {(r.rate_delta, r.month_index): (r.interest, r.principal) for r in out.collect()}
+    for delta in (0.0, 0.02):
+        tables = [by_month((*row[:-1], delta), 6, start) for row in rows]
+        for m in range(6):
+            want = [sum(t[m][i] or 0.0 for t in tables) for i in (2, 3)]
+            assert got[delta, m + 1] == pytest.approx(want)
