@@ -3,9 +3,11 @@
 import random
 import unicodedata
 
+import duckdb
 import pytest
 
 from tillwise.operators import evidence as evd
+from tillwise.plans.registry import ORACLES, QUERIES
 
 EVIDENCE = "evidence_id bigint, source_id bigint, revision_id string, quote string, start int, end int, row_text string"
 DOCUMENTS = "source_id bigint, revision_id string, access_status string, fetched_at int, body string"
@@ -106,3 +108,26 @@ def test_two_revisions_give_one_verdict_each(spark):
 def test_empty_tables(spark):
     none, docs = spark.createDataFrame([], EVIDENCE), spark.createDataFrame([], DOCUMENTS)
     assert evd.check_evidence(none, docs).count() == 0 and evd.repair_evidence(none, docs).count() == 0
+
+
+def test_empty_body_is_stored_text_when_asked_for(spark):
+    docs = spark.createDataFrame([(1, "r1", "OK", 1, ""), (2, "r1", "OK", 1, None)], DOCUMENTS)
+    rows = [(1, 1, "r1", "words", 0, 5, None), (2, 1, "r1", "", 0, 0, None), (3, 1, "r2", "words", 0, 5, None), (4, 2, "r1", "words", 0, 5, None), (5, 1, "r1", None, None, None, "row")]
+    ev = spark.createDataFrame(rows, EVIDENCE)
+    gone = ["SOURCE_UNAVAILABLE"]
+    assert {r.evidence_id: r.codes for r in evd.check_evidence(ev, docs, blank=True).collect()} == {
+        1: ["OFFSET_MISMATCH", "QUOTE_NOT_FOUND"], 2: ["EMPTY_QUOTE"], 3: gone, 4: gone, 5: ["EMPTY_QUOTE"]}
+    assert {r.evidence_id: (r.code, r.start, r.end, r.revision_id) for r in evd.repair_evidence(ev, docs, blank=True).collect()} == {
+        1: ("POLICY_QUOTE_NOT_FOUND", 0, 5, "r1"), 2: ("POLICY_OFFSET_AMBIGUOUS", 0, 0, "r1"), 3: ("POLICY_REVISION_MISMATCH", 0, 5, "r2"),
+        4: ("POLICY_EVIDENCE_SOURCE_MISSING", 0, 5, "r1"), 5: ("POLICY_OFFSET_AMBIGUOUS", None, None, "r1")}
+
+
+@pytest.mark.parametrize("name", ["evidence_check"])
+def test_queries_agree_with_their_sql_on_empty_and_short_texts(spark, tmp_path, name):
+    texts = ["", None, " ", "\n", "a", "ab ab ab", "é", "words " * 60, "", "x" * 90]
+    spark.createDataFrame([(i, texts[i % 10]) for i in range(200)], "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    out = QUERIES[name](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in out.columns)} FROM ({ORACLES[name]})").fetchall()
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))

@@ -69,8 +69,9 @@ def _facts(body: str, items: list[dict]) -> Iterator[tuple]:
                quote != "" and (quotes[quote] == "" or quotes[quote] in composed), first, times)
 
 
-def located(evidence: DataFrame, documents: DataFrame, keys: list[str]) -> DataFrame:
-    """What the body of each piece of evidence says about it; `found` is false where there is no body.
+def located(evidence: DataFrame, documents: DataFrame, keys: list[str], blank: bool = False) -> DataFrame:
+    """What the body of each piece of evidence says about it; `found` is false where there is no body: no document of
+    its keys, a null body or, unless `blank`, an empty one.
 
     evidence(evidence_id, revision_id, quote, start, end, row_text, *keys); documents(*keys, body), one row a key.
     Offsets that hold within row_text are shifted by its place in the body where the shifted piece is the quote."""
@@ -89,27 +90,29 @@ def located(evidence: DataFrame, documents: DataFrame, keys: list[str]) -> DataF
                 one = batch.slice(row, 1)
                 items = one.column("items")[0].as_py()
                 body = one.column("body")[0].as_py()
-                if body:
+                there = body is not None and (blank or body != "")
+                if there:
                     facts = list(_facts(body, items))
                 else:
                     facts = [(i["evidence_id"], i["revision_id"], not i["quote"], i["start"], i["end"], len(i["quote"] or ""), False, False, False, False, -1, 0) for i in items]
                 columns = [pa.array(list(values), kind) for values, (_, kind, _) in zip(zip(*facts), _FACTS)]
                 names = [name for name, _, _ in _FACTS]
                 same = [pa.concat_arrays([one.column(k)] * len(facts)) for k in keys]
-                yield pa.RecordBatch.from_arrays([*same, pa.array([bool(body)] * len(facts)), *columns], [*keys, "found", *[n if n not in keys else "_" + n for n in names]])
+                yield pa.RecordBatch.from_arrays([*same, pa.array([there] * len(facts)), *columns], [*keys, "found", *[n if n not in keys else "_" + n for n in names]])
 
     schema = [f"{k} {kinds[k]}" for k in keys] + ["found boolean"] + [f"`{n if n not in keys else '_' + n}` {t}" for n, _, t in _FACTS]
     return met.mapInArrow(run, ", ".join(schema))
 
 
-def check_evidence(evidence: DataFrame, documents: DataFrame) -> DataFrame:
+def check_evidence(evidence: DataFrame, documents: DataFrame, blank: bool = False) -> DataFrame:
     """(evidence_id, source_id, revision_id, codes): the quote has to stand at its place, and somewhere, in the very
     revision it was taken from, which has to be stored with access OK; otherwise SOURCE_UNAVAILABLE.
 
     documents(source_id, revision_id, access_status, body). Quotes and bodies are compared in composed form. A null
-    quote is an empty one; offsets may be null; a body that is null or empty is not there."""
+    quote is an empty one; offsets may be null; a body that is null or empty is not there. With `blank` an empty body
+    is a stored text of no characters, in which no quote stands."""
     there = documents.where("access_status = 'OK'")
-    rows = located(evidence, there, ["source_id", "revision_id"])
+    rows = located(evidence, there, ["source_id", "revision_id"], blank)
     stated = F.col("found") & ~F.col("empty")
     found = codes((~F.col("found"), "SOURCE_UNAVAILABLE"), (F.col("found") & F.col("empty"), "EMPTY_QUOTE"), (stated & ~F.col("same_folded"), "OFFSET_MISMATCH"), (stated & ~F.col("folded_found"), "QUOTE_NOT_FOUND"))
     return rows.select("evidence_id", "source_id", "revision_id", found.alias("codes"))
@@ -122,13 +125,13 @@ def stored_revisions(documents: DataFrame) -> DataFrame:
     return documents.join(top, (F.col("source_id") == F.col("_source")) & (F.col("revision_id") == F.col("_revision"))).drop("_source", "_revision")
 
 
-def repair_evidence(evidence: DataFrame, documents: DataFrame) -> DataFrame:
+def repair_evidence(evidence: DataFrame, documents: DataFrame, blank: bool = False) -> DataFrame:
     """(evidence_id, source_id, start, end, revision_id, code): a wrong offset or revision is bound anew to the stored
     document, the newest of its source, when the quote occurs there exactly once.
 
-    documents(source_id, revision_id, fetched_at, body)."""
+    documents(source_id, revision_id, fetched_at, body); an empty body is there only with `blank`."""
     stored = stored_revisions(documents)
-    rows = located(evidence, stored, ["source_id"])
+    rows = located(evidence, stored, ["source_id"], blank)
     names = stored.select(F.col("source_id").alias("_source"), F.col("revision_id").alias("stored"))
     rows = salted_join(rows.withColumnRenamed("source_id", "_source"), names, ["_source"], F.col("evidence_id"), "left").withColumnRenamed("_source", "source_id")
     unique = ~F.col("empty") & (F.col("times") == 1)
