@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillwise.functions.core import whole_won
+from tillwise.functions.stages import one_plan
 from tillwise.operators import ledger as lg
 from tillwise.operators.loans import loan_schedule
 
@@ -153,3 +154,15 @@ def test_rate_changes_meet_loans_whose_terms_are_worked_out(spark):
         for m in range(6):
             want = [sum(t[m][i] or 0.0 for t in tables) for i in (2, 3)]
             assert got[delta, m + 1] == pytest.approx(want)
+
+
+@pytest.mark.parametrize("overrides", [False, True])
+def test_ledger_of_stores_broadcasts_no_store(spark, overrides):
+    """Stores, months and scenarios grow with the input: no join of theirs may go through the driver, however small they look."""
+    from tillwise.plans.q_finance import SCENARIOS, ledger
+
+    with one_plan():
+        runs = ledger(spark, "/root/testdata/sf0.001", SCENARIOS, False, overrides)
+    for out in (runs,):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
