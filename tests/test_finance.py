@@ -159,10 +159,10 @@ def test_rate_changes_meet_loans_whose_terms_are_worked_out(spark):
 @pytest.mark.parametrize("overrides", [False, True])
 def test_ledger_of_stores_broadcasts_no_store(spark, overrides):
     """Stores, months and scenarios grow with the input: no join of theirs may go through the driver, however small they look."""
-    from tillwise.plans.q_finance import SCENARIOS, ledger
+    from tillwise.plans.q_finance import PAIRS, SCENARIOS, ledger
 
     with one_plan():
         runs = ledger(spark, "/root/testdata/sf0.001", SCENARIOS, False, overrides)
-    for out in (runs,):
+    for out in (runs, lg.primary_driver(lg.attribution(lg.layer_delta(runs, PAIRS)))):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
