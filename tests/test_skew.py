@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from tillwise.functions.skew import CLASSES, crowded_parts, dealt_join, salted_join
+from tillwise.functions.stages import one_plan
 from tillwise.operators.policies import meet
 from tillwise.plans import bindings as b
 from tillwise.plans import q_policy
@@ -44,3 +45,12 @@ def test_pairs_carry_no_policy_through_a_shuffle(spark):
     sides = [plan.children().apply(i) for i in (0, 1)]
     names = [{a.name() for a in (side.output().apply(j) for j in range(side.output().size()))} for side in sides]
     assert "rules" not in names[0] and "region_code" in names[0] and "rules" in names[1]
+
+
+def test_only_eligible_pairs_are_kept_for_benefits(spark):
+    """Benefits read the eligible pairs several times; the others are not written, nor is what no benefit reads."""
+    sf = "/root/testdata/sf0.001"
+    with one_plan():
+        kept = q_policy.eligible(spark, sf)
+    assert not {"status", "reason", "collateral", "app_start"} & set(kept.columns)
+    assert kept.count() == q_policy.eligibility(spark, sf).where("status = 'ELIGIBLE_ON_DECLARED_RULES'").count() > 0
