@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from tillwise.functions.skew import CLASSES, crowded_parts, dealt_join, salted_join
 from tillwise.functions.stages import one_plan
-from tillwise.operators.policies import meet
+from tillwise.operators.policies import meet, rank_policies
 from tillwise.plans import bindings as b
 from tillwise.plans import q_policy
 
@@ -54,3 +54,12 @@ def test_only_eligible_pairs_are_kept_for_benefits(spark):
         kept = q_policy.eligible(spark, sf)
     assert not {"status", "reason", "collateral", "app_start"} & set(kept.columns)
     assert kept.count() == q_policy.eligibility(spark, sf).where("status = 'ELIGIBLE_ON_DECLARED_RULES'").count() > 0
+
+
+def test_rank_merges_benefits_with_policies(spark):
+    benefits = spark.sql("SELECT id AS store_id, id % 3 AS policy_id, DATE '2001-10-01' AS original_burn, 3 AS runway_extension_days, 5.0D AS interest_savings FROM range(20)")
+    policies = spark.sql("SELECT id AS policy_id, DATE '2001-09-01' AS app_start, false AS collateral, 2 AS grace_months FROM range(3)")
+    out = rank_policies(benefits, policies)
+    assert out.count() == 20 and out.where("rank = 1").count() == 20
+    joins = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner, (policy_id" in x]
+    assert joins and all("strategy=merge" in x for x in joins)
